@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, quality_rules
+from . import compression_quality, html_extraction, language_id, media, quality_rules, sentence_pieces
 from .common import table
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and second and third best segmentation of every text."""
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
@@ -17,6 +34,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentence_pieces": op1_sentence_pieces,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_language_id": op3_language_id,
+    "op8_compression_quality": op8_compression_quality,
     "op9_quality_rules": op9_quality_rules,
     "op10_media_columns": op10_media_columns,
 }
