@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import compression_quality, html_extraction, language_id, media, quality_rules, sentence_pieces
+from . import compression_quality, fm_dedup, html_extraction, jaccard_join, language_id, media, quality_rules, sentence_pieces
 from .common import table
 
 
@@ -21,6 +22,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.strip(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.grouped(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,10 +46,33 @@ QUERIES = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
+    "op4_fm_dedup": op4_fm_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_compression_quality": op8_compression_quality,
     "op9_quality_rules": op9_quality_rules,
     "op10_media_columns": op10_media_columns,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_fm_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT r, unnest(range(1, len(w) - 33)) AS p, unnest(list_transform(range(1, len(w) - 33), lambda i: array_to_string(w[i:i + 34], ' '))) AS t FROM d WHERE len(w) >= 35),
+        again AS (SELECT t FROM s GROUP BY t HAVING count(*) > 1),
+        starts AS (SELECT r, p FROM s SEMI JOIN again USING (t)),
+        words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+        flagged AS (SELECT words.*, max(starts.p) OVER (PARTITION BY words.r ORDER BY words.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM words LEFT JOIN starts ON words.r = starts.r AND words.p = starts.p),
+        kept AS (SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS t FROM flagged GROUP BY r)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (SELECT r, doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+        items AS (SELECT r, len(s) AS n, unnest(s) AS t FROM sets),
+        pairs AS (SELECT a.r AS x, b.r AS y, a.n AS nx, b.n AS ny, count(*) AS i FROM items a JOIN items b ON a.t = b.t AND a.r <> b.r GROUP BY ALL),
+        links AS (SELECT x, y FROM pairs WHERE 100 * i >= 85 * (nx + ny - i)),
+        reach AS (SELECT r AS x, r AS y FROM sets UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+        SELECT any_value(sets.doc_id) AS doc_id, any_value(len(sets.s)) AS n_shingles, min(other.doc_id) AS component_id
+        FROM sets JOIN reach ON sets.r = reach.x JOIN sets other ON other.r = reach.y GROUP BY sets.r
+    """,
+}
