@@ -17,7 +17,7 @@ Words are compared by 64-bit hashes, segments and windows by 128-bit ones.
 
 Defined cases: a null text counts as empty; a text with fewer words than a window loses nothing; of equal texts, and of rows that occur twice, each loses
 all windows; a window that recurs within its own text is repeated; an empty table gives an empty result; further
-columns are not looked at by passages() and kept by strip(..., keep=True).
+columns are not looked at by passages() and kept by strip(..., keep=True), except those named like a result.
 """
 
 from __future__ import annotations
@@ -368,13 +368,14 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
 
 
 def strip(docs: DataFrame, window: int = WINDOW, keep: bool = False, **options) -> DataFrame:
-    """Per row: doc_id (with keep: all columns but text), n_words, n_removed, kept (the words that no repeated window covers, joined by one space)."""
+    """Per row: doc_id (with keep: all columns), n_words, n_removed, kept (the words that no repeated window covers, joined by one space)."""
     spans = passages(docs, window, **options).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most one for each word of a text
     spans = spans.select(F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "spans")
     names = ("n_words", "n_removed", "kept", "th", "spans", "of", "of_th")
-    others = [c for c in docs.columns if c not in (*names, "text")] if keep else ["doc_id"]
-    rows = docs.select(*others, F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["of"]) & (rows["th"] == spans["of_th"]), "left").select(*others, "text", "spans")
+    others = [c for c in docs.columns if c not in names] if keep else ["doc_id"]
+    rows = docs.select(*[c for c in others if c != "text"], F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["of"]) & (rows["th"] == spans["of_th"]), "left").drop("of", "of_th", "th")
+    others = [c for c in rows.columns if c in others]
     schema = T.StructType([f for f in rows.schema if f.name in others] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def work(part: pa.RecordBatch):

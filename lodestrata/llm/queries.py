@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, fm_dedup, html_extraction, jaccard_join, language_id, media, quality_rules, sentence_pieces
+from . import compression_quality, fm_dedup, html_extraction, jaccard_join, language_id, media, mixing, quality_rules, sentence_pieces, sharding
 from .common import table
 
 
@@ -26,6 +26,17 @@ def op4_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.strip(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, in three passes at most, with domains, languages and sources brought nearer to each other."""
+    docs = table(spark, sf_dir, "documents")
+    taken = mixing.select(docs, [mixing.domain_of(), F.col("lang"), F.col("source")], mixing.smoothed(0.5), 0.5, 3)
+    return taken.select("doc_id", F.col("mix_level_0").alias("domain"), F.col("mix_level_1").alias("language"), F.col("mix_level_2").alias("leaf"), mixing.tokens_of().alias("tokens"), "copies")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.grouped(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -47,6 +58,8 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
     "op4_fm_dedup": op4_fm_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_compression_quality": op8_compression_quality,
     "op9_quality_rules": op9_quality_rules,
