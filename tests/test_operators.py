@@ -123,4 +123,4 @@ def test_streamed_windows_equal_static_ones(spark, small, tmp_path):
     source = streams.read(spark, small, static.schema, "events.parquet")
     q = streams.tumbling(source, late="365 days").writeStream.outputMode("complete").format("memory").queryName("tumbled").option("checkpointLocation", marks).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert rows(spark.table("tumbled"), "start", "event_type", "n") == rows(streams.tumbling(static), "start", "event_type", "n")
+    assert rows(spark.table("tumbled"), "start", "event_type", "n") == rows(streams.tumbling(static), "start", "event_type", "n") != []
