@@ -99,3 +99,41 @@ def numbered_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Numbers]
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values over all bits (the finaliser of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+#: A random number for each byte, and powers of an odd number for places in a word (longer words start over and are told apart by their length).
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_PLACE = np.cumprod(np.full(4096, 0xD1342543DE82EF95, np.uint64))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word ([^\\x20\\x09-\\x0D]+) of all texts, and where each text starts (one more at the end).
+
+    The sum of byte numbers times place powers over a word, spread: a handful of numpy operations a byte, whatever the vocabulary."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    space = _SPACE[data]
+    solid = ~space
+    before = np.empty(len(data), bool)
+    if len(data):
+        before[0], before[1:] = True, space[:-1]
+    begin = np.flatnonzero(solid & before)
+    size = np.flatnonzero(space & ~before) - begin
+    at = np.cumsum(size) - size
+    letters = data[solid]
+    place = np.arange(len(letters)) - np.repeat(at, size)
+    if len(size) and int(size.max()) > len(_PLACE):
+        place %= len(_PLACE)
+    sums = np.add.reduceat(_BYTE[letters] * _PLACE[place], at) if len(at) else np.zeros(0, np.uint64)
+    edges = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
+    return _mix(sums ^ _mix(size.astype(np.uint64))), np.searchsorted(begin, edges).astype(np.int64)

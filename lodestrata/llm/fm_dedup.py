@@ -10,7 +10,8 @@ dealt by its minimizer, the smallest hash of its GRAM-word runs, a value of its
 minimizer travel as one segment.  Most minimizers occur once in the corpus, and so do their windows: counting them first leaves out
 everything but candidates.  Equal segments are counted before they move, and a segment found twice is repeated as a whole.  A minimizer with
 more than HOT different segments (the edge of a very common passage) would fill a shard: its windows are dealt one by one, by the hash of all their words,
-and pre-aggregated, which leaves nothing to search.  A shard holds about SHARD_WORDS words, whatever the corpus's size.
+and pre-aggregated, which leaves nothing to search.  A shard holds about SHARD_WORDS words, whatever the corpus's size; runs of RUN words that it
+holds once cut its segments to the pieces in which something can recur.
 
 Two filters of 2**FILTER_BITS bits come to the driver and go to the tasks; they only spare work, as everything they let through by chance is decided later.
 Words are compared by 64-bit hashes, segments and windows by 128-bit ones.
@@ -24,17 +25,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, materialize, numbered_words, utf8
-from .jaccard_join import mixed
+from .common import _mix as mixed
+from .common import mapped, materialize, utf8, word_hashes
 
 WINDOW, GRAM, HOT, SHARD_WORDS, FILTER_BITS = 35, 6, 2000, 1_000_000, 24
 #: After a miss, whether so many words behind it are unique is tried first.
 PROBE = 8
+#: Windows that one lane of the search looks for.
+LANE = 128
+#: Words in a row that must stand twice in a shard wherever a window can recur.
+RUN = 4
 P1, P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -159,8 +163,11 @@ def repeated_windows(index: FMIndex, text: np.ndarray, begins: np.ndarray, ends:
     more than a window, the windows behind i are known and the one at i is next.  Otherwise no window from i or before to j or beyond recurs; if even
     the PROBE words from i on occur once, the next window to look at ends within them, else it ends one word earlier than this one."""
     found = np.zeros(len(text), bool)
-    lane = np.flatnonzero(ends - begins >= window)
-    first, j = begins[lane].astype(np.int64), ends[lane].astype(np.int64)
+    windows = np.maximum(ends - begins - window + 1, 0)
+    lanes = -(-windows // LANE)  # long passages are read in several lanes, each for its own windows
+    nth = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    first = np.repeat(begins, lanes).astype(np.int64) + nth * LANE
+    j = np.minimum(first + LANE + window - 1, np.repeat(ends, lanes))
     i, lo, hi = j.copy(), np.zeros(len(j), np.int64), np.full(len(j), index.n, np.int64)
     probing, miss, resume = np.zeros(len(j), bool), np.zeros(len(j), np.int64), np.zeros(len(j), np.int64)
     while len(j):
@@ -209,11 +216,9 @@ class Segments:
     """The segments of some texts: doc (place in the batch), value (minimizer), start, windows, and two hashes."""
 
     def __init__(self, texts: list[bytes], window: int):
-        ids, starts, numbers = numbered_words(texts)
+        self.words, self.starts = w, starts = word_hashes(texts)
+        n = np.diff(starts)
         gram = min(max(GRAM, window - 200), window)  # places are told apart modulo 256
-        table = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-        self.words = w = table[ids] if len(ids) else np.zeros(0, np.uint64)
-        self.starts, n = starts, np.diff(starts)
         counts = np.maximum(n - window + 1, 0)
         total = int(counts.sum())
         ends = np.cumsum(counts)
@@ -269,30 +274,87 @@ def _take(part: pa.RecordBatch, name: str, doc: np.ndarray) -> pa.Array:
     return part.column(name).take(pa.array(doc, pa.int64()))
 
 
+def recurring(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts passages where RUN words in a row stand nowhere a second time, as no window over such a run can recur: what is left with a window's length, again and
+    again until nothing falls away.  text holds numbers; returns begins and ends of the pieces, and the passage that each is from."""
+    owner, run = np.arange(len(begins)), min(RUN, window)
+    h = text.astype(np.uint64)
+    for i in range(1, min(run, len(text))):
+        h[: len(text) - i] = h[: len(text) - i] * np.uint64(P1) + text[i:].astype(np.uint64)
+    while len(begins):
+        size = ends - begins - run + 1  # runs that start in a piece
+        at = np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        _, which, times = np.unique(h[at], return_inverse=True, return_counts=True)
+        good = times[which] > 1
+        if good.all():
+            break
+        piece = np.repeat(np.arange(len(size)), size)
+        edge = np.ones(len(good), bool)
+        edge[1:] = (good[1:] != good[:-1]) | (piece[1:] != piece[:-1])
+        first = np.flatnonzero(edge)
+        last = np.append(first[1:], len(good))
+        keep = good[first] & (last - first + run - 1 >= window)
+        begins, ends, owner = at[first[keep]], at[last[keep] - 1] + run, owner[piece[first[keep]]]
+    return begins, ends, owner
+
+
 def search_shard(parts: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
-    """Repeated windows (spans of offsets, flat) of the segments (v, s1, s2, words) in a shard."""
+    """Repeated windows (spans of offsets, flat) of the different segments (v, s1, s2, words) in a shard.
+
+    Pieces that several segments have alike are repeated as they are and stand in the index once; the others are searched."""
     rows = pa.Table.from_batches(parts).combine_chunks()
-    sizes = np.array([len(x) // 8 for x in rows.column("words").to_pylist()], np.int64)
-    raw = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint64)
-    known, dense = np.unique(raw, return_inverse=True)
-    ends = np.cumsum(sizes + 1)
-    stops = ends - 1
-    text = np.zeros(int(ends[-1]), np.int64)
-    inside = np.ones(len(text), bool)
-    inside[stops] = False
-    text[inside] = dense + 1
-    found = repeated_windows(FMIndex(text, stops, len(known) + 1), text, ends - sizes - 1, stops, window)
-    edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
+    words = rows.column("words").to_pylist()
+    sizes = np.array([len(x) // 8 for x in words], np.int64)
+    _, dense = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    begins, ends, owner = recurring(dense, starts, starts + sizes, window)
+    found = np.zeros(len(dense) + 1, bool)
+    if len(begins):
+        known, short = np.unique(np.concatenate([dense[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]), return_inverse=True)
+        size = ends - begins
+        at = np.cumsum(size) - size
+        same: dict[bytes, list[int]] = {}
+        for i, (a, b) in enumerate(zip(at.tolist(), (at + size).tolist(), strict=True)):
+            same.setdefault(short[a:b].tobytes(), []).append(i)
+        for group in same.values():
+            if len(group) > 1:
+                for i in group:
+                    found[begins[i] : ends[i] - window + 1] = True
+        heads = np.array([g[0] for g in same.values()])
+        lone = np.array([len(g) == 1 for g in same.values()])
+        stops = np.cumsum(size[heads] + 1) - 1
+        text, inside = np.zeros(int(stops[-1]) + 1, np.int64), np.ones(int(stops[-1]) + 1, bool)
+        inside[stops] = False
+        text[inside] = np.concatenate([short[at[i] : at[i] + size[i]] for i in heads.tolist()]) + 1
+        if lone.any():
+            here = (stops - size[heads])[lone]
+            hit = repeated_windows(FMIndex(text, stops, len(known) + 1), text, here, stops[lone], window)
+            for a, b, i in zip(here.tolist(), stops[lone].tolist(), heads[lone].tolist(), strict=True):
+                found[begins[i] : ends[i]] |= hit[a:b]
+    # a window that starts in one segment and ends in the next is none
+    edge = np.diff(np.concatenate([[0], found.astype(np.int8)]))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    seg = np.searchsorted(ends, a, side="right")
-    base = (ends - sizes - 1)[seg]
-    flat = np.stack([a - base, b - base], 1).astype(np.int32).ravel()
+    seg = np.searchsorted(starts + sizes, a, side="right")
+    flat = np.stack([a - starts[seg], b - starts[seg]], 1).astype(np.int32).ravel()
     offsets = np.concatenate([[0], 2 * np.cumsum(np.bincount(seg, minlength=len(sizes)))])
     spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
     out = pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in ("v", "s1", "s2")), spans], names=["v", "s1", "s2", "spans"])
     return out.filter(pa.array(np.diff(offsets) > 0))
 
 
+def windows_of(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
+    """The windows of segments (v, s1, s2, words), one by one: two hashes and the offset."""
+    words = part.column("words").to_pylist()
+    sizes = np.array([len(x) // 8 for x in words], np.int64)
+    s = object.__new__(Segments)
+    s.words = np.frombuffer(b"".join(words), np.uint64)
+    n = sizes - window + 1
+    first, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    offset = np.arange(int(n.sum())) - first[row]
+    w1, w2 = s.hashes((np.cumsum(sizes) - sizes)[row] + offset, np.full(len(offset), window, np.int64))
+    return pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row, pa.int64())) for c in ("v", "s1", "s2")), pa.array(w1), pa.array(w2), pa.array(offset, pa.int32())], names=["v", "s1", "s2", "w1", "w2", "a"])
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
 
@@ -328,7 +390,7 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
 
     def words(part: pa.RecordBatch):
         s = Segments(utf8(part.column("text")), window)
-        on = np.flatnonzero(_in(shared.value, s.value) & ~_in(crowded.value, s.value))
+        on = np.flatnonzero(_in(shared.value, s.value) | _in(crowded.value, s.value))
         size = s.windows[on] + window - 1
         s1, s2 = s.hashes(s.at[on], size)
         _, once = np.unique(s1, return_index=True)  # equal segments of a batch go on once
@@ -336,35 +398,37 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
         own = [bytes(data[8 * a : 8 * (a + n)]) for a, n in zip(s.at[on][once].tolist(), size[once].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(s.value[on][once].view(np.int64)), pa.array(s1[once]), pa.array(s2[once]), pa.array(own, pa.binary())], names=["v", "s1", "s2", "words"])
 
+    def split(keep_crowded: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(_in(crowded.value, b.column("v").to_numpy().view(np.uint64)) == keep_crowded))
+
+        return run
+
     def shard(batches):
         parts = [b for b in batches if b.num_rows]
         if parts:
             yield search_shard(parts, window)
 
-    segments = mapped(texts.select("text"), words, "v long, s1 long, s2 long, words binary").groupBy("v", "s1", "s2").agg(F.first("words").alias("words"))
+    def single(batches):
+        for b in batches:
+            if b.num_rows:
+                yield windows_of(b, window)
+
+    text_schema = "v long, s1 long, s2 long, words binary"
+    segments = mapped(texts.select("text"), words, text_schema).groupBy("v", "s1", "s2").agg(F.first("words").alias("words"))
+    plain = segments.mapInArrow(split(False), text_schema) if any_crowded else segments
     spread = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    searched = segments.repartition(spread, "v").mapInArrow(shard, "v long, s1 long, s2 long, spans array<int>")
+    searched = plain.repartition(spread, "v").mapInArrow(shard, "v long, s1 long, s2 long, spans array<int>")
     spans = F.expr("transform(sequence(0, size(spans) - 2, 2), i -> named_struct('a', spans[i], 'b', spans[i + 1]))")
     whole = distinct.where("n >= 2").select("v", "s1", "s2", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("spans"))
-    repeated = whole.unionByName(searched.join(whole, ["v", "s1", "s2"], "left_anti").select("v", "s1", "s2", spans.alias("spans")))
-    out = places.join(repeated, ["v", "s1", "s2"]).select("doc_id", "th", "start", F.explode("spans").alias("s")).select("doc_id", "th", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
-    if not any_crowded:
-        return out
-
-    def single(part: pa.RecordBatch):
-        s = Segments(utf8(part.column("text")), window)
-        on = np.flatnonzero(_in(crowded.value, s.value))
-        n = s.windows[on]
-        first = np.cumsum(n) - n
-        step = np.arange(int(n.sum())) - np.repeat(first, n)
-        at = np.repeat(s.at[on], n) + step
-        s1, s2 = s.hashes(at, np.full(len(at), window, np.int64))
-        doc = np.repeat(s.doc[on], n)
-        yield pa.RecordBatch.from_arrays([_take(part, "doc_id", doc), _take(part, "th", doc), pa.array(s1), pa.array(s2), pa.array(np.repeat(s.start[on], n) + step, pa.int32())], names=["doc_id", "th", "s1", "s2", "a"])
-
-    lone = materialize(mapped(texts, single, f"doc_id {id_type}, th long, s1 long, s2 long, a int"), "crowded-windows")
-    again = lone.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n >= 2").select("s1", "s2")
-    return out.unionByName(lone.join(again, ["s1", "s2"]).select("doc_id", "th", "a", (F.col("a") + 1).alias("b")))
+    parts = searched.select("v", "s1", "s2", spans.alias("spans"))
+    if any_crowded:  # of a minimizer with too many segments each window is counted by itself
+        lone = materialize(segments.mapInArrow(split(True), text_schema).mapInArrow(single, "v long, s1 long, s2 long, w1 long, w2 long, a int"), "crowded-windows")
+        again = lone.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n >= 2").select("w1", "w2")
+        parts = parts.unionByName(lone.join(again, ["w1", "w2"]).groupBy("v", "s1", "s2").agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"))).alias("spans")))  # at most one for each window of a segment
+    repeated = whole.unionByName(parts.join(whole.select("v", "s1", "s2"), ["v", "s1", "s2"], "left_anti"))
+    return places.join(repeated, ["v", "s1", "s2"]).select("doc_id", "th", "start", F.explode("spans").alias("s")).select("doc_id", "th", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
 
 
 def strip(docs: DataFrame, window: int = WINDOW, keep: bool = False, **options) -> DataFrame:
