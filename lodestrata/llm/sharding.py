@@ -51,9 +51,12 @@ def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
         loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = [max(0, q - loads.get(s, 0)) for s, q in enumerate(quota)]
         open_ = _pick([f > 0 for f in free], F.col("shard"))
-        best = state.where(open_).groupBy("g1", "g2").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best")).select("g1", "g2", F.col("best.n").alias("best_n"), (-F.col("best.minus")).alias("to"))
-        wants = (F.col("to") != F.col("shard")) & ((F.col("n") < F.col("best_n")) | ((F.col("n") == F.col("best_n")) & (F.col("shard") > F.col("to"))))
-        moves = state.join(best, ["g1", "g2"], "left").withColumn("wants", F.when(F.coalesce(wants, F.lit(False)), F.col("n")).otherwise(0))
+        tied = F.xxhash64("g1", "g2", "shard")  # which of a group's equal shards counts as the larger one
+        ranked = state.withColumn("tie", tied)
+        best = ranked.where(open_).groupBy("g1", "g2").agg(F.max(F.struct("n", "tie", "shard")).alias("best")).select("g1", "g2", F.col("best.n").alias("best_n"), F.col("best.tie").alias("best_tie"), F.col("best.shard").alias("to"))
+        smaller = (F.col("n") < F.col("best_n")) | ((F.col("n") == F.col("best_n")) & (F.col("tie") < F.col("best_tie")))
+        wants = (F.col("to") != F.col("shard")) & (smaller | (~open_ & (F.col("n") <= 16)))  # a full shard lets a few members go to where there is room for all
+        moves = ranked.join(best, ["g1", "g2"], "left").withColumn("wants", F.when(F.coalesce(wants, F.lit(False)), F.col("n")).otherwise(0))
         asked = {r["to"]: r["n"] for r in moves.where("wants > 0").groupBy("to").agg(F.sum("wants").alias("n")).collect()}
         if not asked:
             break
