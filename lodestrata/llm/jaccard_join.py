@@ -1,18 +1,19 @@
 """N-gram Jaccard join: which texts share most of their word shingles, and the groups they form.
 
-Rare-first prefix filtering.  A count sketch over the shingles of all texts orders them from rare to frequent (by the
-magnitude of the count, then by hash: one total order).  Two sets that are alike enough must share a shingle among the first few of either, so
+Rare-first prefix filtering.  How often a shingle occurs is bounded by two counts over all texts: that of its hash range, and that of
+the range of its rarest word.  The lower bound's magnitude orders shingles from rare to frequent (then how rare all its words are, then its hash: one total
+order).  A shingle with a bound of 1 is no other text's and needs no meeting.  Two sets that are alike enough must share a shingle among the first few of either, so
 texts meet only over these prefix shingles: a larger set probes with a longer prefix, a smaller one is found by a shorter
 one.  A pair must pass the length filter, the positional filter (what can still be shared behind the common shingle) and the suffix
 filter (shingles counted in BINS ranges of their hash cannot agree more than bin by bin); then its whole sets are compared,
 once.
 
-Equal sets are one class from the start.  Pairs are not spelt out within a group that hangs together: first every member
-of a prefix shingle's group is compared with one pivot, the member that shares most, and the links found are joined
+Equal sets are one class from the start.  Pairs are not spelt out within a group that hangs together: in a few rounds every member
+of a prefix shingle's group is compared with one pivot (first the member that shares most, then others), and the links found are joined
 to components; only pairs from different components remain, and all of these are compared.  So every link between components is found,
 and groups of thousands of near copies take about as many comparisons as they have members.
 
-Every statistic covers all texts; nothing is capped.  What reaches the driver is the sketch (2**SKETCH_BITS bytes) and a filter of
+Every statistic covers all texts; nothing is capped.  What reaches the driver is the sketch (a byte for each range) and a filter of
 FILTER_BITS bits that keeps texts without a candidate out of the verification's shuffle.
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is linked with nothing; a text with fewer words than a
@@ -29,79 +30,96 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, materialize, numbered_words, utf8
+from .common import _mix as mixed
+from .common import chunks, mapped, materialize, utf8, word_hashes
 from .graph import components
 
-SKETCH_BITS, BLOCK_BITS, BINS, FILTER_BITS = 22, 16, 16, 22
+#: Hash ranges (as bits) in which shingles and words are counted; in a block of the sketch; of a set's bins; of the candidates' filter.
+SKETCH_BITS, BLOCK_BITS, BINS, FILTER_BITS = (22, 24), 16, 16, 22
+#: Rounds in which members are compared with one pivot a group, before the pairs that are left.
+PIVOT_ROUNDS = 3
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit values over all bits (the finaliser of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's k-word shingles as they come, and where each text starts (one more at the end)."""
-    ids, starts, numbers = numbered_words([t.lower() for t in texts])
-    word = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-    w = word[ids] if len(ids) else np.zeros(0, np.uint64)
-    n = np.diff(starts)
-    h = w.copy()
-    for i in range(1, min(k, len(w))):  # h[x] covers the words from x to x + i, where there are so many
-        h[: len(w) - i] = h[: len(w) - i] * P + w[i:]
-    counts = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
-    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    out = mixed(h[np.repeat(starts[:-1] - ends[:-1], counts) + np.arange(ends[-1])])
-    for i in np.flatnonzero((n > 0) & (n < k)).tolist():  # the whole sequence as one
-        out[ends[i]] = xxhash.xxh3_64_intdigest(b" ".join(texts[i].lower().split()), seed=int(n[i]))
-    return out, ends
+class Shingles:
+    """The k-word shingles of some texts, as they come: hashes (h), where each text starts (starts, one more at the end), and the words' hashes."""
+
+    def __init__(self, texts: list[bytes], k: int):
+        lower = [t.lower() for t in texts]
+        self.word, begins = word_hashes(lower)
+        w, n = self.word, np.diff(begins)
+        h = w.copy()
+        for i in range(1, min(k, len(w))):  # h[x] covers the words from x to x + i, where there are so many
+            h[: len(w) - i] = h[: len(w) - i] * P + w[i:]
+        counts = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
+        self.starts = ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.at = np.repeat(begins[:-1] - ends[:-1], counts) + np.arange(ends[-1])  # the first word of each
+        self.size = np.repeat(np.minimum(n, k), counts)  # its words
+        self.h, self.k = mixed(h[self.at]), k
+        for i in np.flatnonzero((n > 0) & (n < k)).tolist():  # the whole sequence as one
+            self.h[ends[i]] = xxhash.xxh3_64_intdigest(b" ".join(lower[i].split()), seed=int(n[i]))
+
+    def least_and_sum(self, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the sum of a number that every word has, over the words of each shingle."""
+        each = of_word.astype(np.int64)
+        least = total = each[self.at] if len(each) else each
+        for i in range(1, self.k):
+            here = each[np.minimum(self.at + i, max(0, len(each) - 1))]
+            inside = self.size > i
+            least, total = np.where(inside, np.minimum(least, here), least), np.where(inside, total + here, total)
+        return least, total
+
+    def distinct(self, order_by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of one shingle of each kind in each text, in the order of a number (the hash, if not given) within each text; where each text starts."""
+        n = len(self.starts) - 1
+        doc = np.repeat(np.arange(n, dtype=np.uint16 if n < 65536 else np.int64), np.diff(self.starts))
+        key = self.h if order_by is None else order_by
+        order = np.argsort(key)
+        order = order[np.argsort(doc[order], kind="stable")]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+        places = order[new]
+        return places, np.concatenate([[0], np.cumsum(np.bincount(doc[places], minlength=n))]).astype(np.int64)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same without repeats, in ascending order within each text."""
-    h, starts = shingles(texts, k)
-    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.argsort(h)
-    order = order[np.argsort(doc[order].astype(np.uint16 if len(starts) < 65536 else np.int64), kind="stable")]
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(starts) - 1))]).astype(np.int64)
+    """The set of each text's shingle hashes, ascending, and where each text starts."""
+    s = Shingles(texts, k)
+    places, starts = s.distinct()
+    return s.h[places], starts
 
 
-def sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """For each hash range, the magnitude (bits) of the number of shingles in it, over all texts.
+def sketch(docs: DataFrame, k: int, bits: tuple[int, int] = SKETCH_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash range, how many shingles and how many words of all texts fall into it: as magnitudes, 1 + log2 of the count rounded down (0 for none).
 
-    A task counts in an array of its own; the arrays travel in compressed blocks and are added up block by block as they stream in."""
-    block = 1 << min(BLOCK_BITS, bits)
-    shift = np.uint64(64 - bits)
+    A task counts in arrays of its own; these travel in compressed blocks and are added up block by block as they stream in."""
+    block, shifts = 1 << BLOCK_BITS, [np.uint64(64 - b) for b in bits]
 
     def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
+        totals = [np.zeros(1 << b, np.uint32) for b in bits]
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, _ = shingles(utf8(part.column("text")), k)
-                total += np.bincount((h >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                s = Shingles(utf8(part.column("text")), k)
+                totals[0] += np.bincount((s.h >> shifts[0]).astype(np.int64), minlength=1 << bits[0]).astype(np.uint32)
+                cells, times = np.unique(s.word >> shifts[1], return_counts=True)
+                totals[1][cells.astype(np.int64)] += times.astype(np.uint32)
         pack = zstandard.ZstdCompressor(level=1).compress
-        at = [i for i in range(0, 1 << bits, block) if total[i : i + block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i // block for i in at], pa.int32()), pa.array([pack(total[i : i + block].tobytes()) for i in at], pa.binary())], names=["block", "counts"])
+        found = [(kind, i // block, pack(t[i : i + block].tobytes())) for kind, t in enumerate(totals) for i in range(0, len(t), block) if t[i : i + block].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["kind", "block", "counts"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for b, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[b] = sums.get(b, np.uint64(0)) + np.frombuffer(unpack(data), np.uint32).astype(np.uint64)
-        level = {b: np.ceil(np.log2(x.astype(float) + 1)).astype(np.uint8).tobytes() for b, x in sums.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(list(level), pa.int32()), pa.array(list(level.values()), pa.binary())], names=["block", "level"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, level binary").collect()
-    out = np.zeros(1 << bits, np.uint8)
-    for r in found:
-        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["level"], np.uint8)
+            for kind, b, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "counts")), strict=True):
+                sums[kind, b] = sums.get((kind, b), np.uint64(0)) + np.frombuffer(unpack(data), np.uint32).astype(np.uint64)
+        level = [(*key, np.where(x > 0, 1 + np.floor(np.log2(np.maximum(x, 1).astype(float))), 0).astype(np.uint8).tobytes()) for key, x in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in level], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["kind", "block", "level"])
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "kind int, block int, counts binary")
+    out = tuple(np.zeros(1 << b, np.uint8) for b in bits)
+    for r in counted.repartition("kind", "block").mapInArrow(add, "kind int, block int, level binary").collect():
+        out[r["kind"]][r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["level"], np.uint8)
     return out
 
 
@@ -111,30 +129,39 @@ def least_overlap(na, nb, percent: int):
 
 
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per text: row (a number), doc_id, n (set size), key (of equal sets), prefix (in order of rarity), bins.  Kept in a table."""
-    levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, k))  # 2**SKETCH_BITS bytes
-    shift = np.uint64(64 - SKETCH_BITS)
+    """Per text: row (a number), doc_id, n (set size), key (of equal sets), prefix and places (the prefix shingles that others may have, and their places in order of rarity), bins.  Kept in a table."""
+    levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, k))  # a byte for each range
+    shifts = [np.uint64(64 - b) for b in SKETCH_BITS]
 
     def work(part: pa.RecordBatch):
-        h, starts = shingle_sets(utf8(part.column("text")), k)
-        n = np.diff(starts)
+        s = Shingles(utf8(part.column("text")), k)
+        of_shingle, of_word = levels.value
+        least, total = s.least_and_sum(of_word[(s.word >> shifts[1]).astype(np.int64)])
+        bound = np.minimum(least, of_shingle[(s.h >> shifts[0]).astype(np.int64)])
+        token = bound.astype(np.uint64) << np.uint64(58) | np.minimum(total, 63).astype(np.uint64) << np.uint64(52) | s.h >> np.uint64(12)
+        places, starts = s.distinct()
+        h, n = s.h[places], np.diff(starts)
         doc = np.repeat(np.arange(len(n)), n)
-        token = (levels.value[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
+        token = token[places]
         order = np.argsort(token)
         order = order[np.argsort(doc[order].astype(np.uint16 if len(n) < 65536 else np.int64), kind="stable")]
         size = n - -(-percent * n // 100) + (n > 0)
         ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        prefix = token[order][np.repeat(starts[:-1] - ends[:-1], size) + np.arange(ends[-1])].view(np.int64)
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+        prefix = token[order][np.repeat(starts[:-1], size) + place]
+        met = prefix >> np.uint64(58) > 1  # the others occur once
+        prefix, place = prefix[met].view(np.int64), place[met].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(met)])[ends]
         bins = np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=len(n) * BINS).astype(np.int32)
         data = memoryview(h.tobytes())
         keys = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BINS, pa.int32()), pa.array(bins))],
-            names=["doc_id", "n", "key", "prefix", "bins"],
+            [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BINS, pa.int32()), pa.array(bins))],
+            names=["doc_id", "n", "key", "prefix", "places", "bins"],
         )
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = mapped(docs, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key binary, prefix array<long>, bins array<int>")
+    out = mapped(docs, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key binary, prefix array<long>, places array<int>, bins array<int>")
     return materialize(out.select(F.monotonically_increasing_id().alias("row"), "*"), "profiles")
 
 
@@ -149,23 +176,53 @@ def _oriented(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where((100 * small >= percent * big) & (at < indexed) & (can >= need)).select(F.when(larger, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(larger, F.col("y")).otherwise(F.col("x")).alias("b"), "nx", "ny")
 
 
-def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The sets (id, shingles) of the classes in wanted (id, doc_id, key).  A filter of fixed size keeps most other texts out of the shuffle."""
-    at = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+def _near(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose column may be among keys' column: a filter of FILTER_BITS bits, broadcast as a table of at most 2**FILTER_BITS / 64 rows, keeps most others out of a shuffle."""
+    at = lambda: F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int"))
-    bits = wanted.select(at().alias("h")).select((F.col("h") / 64).cast("int").alias("word"), bit(F.col("h")).alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    near = docs.withColumn("h", at()).withColumn("word", (F.col("h") / 64).cast("int")).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit(F.col("h"))) != 0).select("doc_id", "text")
-    joined = near.join(wanted, near["doc_id"].eqNullSafe(wanted["doc_id"])).select("id", "key", "text")
+    bits = keys.select(at().alias("_h")).select((F.col("_h") / 64).cast("int").alias("_word"), bit(F.col("_h")).alias("_b")).groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
+    return df.withColumn("_h", at()).withColumn("_word", (F.col("_h") / 64).cast("int")).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0).select(*df.columns)
 
-    def work(part: pa.RecordBatch):
-        h, starts = shingle_sets(utf8(part.column("text")), k)
-        data = memoryview(h.tobytes())
-        right = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) == key for a, b, key in zip(starts[:-1].tolist(), starts[1:].tolist(), part.column("key").to_pylist(), strict=True)]
-        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "shingles"]).filter(pa.array(right, pa.bool_()))
 
-    return mapped(joined, work, "id long, shingles array<long>")
+def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The sets (id, shingles) of the classes in wanted (id, doc_id, key).  A partition gives a class's set once, however often its text is there."""
+    near = _near(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id", wanted)
+    joined = near.join(wanted, near["doc_id"].eqNullSafe(wanted["doc_id"])).select("id", "key", "text")
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                part = part.filter(pa.array([i not in seen for i in part.column("id").to_pylist()], pa.bool_()))
+                h, starts = shingle_sets(utf8(part.column("text")), k)
+                data = memoryview(h.tobytes())
+                right, ids = [], part.column("id").to_pylist()
+                for i, a, b, key in zip(ids, starts[:-1].tolist(), starts[1:].tolist(), part.column("key").to_pylist(), strict=True):
+                    right.append(i not in seen and xxhash.xxh3_128_digest(data[8 * a : 8 * b]) == key)
+                    if right[-1]:
+                        seen.add(i)
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "shingles"]).filter(pa.array(right, pa.bool_()))
+
+    return joined.mapInArrow(run, "id long, shingles array<long>")
+
+
+class _Verifier:
+    """Compares pairs of classes by their whole sets, which it gets from the texts when a pair first needs them."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int):
+        self.docs, self.classes, self.k, self.percent, self.sets = docs, classes, k, percent, None
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = self.classes.select("id", "doc_id", "key").join(ids, "id", "left_semi")
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
+        wanted = materialize(wanted, "wanted-sets")
+        if self.sets is None or not wanted.isEmpty():
+            new = materialize(_members(self.docs, wanted, self.k), "sets")
+            self.sets = new if self.sets is None else self.sets.unionByName(new)
+        return _verified(pairs, _near(self.sets, "id", ids), self.percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,7 +230,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.select("a", "b", shared.alias("i"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb")).where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    return both.select("a", "b", shared.alias("i"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb")).where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct()
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -187,32 +244,43 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
     texts = profiles(docs, k, percent)
     of_key = materialize(texts.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
-    first = texts.join(of_key.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "doc_id", "key", "n", "prefix", "bins")
-    rows = first.select("id", "n", F.posexplode("prefix").alias("i", "token"))
+    first = texts.join(of_key.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "doc_id", "key", "n", "prefix", "places", "bins")
+    rows = first.select("id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("z")).select("id", "n", F.col("z.places").alias("i"), F.col("z.prefix").alias("token"))
     short = F.expr(f"i < n - cast(ceil({2 * percent} * n / {100 + percent}) as bigint) + 1")
     met = rows.groupBy("token").agg(F.count("*").alias("c"), F.count_if(short).alias("s")).where("c >= 2 and s >= 1").select("token")
     rows = materialize(rows.join(met, "token"), "prefixes")
     classes = materialize(first.join(rows.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "key", "n", "bins"), "candidates")
-    sets = materialize(_members(docs, classes.select("id", "doc_id", "key"), k).dropDuplicates(["id"]), "sets")
+    verify = _Verifier(docs, classes, k, percent)
 
-    # each member with the pivot of its group
-    ranked = rows.join(rows.groupBy("id").agg(F.count("*").alias("degree")), "id")
-    pivots = ranked.where(short).groupBy("token").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n", "i")).alias("p")).select("token", (-F.col("p.minus")).alias("y"), F.col("p.n").alias("ny"), F.col("p.i").alias("iy"))
+    # each member with the pivot of its group, as long as that joins components
     x = rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"))
-    star = _oriented(x.join(pivots, "token").where("x != y"), percent).select("a", "b").distinct()
-    star = materialize(_alike(star, classes, percent), "pivot-pairs")
-    links = materialize(_verified(star, sets, percent), "pivot-links")
-    parts = components(links)
+    degree = rows.groupBy("id").agg(F.count("*").alias("degree"))
+    placed = materialize(x.withColumn("cx", F.col("x")).join(degree.withColumnRenamed("id", "x"), "x"), "open-prefixes")
+    links = tried = None
+    for turn in range(PIVOT_ROUNDS):
+        prefer = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "cx")
+        heads = placed.where(f"ix < nx - cast(ceil({2 * percent} * nx / {100 + percent}) as bigint) + 1").groupBy("token").agg(F.max(F.struct(prefer.alias("prefer"), (-F.col("x")).alias("minus"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy"))).alias("p"))
+        pivots = heads.select("token", (-F.col("p.minus")).alias("y"), "p.ny", "p.iy", "p.cy")
+        star = _oriented(placed.join(pivots, "token").where("cx <> cy"), percent).select("a", "b").distinct()
+        star = materialize(_alike(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), classes, percent), "pivot-pairs")
+        if star.isEmpty():
+            break
+        tried = star if tried is None else tried.unionByName(star)
+        new = materialize(verify(star), "pivot-links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        parts = components(links)
+        placed = placed.drop("cx").join(parts.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("cx", F.coalesce("component", "x")).drop("component")
+        several = placed.groupBy("token").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo <> hi").select("token")
+        placed = materialize(placed.join(several, "token"), "open-prefixes")
 
     # then every pair from two components
-    placed = x.join(parts.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("cx", F.coalesce("component", "x")).drop("component")
-    mixed_tokens = placed.groupBy("token").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo != hi").select("token")
-    placed = materialize(placed.join(mixed_tokens, "token"), "open-prefixes")
     y = placed.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy")).where(F.expr(f"iy < ny - cast(ceil({2 * percent} * ny / {100 + percent}) as bigint) + 1"))
-    cross = _oriented(placed.join(y, "token").where("cx != cy and (nx > ny or (nx = ny and x > y))"), percent).select("a", "b").distinct()
-    cross = _alike(cross.join(star, ["a", "b"], "left_anti"), classes, percent)
-    links = links.unionByName(_verified(cross, sets, percent))
-    parts = components(links)
+    cross = _oriented(placed.join(y, "token").where("cx <> cy and (nx > ny or (nx = ny and x > y))"), percent).select("a", "b").distinct()
+    cross = materialize(_alike(cross if tried is None else cross.join(tried, ["a", "b"], "left_anti"), classes, percent), "other-pairs")
+    new = verify(cross)
+    parts = components(new if links is None else links.unionByName(new))
 
     least = of_key.join(parts, "id", "left").select("key", "least", F.coalesce("component", "id").alias("component"))
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
