@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import _mix as mixed
 from .common import mapped, materialize, utf8, word_hashes
 
-WINDOW, GRAM, HOT, SHARD_WORDS, FILTER_BITS = 35, 6, 2000, 1_000_000, 24
+WINDOW, GRAM, HOT, SHARD_WORDS, FILTER_BITS = 35, 12, 2000, 1_000_000, 24
 #: After a miss, whether so many words behind it are unique is tried first.
 PROBE = 8
 #: Windows that one lane of the search looks for.
