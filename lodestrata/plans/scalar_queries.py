@@ -36,7 +36,7 @@ def _(spark, d):
 
 @query("s6_code_files", B.with_views(f"SELECT path, {_case(_EXTS)} AS language, CASE WHEN size > 220000 THEN 'failed' ELSE 'parsed' END AS status FROM b_files WHERE {_case(_EXTS)} IS NOT NULL", "files"))
 def _(spark, d):
-    return extraction.readable(B.files(spark, d).select("path", "size"))
+    return extraction.readable(B.files(spark, d).select("path", "size")).select("path", "language", "status")
 
 
 @query("s8_representative", B.with_views(f"SELECT path, points, size FROM (SELECT path, size, CAST(CASE WHEN regexp_matches(lower(path), '(^|/)(main|index|app|server)') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(lower(path), 'service|controller|router?|store|repo') THEN 20 ELSE 0 END - CASE WHEN {_TEST} THEN 25 ELSE 0 END + least(20, size // 500) AS BIGINT) AS points FROM b_files) ORDER BY points DESC, path LIMIT 40", "files"))
@@ -52,7 +52,7 @@ def _(spark, d):
     return S.porcelain(lines)
 
 
-@query("s16_runs", "SELECT 'run-' || event_id AS run_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE epoch_ms(ts) END AS at FROM events WHERE event_id % 6 <> 0")
+@query("s16_runs", "SELECT 'run-' || event_id AS run_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE epoch_us(ts) // 1000 END AS at FROM events WHERE event_id % 6 <> 0")
 def _(spark, d):
     e = B.table(spark, d, "events").select(F.concat(F.when(F.col("event_id") % 6 == 0, F.lit("../")).otherwise(F.lit("run-")), "event_id").alias("run_id"), F.when(F.col("event_id") % 4 == 0, F.lit("never")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("finished"))
     return S.runs(e).select("run_id", "at")
