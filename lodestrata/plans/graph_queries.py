@@ -8,7 +8,7 @@ from ..functions import scalars as X
 from ..operators import changes, clustering, dedupe, graph, measures, relations, sequences, views
 from ..sources import bridge as B
 from ..streaming import events as streams
-from .registry import query
+from .registry import ORACLES, query
 
 _REL = """CASE WHEN kind IN ('import', 'inherit') THEN 'depends_on' WHEN kind IN ('call', 'render') THEN 'calls' WHEN kind = 'http' THEN CASE WHEN target_file IS NOT NULL THEN 'http_contract' WHEN target_kind = 'resource' THEN 'external_api' END
     WHEN kind = 'database' AND (target_file IS NOT NULL OR target_kind = 'resource') THEN CASE operation WHEN 'read' THEN 'reads' WHEN 'write' THEN 'writes' END WHEN kind = 'event' THEN CASE operation WHEN 'publish' THEN 'publishes_event' WHEN 'subscribe' THEN 'subscribes_event' END END"""
@@ -601,3 +601,153 @@ def _(spark, d):
     n, e = _graph(spark, d)
     m = n.select(F.col("id").alias("module"), F.lit("s").alias("scope"), "category", F.when(F.length("id") % 4 != 0, F.col("domain")).alias("label"), (F.length("id") % 5 == 0).alias("strong"))
     return clustering.areas(m, e.where("confidence = 'confirmed'").select("source", "target"), graph.components)
+
+
+# ---- the same operators over the graph between files, which holds every located relation and grows with the input
+
+
+def _files_graph(spark, d):
+    return B.file_nodes(spark, d), B.file_edges(spark, d)
+
+
+def _whole(name: str, *constants: tuple[str, str]) -> str:
+    return B.over_files(ORACLES[name], *constants)
+
+
+_ROOT, _SOME = "customer/7", "customer/1%"
+_SOME_SQL = ("LIKE 'C%'", f"LIKE '{_SOME}'")
+
+
+@query("a8_coverage_files", _whole("a8_coverage"))
+def _(spark, d):
+    m = B.module_files(spark, d)
+    return measures.coverage(m.select(F.col("file").alias("path")), m.where("module like '%A'"), B.file_edges(spark, d))
+
+
+@query("a15_collapsed_files", _whole("a15_collapsed"))
+def _(spark, d):
+    return views.collapsed(*_files_graph(spark, d), ["ASIA", "EUROPE/1"])
+
+
+@query("a17_risk_scores_files", _whole("a17_risk_scores"))
+def _(spark, d):
+    n, e = _files_graph(spark, d)
+    ends = e.select(F.explode(F.array("source", "target")).alias("id"), "relation").groupBy("id").agg(F.count("*").alias("edges"), F.countDistinct("relation").alias("relations"))
+    size = F.length("id")
+    said = F.concat(F.when(size % 4 >= 1, F.lit("auth ")).otherwise(F.lit("")), F.when(size % 4 >= 2, F.lit("payment ")).otherwise(F.lit("")), F.when(size % 4 >= 3, F.lit("token")).otherwise(F.lit("")))
+    m = n.select("id", "node_type").join(ends, "id", "left").select("id", measures.sensitive_points(said, F.lit(""), F.lit("")).alias("sensitive"), F.coalesce("edges", F.lit(0)).alias("edges"), F.lit(25).alias("modules"), (size % 3).alias("effects"), F.lit(1).alias("external_calls"), F.coalesce("relations", F.lit(0)).alias("relations"), F.lit(1).alias("files"), (F.col("node_type") == "test").alias("tested"))
+    return measures.risk_scores(m).drop("sensitive", "edges", "modules", "effects", "external_calls", "relations", "files", "tested")
+
+
+@query("j22_dangling_files", _whole("j22_dangling", _SOME_SQL))
+def _(spark, d):
+    n, e = _files_graph(spark, d)
+    return relations.dangling(e, n.where(~F.col("id").like(_SOME))).select("id")
+
+
+@query("f3_induced_files", _whole("f3_induced"))
+def _(spark, d):
+    n, e = _files_graph(spark, d)
+    return views.induced(e, n.where("layer <> 'test'")).select("id")
+
+
+@query("f4_groups_files", _whole("f4_groups"))
+def _(spark, d):
+    return views.in_groups(*_files_graph(spark, d), ["ASIA"]).select("id")
+
+
+@query("f5_view_files", _whole("f5_view"))
+def _(spark, d):
+    return views.shown_edges(*_files_graph(spark, d), extra=["reads", "tests"]).select("id", "relation")
+
+
+@query("f6_event_boundaries_files", _whole("f6_event_boundaries"))
+def _(spark, d):
+    return views.event_boundaries(B.file_edges(spark, d))[1]
+
+
+@query("f7_connected_files", _whole("f7_connected"))
+def _(spark, d):
+    return views.connection_counts(*_files_graph(spark, d))
+
+
+@query("f8_connection_kind_files", _whole("f8_connection_kind", (B.SQL["module_files"], f"SELECT file, file AS module FROM ({B.SQL['module_files']})")))
+def _(spark, d):
+    r, m = _facts(spark, d)
+    return views.connection_kind(*_files_graph(spark, d), relations.module_summary(r, m.withColumn("module", F.col("file"))))
+
+
+@query("f9_degrees_files", _whole("f9_degrees"))
+def _(spark, d):
+    return views.degrees(*_files_graph(spark, d))
+
+
+@query("f15_neighbourhood_files", _whole("f15_neighbourhood", ("JAPAN", _ROOT)))
+def _(spark, d):
+    return views.neighbourhood(*_files_graph(spark, d), _ROOT).select("id")
+
+
+@query("f18_entries_files", _whole("f18_entries"))
+def _(spark, d):
+    return views.entries_and_sinks(*_files_graph(spark, d))
+
+
+@query("c10_corrected_files", _whole("c10_corrected", _SOME_SQL, ("JAPAN", "supplier/7")))
+def _(spark, d):
+    e = B.file_edges(spark, d)
+    to = lambda x: x.select("id", F.lit(None).cast("string").alias("source"), F.lit("supplier/7").alias("target"), F.lit(None).cast("string").alias("relation"))
+    return changes.corrected(e, to(e.where(F.col("source").like(_SOME))).unionByName(to(e.where("source = 'supplier/7'"))))
+
+
+@query("w2_ports_files", _whole("w2_ports"))
+def _(spark, d):
+    p = B.file_edges(spark, d).select(F.col("source").alias("node"), F.when(F.length("target") % 2 == 0, F.lit("left")).otherwise(F.lit("right")).alias("side"), F.col("id").alias("edge"))
+    return graph.ranked_ports(p)
+
+
+# Recursive SQL over this graph is too slow (the closure holds every pair); tests hold these against plain code.
+
+
+@query("g1_reachable_files")
+def _(spark, d):
+    return graph.reachable(B.file_edges(spark, d), spark.createDataFrame([(_ROOT,)], "id string"))
+
+
+@query("g2_components_files")
+def _(spark, d):
+    return graph.components(*_files_graph(spark, d))
+
+
+@query("g3_strong_components_files")
+def _(spark, d):
+    return graph.strong_components(*_files_graph(spark, d))
+
+
+def _condensed_files(spark, d):
+    n, e = _files_graph(spark, d)
+    e = graph.settled(e.select("source", "target").distinct())
+    parts = graph.settled(graph.strong_components(n, e))
+    return parts, graph.condensed(e, parts)
+
+
+@query("g4_condensed_files")
+def _(spark, d):
+    return _condensed_files(spark, d)[1]
+
+
+@query("g6_layers_files")
+def _(spark, d):
+    parts, e = _condensed_files(spark, d)
+    return graph.layers(parts.select(F.col("component").alias("id")).distinct(), e)
+
+
+@query("g9_areas_files")
+def _(spark, d):
+    n, e = _files_graph(spark, d)
+    m = n.select(F.col("id").alias("module"), F.lit("s").alias("scope"), "category", F.when(F.length("id") % 4 != 0, F.col("domain")).alias("label"), (F.length("id") % 5 == 0).alias("strong"))
+    return clustering.areas(m, e.where("confidence = 'confirmed'").select("source", "target"), graph.components)
+
+
+@query("g13_fingerprint_files")
+def _(spark, d):
+    return graph.fingerprint(*_files_graph(spark, d))

@@ -9,7 +9,7 @@ from ..operators import dedupe, extraction, graph, sequences, views
 from ..sources import bridge as B
 from ..sources import files as S
 from ..sources import sinks
-from .registry import query
+from .registry import ORACLES, query
 
 _EXT = "lower(regexp_extract(path, '[^./][^/]*?(\\.[^./]+)$', 1))"
 _EXTS = {".ts": "TypeScript", ".tsx": "TypeScript React", ".py": "Python", ".go": "Go", ".java": "Java", ".rs": "Rust"}
@@ -63,6 +63,11 @@ def _(spark, d):
     return sinks.canvas_problems(B.nodes(spark, d).where("id not like 'A%'"), B.edges(spark, d), B.module_files(spark, d))
 
 
+@query("k3_canvas_problems_files", B.over_files(ORACLES["k3_canvas_problems"], ("LIKE 'A%'", "LIKE 'customer/1%'")))
+def _(spark, d):
+    return sinks.canvas_problems(B.file_nodes(spark, d).where("id not like 'customer/1%'"), B.file_edges(spark, d), B.module_files(spark, d))
+
+
 @query("k6_history_kept", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5")
 def _(spark, d):
     return sinks.latest(B.table(spark, d, "events"), ["user_id"], "ts", "event_id", 5).select("user_id", "event_id")

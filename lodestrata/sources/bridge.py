@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators.relations import architecture_relation
 
 FOLDERS = ["features/billing", "src/services", "shared/utils", "tests", "integrations/stripe", "src/data", "api/routes", "src/workers"]
 STEMS = ["order-service", "userController", "date.util", "invoice_repo", "SyncWorker", "index", "paymentGateway"]
@@ -91,6 +92,35 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("id", F.concat_ws(":", "source", "target", "relation"))
 
 
+def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node a file of a supplier or customer, in the group of its region, and a node a resource."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    places = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("id"), F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("id"), F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    owned = s.unionByName(c).join(F.broadcast(places), F.col("n") == F.col("n_nationkey")).select("id", "k", F.col("r_name").alias("region"), F.lit(None).cast("string").alias("resource_kind"))  # 25 nations
+    j = owned.unionByName(spark.range(5).select(F.concat(F.lit("resource/"), "id").alias("id"), F.col("id").alias("k"), F.lit("SHARED").alias("region"), F.lit("event").alias("resource_kind")))
+    k = F.col("k")
+    category = _pick(["domain-service", "api-boundary", "data-access", "test-surface", "external-integration", "shared-utility"], k % 6)
+    return j.select(
+        "id", F.col("id").alias("title"), F.lit("module").alias("kind"), category.alias("category"), X.mapped(category, X.NODE_TYPES).alias("node_type"),
+        F.coalesce(X.mapped(category, X.CATEGORY_LAYERS), F.lit("infrastructure")).alias("layer"), F.array(F.when(k % 2 == 0, F.lit("backend")).otherwise(F.lit("frontend")), F.when(k % 3 == 0, F.lit("data")).otherwise(F.lit("shared"))).alias("stacks"),
+        F.lower("region").alias("domain"), F.array(F.concat(F.lit("src/"), "id", _pick([".ts", "Controller.ts", ".test.ts"], k % 3))).alias("files"), "resource_kind", F.when(k % 9 == 8, F.lit("manual")).alias("origin"), F.array(F.col("region"), F.concat("region", F.lit("/"), (k % 2).cast("string"))).alias("group_path"),
+    )
+
+
+def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph between files: every relation that leads somewhere, once a pair and relation; a subscription leads from its event's end to the subscriber."""
+    r = relations(spark, sf_dir).withColumn("end", F.coalesce("target_file", "resource_id")).where("end is not null")
+    flip = F.coalesce(F.col("operation") == "subscribe", F.lit(False))
+    d = r.select(
+        F.when(flip, F.col("end")).otherwise(F.col("source_file")).alias("source"), F.when(flip, F.col("source_file")).otherwise(F.col("end")).alias("target"), F.coalesce(architecture_relation(), "kind").alias("relation"), "confidence",
+        F.when((F.col("kind") == "event") & (F.col("confidence") == "confirmed"), F.col("symbol")).alias("event_id"), F.when(F.endswith("symbol", F.lit("77")), F.lit("manual")).alias("origin"),
+    )
+    g = d.groupBy("source", "target", "relation").agg(F.min("confidence").alias("confidence"), F.max("event_id").alias("event_id"), F.max("origin").alias("origin"), F.count("*").alias("n_relations"))
+    return g.withColumn("id", F.concat_ws(":", "source", "target", "relation"))
+
+
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as requests, and a route per host and language with a parameter."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path"))
@@ -143,7 +173,29 @@ SQL = {
     "messages": "SELECT conv_id AS diagram, turn, role AS sender, CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END AS receiver, CASE WHEN turn % 2 = 0 THEN 'call' ELSE 'return' END AS kind, text, CASE WHEN turn % 4 <> 3 THEN length(text) END AS evidence FROM conversations",
 }
 
+SQL["file_nodes"] = """SELECT id, id AS title, 'module' AS kind, ['domain-service', 'api-boundary', 'data-access', 'test-surface', 'external-integration', 'shared-utility'][k % 6 + 1] AS category,
+    ['service', 'api', 'data', 'test', 'external', 'utility'][k % 6 + 1] AS node_type, ['domain', 'api', 'data', 'test', 'integration', 'infrastructure'][k % 6 + 1] AS layer,
+    [CASE WHEN k % 2 = 0 THEN 'backend' ELSE 'frontend' END, CASE WHEN k % 3 = 0 THEN 'data' ELSE 'shared' END] AS stacks, lower(region) AS domain, ['src/' || id || ['.ts', 'Controller.ts', '.test.ts'][k % 3 + 1]] AS files,
+    resource_kind, CASE WHEN k % 9 = 8 THEN 'manual' END AS origin, [region, region || '/' || k % 2] AS group_path
+    FROM (SELECT 'supplier/' || s_suppkey AS id, s_suppkey AS k, r_name AS region, NULL AS resource_kind FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT 'customer/' || c_custkey, c_custkey, r_name, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'resource/' || range, range, 'SHARED', 'event' FROM range(5))"""
+SQL["file_edges"] = f"""SELECT source, target, relation, min(confidence) AS confidence, max(event_id) AS event_id, max(origin) AS origin, count(*) AS n_relations, source || ':' || target || ':' || relation AS id FROM (
+    SELECT CASE WHEN operation = 'subscribe' THEN coalesce(target_file, resource_id) ELSE source_file END AS source, CASE WHEN operation = 'subscribe' THEN source_file ELSE coalesce(target_file, resource_id) END AS target,
+        CASE kind WHEN 'import' THEN 'depends_on' WHEN 'call' THEN 'calls' WHEN 'http' THEN CASE WHEN target_file IS NOT NULL THEN 'http_contract' ELSE 'external_api' END WHEN 'database' THEN operation || 's'
+            ELSE CASE operation WHEN 'publish' THEN 'publishes_event' WHEN 'subscribe' THEN 'subscribes_event' ELSE kind END END AS relation,
+        confidence, CASE WHEN kind = 'event' AND confidence = 'confirmed' THEN symbol END AS event_id, CASE WHEN symbol LIKE '%77' THEN 'manual' END AS origin
+    FROM ({SQL["relations"]}) WHERE coalesce(target_file, resource_id) IS NOT NULL) GROUP BY source, target, relation"""
+
 
 def with_views(query: str, *names: str, recursive: bool = False) -> str:
     """query with the named views in front."""
     return f"WITH {'RECURSIVE ' * recursive}" + ", ".join(f"b_{n} AS ({SQL[n]})" for n in names) + (", " if query.lstrip()[:1] == "," else " ") + query.lstrip().removeprefix(",")
+
+
+def over_files(sql: str, *constants: tuple[str, str]) -> str:
+    """The SQL of a query over the graph between nations, for the graph between files; constants that name nodes are changed with it."""
+    for old, new in constants:
+        sql = sql.replace(old, new)
+    for view in ("nodes", "edges"):
+        sql = sql.replace(f"b_{view} AS ({SQL[view]})", f"b_{view} AS ({SQL['file_' + view]})")
+    return sql
