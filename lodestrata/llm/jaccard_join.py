@@ -128,8 +128,12 @@ def least_overlap(na, nb, percent: int):
     return -((-percent * (na + nb)) // (100 + percent))
 
 
+def _text_hash(docs: DataFrame):
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per text: row (a number), doc_id, n (set size), key (of equal sets), prefix and places (the prefix shingles that others may have, and their places in order of rarity), bins.  Kept in a table."""
+    """Per text: row (a number), doc_id, th (a hash of the text), n (set size), key (of equal sets), prefix and places (the prefix shingles that others may have, and their places in order of rarity), bins.  Kept in a table."""
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, k))  # a byte for each range
     shifts = [np.uint64(64 - b) for b in SKETCH_BITS]
 
@@ -156,12 +160,12 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
         data = memoryview(h.tobytes())
         keys = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BINS, pa.int32()), pa.array(bins))],
-            names=["doc_id", "n", "key", "prefix", "places", "bins"],
+            [part.column("doc_id"), part.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BINS, pa.int32()), pa.array(bins))],
+            names=["doc_id", "th", "n", "key", "prefix", "places", "bins"],
         )
 
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = mapped(docs, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key binary, prefix array<long>, places array<int>, bins array<int>")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), _text_hash(docs).alias("th"))
+    out = mapped(docs, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, key binary, prefix array<long>, places array<int>, bins array<int>")
     return materialize(out.select(F.monotonically_increasing_id().alias("row"), "*"), "profiles")
 
 
@@ -242,6 +246,11 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
+    return _grouped(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """grouped, and the row, th (a hash of the text) and component (null without shingles) of each text."""
     texts = profiles(docs, k, percent)
     of_key = materialize(texts.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
     first = texts.join(of_key.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "doc_id", "key", "n", "prefix", "places", "bins")
@@ -284,11 +293,22 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     least = of_key.join(parts, "id", "left").select("key", "least", F.coalesce("component", "id").alias("component"))
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = least.join(names, "component").select("key", "component_id")
-    return texts.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = least.join(names, "component").select("key", "component", "component_id")
+    named = texts.join(named, "key", "left")
+    return named.select("row", "th", "component", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; rows without a doc_id stay.  Rows that share a doc_id stay or go together."""
-    gone = materialize(grouped(docs, k, percent).where("component_id != doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """One row of each group: that of the smallest doc_id (null last), of the first text where several share it.  Texts without shingles stay.
+
+    Rows are told apart by doc_id and text; of rows that agree in both the one with the smallest other columns (as JSON) stays."""
+    texts = _grouped(docs, k, percent).where("n_shingles > 0").select("component", "doc_id", "th", "row")
+    first = texts.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).where("n > 1")
+    same = texts.join(first, "component").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.bool_or(F.col("row") == F.col("first.row")).alias("_stays"), F.count("*").alias("_n"))
+    looked_at = materialize(same.where("not _stays or _n > 1"), "near-copies")
+    at = docs["doc_id"].eqNullSafe(looked_at["_id"]) & (_text_hash(docs) == looked_at["_th"])
+    rest = docs.join(looked_at, at, "left_anti")
+    repeated = docs.join(looked_at.where("_stays"), at, "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = repeated.groupBy(F.col("doc_id").alias("_id"), _text_hash(repeated).alias("_th")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return rest.unionByName(one.select("_row.*"))

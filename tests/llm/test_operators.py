@@ -429,6 +429,19 @@ def test_media_of_odd_documents(odd):
 # ---- pipeline
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline as P
+
+    text = lambda name: " ".join(f"{name}{i}" for i in range(70))
+    near = text("c").rsplit(" ", 1)[0] + " other"
+    rows = [(1, text("a"), "x"), (1, text("a"), "x"), (None, text("b"), "x"), (None, text("b"), "y"), (2, text("c"), "x"), (3, near, "x"), (3, text("d"), "x"), (4, text("e"), "x"), (None, text("e"), "x"), (None, "", "x"), (None, None, "x"), (5, text("f"), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    near_copies = P.near_copies_stage(spark, docs, "")
+    want = Counter([(1, text("a"), "x"), (None, text("b"), "x"), (2, text("c"), "x"), (3, text("d"), "x"), (4, text("e"), "x"), (None, "", "x"), (None, None, "x"), (5, text("f"), "x")])
+    assert near_copies.columns == docs.columns and Counter(map(tuple, near_copies.collect())) == want
+    assert Counter(tuple(r) for r in P.passages_stage(spark, near_copies, "").collect()) == want
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as P
 
