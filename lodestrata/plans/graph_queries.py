@@ -74,6 +74,11 @@ def _(spark, d):
     return relations.unique_label(B.files(spark, d).where("doc_id % 40 < 25"), "module", "scope")
 
 
+@query("a10_unique_label_all", ORACLES["a10_unique_label"].replace(" WHERE doc_id % 40 < 25", ""))
+def _(spark, d):
+    return relations.unique_label(B.files(spark, d), "module", "scope")
+
+
 @query("a13_resources", B.with_views(", k AS (SELECT kind, source_file, CASE kind WHEN 'http' THEN 'api:GET:https://h' || length(symbol) || ':/x' WHEN 'event' THEN 'event:bus:' || symbol WHEN 'database' THEN 'database:app:' || symbol END AS key FROM b_relations WHERE kind IN ('http', 'event', 'database')) SELECT key, min(kind) AS kind, count(*) AS n_operations, count(DISTINCT source_file) AS n_files, 'resource:' || substr(sha256(key), 1, 24) AS id FROM k GROUP BY key", "relations"))
 def _(spark, d):
     r = B.relations(spark, d).where("kind in ('http', 'event', 'database')")

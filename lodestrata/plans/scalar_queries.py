@@ -160,6 +160,11 @@ def _(spark, d):
     return graph.common_directory(B.files(spark, d).where("doc_id % 8 < 2").select("module", "path"))
 
 
+@query("x13_common_directory_all", ORACLES["x13_common_directory"].replace(" WHERE doc_id % 8 < 2", ""))
+def _(spark, d):
+    return graph.common_directory(B.files(spark, d).select("module", "path"))
+
+
 @query("x14_hashes", B.with_views("SELECT path, substr(sha256('file' || chr(0) || path || chr(0) || size), 1, 24) AS id, CASE WHEN length(path) > 30 THEN substr(path, 1, 29) || '…' ELSE path END AS short FROM b_files", "files"))
 def _(spark, d):
     p = F.col("path")
@@ -195,6 +200,12 @@ def _(spark, d):
     return m.select("module", F.array_join(X.technology_stacks(F.col("files"), F.when(F.col("module").endswith("1"), F.lit("data-access")).otherwise(F.lit("domain-service"))), ",").alias("stacks"))
 
 
+@query("x21_technology_all", ORACLES["x21_technology"].replace(" WHERE doc_id % 10 < 3", ""))
+def _(spark, d):
+    m = B.files(spark, d).groupBy("module").agg(F.collect_set("path").alias("files"))
+    return m.select("module", F.array_join(X.technology_stacks(F.col("files"), F.when(F.col("module").endswith("1"), F.lit("data-access")).otherwise(F.lit("domain-service"))), ",").alias("stacks"))
+
+
 @query("x22_labels", B.with_views("SELECT id, node_type, layer FROM b_nodes", "nodes"))
 def _(spark, d):
     n = B.nodes(spark, d)
