@@ -236,6 +236,15 @@ def _(spark, d):
     return relations.callable_targets(calls, decl).withColumn("target", F.coalesce("target", F.lit(-1)))
 
 
+@query("j13_callables_all", "SELECT o_orderkey AS id, 'f' || o_orderkey % m AS name, o_custkey % 3 AS arity, CASE WHEN c.n = 1 THEN c.t ELSE -1 END AS target, coalesce(c.n, 0) AS candidates FROM orders CROSS JOIN (SELECT count(*) * 3 // 4 AS m FROM part) LEFT JOIN (SELECT p_partkey % m AS k, p_size % 3 AS a, count(*) AS n, min(p_partkey) AS t FROM part CROSS JOIN (SELECT count(*) * 3 // 4 AS m FROM part) GROUP BY ALL) c ON o_orderkey % m = c.k AND o_custkey % 3 = c.a")
+def _(spark, d):
+    part = B.table(spark, d, "part")
+    names = F.broadcast(part.agg(F.floor(F.count("*") * 3 / 4).alias("m")))  # one row: names spread with the table, some on two declarations
+    calls = B.table(spark, d, "orders").crossJoin(names).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("f"), F.col("o_orderkey") % F.col("m")).alias("name"), (F.col("o_custkey") % 3).alias("arity"))
+    decl = part.crossJoin(names).select(F.concat(F.lit("f"), F.col("p_partkey") % F.col("m")).alias("name"), (F.col("p_size") % 3).cast("long").alias("arity"), F.col("p_partkey").alias("declaration"))
+    return relations.callable_targets(calls, decl).withColumn("target", F.coalesce("target", F.lit(-1)))
+
+
 @query("j14_predecessors", B.with_views("SELECT module, scope AS previous, count(*) AS shared_files FROM b_files GROUP BY ALL", "files"))
 def _(spark, d):
     f = B.files(spark, d)

@@ -11,3 +11,10 @@ def test_files_outside_the_part_count(spark, small):
     assert by_module(spark, small, "x13_common_directory_all", "folder")["src0"] == "src0"
     assert by_module(spark, small, "x21_technology_all", "stacks")["src13"] == "frontend,backend,data"
     assert by_module(spark, small, "a10_unique_label_all", "scope")["src10"] is None
+
+
+def test_calls_resolve_over_all_declarations(spark, small):
+    rows = registry.QUERIES["j13_callables_all"](spark, small).collect()
+    assert {r["candidates"] for r in rows} >= {0, 1, 2}
+    assert any(r["target"] >= 60 and r["target"] % 25 for r in rows)
+    assert all((r["target"] >= 0) == (r["candidates"] == 1) for r in rows)
