@@ -217,6 +217,11 @@ def _(spark, d):
     return B.table(spark, d, "documents").select("doc_id", X.line_at(F.col("text"), F.lit(500)).cast("long").alias("line"))
 
 
+@query("x23_lines_all", "SELECT doc_id, length(regexp_replace(text, '[^\\n]', '', 'g')) + 1 AS line FROM documents")
+def _(spark, d):
+    return B.table(spark, d, "documents").select("doc_id", X.line_at(F.col("text"), F.length("text")).cast("long").alias("line"))
+
+
 _MESSAGES = ["HTTP 503 from upstream", "Invalid API key", "429 too many", "unknown model x", "ECONNRESET", "quota reached", "it broke"]
 
 

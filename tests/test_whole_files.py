@@ -18,3 +18,8 @@ def test_calls_resolve_over_all_declarations(spark, small):
     assert {r["candidates"] for r in rows} >= {0, 1, 2}
     assert any(r["target"] >= 60 and r["target"] % 25 for r in rows)
     assert all((r["target"] >= 0) == (r["candidates"] == 1) for r in rows)
+
+
+def test_lines_behind_the_first_500_characters_count(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 600 + "\n\ny"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["line"] for r in registry.QUERIES["x23_lines_all"](spark, str(tmp_path)).collect()} == {1: 3, 2: 1}
