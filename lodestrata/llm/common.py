@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,12 +13,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that an operator looks at together in a Python worker.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that an operator looks at together in a Python worker (a longer text is looked at by itself).
+CHUNK_BYTES = 1 << 20
 
 
 def ready(spark: SparkSession) -> None:
@@ -25,11 +28,13 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, or that of the context's checkpoints.  Where neither is set, one of our own if Spark
+    runs on this machine alone; on a cluster that is an error, as executors would not see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        jvm_dir = spark.sparkContext.getCheckpointDir()
-        found = jvm_dir or "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-checkpoints")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + str(Path(tempfile.gettempdir()) / "lodestrata-checkpoints")
     return found.rstrip("/")
 
 
@@ -64,13 +69,23 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives memory that a task is done with back to the system: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType | str, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """df.mapInArrow over slices of bounded size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, column, limit):
-                yield from work(part)
+        try:
+            for batch in batches:
+                for part in chunks(batch, column, limit):
+                    yield from work(part)
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 
@@ -112,28 +127,35 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: A random number for each byte, and powers of an odd number for places in a word (longer words start over and are told apart by their length).
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_PLACE = np.cumprod(np.full(4096, 0xD1342543DE82EF95, np.uint64))
+#: Letters of a word that the table below covers; a longer word is hashed whole by xxh3.
+SHORT = 48
+#: A random number for each place in a word and each byte there (tabulation hashing).
+_TABLE = _mix(_mix(np.arange(1, SHORT * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word ([^\\x20\\x09-\\x0D]+) of all texts, and where each text starts (one more at the end).
 
-    The sum of byte numbers times place powers over a word, spread: a handful of numpy operations a byte, whatever the vocabulary."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    The sum of random numbers of its letters in their places, spread: a handful of numpy operations a byte, whatever the
+    vocabulary.  Every letter of a word counts, however long it is."""
+    joined = b"\n".join([*texts, b""])
+    data = np.frombuffer(joined, np.uint8)
     space = _SPACE[data]
-    solid = ~space
-    before = np.empty(len(data), bool)
+    edge = np.empty(len(data), bool)
     if len(data):
-        before[0], before[1:] = True, space[:-1]
-    begin = np.flatnonzero(solid & before)
-    size = np.flatnonzero(space & ~before) - begin
-    at = np.cumsum(size) - size
-    letters = data[solid]
-    place = np.arange(len(letters)) - np.repeat(at, size)
-    if len(size) and int(size.max()) > len(_PLACE):
-        place %= len(_PLACE)
-    sums = np.add.reduceat(_BYTE[letters] * _PLACE[place], at) if len(at) else np.zeros(0, np.uint64)
+        edge[0], edge[1:] = True, space[:-1]
+    begin = np.flatnonzero(~space & edge)
+    size = np.flatnonzero(space & ~edge) - begin
+    letters = data[~space]
+    at = (np.cumsum(size) - size).astype(np.int64)
+    cell = np.arange(len(letters), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        np.minimum(cell, SHORT - 1, out=cell)
+    cell *= 256
+    cell += letters
+    sums = np.add.reduceat(_TABLE[cell], at) if len(at) else np.zeros(0, np.uint64)
+    for i in long.tolist():
+        sums[i] = xxhash.xxh3_64_intdigest(joined[begin[i] : begin[i] + size[i]])
     edges = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
     return _mix(sums ^ _mix(size.astype(np.uint64))), np.searchsorted(begin, edges).astype(np.int64)

@@ -1,20 +1,22 @@
 """N-gram Jaccard join: which texts share most of their word shingles, and the groups they form.
 
-Rare-first prefix filtering.  How often a shingle occurs is bounded by two counts over all texts: that of its hash range, and that of
-the range of its rarest word.  The lower bound's magnitude orders shingles from rare to frequent (then how rare all its words are, then its hash: one total
-order).  A shingle with a bound of 1 is no other text's and needs no meeting.  Two sets that are alike enough must share a shingle among the first few of either, so
-texts meet only over these prefix shingles: a larger set probes with a longer prefix, a smaller one is found by a shorter
-one.  A pair must pass the length filter, the positional filter (what can still be shared behind the common shingle) and the suffix
-filter (shingles counted in BINS ranges of their hash cannot agree more than bin by bin); then its whole sets are compared,
-once.
+Rare-first prefix filtering.  Shingles are ordered from rare to frequent by how often their words would meet by chance: the sum of the
+levels (a logarithm) of their words' exact counts over all texts, then their hash: one total order.  The most frequent MOST_WORDS
+words have a level, all others the least, so that the table keeps its size and its sharpness however many texts there are.  Two sets
+that are alike enough must share a shingle among the first few of either, so texts meet only over these prefix shingles: a larger set
+probes with a longer prefix, a smaller one is found by a shorter one.  Prefix shingles are counted exactly (combined before the
+shuffle); one that a single text has meets nothing and goes.  A pair must pass the length filter, the positional filter (what can
+still be shared behind the common shingle) and the suffix filter (shingles counted in BINS ranges of their hash cannot agree more than
+bin by bin); then its whole sets are compared, once.
 
 Equal sets are one class from the start.  Pairs are not spelt out within a group that hangs together: in a few rounds every member
 of a prefix shingle's group is compared with one pivot (first the member that shares most, then others), and the links found are joined
-to components; only pairs from different components remain, and all of these are compared.  So every link between components is found,
-and groups of thousands of near copies take about as many comparisons as they have members.
+to components; only pairs from different components remain, and all of these are compared, sizes that cannot be alike apart.  So every
+link between components is found, and groups of thousands of near copies take about as many comparisons as they have members.
 
-Every statistic covers all texts; nothing is capped.  What reaches the driver is the sketch (a byte for each range) and a filter of
-FILTER_BITS bits that keeps texts without a candidate out of the verification's shuffle.
+Every statistic covers all texts; nothing is capped.  What reaches the driver is the table of word levels (2**LEVEL_BITS bytes) and, to
+keep texts without a candidate out of the verification's shuffle, a filter of eight bits a candidate, 2**MOST_FILTER_BITS at most; where more
+candidates fill it, more texts are shuffled, once.
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is linked with nothing; a text with fewer words than a
 shingle has its whole sequence as its one shingle; equal texts are linked; rows that share a doc_id are separate texts; a null doc_id is
@@ -26,16 +28,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _mix as mixed
-from .common import chunks, mapped, materialize, utf8, word_hashes
+from .common import chunks, materialize, release, utf8, word_hashes
 from .graph import components
 
-#: Hash ranges (as bits) in which shingles and words are counted; in a block of the sketch; of a set's bins; of the candidates' filter.
-SKETCH_BITS, BLOCK_BITS, BINS, FILTER_BITS = (22, 24), 16, 16, 22
+#: Words that have a level; ranges (as bits) of the table of levels; steps of a level for a doubling; bins of a set; bits of the candidates' filter.
+MOST_WORDS, LEVEL_BITS, STEPS, BINS, MOST_FILTER_BITS = 1 << 20, 24, 4, 16, 26
+#: Different words that a task adds up before it hands them on.
+HELD_WORDS = 400_000
 #: Rounds in which members are compared with one pivot a group, before the pairs that are left.
 PIVOT_ROUNDS = 3
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -59,15 +62,13 @@ class Shingles:
         for i in np.flatnonzero((n > 0) & (n < k)).tolist():  # the whole sequence as one
             self.h[ends[i]] = xxhash.xxh3_64_intdigest(b" ".join(lower[i].split()), seed=int(n[i]))
 
-    def least_and_sum(self, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least and the sum of a number that every word has, over the words of each shingle."""
-        each = of_word.astype(np.int64)
-        least = total = each[self.at] if len(each) else each
+    def total(self, of_word: np.ndarray) -> np.ndarray:
+        """The sum of a number that every word has, over the words of each shingle."""
+        each = of_word.astype(np.int32)
+        total = each[self.at]
         for i in range(1, self.k):
-            here = each[np.minimum(self.at + i, max(0, len(each) - 1))]
-            inside = self.size > i
-            least, total = np.where(inside, np.minimum(least, here), least), np.where(inside, total + here, total)
-        return least, total
+            total += np.where(self.size > i, each[np.minimum(self.at + i, max(0, len(each) - 1))], 0)
+        return total
 
     def distinct(self, order_by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of one shingle of each kind in each text, in the order of a number (the hash, if not given) within each text; where each text starts."""
@@ -89,37 +90,43 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return s.h[places], starts
 
 
-def sketch(docs: DataFrame, k: int, bits: tuple[int, int] = SKETCH_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """For each hash range, how many shingles and how many words of all texts fall into it: as magnitudes, 1 + log2 of the count rounded down (0 for none).
-
-    A task counts in arrays of its own; these travel in compressed blocks and are added up block by block as they stream in."""
-    block, shifts = 1 << BLOCK_BITS, [np.uint64(64 - b) for b in bits]
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """A level for each of 2**LEVEL_BITS ranges of word hashes: STEPS a doubling of the count over all texts of the range's most
+    frequent word, 0 without one of the MOST_WORDS most frequent (as many as share the last count are left out together)."""
 
     def count(batches):
-        totals = [np.zeros(1 << b, np.uint32) for b in bits]
+        held = None
+
+        def flush(words, counts):
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], names=["word", "n"])
+
         for batch in batches:
             for part in chunks(batch, "text"):
-                s = Shingles(utf8(part.column("text")), k)
-                totals[0] += np.bincount((s.h >> shifts[0]).astype(np.int64), minlength=1 << bits[0]).astype(np.uint32)
-                cells, times = np.unique(s.word >> shifts[1], return_counts=True)
-                totals[1][cells.astype(np.int64)] += times.astype(np.uint32)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        found = [(kind, i // block, pack(t[i : i + block].tobytes())) for kind, t in enumerate(totals) for i in range(0, len(t), block) if t[i : i + block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["kind", "block", "counts"])
-
-    def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for kind, b, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "counts")), strict=True):
-                sums[kind, b] = sums.get((kind, b), np.uint64(0)) + np.frombuffer(unpack(data), np.uint32).astype(np.uint64)
-        level = [(*key, np.where(x > 0, 1 + np.floor(np.log2(np.maximum(x, 1).astype(float))), 0).astype(np.uint8).tobytes()) for key, x in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in level], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["kind", "block", "level"])
-
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "kind int, block int, counts binary")
-    out = tuple(np.zeros(1 << b, np.uint8) for b in bits)
-    for r in counted.repartition("kind", "block").mapInArrow(add, "kind int, block int, level binary").collect():
-        out[r["kind"]][r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["level"], np.uint8)
+                words, counts = np.unique(word_hashes([t.lower() for t in utf8(part.column("text"))])[0], return_counts=True)
+                if held is not None:
+                    both, which = np.unique(np.concatenate([held[0], words]), return_inverse=True)
+                    words, counts = both, np.bincount(which, weights=np.concatenate([held[1], counts]), minlength=len(both)).astype(np.int64)
+                held = words, counts
+                if len(words) > HELD_WORDS:
+                    yield flush(*held)
+                    held = None
+        if held is not None:
+            yield flush(*held)
+        release()
+
+    level = (F.lit(1) + F.floor(F.lit(STEPS) * F.log2(F.sum("n").cast("double")))).cast("int")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word long, n long")
+    counted = materialize(counted.groupBy("word").agg(level.alias("level")), "word-levels")
+    room, least = MOST_WORDS, 256
+    for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # some hundred levels at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    at = F.shiftrightunsigned("word", 64 - LEVEL_BITS).cast("int")
+    found = counted.where(F.col("level") >= least).groupBy(at.alias("at")).agg(F.max("level").alias("level")).toArrow()
+    out = np.zeros(1 << LEVEL_BITS, np.uint8)
+    out[found.column("at").to_numpy()] = np.minimum(found.column("level").to_numpy(), 255)
     return out
 
 
@@ -133,39 +140,54 @@ def _text_hash(docs: DataFrame):
 
 
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per text: row (a number), doc_id, th (a hash of the text), n (set size), key (of equal sets), prefix and places (the prefix shingles that others may have, and their places in order of rarity), bins.  Kept in a table."""
-    levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, k))  # a byte for each range
-    shifts = [np.uint64(64 - b) for b in SKETCH_BITS]
+    """Per text: row (a number), doc_id, th (a hash of the text), n (set size), key (of equal sets), prefix (its rarest shingles, in order of rarity; empty
+    where an earlier text of the same task has the same set), bins.  Kept in a table."""
+    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))  # a byte for each range
 
-    def work(part: pa.RecordBatch):
+    def run(batches):
+        seen: set[bytes] = set()  # of the texts of one task
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                yield profile(part, seen)
+        release()
+
+    def profile(part: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
         s = Shingles(utf8(part.column("text")), k)
-        of_shingle, of_word = levels.value
-        least, total = s.least_and_sum(of_word[(s.word >> shifts[1]).astype(np.int64)])
-        bound = np.minimum(least, of_shingle[(s.h >> shifts[0]).astype(np.int64)])
-        token = bound.astype(np.uint64) << np.uint64(58) | np.minimum(total, 63).astype(np.uint64) << np.uint64(52) | s.h >> np.uint64(12)
+        total = s.total(levels.value[(s.word >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)])
+        token = total.astype(np.uint64) << np.uint64(53) | s.h >> np.uint64(11)
         places, starts = s.distinct()
         h, n = s.h[places], np.diff(starts)
         doc = np.repeat(np.arange(len(n)), n)
+        bins = np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=len(n) * BINS).astype(np.int32)
+        data = memoryview(h.tobytes())
+        keys = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        first = np.zeros(len(n), bool)
+        for i, key in enumerate(keys):
+            if key not in seen:
+                seen.add(key)
+                first[i] = True
         token = token[places]
         order = np.argsort(token)
         order = order[np.argsort(doc[order].astype(np.uint16 if len(n) < 65536 else np.int64), kind="stable")]
-        size = n - -(-percent * n // 100) + (n > 0)
+        size = np.where(first, n - -(-percent * n // 100) + (n > 0), 0)
         ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-        prefix = token[order][np.repeat(starts[:-1], size) + place]
-        met = prefix >> np.uint64(58) > 1  # the others occur once
-        prefix, place = prefix[met].view(np.int64), place[met].astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum(met)])[ends]
-        bins = np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=len(n) * BINS).astype(np.int32)
-        data = memoryview(h.tobytes())
-        keys = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BINS, pa.int32()), pa.array(bins))],
-            names=["doc_id", "th", "n", "key", "prefix", "places", "bins"],
+        prefix = token[order][np.repeat(starts[:-1], size) + place].view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column("doc_id"),
+                part.column("th"),
+                pa.array(n, pa.int64()),
+                pa.array(keys, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BINS, pa.int32()), pa.array(bins)),
+            ],
+            names=["doc_id", "th", "n", "key", "prefix", "bins"],
         )
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), _text_hash(docs).alias("th"))
-    out = mapped(docs, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, key binary, prefix array<long>, places array<int>, bins array<int>")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.mapInArrow(run, f"doc_id {id_type}, th long, n long, key binary, prefix array<long>, bins array<int>")
     return materialize(out.select(F.monotonically_increasing_id().alias("row"), "*"), "profiles")
 
 
@@ -180,17 +202,21 @@ def _oriented(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where((100 * small >= percent * big) & (at < indexed) & (can >= need)).select(F.when(larger, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(larger, F.col("y")).otherwise(F.col("x")).alias("b"), "nx", "ny")
 
 
-def _near(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows of df whose column may be among keys' column: a filter of FILTER_BITS bits, broadcast as a table of at most 2**FILTER_BITS / 64 rows, keeps most others out of a shuffle."""
-    at = lambda: F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+def _near(df: DataFrame, column: str, keys: DataFrame, count: int) -> DataFrame:
+    """The rows of df whose column may be among keys' column (count of them at most).  A filter of eight bits a key or more, 2**MOST_FILTER_BITS
+    at most, broadcast as a table of 64 bits a row, keeps most others out of a shuffle."""
+    bits = min(max((8 * count).bit_length(), 12), MOST_FILTER_BITS)
+    at = lambda: F.pmod(F.xxhash64(column), F.lit(1 << bits))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int"))
-    bits = keys.select(at().alias("_h")).select((F.col("_h") / 64).cast("int").alias("_word"), bit(F.col("_h")).alias("_b")).groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
-    return df.withColumn("_h", at()).withColumn("_word", (F.col("_h") / 64).cast("int")).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0).select(*df.columns)
+    words = keys.select(at().alias("_h")).select(F.shiftright("_h", 6).alias("_word"), bit(F.col("_h")).alias("_b"))
+    words = words.groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
+    marked = df.withColumn("_h", at()).withColumn("_word", F.shiftright("_h", 6)).join(F.broadcast(words), "_word")
+    return marked.where(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0).select(*df.columns)
 
 
-def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _members(docs: DataFrame, wanted: DataFrame, count: int, k: int) -> DataFrame:
     """The sets (id, shingles) of the classes in wanted (id, doc_id, key).  A partition gives a class's set once, however often its text is there."""
-    near = _near(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id", wanted)
+    near = _near(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id", wanted, count)
     joined = near.join(wanted, near["doc_id"].eqNullSafe(wanted["doc_id"])).select("id", "key", "text")
 
     def run(batches):
@@ -223,10 +249,11 @@ class _Verifier:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
         wanted = materialize(wanted, "wanted-sets")
-        if self.sets is None or not wanted.isEmpty():
-            new = materialize(_members(self.docs, wanted, self.k), "sets")
+        count = wanted.count()
+        if self.sets is None or count:
+            new = materialize(_members(self.docs, wanted, count, self.k), "sets")
             self.sets = new if self.sets is None else self.sets.unionByName(new)
-        return _verified(pairs, _near(self.sets, "id", ids), self.percent)
+        return _verified(pairs, self.sets, self.percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -252,13 +279,15 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """grouped, and the row, th (a hash of the text) and component (null without shingles) of each text."""
     texts = profiles(docs, k, percent)
-    of_key = materialize(texts.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
-    first = texts.join(of_key.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "doc_id", "key", "n", "prefix", "places", "bins")
-    rows = first.select("id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("z")).select("id", "n", F.col("z.places").alias("i"), F.col("z.prefix").alias("token"))
-    short = F.expr(f"i < n - cast(ceil({2 * percent} * n / {100 + percent}) as bigint) + 1")
-    met = rows.groupBy("token").agg(F.count("*").alias("c"), F.count_if(short).alias("s")).where("c >= 2 and s >= 1").select("token")
-    rows = materialize(rows.join(met, "token"), "prefixes")
-    classes = materialize(first.join(rows.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "key", "n", "bins"), "candidates")
+    of_key = materialize(texts.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("least")), "classes")
+    prefixes = texts.select(F.col("row").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token"))
+    short = F.expr(f"i < n - cast(ceil({2 * percent}L * n / {100 + percent}) as int) + 1")
+    met = prefixes.groupBy("token").agg(F.count("*").alias("c"), F.bool_or(short).alias("s")).where("c >= 2 and s").select("token")
+    rows = materialize(prefixes.join(met, "token").join(of_key.select("id"), "id", "left_semi"), "met-prefixes")
+    met = rows.groupBy("token").agg(F.count("*").alias("c"), F.bool_or(short).alias("s")).where("c >= 2 and s").select("token")
+    rows = materialize(rows.join(met, "token").select("id", F.col("n").cast("long").alias("n"), "i", "token"), "prefixes")
+    classes = texts.select(F.col("row").alias("id"), "doc_id", "key", "n", "bins").join(rows.select("id").distinct(), "id", "left_semi")
+    classes = materialize(classes, "candidates")
     verify = _Verifier(docs, classes, k, percent)
 
     # each member with the pivot of its group, as long as that joins components
@@ -284,9 +313,13 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         several = placed.groupBy("token").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo <> hi").select("token")
         placed = materialize(placed.join(several, "token"), "open-prefixes")
 
-    # then every pair from two components
-    y = placed.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy")).where(F.expr(f"iy < ny - cast(ceil({2 * percent} * ny / {100 + percent}) as bigint) + 1"))
-    cross = _oriented(placed.join(y, "token").where("cx <> cy and (nx > ny or (nx = ny and x > y))"), percent).select("a", "b").distinct()
+    # then every pair from two components: a smaller set meets larger ones of its own band of sizes and of the next, as others are too large
+    y = placed.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy"))
+    y = y.where(F.expr(f"iy < ny - cast(ceil({2 * percent} * ny / {100 + percent}) as bigint) + 1"))
+    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / np.log(100 / min(percent, 99)) * (1 - 1e-9)).cast("int")
+    y = y.withColumn("band", F.explode(F.array(band("ny"), band("ny") + 1)))
+    both = placed.withColumn("band", band("nx")).join(y, ["token", "band"])
+    cross = _oriented(both.where("cx <> cy and (nx > ny or (nx = ny and x > y))"), percent).select("a", "b").distinct()
     cross = materialize(_alike(cross if tried is None else cross.join(tried, ["a", "b"], "left_anti"), classes, percent), "other-pairs")
     new = verify(cross)
     parts = components(new if links is None else links.unionByName(new))
