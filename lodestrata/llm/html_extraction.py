@@ -2,10 +2,14 @@
 
 A tolerant reader turns a page into a tree of elements (void elements, optional end tags, raw-text elements, stray end tags).
 Elements that are navigation, notices, adverts, forms, comments and the like, by their tag, role, class or id, are left out.
-Every paragraph then gives points for its length and its commas to its parent and, halved and lessened further, to higher
+Every paragraph then gives points for its length and its commas to its parent and, halved from one to the next, to all higher
 ancestors; an element's points are discounted by the share of its text that stands in links.  The element with the most points
-is the container; its siblings that score like it, or are paragraphs of running text, are kept with it.  What stands
-there is written out block by block.
+is the container, or the article or main element that it is a part of; its siblings that score like it, or are paragraphs of running
+text, are kept with it.  What stands there is written out block by block.
+
+Names decide before points: an element whose class, id or role names an unwanted part (sidebar-content, comment-body, footer-text) goes,
+unless an article or main element stands in it; names like with-sidebar say what is beside and decide nothing.  A header goes outside of
+articles and stays, with their headline, inside.  Reading takes time in proportion to the page, whatever it holds.
 
 Defined cases: a null or empty page gives an empty text; a page without any paragraph gives the text of its body; equal pages get
 equal texts; an empty table gives an empty result; further columns are not looked at.  A page's memory is a
@@ -14,6 +18,7 @@ few times its size; pages are read one at a time.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -35,103 +40,171 @@ ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td"
 #: Where looking for an open element to end stops.
 SCOPE = {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",), "thead": ("table",), "option": ("select",)}
 #: Parts of class, id and role names of what is not main text.
-UNWANTED = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menus|breadcrumb\w*|sidebar|side|rail|aside|widget\w*|footer|foot|masthead|topbar|header|comment|comments|commentlist|disqus|respond|replies|reply|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|toolbar|pagination|pager|search|hidden|skip|legal|copyright|disclaimer|tags?|toc|contentinfo|complementary|alert)(?=$|[-_\s])", re.I)
+UNWANTED = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menus|breadcrumb\w*|sidebar|side|rail|aside|widget\w*|footer|foot|topbar|comment|comments|commentlist|disqus|respond|replies|reply|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|toolbar|pagination|pager|search|hidden|skip|legal|copyright|disclaimer|tags?|toc|contentinfo|complementary|alert)(?=$|[-_\s])", re.I)
 WANTED = re.compile(r"(?:^|[-_\s])(?:article|body|content|entry|main|post|story|text|hentry)(?=$|[-_\s])", re.I)
+#: Names that say what an element has beside its content, not what it is.
+ABOUT = re.compile(r"(?:^|\s)(?:has|with|without|no|is|show|hide)[-_]\S*", re.I)
+HEADER = re.compile(r"(?:^|[-_\s])(?:header|masthead)(?=$|[-_\s])", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+#: What may begin at a "<"; and a run within a tag, up to its end, a value or the end of the page.
+OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+INSIDE = re.compile(r"""[^>=]*(?:(>)|=\s*(["']?)|\Z)""")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "skip", "names", "points", "rank")
+    __slots__ = ("tag", "parent", "children", "skip", "named", "inside", "names", "points", "rank")
 
-    def __init__(self, tag: str, parent: Element | None, skip: bool = False, names: str = ""):
-        self.tag, self.parent, self.skip, self.names = tag, parent, skip, names
+    def __init__(self, tag: str, parent: Element | None, skip: bool = False, named: bool = False, names: str = ""):
+        self.tag, self.parent, self.names = tag, parent, names
+        #: Left out; left out for its names only, which an article or main element within it overrules.
+        self.skip, self.named = skip, named
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.children: list[Element | str] = []
         self.points = 0.0
 
 
-def unwanted(tag: str, attributes: str, within_article: bool) -> tuple[bool, str]:
-    """Whether an element is left out; its class, id and role."""
+def unwanted(tag: str, attributes: str, within_article: bool) -> tuple[bool, bool, str]:
+    """Whether an element is left out, whether that is for its names alone, and its class, id and role."""
     if tag in DROPPED:
-        return True, ""
+        return True, False, ""
+    header = tag == "header" and not within_article
     if not attributes or tag in ("html", "body"):
-        return tag == "header" and not within_article, ""
+        return header, False, ""
     names = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes))
     if HIDDEN.search(attributes):
-        return True, names
-    if names and tag not in ("article", "main") and UNWANTED.search(names) and not WANTED.search(names):
-        return True, names
-    return tag == "header" and not within_article, names
+        return True, False, names
+    what = ABOUT.sub(" ", names) if names and tag not in ("article", "main") else ""
+    if what and (UNWANTED.search(what) or not within_article and HEADER.search(what)):
+        return True, True, names
+    return header, False, names
+
+
+class Tags:
+    """The comments, declarations and tags of a page from left to right, each place looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.open_quotes = page, set()
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends at `at` ends; -1 if it doesn't.  A quoted value that never ends is taken as it is."""
+        page = self.page
+        while True:
+            m = INSIDE.match(page, at)
+            at = m.end()
+            if m[1]:
+                return at
+            if m[2] is None:
+                return -1
+            if m[2] and m[2] not in self.open_quotes:
+                close = page.find(m[2], at)
+                if close >= 0:
+                    at = close + 1
+                else:
+                    self.open_quotes.add(m[2])
+
+    def next(self, at: int) -> tuple[int, int, str, str | None, str]:
+        """The next one from `at` on: where it starts and ends, "/" for an end tag, its name (None if it is no tag), its attributes."""
+        page = self.page
+        m = OPENING.search(page, at)
+        if not m:
+            return len(page), len(page), "", None, ""
+        if m[1]:
+            close = page.find("-->", m.end() - 2)
+            return m.start(), close + 3 if close >= 0 else len(page), "", None, ""
+        if m[2]:
+            close = page.find(">", m.end())
+            return m.start(), close + 1 if close >= 0 else len(page), "", None, ""
+        end = self.end(m.end())
+        if end < 0:  # no tag ends from here on
+            return len(page), len(page), "", None, ""
+        return m.start(), end, m[3], m[4].lower(), page[m.end() : end - 1]
 
 
 def parse(page: str) -> Element:
     """The tree of a page."""
     root = Element("html", None)
-    at, here, depth_article = 0, root, 0
-    low = None
-
-    def close_to(node: Element) -> Element:
-        return node.parent or root
-
-    for m in iter(lambda: TOKEN.search(page, at), None):
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    path = [root]  # the open elements
+    places: dict[str, list[int]] = {}  # where in path each tag is open
+    walls: list[int] = []  # where blocks other than p are open
+    tags, at, low = Tags(page), 0, None
+    if "<" not in page:
+        root.children.append(page)
+        return root
+
+    def enter(e: Element) -> None:
+        places.setdefault(e.tag, []).append(len(path))
+        if e.tag in BLOCK and e.tag != "p":
+            walls.append(len(path))
+        path.append(e)
+
+    def leave(place: int) -> None:
+        """Ends the open elements from a place on."""
+        while len(path) > place:
+            e = path.pop()
+            places[e.tag].pop()
+            if walls and walls[-1] == len(path):
+                walls.pop()
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
+
+    def first_above(tag: str, place: int) -> int:
+        own = places.get(tag) or ()
+        i = bisect.bisect_right(own, place)
+        return own[i] if i < len(own) else len(path)
+
+    while at < len(page):
+        start, end, closing, tag, attributes = tags.next(at)
+        if start > at:
+            path[-1].children.append(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                if tag not in BLOCK and node.tag in BLOCK:  # a stray inline end tag ends no block
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                here = close_to(node)
+        if closing:
+            place = last(tag)
+            wall = walls[-1] if walls else 0
+            if tag not in BLOCK and (place < wall or place < last("p")):  # a stray inline end tag ends no block
+                place = 0
+            if place:
+                leave(place)
             elif tag in ("br", "p"):
-                here.children.append(Element(tag, here))
+                path[-1].children.append(Element(tag, path[-1]))
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P or tag in ENDS:
-            stop, ends = SCOPE.get(tag, ()), ENDS.get(tag, ("p",) if tag in CLOSES_P else ())
-            node, found = here, None
-            while node is not root and node.tag not in stop and (tag in ENDS or node.tag not in BLOCK or node.tag == "p"):
-                if node.tag in ends:
-                    found = node
-                node = node.parent
-            if found is not None:
-                here = close_to(found)
-        node = here
-        while node is not root and node.tag not in ("article", "main"):
-            node = node.parent
-        skip, names = unwanted(tag, m[3], node is not root)
-        new = Element(tag, here, skip, names)
+        if tag in ENDS:
+            scope = max((last(t) for t in SCOPE.get(tag, ())), default=0)
+            leave(min(first_above(t, scope) for t in ENDS[tag]))
+        if tag in CLOSES_P and tag not in ENDS:
+            leave(first_above("p", walls[-1] if walls else 0))
+        here = path[-1]
+        skip, named, names = unwanted(tag, attributes, here.inside or here.tag in ("article", "main"))
+        new = Element(tag, here, skip, named, names)
         here.children.append(new)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in ("article", "main"):
+            up = here
+            while up is not None and not (up.named and not up.skip):  # those above it are overruled already
+                if up.named:
+                    up.skip = False
+                up = up.parent if not up.inside else None
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
+            close = low.find(f"</{tag}", at)
             if not new.skip:
-                new.children.append(page[at : end if end >= 0 else len(page)])
-            close = page.find(">", end) if end >= 0 else -1
+                new.children.append(page[at : close if close >= 0 else len(page)])
+            close = page.find(">", close) if close >= 0 else -1
             at = close + 1 if close >= 0 else len(page)
             continue
-        here = new
-    if at < len(page):
-        here.children.append(page[at:])
+        enter(new)
     return root
 
 
 def measure(root: Element) -> list[Element]:
-    """Gives every paragraph's points to its ancestors; returns the elements that have points, in page order."""
-    scored: dict[int, Element] = {}
+    """Gives every paragraph's points to its ancestors, half as many to the next and half of that on; returns the elements with points, best first."""
     texts: dict[int, tuple[int, int, int]] = {}  # characters, of these in links, and commas, by element
-
     order: list[Element] = []
     stack = [root]
     while stack:
@@ -149,30 +222,27 @@ def measure(root: Element) -> list[Element]:
                 a, b, n = texts[id(c)]
                 chars, linked, commas = chars + a, linked + b, commas + n
         texts[id(e)] = (chars, chars if e.tag == "a" else linked, commas)
-    density = lambda e: texts[id(e)][1] / texts[id(e)][0] if texts[id(e)][0] else 0.0
-
-    def points(e: Element, n: float, level: int) -> None:
-        if id(e) not in scored:
-            scored[id(e)] = e
-            e.points = {"article": 10.0, "main": 8.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0}.get(e.tag, -5.0 if e.tag in ("th", "h1", "h2", "h3", "h4", "h5", "h6") else 0.0)
-            if e.names and WANTED.search(e.names):
-                e.points += 25
-        e.points += n if level == 0 else n / 2 if level == 1 else n / (3 * level)
-
+    given: dict[int, float] = {}  # points that an element gets, by element; its parent gets half of them
     for e in order:
         inner = any(isinstance(c, Element) and not c.skip and c.tag in BLOCK for c in e.children)
-        if e.tag in PARAGRAPH and not (inner and e.tag != "p") or e.tag in ("div", "article", "section", "main", "center") and not inner:
+        paragraph = e.tag in PARAGRAPH and not (inner and e.tag != "p")
+        if paragraph or e.tag in ("div", "article", "section", "main", "center") and not inner:
             chars, linked, commas = texts[id(e)]
-            if chars < 25:
-                continue
-            n = (1 + commas + min(chars // 100, 3) + chars / 1000) * (1 - linked / chars)
-            up, level = e.parent if e.tag in PARAGRAPH else e, 0
-            while up is not None and level < 5:
-                points(up, n, level)
-                up, level = up.parent, level + 1
-    for e in scored.values():
-        e.rank = e.points * (1 - density(e))
-    return sorted(scored.values(), key=lambda e: -e.rank)
+            if chars:
+                up = e.parent if paragraph and e.parent is not None else e
+                given[id(up)] = given.get(id(up), 0.0) + (commas + chars / 100) * (1 - linked / chars)
+    scored = []
+    for e in reversed(order):  # children before parents
+        if (n := given.get(id(e), 0.0)) > 0:
+            e.points = n
+            chars, linked, _ = texts[id(e)]
+            e.rank = n * (1 - linked / chars) if chars else 0.0
+            if e.names and WANTED.search(e.names):
+                e.rank *= 1.25
+            scored.append(e)
+            if e.parent is not None:
+                given[id(e.parent)] = given.get(id(e.parent), 0.0) + n / 2
+    return sorted(reversed(scored), key=lambda e: -e.rank)
 
 
 def blocks(e: Element, out: list[list[str]]) -> None:
@@ -222,25 +292,21 @@ def main_text(page: str | None) -> str:
     if not ranked:
         return written(root)
     top = ranked[0]
-    # an article or main element around the winner is the container itself
-    up = top
-    while up is not None:
-        if up.tag in ("article", "main"):
-            top = up
-        up = up.parent
+    while top.inside:  # the parts of an article belong to it, the best of them as the others
+        top = top.parent
     if top.parent is None:
         return written(top)
-    least, ranks = max(10.0, 0.2 * top.points), {id(e): e.rank for e in ranked}
+    least, ranks = 0.2 * top.points, {id(e): e.rank for e in ranked}
     out: list[list[str]] = [[]]
     for c in top.parent.children:
         if isinstance(c, str) or c.skip:
             continue
-        if c is top or ranks.get(id(c), 0.0) >= least and c.tag not in ("header",):
+        if c is top or ranks.get(id(c), 0.0) >= least and c.tag != "header":
             keep = True
         elif c.tag in ("p", "blockquote", "pre"):
             text = written(c)
             links = sum(len(written(x)) for x in c.children if isinstance(x, Element) and x.tag == "a")
-            keep = len(text) > 80 and links < 0.25 * len(text) or 0 < len(text) <= 80 and not links and text[-1] in ".!?"
+            keep = links < 0.25 * len(text)
         else:
             keep = c.tag in ("h1", "h2") and top.tag not in ("article", "main")
         if keep:
