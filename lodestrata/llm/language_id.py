@@ -5,10 +5,11 @@ the longest phrases found there; the language whose text needs the fewest phrase
 position in the training text, wins.
 
 The automaton becomes a table: state and letter give the next state, and a flag where the phrase ends and the next begins with
-that letter.  So all texts of a batch, cut into windows of WINDOW letters, walk through the tables in step, a few numpy operations
-a letter whatever the number of texts.  A window's start ends a phrase in every language alike.
+that letter.  So all texts of a batch walk through the tables in step, a few numpy operations a letter whatever the number of texts.
+Long texts walk in lanes of LANE letters: each lane first as if a phrase began with it, then again from the state in which the lane before
+it really ended, until both walks are in the same state, after which they stay together.  So the parse is that of the whole text.
 
-Training is bounded: TRAIN_LETTERS letters a language, from the texts of lowest hash, about `rows` of them.  Letters are
+Training is bounded: TRAIN_LETTERS letters a language, from the `rows` texts of lowest hash.  Letters are
 lower-cased, runs of anything else become one space, and letters beyond the ALPHABET most frequent share a class.
 
 Defined cases: a null text or one without letters is `und` with score 0; without any labelled text every text is `und`; on
@@ -23,12 +24,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, mapped
 
-TRAIN_LETTERS, ALPHABET, WINDOW = 20_000, 60, 512
+TRAIN_LETTERS, ALPHABET, LANE = 20_000, 60, 512
 #: Letters of text from which the score's evidence is counted.
 EVIDENCE = 50
 
@@ -116,17 +117,20 @@ def alphabet(letters: str) -> Alphabet:
 
 
 def sample(docs: DataFrame, rows: int = 400) -> dict[str, list[str]]:
-    """About rows labelled texts a language, those of lowest hash, none of them held out.  Bounded by rows times languages."""
+    """rows labelled texts a language at most, those of lowest hash, none of them held out, each cut to what training can use.  Bounded by rows,
+    TRAIN_LETTERS and languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") > 0))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     span = 1 << 30
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, rows / n) * span))])
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * rows / n) * span))])
     h = F.pmod(F.xxhash64("doc_id"), F.lit(span))
-    found = known.where(h < limits[F.col("lang")]).select("lang", h.alias("h"), "text").collect()
+    near = known.where(h < limits[F.col("lang")]).select("lang", h.alias("h"), F.substring("text", 1, 2 * TRAIN_LETTERS).alias("text"))
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    found = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows).collect()
     out: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
-    for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["text"])):
+    for r in sorted(found, key=lambda r: (r["lang"], r["nth"])):
         out[r["lang"]].append(r["text"])
     return {k: v for k, v in out.items() if v}
 
@@ -153,26 +157,49 @@ def fit(texts: dict[str, list[str]], train_letters: int = TRAIN_LETTERS) -> dict
     return {"langs": sorted(joined), "letters": letters, "tables": tables, "sizes": sizes}
 
 
-def phrases(codes: np.ndarray, starts: np.ndarray, table: np.ndarray, width: int, window: int = WINDOW) -> np.ndarray:
-    """Phrases that each text takes, in windows of window letters."""
+def phrases(codes: np.ndarray, starts: np.ndarray, table: np.ndarray, width: int, lane: int = LANE) -> np.ndarray:
+    """Phrases of each text's parse."""
     n = np.diff(starts)
-    lanes = -(-n // window)
+    lanes = -(-n // lane)
     doc = np.repeat(np.arange(len(n)), lanes)
-    first = np.concatenate([[0], np.cumsum(lanes)])[:-1]
-    at = starts[doc] + (np.arange(len(doc)) - first[doc]) * window
-    size = np.minimum(starts[doc + 1] - at, window)
-    order = np.argsort(-size, kind="stable")
-    at, size = at[order], size[order]
-    state, count = np.zeros(len(at), np.int32), np.ones(len(at), np.int32)
-    live = np.searchsorted(-size, -np.arange(window), side="left")  # lanes longer than t
-    for t in range(window):
-        k = int(live[t])
-        if not k:
-            break
-        got = table[state[:k] + codes[at[:k] + t]]
-        count[:k] += got & 1
-        state[:k] = got >> 1
-    return np.bincount(doc[order], weights=count, minlength=len(n)).astype(np.int64)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    at = starts[doc] + nth * lane
+    size = np.minimum(starts[doc + 1] - at, lane)
+    after, begins = np.empty(len(codes), np.int32), np.empty(len(codes), np.uint8)  # the state after each letter; whether a phrase begins with it
+
+    def walk(which: np.ndarray, state: np.ndarray, again: bool) -> np.ndarray:
+        """Walks lanes from a state each; again: until it is in the recorded state.  Returns the lanes that ended in another state than recorded."""
+        order = np.argsort(-size[which], kind="stable")
+        which, state = which[order], state[order]
+        place, left = at[which], size[which]
+        while len(which):
+            got = table[state + codes[place]]
+            state = got >> 1
+            begins[place] = got & 1
+            going = left > 1
+            if again:
+                apart = after[place] != state
+                ended = which[apart & ~going]
+                if len(ended):
+                    unlike.append(ended)
+                going &= apart
+            after[place] = state
+            if going.all():
+                place, left = place + 1, left - 1
+            else:
+                which, state, place, left = which[going], state[going], place[going] + 1, left[going] - 1
+        return np.concatenate(unlike) if unlike else which[:0]
+
+    unlike: list[np.ndarray] = []
+    walk(np.arange(len(doc)), np.zeros(len(doc), np.int32), False)
+    todo = np.flatnonzero(nth > 0)
+    while len(todo):
+        unlike = []
+        todo = walk(todo, after[at[todo] - 1], True) + 1
+        todo = todo[todo < len(doc)]
+        todo = todo[nth[todo] > 0]  # the lanes behind those whose end has changed
+    sums = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
+    return sums[starts[1:]] - sums[starts[:-1]] + (n > 0)
 
 
 def predict(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
