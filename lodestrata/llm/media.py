@@ -91,14 +91,34 @@ def write(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _sections(parts: list[bytes]) -> list[bytes]:
-    """Whole sections with a right checksum, from payloads that each start with a pointer."""
-    out = []
-    for p in parts:
-        s = p[1 + p[0] :] if p else b""
-        if len(s) >= 12 and (n := 3 + (int.from_bytes(s[1:3], "big") & 0x0FFF)) <= len(s) and crc32_mpeg(s[:n]) == 0:
-            out.append(s[:n])
-    return out
+class _Sections:
+    """Gathers a PID's sections, which may span packets or share one; gives those with a right checksum."""
+
+    def __init__(self):
+        self.held: bytes | None = None
+
+    def add(self, begins: bool, payload: bytes) -> list[bytes]:
+        """The sections that this packet's payload completes; begins: it holds the start of one, after a pointer."""
+        out: list[bytes] = []
+        if begins:
+            pointer = payload[0] if payload else 0
+            if self.held is not None:
+                self.held += payload[1 : 1 + pointer]
+                self._take(out)
+            self.held = payload[1 + pointer :]
+        elif self.held is not None:
+            self.held += payload
+        self._take(out)
+        return out
+
+    def _take(self, out: list[bytes]) -> None:
+        while self.held and len(self.held) >= 3 and self.held[0] != 0xFF:  # 0xFF: stuffing up to the packet's end
+            n = 3 + (int.from_bytes(self.held[1:3], "big") & 0x0FFF)
+            if len(self.held) < n:
+                return
+            section, self.held = self.held[:n], self.held[n:]
+            if n >= 12 and section[1] & 0x80 and crc32_mpeg(section) == 0:
+                out.append(section)
 
 
 def read(stream: bytes) -> dict:
@@ -124,11 +144,15 @@ def read(stream: bytes) -> dict:
             faults["broken_unit"] += 1
             return
         t, pts = pes[9:14], None
+        if len(pes) < 9 + pes[8] or pes[7] & 0x80 and pes[8] < 5:  # cut within its own header
+            faults["broken_unit"] += 1
+            return
         if pes[7] & 0x80:
             pts = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
         units.append((pid, pts, rap, pes[9 + pes[8] :]))
 
     streams: set[int] = set()
+    tables: dict[int, _Sections] = {}
     for at in range(0, len(stream) - PACKET + 1, PACKET):
         packets += 1
         if stream[at] != SYNC:
@@ -144,6 +168,9 @@ def read(stream: bytes) -> dict:
             size = stream[begin]
             rap = bool(size and stream[begin + 1] & 0x40)
             begin += 1 + size
+            if begin > at + PACKET:
+                faults["transport"] += 1
+                continue
         if not b3 & 0x10 or pid == 0x1FFF:
             continue
         cc, before = b3 & 15, last.get(pid)
@@ -152,6 +179,7 @@ def read(stream: bytes) -> dict:
                 faults["duplicate"] += 1
                 continue
             faults["continuity"] += 1
+            tables.pop(pid, None)
             if pid in open_units:
                 open_units[pid][1] = True
         last[pid] = cc
@@ -161,13 +189,13 @@ def read(stream: bytes) -> dict:
                 open_units[pid] = [rap, False, []]
             if pid in open_units:
                 open_units[pid][2].append(stream[begin : at + PACKET])
-        elif pid == 0 and b1 & 0x40:
-            for s in _sections([stream[begin : at + PACKET]]):
+        elif pid == 0:
+            for s in tables.setdefault(pid, _Sections()).add(bool(b1 & 0x40), stream[begin : at + PACKET]):
                 for i in range(8, len(s) - 4, 4):
                     if number := int.from_bytes(s[i : i + 2], "big"):
                         maps[int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF] = number
-        elif pid in maps and b1 & 0x40:
-            for s in _sections([stream[begin : at + PACKET]]):
+        elif pid in maps:
+            for s in tables.setdefault(pid, _Sections()).add(bool(b1 & 0x40), stream[begin : at + PACKET]):
                 i, found = 12 + (int.from_bytes(s[10:12], "big") & 0x0FFF), {}
                 while i + 5 <= len(s) - 4:
                     found[int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF] = s[i]
@@ -188,25 +216,29 @@ SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 
 def describe(text: bytes, with_stream: bool = False) -> tuple:
-    """Stores a text's payload as a stream, reads it back, and computes what the stream holds."""
+    """Stores a text's payload as a stream, reads it back, and gives what the stream holds: digests, a summary, and its units, each with its time, whether
+    it is a random-access point, and its bytes; with_stream: the stream too."""
     media = write(padded(text))
     got = read(media)
     payload = b"".join(u[3] for u in got["units"])
     raps = [u[1] for u in got["units"] if u[2]]
     feature = f"programs={len(got['programs'])};streams={sum(map(len, got['programs'].values()))};packets={got['packets']};faults={sum(got['faults'].values())};units={len(got['units'])};pts={got['units'][0][1]}-{got['units'][-1][1]};raps={len(raps)};last_rap={raps[-1]}"
     row = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-    return (*row, media, [{"pts": u[1], "random_access": u[2], "bytes": len(u[3])} for u in got["units"]]) if with_stream else row
+    row = (*row, [{"pts": u[1], "random_access": u[2], "bytes": len(u[3])} for u in got["units"]])
+    return (*row, media) if with_stream else row
 
 
 def media_columns(docs: DataFrame, streams: bool = False) -> DataFrame:
-    """Per row: doc_id and what describe() gives; with streams also the stored bytes (media) and the units with their times (units)."""
+    """Per row: doc_id, what describe() gives and the units with their times (units); with streams also the stored bytes (media)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}" + ", media binary, units array<struct<pts:long,random_access:boolean,bytes:long>>" * streams
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("bytes", pa.int64())]))]
-    names = [*(x.split()[0] for x in SCHEMA.split(", ")), "media", "units"]
+    unit = pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("bytes", pa.int64())])
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}, units array<struct<pts:long,random_access:boolean,bytes:long>>"
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(unit), pa.binary()]
+    names = [*(x.split()[0] for x in SCHEMA.split(", ")), "units", "media"]
 
     def work(part: pa.RecordBatch):
         rows = list(zip(*(describe(t, streams) for t in utf8(part.column("text"))), strict=True))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(rows, types, strict=False))], names=["doc_id", *names[: len(rows)]])
+        arrays = [pa.array(x, t) for x, t in zip(rows, types, strict=False)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", *names[: len(rows)]])
 
-    return mapped(docs, work, schema)
+    return mapped(docs, work, schema + ", media binary" * streams)
