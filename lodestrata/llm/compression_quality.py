@@ -2,11 +2,13 @@
 
 A zstandard dictionary is built from good labelled texts and another from bad ones.  A text is compressed, piece by piece,
 with either; the difference of the two sizes over the text's size says which kind it is more like, and a logistic curve
-fitted to labelled texts that the dictionaries have not seen turns it into the probability of label 1.
+fitted to labelled texts that the dictionaries have not seen turns it, with the smaller size over the text's (how much of a text
+neither dictionary knows), into the probability of label 1.  Nothing but these two sizes goes into a score.
 
 Pieces of PIECE bytes keep the dictionary in play along the whole of a long text, which would otherwise soon be
 compressed by its own past.  The model is fitted on a bounded sample: at most `rows` labelled texts a class, those of
-lowest hash, of which at most `train_bytes` bytes go into a dictionary and as many into the calibration.
+lowest hash, one text an id and its first `train_chars` characters, of which at most `train_bytes` bytes go into a dictionary and as many into
+the calibration.  Scores are of whole texts.
 
 Defined cases: a null or empty text has difference 0 and gets the curve's value there; without labels of both classes
 every score is the share of label 1 (0.5 without labels); equal texts get equal scores; an empty table gives an
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 from .common import held_out, mapped, utf8
 
 PIECE, LEVEL, DICTIONARY = 2048, 3, 1 << 16
-#: Texts of about this many bytes or fewer hardly compress either way; the curve knows it.
-SHORT = 100
 #: Scores from here on predict label 1.
 GOOD = 0.7
 
@@ -55,17 +55,14 @@ def _compressor(data: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
 
 
-def difference(text: bytes, good: bytes, bad: bytes) -> float:
-    """(size with the bad dictionary - size with the good one) / bytes of text; 0 for an empty text."""
-    if not text:
-        return 0.0
-    g, b = _compressor(good), _compressor(bad)
-    return sum(len(b.compress(p)) - len(g.compress(p)) for p in pieces(text)) / len(text)
-
-
 def measures(text: bytes, good: bytes, bad: bytes) -> tuple[float, float, float]:
-    """What the curve is fitted on: the difference, how short the text is (1 for an empty one, towards 0), and 1."""
-    return difference(text, good, bad), math.exp(-len(text) / SHORT), 1.0
+    """What the curve is fitted on: (size with the bad dictionary - size with the good one) and the smaller of both, over the bytes of the text (0 and 1
+    for an empty one); and 1."""
+    if not text:
+        return 0.0, 1.0, 1.0
+    parts = pieces(text)
+    with_good, with_bad = (sum(len(c.compress(p)) for p in parts) for c in (_compressor(good), _compressor(bad)))
+    return (with_bad - with_good) / len(text), min(with_good, with_bad) / len(text), 1.0
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> list[float]:
@@ -86,8 +83,8 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -
     return (beta / scale).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 1000, train_bytes: int = 2 << 20) -> dict:
-    """The model: two dictionaries and the curve's weights.  At most 2 * rows texts come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 1000, train_bytes: int = 2 << 20, train_chars: int = 1 << 15) -> dict:
+    """The model: two dictionaries and the curve's weights.  At most 2 * rows texts of train_chars characters come to the driver."""
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     share = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
@@ -99,7 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 1000, train_bytes: int =
     for q in (0, 1):  # bounded: a top-k of ids per class
         top = labels.where(F.col("quality") == q).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = top if picked is None else picked.unionByName(top)
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") > 0).join(F.broadcast(picked), "doc_id").select("quality", F.xxhash64(F.lit(1), "doc_id").alias("h"), "text").collect()
+    texts = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, train_chars).alias("text")).where(F.length("text") > 0)
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("quality", "doc_id").agg(F.min("text").alias("text"))
+    found = found.select("quality", F.xxhash64(F.lit(1), "doc_id").alias("h"), "text").collect()
     seen: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(found, key=lambda r: (r["h"], r["text"])):
         seen[r["quality"]].append(r["text"].encode())

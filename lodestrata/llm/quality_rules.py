@@ -117,7 +117,7 @@ def fit(counts: dict[int, int], rounds: int = 200) -> dict:
     """Expectation-maximisation over pattern counts.
 
     Returns the share of good documents, each rule's probabilities of voting -1, 0 or 1 for bad and for good documents, and
-    the posterior of each pattern.  It starts from majority votes, and ten pseudo-documents a rule and class that vote
+    the posterior of each pattern.  It starts from majority votes, and nine pseudo-documents a rule and class that vote
     rightly rather than wrongly keep the two classes from changing places."""
     patterns = np.array(sorted(counts), np.int64)
     n = np.array([counts[p] for p in patterns.tolist()], float)
