@@ -10,6 +10,11 @@ differ from that only in the N - 1 segments whose runner-up costs least.  So the
 over the distinct segments of a batch, many at a time in numpy; the A* search runs on the few segments that can
 contribute.  The result is that of one search over the whole lattice.
 
+The score of a piece is its log-probability.  A unigram model's file has it.  The "scores" of a BPE model's file are the ranks of its merges, which
+can't be added up; pieces are merged by frequency, so there a piece of rank r gets the log-probability of Zipf's law with Mandelbrot's
+shift, -log(r + SHIFT) - log(sum of 1 / (r' + SHIFT) over all pieces).  Nothing is trained.  Scores are whole multiples of 2**-20, so that sums
+are exact in any order.  Segmentations by such scores are the likeliest ones, not those that merging would give.
+
 Texts are taken as they are, with one space before them (dropped again by decoding).  A character without a piece is
 spelt in byte pieces at the price of the lowest proper score less 10.  Of segmentations with equal scores, the one with the longer
 last piece comes first.  Decoding gives back any text exactly.
@@ -33,6 +38,8 @@ from pyspark.sql import types as T
 from .common import Numbers, mapped
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The shift in Zipf's law for the pieces of a BPE model.
+SHIFT = 2.7
 #: Segments longer than this are searched one by one.
 LONG = 40
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +47,18 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 FAR = -1e18
 
 
+def log_probabilities(scores: np.ndarray, proper: np.ndarray) -> np.ndarray:
+    """The log-probability of each piece from a model's scores; proper: the ids of pieces that stand for text.  Scores that are whole
+    numbers, all different, are ranks; pieces that merging never gives (-1e9) have none and keep that score."""
+    proper = proper[scores[proper] > -1e8]
+    own = scores[proper]
+    if len(own) and (own == np.round(own)).all() and len(np.unique(own)) == len(own):
+        weight = 1 / (np.argsort(np.argsort(-own)) + 1 + SHIFT)
+        scores = scores.copy()
+        scores[proper] = np.log(weight / weight.sum())
+    return np.round(scores * (1 << 20)) / (1 << 20)
+
+
 class Vocabulary:
     """The pieces of a SentencePiece model, with a hash table that numpy can look many substrings up in."""
 
@@ -57,7 +76,8 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 p = p.replace("▁", " ")
                 self.pieces[p], self.bytes[i] = (i, model.get_score(i)), p.encode()
-        self.scores = np.array([model.get_score(i) for i in range(n)])
+        self.scores = log_probabilities(np.array([model.get_score(i) for i in range(n)]), np.array([i for i, _ in self.pieces.values()], np.int64))
+        self.pieces = {p: (i, float(self.scores[i])) for p, (i, _) in self.pieces.items()}
         self.unknown = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - 10
         self.longest = max(map(len, self.pieces), default=1)
         self.cut = not any(" " in p.lstrip(" ") or "\n" in p and p != "\n" for p in self.pieces)
@@ -306,7 +326,7 @@ def encode(docs: DataFrame, n_best: int = 3, model: str = MODEL, keep: bool = Fa
             ids = pa.array([None if t is None else x for t, x in zip(texts, ids.to_pylist(), strict=True)], ids.type)
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), counts, ids, pa.array(scores, pa.float64()), pa.array(more, ALTERNATIVES), pa.array(right)], names=[*kept, *NAMES])
 
-    return mapped(docs, work, schema, limit=8 << 20)
+    return mapped(docs, work, schema, limit=4 << 20)
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
