@@ -8,7 +8,7 @@ from ..functions import scalars as X
 from ..operators import changes, clustering, dedupe, graph, measures, relations, sequences, views
 from ..sources import bridge as B
 from ..streaming import events as streams
-from .registry import ORACLES, query
+from .registry import query
 
 _REL = """CASE WHEN kind IN ('import', 'inherit') THEN 'depends_on' WHEN kind IN ('call', 'render') THEN 'calls' WHEN kind = 'http' THEN CASE WHEN target_file IS NOT NULL THEN 'http_contract' WHEN target_kind = 'resource' THEN 'external_api' END
     WHEN kind = 'database' AND (target_file IS NOT NULL OR target_kind = 'resource') THEN CASE operation WHEN 'read' THEN 'reads' WHEN 'write' THEN 'writes' END WHEN kind = 'event' THEN CASE operation WHEN 'publish' THEN 'publishes_event' WHEN 'subscribe' THEN 'subscribes_event' END END"""
@@ -58,10 +58,10 @@ def _(spark, d):
     return measures.capabilities(B.files(spark, d).withColumn("language", F.split_part("path", F.lit("."), F.lit(-1))))
 
 
-@query("a8_coverage", B.with_views(", a AS (SELECT count(*) AS files, count(*) FILTER (file IN (SELECT file FROM b_module_files WHERE module LIKE '%A')) AS owned FROM (SELECT DISTINCT file FROM b_module_files)), b AS (SELECT count(*) AS edges, count(*) FILTER (n_relations > 0) AS proven FROM b_edges) SELECT *, owned / files AS file_coverage, CASE WHEN edges > 0 THEN proven / edges ELSE 0 END AS evidence_coverage, file_coverage >= 0.7 AND evidence_coverage >= 0.3 AS valid FROM a, b", "module_files", "edges"))
+@query("a8_coverage", B.with_views(", a AS (SELECT count(*) AS files, count(*) FILTER (file IN (SELECT file FROM b_module_files WHERE module LIKE '%1')) AS owned FROM (SELECT DISTINCT file FROM b_module_files)), b AS (SELECT count(*) AS edges, count(*) FILTER (n_relations > 0) AS proven FROM b_edges) SELECT *, owned / files AS file_coverage, CASE WHEN edges > 0 THEN proven / edges ELSE 0 END AS evidence_coverage, file_coverage >= 0.7 AND evidence_coverage >= 0.3 AS valid FROM a, b", "module_files", "edges"))
 def _(spark, d):
     m = B.module_files(spark, d)
-    return measures.coverage(m.select(F.col("file").alias("path")), m.where("module like '%A'"), B.edges(spark, d))
+    return measures.coverage(m.select(F.col("file").alias("path")), m.where("module like '%1'"), B.edges(spark, d))
 
 
 @query("a9_majority", B.with_views("SELECT module, label, votes FROM (SELECT module, scope AS label, count(*) AS votes, row_number() OVER (PARTITION BY module ORDER BY count(*) DESC, scope) AS rn FROM b_files GROUP BY module, scope) WHERE rn = 1", "files"))
@@ -69,12 +69,7 @@ def _(spark, d):
     return relations.majority(B.files(spark, d).withColumn("label", F.col("scope")), "module", "label")
 
 
-@query("a10_unique_label", B.with_views("SELECT module, CASE WHEN count(DISTINCT scope) = 1 THEN min(scope) END AS scope FROM b_files WHERE doc_id % 40 < 25 GROUP BY module", "files"))
-def _(spark, d):
-    return relations.unique_label(B.files(spark, d).where("doc_id % 40 < 25"), "module", "scope")
-
-
-@query("a10_unique_label_all", ORACLES["a10_unique_label"].replace(" WHERE doc_id % 40 < 25", ""))
+@query("a10_unique_label", B.with_views("SELECT module, CASE WHEN count(DISTINCT scope) = 1 THEN min(scope) END AS scope FROM b_files GROUP BY module", "files"))
 def _(spark, d):
     return relations.unique_label(B.files(spark, d), "module", "scope")
 
@@ -203,17 +198,17 @@ def _(spark, d):
     return relations.match_endpoints(B.endpoints(spark, d))
 
 
-@query("j4_relative_imports", B.with_views("SELECT file, './' || split_part(split_part(file, '/', -1), '.', 1) AS spec, file AS target FROM b_files WHERE path LIKE '%userController%' AND regexp_matches(path, '\\.(ts|py|go|java|tsx|rs)$')", "files"))
+@query("j4_relative_imports", B.with_views("SELECT file, './' || split_part(split_part(file, '/', -1), '.', 1) AS spec, file AS target FROM b_files WHERE path NOT LIKE '%date.util%' AND regexp_matches(path, '\\.(ts|py|go|java|tsx|rs)$')", "files"))
 def _(spark, d):
     f = B.files(spark, d)
-    imports = f.where("path like '%userController%'").select("file", F.concat(F.lit("./"), F.split_part(X.file_name(F.col("file")), F.lit("."), F.lit(1))).alias("spec"))
+    imports = f.select("file", F.concat(F.lit("./"), F.split_part(X.file_name(F.col("file")), F.lit("."), F.lit(1))).alias("spec"))
     return relations.resolve_relative(imports, f)
 
 
 @query("j5_python_imports", B.with_views("SELECT 'x.py' AS file, replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS spec, path AS target FROM b_files WHERE path LIKE '%.py' AND path NOT LIKE '%date.util%'", "files"))
 def _(spark, d):
     f = B.files(spark, d)
-    imports = f.where("path like '%.py' and path not like '%date.util%'").select(F.lit("x.py").alias("file"), F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("spec"))
+    imports = f.select(F.lit("x.py").alias("file"), F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("spec"))
     return relations.resolve_by_suffix(imports, f)
 
 
@@ -229,14 +224,7 @@ def _(spark, d):
     return relations.replaced(r, r.where("kind = 'import'").withColumn("confidence", F.lit("confirmed"))).groupBy("confidence").agg(F.count("*").alias("n"))
 
 
-@query("j13_callables", "SELECT o_orderkey AS id, 'f' || o_orderkey % 30 AS name, o_custkey % 3 AS arity, CASE WHEN c.n = 1 THEN c.t ELSE -1 END AS target, coalesce(c.n, 0) AS candidates FROM orders LEFT JOIN (SELECT p_partkey % 40 AS k, p_size % 3 AS a, count(*) AS n, min(p_partkey) AS t FROM part WHERE p_partkey % 25 = 0 OR p_partkey < 60 GROUP BY ALL) c ON o_orderkey % 30 = c.k AND o_custkey % 3 = c.a")
-def _(spark, d):
-    calls = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("f"), F.col("o_orderkey") % 30).alias("name"), (F.col("o_custkey") % 3).alias("arity"))
-    decl = B.table(spark, d, "part").where("p_partkey % 25 = 0 or p_partkey < 60").select(F.concat(F.lit("f"), F.col("p_partkey") % 40).alias("name"), (F.col("p_size") % 3).cast("long").alias("arity"), F.col("p_partkey").alias("declaration"))
-    return relations.callable_targets(calls, decl).withColumn("target", F.coalesce("target", F.lit(-1)))
-
-
-@query("j13_callables_all", "SELECT o_orderkey AS id, 'f' || o_orderkey % m AS name, o_custkey % 3 AS arity, CASE WHEN c.n = 1 THEN c.t ELSE -1 END AS target, coalesce(c.n, 0) AS candidates FROM orders CROSS JOIN (SELECT count(*) * 3 // 4 AS m FROM part) LEFT JOIN (SELECT p_partkey % m AS k, p_size % 3 AS a, count(*) AS n, min(p_partkey) AS t FROM part CROSS JOIN (SELECT count(*) * 3 // 4 AS m FROM part) GROUP BY ALL) c ON o_orderkey % m = c.k AND o_custkey % 3 = c.a")
+@query("j13_callables", "SELECT o_orderkey AS id, 'f' || o_orderkey % m AS name, o_custkey % 3 AS arity, CASE WHEN c.n = 1 THEN c.t ELSE -1 END AS target, coalesce(c.n, 0) AS candidates FROM orders CROSS JOIN (SELECT count(*) * 3 // 4 AS m FROM part) LEFT JOIN (SELECT p_partkey % m AS k, p_size % 3 AS a, count(*) AS n, min(p_partkey) AS t FROM part CROSS JOIN (SELECT count(*) * 3 // 4 AS m FROM part) GROUP BY ALL) c ON o_orderkey % m = c.k AND o_custkey % 3 = c.a")
 def _(spark, d):
     part = B.table(spark, d, "part")
     names = F.broadcast(part.agg(F.floor(F.count("*") * 3 / 4).alias("m")))  # one row: names spread with the table, some on two declarations
@@ -263,22 +251,22 @@ def _(spark, d):
     return relations.overlapping(f.select("file", "module").union(f.where("doc_id % 4 = 0").select("file", "scope"))).withColumn("modules", F.array_join("modules", ","))
 
 
-@query("j18_details", B.with_views("SELECT r.id, r.kind FROM b_relations r SEMI JOIN (SELECT file FROM b_module_files WHERE module = 'FRANCE') m ON r.source_file = m.file", "relations", "module_files"))
+@query("j18_details", B.with_views("SELECT r.id, r.kind FROM b_relations r SEMI JOIN (SELECT file FROM b_module_files WHERE module = 'NATION_3') m ON r.source_file = m.file", "relations", "module_files"))
 def _(spark, d):
     r, m = _facts(spark, d)
-    return r.join(m.where("module = 'FRANCE'").select(F.col("file").alias("source_file")), "source_file", "left_semi").select("id", "kind")
+    return r.join(m.where("module = 'NATION_3'").select(F.col("file").alias("source_file")), "source_file", "left_semi").select("id", "kind")
 
 
-@query("j19_overlay", B.with_views("SELECT id, CASE WHEN id LIKE 'C%' THEN 'edited ' || id ELSE title END AS title FROM b_nodes WHERE id NOT LIKE 'A%' UNION ALL SELECT 'mine', 'My node'", "nodes"))
+@query("j19_overlay", B.with_views("SELECT id, CASE WHEN id LIKE 'customer/1%' THEN 'edited ' || id ELSE title END AS title FROM b_nodes WHERE id NOT LIKE 'customer/2%' UNION ALL SELECT 'mine', 'My node'", "nodes"))
 def _(spark, d):
     n = B.nodes(spark, d).select("id", "title")
-    edits = n.where("id like 'C%'").select("id", F.concat(F.lit("edited "), "id").alias("title"))
-    return relations.overlay(n, edits, n.where("id like 'A%'"), spark.createDataFrame([("mine", "My node")], "id string, title string"))
+    edits = n.where("id like 'customer/1%'").select("id", F.concat(F.lit("edited "), "id").alias("title"))
+    return relations.overlay(n, edits, n.where("id like 'customer/2%'"), spark.createDataFrame([("mine", "My node")], "id string, title string"))
 
 
-@query("j22_dangling", B.with_views("SELECT id FROM b_edges WHERE source LIKE 'C%' OR target LIKE 'C%'", "edges"))
+@query("j22_dangling", B.with_views("SELECT id FROM b_edges WHERE source LIKE 'customer/1%' OR target LIKE 'customer/1%'", "edges"))
 def _(spark, d):
-    return relations.dangling(B.edges(spark, d), B.nodes(spark, d).where("id not like 'C%'")).select("id")
+    return relations.dangling(B.edges(spark, d), B.nodes(spark, d).where("id not like 'customer/1%'")).select("id")
 
 
 @query("j23_aliases", B.with_views("SELECT diagram, turn, CASE WHEN sender = 'user' THEN 'u' WHEN sender = 'assistant' THEN 'a' END AS sender_id, CASE WHEN receiver = 'user' THEN 'u' WHEN receiver = 'assistant' THEN 'a' END AS receiver_id FROM b_messages", "messages"))
@@ -287,11 +275,11 @@ def _(spark, d):
     return relations.alias_ends(B.messages(spark, d), people).select("diagram", "turn", "sender_id", "receiver_id")
 
 
-@query("j26_remapped", B.with_views("SELECT 'n' || id AS id, title FROM b_nodes WHERE id LIKE '%A' UNION ALL SELECT id, title FROM b_nodes WHERE id = 'CHINA' AND id NOT LIKE '%A'", "nodes"))
+@query("j26_remapped", B.with_views("SELECT 'n' || id AS id, title FROM b_nodes WHERE id LIKE '%4' UNION ALL SELECT id, title FROM b_nodes WHERE id = 'supplier/3' AND id NOT LIKE '%4'", "nodes"))
 def _(spark, d):
     n = B.nodes(spark, d).select("id", "title")
-    ids = n.where("id like '%A' ").select(F.col("id").alias("old_id"), F.concat(F.lit("n"), "id").alias("new_id"))
-    return relations.remapped(n, ids, n.where("id = 'CHINA' and id not like '%A'"))
+    ids = n.where("id like '%4' ").select(F.col("id").alias("old_id"), F.concat(F.lit("n"), "id").alias("new_id"))
+    return relations.remapped(n, ids, n.where("id = 'supplier/3' and id not like '%4'"))
 
 
 # ---- views
@@ -327,9 +315,10 @@ def _(spark, d):
     return views.connection_counts(*_graph(spark, d))
 
 
-@query("f8_connection_kind", B.with_views(_PLACED + ", s AS (SELECT source_module AS module, count(*) FILTER (target_file IS NOT NULL AND source_module = target_module) AS internal, count(*) FILTER (target_kind = 'unresolved') AS unresolved, count(*) FILTER (target_kind IN ('external', 'resource')) AS external FROM placed WHERE source_module IS NOT NULL GROUP BY 1), e AS (SELECT id, bool_and(relation = 'depends_on') AS deps FROM (SELECT source AS id, relation FROM b_edges UNION ALL SELECT target, relation FROM b_edges) GROUP BY id) SELECT n.id, CASE WHEN deps IS NULL THEN CASE WHEN internal > 0 THEN 'internal' WHEN unresolved > 0 THEN 'unresolved' WHEN external > 0 THEN 'external' ELSE 'none' END WHEN deps THEN 'dependency' END AS connection FROM b_nodes n LEFT JOIN e USING (id) LEFT JOIN s ON n.id = s.module", "nodes", "edges", "relations", "module_files"))
+@query("f8_connection_kind", B.with_views(_PLACED.replace("b_module_files", "(SELECT file, file AS module FROM b_module_files)") + ", s AS (SELECT source_module AS module, count(*) FILTER (target_file IS NOT NULL AND source_module = target_module) AS internal, count(*) FILTER (target_kind = 'unresolved') AS unresolved, count(*) FILTER (target_kind IN ('external', 'resource')) AS external FROM placed WHERE source_module IS NOT NULL GROUP BY 1), e AS (SELECT id, bool_and(relation = 'depends_on') AS deps FROM (SELECT source AS id, relation FROM b_edges UNION ALL SELECT target, relation FROM b_edges) GROUP BY id) SELECT n.id, CASE WHEN deps IS NULL THEN CASE WHEN internal > 0 THEN 'internal' WHEN unresolved > 0 THEN 'unresolved' WHEN external > 0 THEN 'external' ELSE 'none' END WHEN deps THEN 'dependency' END AS connection FROM b_nodes n LEFT JOIN e USING (id) LEFT JOIN s ON n.id = s.module", "nodes", "edges", "relations", "module_files"))
 def _(spark, d):
-    return views.connection_kind(*_graph(spark, d), relations.module_summary(*_facts(spark, d)))
+    r, m = _facts(spark, d)
+    return views.connection_kind(*_graph(spark, d), relations.module_summary(r, m.withColumn("module", F.col("file"))))
 
 
 @query("f9_degrees", B.with_views("SELECT n.id, (SELECT count(*) FROM b_edges WHERE target = n.id) AS upstream, (SELECT count(*) FROM b_edges WHERE source = n.id) AS downstream, (SELECT bool_and(confidence = 'confirmed') FROM b_edges WHERE source = n.id OR target = n.id) AS confirmed FROM b_nodes n", "nodes", "edges"))
@@ -348,9 +337,9 @@ def _(spark, d):
     return B.relations(spark, d).where(F.col("kind").isin(clustering.KINDS) & (F.col("confidence") == "confirmed") & F.col("target_file").isNotNull()).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("f15_neighbourhood", B.with_views("SELECT id FROM b_nodes WHERE id = 'JAPAN' OR id IN (SELECT target FROM b_edges WHERE source = 'JAPAN') OR id IN (SELECT source FROM b_edges WHERE target = 'JAPAN')", "nodes", "edges"))
+@query("f15_neighbourhood", B.with_views("SELECT id FROM b_nodes WHERE id = 'customer/7' OR id IN (SELECT target FROM b_edges WHERE source = 'customer/7') OR id IN (SELECT source FROM b_edges WHERE target = 'customer/7')", "nodes", "edges"))
 def _(spark, d):
-    return views.neighbourhood(*_graph(spark, d), "JAPAN").select("id")
+    return views.neighbourhood(*_graph(spark, d), "customer/7").select("id")
 
 
 @query("f18_entries", B.with_views(", x AS (SELECT id, files, (SELECT count(*) FROM b_edges WHERE target = n.id) AS i, (SELECT count(*) FROM b_edges WHERE source = n.id) AS o FROM b_nodes n) SELECT id, i = 0 AND o > 0 AS entry, o = 0 AND i > 0 AS sink, len(list_filter(files, lambda f: regexp_matches(lower(f), 'controller\\.[^.]+$'))) > 0 AS boundary FROM x", "nodes", "edges"))
@@ -395,10 +384,10 @@ def _(spark, d):
     return changes.acknowledged(old.select("path", "hash"), new.select("path", "hash"), ids, "path")
 
 
-@query("c5_user_state", B.with_views("SELECT id, state, title FROM (SELECT id, CASE WHEN id LIKE 'A%' THEN 'hidden' WHEN id LIKE 'C%' THEN 'edited' END AS state, CASE WHEN id LIKE 'C%' THEN 'new' END AS title FROM b_nodes) WHERE state IS NOT NULL UNION ALL SELECT 'mine', 'manual', 'Mine'", "nodes"))
+@query("c5_user_state", B.with_views("SELECT id, state, title FROM (SELECT id, CASE WHEN id LIKE 'customer/2%' THEN 'hidden' WHEN id LIKE 'customer/1%' THEN 'edited' END AS state, CASE WHEN id LIKE 'customer/1%' THEN 'new' END AS title FROM b_nodes) WHERE state IS NOT NULL UNION ALL SELECT 'mine', 'manual', 'Mine'", "nodes"))
 def _(spark, d):
     g = B.nodes(spark, d).select("id", "title")
-    e = g.where("id not like 'A%'").withColumn("title", F.when(F.col("id").like("C%"), F.lit("new")).otherwise(F.col("title"))).unionByName(spark.createDataFrame([("mine", "Mine")], "id string, title string"))
+    e = g.where("id not like 'customer/2%'").withColumn("title", F.when(F.col("id").like("customer/1%"), F.lit("new")).otherwise(F.col("title"))).unionByName(spark.createDataFrame([("mine", "Mine")], "id string, title string"))
     return changes.user_state(g, e, "id", ["title"])
 
 
@@ -418,18 +407,18 @@ def _(spark, d):
     return changes.invalidated(f.withColumn("fingerprint", F.when(F.col("id") % 5 == 0, F.lit("old")).otherwise(F.col("fingerprint"))), f.where("id % 11 <> 3"))
 
 
-@query("c9_overrides", B.with_views("SELECT id, layer AS system_level, CASE WHEN id LIKE 'C%' THEN 'high' ELSE layer END AS effective_level, CASE WHEN id LIKE 'C%' THEN layer <> 'api' END AS changed FROM b_nodes", "nodes"))
+@query("c9_overrides", B.with_views("SELECT id, layer AS system_level, CASE WHEN id LIKE 'customer/1%' THEN 'high' ELSE layer END AS effective_level, CASE WHEN id LIKE 'customer/1%' THEN layer <> 'api' END AS changed FROM b_nodes", "nodes"))
 def _(spark, d):
     n = B.nodes(spark, d).select("id", F.col("layer").alias("level"))
-    o = n.where("id like 'C%' or id like 'A%'").select("id", F.lit("high").alias("level"), F.when(F.col("id").like("C%"), F.lit("because")).otherwise(F.lit(" ")).alias("reason"), F.lit("api").alias("level_then"))
+    o = n.where("id like 'customer/1%' or id like 'customer/2%'").select("id", F.lit("high").alias("level"), F.when(F.col("id").like("customer/1%"), F.lit("because")).otherwise(F.lit(" ")).alias("reason"), F.lit("api").alias("level_then"))
     return changes.with_override(n, o)
 
 
-@query("c10_corrected", B.with_views("SELECT id, source, CASE WHEN source LIKE 'C%' AND source <> 'JAPAN' THEN 'JAPAN' ELSE target END AS target, relation, CASE WHEN source LIKE 'C%' AND target <> 'JAPAN' THEN 'inferred' ELSE confidence END AS confidence, source LIKE 'C%' AND target <> 'JAPAN' AS corrected FROM b_edges", "edges"))
+@query("c10_corrected", B.with_views("SELECT id, source, CASE WHEN source LIKE 'customer/1%' AND source <> 'supplier/7' THEN 'supplier/7' ELSE target END AS target, relation, CASE WHEN source LIKE 'customer/1%' AND target <> 'supplier/7' THEN 'inferred' ELSE confidence END AS confidence, source LIKE 'customer/1%' AND target <> 'supplier/7' AS corrected FROM b_edges", "edges"))
 def _(spark, d):
     e = B.edges(spark, d)
-    patches = e.where("source like 'C%'").select("id", F.lit(None).cast("string").alias("source"), F.lit("JAPAN").alias("target"), F.lit(None).cast("string").alias("relation"))
-    return changes.corrected(e, patches.unionByName(e.where("source = 'JAPAN'").select("id", F.lit(None).cast("string").alias("source"), F.lit("JAPAN").alias("target"), F.lit(None).cast("string").alias("relation"))))
+    patches = e.where("source like 'customer/1%'").select("id", F.lit(None).cast("string").alias("source"), F.lit("supplier/7").alias("target"), F.lit(None).cast("string").alias("relation"))
+    return changes.corrected(e, patches.unionByName(e.where("source = 'supplier/7'").select("id", F.lit(None).cast("string").alias("source"), F.lit("supplier/7").alias("target"), F.lit(None).cast("string").alias("relation"))))
 
 
 @query("c11_reuse", B.with_views("SELECT 'reused' AS what, count(*) AS n FROM b_files WHERE doc_id % 10 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 3 UNION ALL SELECT 'extracted', count(*) FROM b_files WHERE (doc_id % 10 = 0 OR doc_id % 7 = 0) AND doc_id % 11 <> 3", "files"))
@@ -546,43 +535,47 @@ def _(spark, d):
 # ---- graph loops and clustering
 
 
-_BOTH = ", l AS (SELECT source AS a, target AS b FROM b_edges UNION SELECT target, source FROM b_edges)"
-_SPARSE = "relation = 'calls' AND confidence = 'confirmed'"
+@query("g1_reachable", B.with_views(f", r AS (SELECT 'customer/7' AS id, 0 AS steps UNION SELECT target, steps + 1 FROM r JOIN b_edges ON source = r.id WHERE steps < 30) SELECT id, min(steps) AS steps FROM r GROUP BY id", "edges", recursive=True))
+def _(spark, d):
+    return graph.reachable(B.edges(spark, d), spark.createDataFrame([("customer/7",)], "id string"))
 
 
-@query("g1_reachable", B.with_views(f", r AS (SELECT 'JAPAN' AS id, 0 AS steps UNION SELECT target, steps + 1 FROM r JOIN b_edges ON source = r.id WHERE relation = 'calls' AND steps < 30) SELECT id, min(steps) AS steps FROM r GROUP BY id", "edges", recursive=True))
-def _(spark, d):
-    return graph.reachable(B.edges(spark, d).where("relation = 'calls'"), spark.createDataFrame([("JAPAN",)], "id string"))
+# Recursive SQL for these is too slow (the closure holds every pair); tests hold them against plain code.
 
 
-@query("g2_components", B.with_views(f", l AS (SELECT source AS a, target AS b FROM b_edges WHERE {_SPARSE} UNION SELECT target, source FROM b_edges WHERE {_SPARSE}), r AS (SELECT id, id AS other FROM b_nodes UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a) SELECT id, min(other) AS component FROM r GROUP BY id", "nodes", "edges", recursive=True))
+@query("g2_components")
 def _(spark, d):
-    return graph.components(B.nodes(spark, d), B.edges(spark, d).where("relation = 'calls' and confidence = 'confirmed'"))
+    return graph.components(*_graph(spark, d))
 
 
-_REACH = f", l AS (SELECT DISTINCT source AS a, target AS b FROM b_edges WHERE {_SPARSE}), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)"
+@query("g3_strong_components")
+def _(spark, d):
+    return graph.strong_components(*_graph(spark, d))
 
 
-def _sparse(spark, d):
-    return B.edges(spark, d).where("relation = 'calls' and confidence = 'confirmed'")
+def _condensed(spark, d):
+    n, e = _graph(spark, d)
+    e = graph.settled(e.select("source", "target").distinct())
+    parts = graph.settled(graph.strong_components(n, e))
+    return parts, graph.condensed(e, parts)
 
 
-@query("g3_strong_components", B.with_views(_REACH + " SELECT n.id, least(n.id, coalesce((SELECT min(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = n.id), n.id)) AS component, EXISTS (SELECT 1 FROM r WHERE a = n.id AND b = n.id) AS cyclic FROM b_nodes n", "nodes", "edges", recursive=True))
+@query("g4_condensed")
 def _(spark, d):
-    return graph.strong_components(B.nodes(spark, d), _sparse(spark, d))
-
+    return _condensed(spark, d)[1]
 
-_PARTS = ", c AS (SELECT n.id, least(n.id, coalesce((SELECT min(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = n.id), n.id)) AS component FROM b_nodes n)"
 
-
-@query("g4_condensed", B.with_views(_REACH + _PARTS + " SELECT DISTINCT p.component AS source, q.component AS target FROM l JOIN c p ON l.a = p.id JOIN c q ON l.b = q.id WHERE p.component <> q.component", "nodes", "edges", recursive=True))
+@query("g6_layers")
 def _(spark, d):
-    return graph.condensed(_sparse(spark, d), graph.strong_components(B.nodes(spark, d), _sparse(spark, d)))
+    parts, e = _condensed(spark, d)
+    return graph.layers(parts.select(F.col("component").alias("id")).distinct(), e)
 
 
-@query("g6_layers", B.with_views(", l AS (SELECT DISTINCT source AS a, target AS b FROM b_edges WHERE source < target), r AS (SELECT id, 0 AS depth FROM b_nodes UNION SELECT l.b, depth + 1 FROM r JOIN l ON r.id = l.a) SELECT id, max(depth) AS depth FROM r GROUP BY id", "nodes", "edges", recursive=True))
+@query("g9_areas")
 def _(spark, d):
-    return graph.layers(B.nodes(spark, d), B.edges(spark, d).where("source < target"))
+    n, e = _graph(spark, d)
+    m = n.select(F.col("id").alias("module"), F.lit("s").alias("scope"), "category", F.when(F.length("id") % 4 != 0, F.col("domain")).alias("label"), (F.length("id") % 5 == 0).alias("strong"))
+    return clustering.areas(m, e.where("confidence = 'confirmed'").select("source", "target"), graph.components)
 
 
 @query("g13_fingerprint")
@@ -608,160 +601,3 @@ def _(spark, d):
 @query("a11_categories")
 def _(spark, d):
     return clustering.categories(clustering.clusters(*_code(spark, d)))
-
-
-@query("g9_areas")
-def _(spark, d):
-    n, e = _graph(spark, d)
-    m = n.select(F.col("id").alias("module"), F.lit("s").alias("scope"), "category", F.when(F.length("id") % 4 != 0, F.col("domain")).alias("label"), (F.length("id") % 5 == 0).alias("strong"))
-    return clustering.areas(m, e.where("confidence = 'confirmed'").select("source", "target"), graph.components)
-
-
-# ---- the same operators over the graph between files, which holds every located relation and grows with the input
-
-
-def _files_graph(spark, d):
-    return B.file_nodes(spark, d), B.file_edges(spark, d)
-
-
-def _whole(name: str, *constants: tuple[str, str]) -> str:
-    return B.over_files(ORACLES[name], *constants)
-
-
-_ROOT, _SOME = "customer/7", "customer/1%"
-_SOME_SQL = ("LIKE 'C%'", f"LIKE '{_SOME}'")
-
-
-@query("a8_coverage_files", _whole("a8_coverage"))
-def _(spark, d):
-    m = B.module_files(spark, d)
-    return measures.coverage(m.select(F.col("file").alias("path")), m.where("module like '%A'"), B.file_edges(spark, d))
-
-
-@query("a15_collapsed_files", _whole("a15_collapsed"))
-def _(spark, d):
-    return views.collapsed(*_files_graph(spark, d), ["ASIA", "EUROPE/1"])
-
-
-@query("a17_risk_scores_files", _whole("a17_risk_scores"))
-def _(spark, d):
-    n, e = _files_graph(spark, d)
-    ends = e.select(F.explode(F.array("source", "target")).alias("id"), "relation").groupBy("id").agg(F.count("*").alias("edges"), F.countDistinct("relation").alias("relations"))
-    size = F.length("id")
-    said = F.concat(F.when(size % 4 >= 1, F.lit("auth ")).otherwise(F.lit("")), F.when(size % 4 >= 2, F.lit("payment ")).otherwise(F.lit("")), F.when(size % 4 >= 3, F.lit("token")).otherwise(F.lit("")))
-    m = n.select("id", "node_type").join(ends, "id", "left").select("id", measures.sensitive_points(said, F.lit(""), F.lit("")).alias("sensitive"), F.coalesce("edges", F.lit(0)).alias("edges"), F.lit(25).alias("modules"), (size % 3).alias("effects"), F.lit(1).alias("external_calls"), F.coalesce("relations", F.lit(0)).alias("relations"), F.lit(1).alias("files"), (F.col("node_type") == "test").alias("tested"))
-    return measures.risk_scores(m).drop("sensitive", "edges", "modules", "effects", "external_calls", "relations", "files", "tested")
-
-
-@query("j22_dangling_files", _whole("j22_dangling", _SOME_SQL))
-def _(spark, d):
-    n, e = _files_graph(spark, d)
-    return relations.dangling(e, n.where(~F.col("id").like(_SOME))).select("id")
-
-
-@query("f3_induced_files", _whole("f3_induced"))
-def _(spark, d):
-    n, e = _files_graph(spark, d)
-    return views.induced(e, n.where("layer <> 'test'")).select("id")
-
-
-@query("f4_groups_files", _whole("f4_groups"))
-def _(spark, d):
-    return views.in_groups(*_files_graph(spark, d), ["ASIA"]).select("id")
-
-
-@query("f5_view_files", _whole("f5_view"))
-def _(spark, d):
-    return views.shown_edges(*_files_graph(spark, d), extra=["reads", "tests"]).select("id", "relation")
-
-
-@query("f6_event_boundaries_files", _whole("f6_event_boundaries"))
-def _(spark, d):
-    return views.event_boundaries(B.file_edges(spark, d))[1]
-
-
-@query("f7_connected_files", _whole("f7_connected"))
-def _(spark, d):
-    return views.connection_counts(*_files_graph(spark, d))
-
-
-@query("f8_connection_kind_files", _whole("f8_connection_kind", (B.SQL["module_files"], f"SELECT file, file AS module FROM ({B.SQL['module_files']})")))
-def _(spark, d):
-    r, m = _facts(spark, d)
-    return views.connection_kind(*_files_graph(spark, d), relations.module_summary(r, m.withColumn("module", F.col("file"))))
-
-
-@query("f9_degrees_files", _whole("f9_degrees"))
-def _(spark, d):
-    return views.degrees(*_files_graph(spark, d))
-
-
-@query("f15_neighbourhood_files", _whole("f15_neighbourhood", ("JAPAN", _ROOT)))
-def _(spark, d):
-    return views.neighbourhood(*_files_graph(spark, d), _ROOT).select("id")
-
-
-@query("f18_entries_files", _whole("f18_entries"))
-def _(spark, d):
-    return views.entries_and_sinks(*_files_graph(spark, d))
-
-
-@query("c10_corrected_files", _whole("c10_corrected", _SOME_SQL, ("JAPAN", "supplier/7")))
-def _(spark, d):
-    e = B.file_edges(spark, d)
-    to = lambda x: x.select("id", F.lit(None).cast("string").alias("source"), F.lit("supplier/7").alias("target"), F.lit(None).cast("string").alias("relation"))
-    return changes.corrected(e, to(e.where(F.col("source").like(_SOME))).unionByName(to(e.where("source = 'supplier/7'"))))
-
-
-@query("w2_ports_files", _whole("w2_ports"))
-def _(spark, d):
-    p = B.file_edges(spark, d).select(F.col("source").alias("node"), F.when(F.length("target") % 2 == 0, F.lit("left")).otherwise(F.lit("right")).alias("side"), F.col("id").alias("edge"))
-    return graph.ranked_ports(p)
-
-
-# Recursive SQL over this graph is too slow (the closure holds every pair); tests hold these against plain code.
-
-
-@query("g1_reachable_files")
-def _(spark, d):
-    return graph.reachable(B.file_edges(spark, d), spark.createDataFrame([(_ROOT,)], "id string"))
-
-
-@query("g2_components_files")
-def _(spark, d):
-    return graph.components(*_files_graph(spark, d))
-
-
-@query("g3_strong_components_files")
-def _(spark, d):
-    return graph.strong_components(*_files_graph(spark, d))
-
-
-def _condensed_files(spark, d):
-    n, e = _files_graph(spark, d)
-    e = graph.settled(e.select("source", "target").distinct())
-    parts = graph.settled(graph.strong_components(n, e))
-    return parts, graph.condensed(e, parts)
-
-
-@query("g4_condensed_files")
-def _(spark, d):
-    return _condensed_files(spark, d)[1]
-
-
-@query("g6_layers_files")
-def _(spark, d):
-    parts, e = _condensed_files(spark, d)
-    return graph.layers(parts.select(F.col("component").alias("id")).distinct(), e)
-
-
-@query("g9_areas_files")
-def _(spark, d):
-    n, e = _files_graph(spark, d)
-    m = n.select(F.col("id").alias("module"), F.lit("s").alias("scope"), "category", F.when(F.length("id") % 4 != 0, F.col("domain")).alias("label"), (F.length("id") % 5 == 0).alias("strong"))
-    return clustering.areas(m, e.where("confidence = 'confirmed'").select("source", "target"), graph.components)
-
-
-@query("g13_fingerprint_files")
-def _(spark, d):
-    return graph.fingerprint(*_files_graph(spark, d))

@@ -9,7 +9,7 @@ from ..operators import dedupe, extraction, graph, sequences, views
 from ..sources import bridge as B
 from ..sources import files as S
 from ..sources import sinks
-from .registry import ORACLES, query
+from .registry import query
 
 _EXT = "lower(regexp_extract(path, '[^./][^/]*?(\\.[^./]+)$', 1))"
 _EXTS = {".ts": "TypeScript", ".tsx": "TypeScript React", ".py": "Python", ".go": "Go", ".java": "Java", ".rs": "Rust"}
@@ -58,14 +58,9 @@ def _(spark, d):
     return S.runs(e).select("run_id", "at")
 
 
-@query("k3_canvas_problems", B.with_views(", n AS (SELECT id FROM b_nodes WHERE id NOT LIKE 'A%'), e AS (SELECT * FROM b_edges) SELECT 'unknown-end' AS problem, id AS subject FROM e WHERE source NOT IN (SELECT id FROM n) OR target NOT IN (SELECT id FROM n)", "nodes", "edges"))
+@query("k3_canvas_problems", B.with_views(", n AS (SELECT id FROM b_nodes WHERE id NOT LIKE 'customer/1%'), e AS (SELECT * FROM b_edges) SELECT 'unknown-end' AS problem, id AS subject FROM e WHERE source NOT IN (SELECT id FROM n) OR target NOT IN (SELECT id FROM n)", "nodes", "edges"))
 def _(spark, d):
-    return sinks.canvas_problems(B.nodes(spark, d).where("id not like 'A%'"), B.edges(spark, d), B.module_files(spark, d))
-
-
-@query("k3_canvas_problems_files", B.over_files(ORACLES["k3_canvas_problems"], ("LIKE 'A%'", "LIKE 'customer/1%'")))
-def _(spark, d):
-    return sinks.canvas_problems(B.file_nodes(spark, d).where("id not like 'customer/1%'"), B.file_edges(spark, d), B.module_files(spark, d))
+    return sinks.canvas_problems(B.nodes(spark, d).where("id not like 'customer/1%'"), B.edges(spark, d), B.module_files(spark, d))
 
 
 @query("k6_history_kept", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5")
@@ -155,12 +150,7 @@ def _(spark, d):
     return graph.descendants(B.files(spark, d))
 
 
-@query("x13_common_directory", B.with_views(", f AS (SELECT module, unnest(list_transform(range(1, len(p)), lambda i: array_to_string(p[1:i], '/'))) AS folder FROM (SELECT module, string_split(path, '/') AS p FROM b_files WHERE doc_id % 8 < 2)), n AS (SELECT module, count(*) AS n FROM b_files WHERE doc_id % 8 < 2 GROUP BY module) SELECT n.module, coalesce((SELECT arg_max(folder, length(folder)) FROM (SELECT folder, count(*) AS c FROM f WHERE f.module = n.module GROUP BY folder) WHERE c = n.n), '') AS folder FROM n", "files"))
-def _(spark, d):
-    return graph.common_directory(B.files(spark, d).where("doc_id % 8 < 2").select("module", "path"))
-
-
-@query("x13_common_directory_all", ORACLES["x13_common_directory"].replace(" WHERE doc_id % 8 < 2", ""))
+@query("x13_common_directory", B.with_views(", f AS (SELECT module, unnest(list_transform(range(1, len(p)), lambda i: array_to_string(p[1:i], '/'))) AS folder FROM (SELECT module, string_split(path, '/') AS p FROM b_files)), n AS (SELECT module, count(*) AS n FROM b_files GROUP BY module) SELECT n.module, coalesce((SELECT arg_max(folder, length(folder)) FROM (SELECT folder, count(*) AS c FROM f WHERE f.module = n.module GROUP BY folder) WHERE c = n.n), '') AS folder FROM n", "files"))
 def _(spark, d):
     return graph.common_directory(B.files(spark, d).select("module", "path"))
 
@@ -193,14 +183,8 @@ def _(spark, d):
     return B.files(spark, d).select("path", F.coalesce(X.boundary_priority(F.col("path")), F.lit(-1)).alias("priority"))
 
 
-@query("x21_technology", B.with_views(""", t AS (SELECT module, CASE WHEN module LIKE '%1' THEN 'data-access' ELSE 'domain-service' END AS category, bool_or(regexp_matches(lower(path), '\\.(tsx|jsx|vue|svelte|css|scss|html)$')) AS fe, bool_or(regexp_matches(lower(path), '\\.(py|java|go|rs|php|cs|rb)$')) AS be, bool_or(regexp_matches(lower(path), '\\.(sql|prisma)$')) AS da FROM b_files WHERE doc_id % 10 < 3 GROUP BY module)
+@query("x21_technology", B.with_views(""", t AS (SELECT module, CASE WHEN module LIKE '%1' THEN 'data-access' ELSE 'domain-service' END AS category, bool_or(regexp_matches(lower(path), '\\.(tsx|jsx|vue|svelte|css|scss|html)$')) AS fe, bool_or(regexp_matches(lower(path), '\\.(py|java|go|rs|php|cs|rb)$')) AS be, bool_or(regexp_matches(lower(path), '\\.(sql|prisma)$')) AS da FROM b_files GROUP BY module)
     SELECT module, coalesce(nullif(concat_ws(',', CASE WHEN fe THEN 'frontend' END, CASE WHEN be THEN 'backend' END, CASE WHEN da OR category = 'data-access' THEN 'data' END), ''), 'backend') AS stacks FROM t""", "files"))
-def _(spark, d):
-    m = B.files(spark, d).where("doc_id % 10 < 3").groupBy("module").agg(F.collect_set("path").alias("files"))
-    return m.select("module", F.array_join(X.technology_stacks(F.col("files"), F.when(F.col("module").endswith("1"), F.lit("data-access")).otherwise(F.lit("domain-service"))), ",").alias("stacks"))
-
-
-@query("x21_technology_all", ORACLES["x21_technology"].replace(" WHERE doc_id % 10 < 3", ""))
 def _(spark, d):
     m = B.files(spark, d).groupBy("module").agg(F.collect_set("path").alias("files"))
     return m.select("module", F.array_join(X.technology_stacks(F.col("files"), F.when(F.col("module").endswith("1"), F.lit("data-access")).otherwise(F.lit("domain-service"))), ",").alias("stacks"))
@@ -212,12 +196,7 @@ def _(spark, d):
     return n.select("id", X.mapped(F.col("category"), X.NODE_TYPES).alias("node_type"), X.mapped(F.col("category"), X.CATEGORY_LAYERS, F.lit("infrastructure")).alias("layer"))
 
 
-@query("x23_lines", "SELECT doc_id, length(regexp_replace(substr(text, 1, 500), '[^\\n]', '', 'g')) + 1 AS line FROM documents")
-def _(spark, d):
-    return B.table(spark, d, "documents").select("doc_id", X.line_at(F.col("text"), F.lit(500)).cast("long").alias("line"))
-
-
-@query("x23_lines_all", "SELECT doc_id, length(regexp_replace(text, '[^\\n]', '', 'g')) + 1 AS line FROM documents")
+@query("x23_lines", "SELECT doc_id, length(regexp_replace(text, '[^\\n]', '', 'g')) + 1 AS line FROM documents")
 def _(spark, d):
     return B.table(spark, d, "documents").select("doc_id", X.line_at(F.col("text"), F.length("text")).cast("long").alias("line"))
 
@@ -230,9 +209,9 @@ def _(spark, d):
     return B.table(spark, d, "events").select("event_id", X.failure_code(F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 7 + 1).cast("int"))).alias("code"))
 
 
-@query("x33_payload_bytes", "SELECT r_regionkey, strlen('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}') AS bytes FROM region")
+@query("x33_payload_bytes", "SELECT doc_id, strlen('{\"doc_id\":' || doc_id || ',\"source\":\"' || source || '\"}') AS bytes FROM documents")
 def _(spark, d):
-    return B.table(spark, d, "region").select("r_regionkey", F.octet_length(F.to_json(F.struct("r_regionkey", "r_name"))).cast("long").alias("bytes"))
+    return B.table(spark, d, "documents").select("doc_id", F.octet_length(F.to_json(F.struct("doc_id", "source"))).cast("long").alias("bytes"))
 
 
 @query("d1_relations_once", B.with_views("SELECT id, source_file, target_file, kind, detail FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source_file, target_file NULLS FIRST, kind, detail, confidence) AS rn FROM b_relations) WHERE rn = 1", "relations"))
@@ -272,9 +251,9 @@ def _(spark, d):
     return views.why_empty(B.nodes(spark, d).where("id <> 'x'"), "api", ["backend"])
 
 
-@query("f10_search", B.with_views("SELECT id FROM b_nodes WHERE resource_kind IS NULL AND (lower(title) LIKE '%an%' OR len(list_filter(files, lambda f: lower(f) LIKE '%an%')) > 0) ORDER BY id LIMIT 8", "nodes"))
+@query("f10_search", B.with_views("SELECT id FROM b_nodes WHERE resource_kind IS NULL AND (lower(title) LIKE '%ier/1%' OR len(list_filter(files, lambda f: lower(f) LIKE '%ier/1%')) > 0) ORDER BY id LIMIT 8", "nodes"))
 def _(spark, d):
-    return views.search(B.nodes(spark, d), "AN").select("id")
+    return views.search(B.nodes(spark, d), "IER/1").select("id")
 
 
 @query("f16_visible_tree", B.with_views("SELECT path FROM b_files WHERE source_open AND path NOT LIKE '%/tests/%' ORDER BY path LIMIT 50".replace("source_open", "module IN ('src1', 'src2')"), "files"))

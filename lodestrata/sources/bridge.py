@@ -64,35 +64,6 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A node a nation, in the group of its region."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    j = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
-    k = F.col("n_nationkey")
-    category = _pick(["domain-service", "api-boundary", "data-access", "test-surface", "external-integration", "shared-utility"], k % 6)
-    return j.select(
-        F.col("n_name").alias("id"), F.col("n_name").alias("title"), F.lit("module").alias("kind"), category.alias("category"), X.mapped(category, X.NODE_TYPES).alias("node_type"),
-        F.coalesce(X.mapped(category, X.CATEGORY_LAYERS), F.lit("infrastructure")).alias("layer"), F.array(F.when(k % 2 == 0, F.lit("backend")).otherwise(F.lit("frontend")), F.when(k % 3 == 0, F.lit("data")).otherwise(F.lit("shared"))).alias("stacks"),
-        F.lower("r_name").alias("domain"), F.array(F.concat(F.lit("src/"), F.lower("n_name"), _pick([".ts", "Controller.ts", ".test.ts"], k % 3))).alias("files"), F.when(k % 8 == 7, F.lit("event")).alias("resource_kind"), F.when(k % 9 == 8, F.lit("manual")).alias("origin"), F.array(F.col("r_name"), F.concat("r_name", F.lit("/"), (k % 2).cast("string"))).alias("group_path"),
-    )
-
-
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph between nations: large, deep-discounted lines of urgent orders."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
-    o = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select("o_orderkey", "o_custkey")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    j = j.where("s_nationkey % 7 <> c_nationkey % 5")
-    j = j.join(F.broadcast(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("source"))), "s_nationkey").join(F.broadcast(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("target"))), "c_nationkey")
-    relation = _pick(["calls", "depends_on", "publishes_event", "subscribes_event", "tests", "reads"], F.col("l_partkey") % 6)
-    d = j.select("source", "target", relation.alias("relation"), F.when(F.col("l_linestatus") == "F", F.lit("confirmed")).otherwise(F.lit("inferred")).alias("confidence"), F.when(F.col("l_partkey") % 12 == 2, F.concat(F.lit("topic"), F.col("l_partkey") % 3)).alias("event_id"), F.when(F.col("l_partkey") % 23 == 0, F.lit("manual")).alias("origin"))
-    g = d.groupBy("source", "target", "relation").agg(F.min("confidence").alias("confidence"), F.max("event_id").alias("event_id"), F.max("origin").alias("origin"), F.count("*").alias("n_relations"))
-    return g.withColumn("id", F.concat_ws(":", "source", "target", "relation"))
-
-
-def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node a file of a supplier or customer, in the group of its region, and a node a resource."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     places = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
@@ -109,7 +80,7 @@ def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph between files: every relation that leads somewhere, once a pair and relation; a subscription leads from its event's end to the subscriber."""
     r = relations(spark, sf_dir).withColumn("end", F.coalesce("target_file", "resource_id")).where("end is not null")
     flip = F.coalesce(F.col("operation") == "subscribe", F.lit(False))
@@ -156,15 +127,6 @@ SQL = {
         CASE WHEN kind = 'database' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'read' ELSE 'write' END WHEN kind = 'event' THEN CASE l_linenumber % 3 WHEN 0 THEN 'subscribe' WHEN 1 THEN 'publish' END END AS operation,
         CASE WHEN l_linestatus = 'F' THEN 'confirmed' ELSE 'inferred' END AS confidence, kind || ' ' || l_partkey || ' ' || l_returnflag AS detail, 'part' || l_partkey AS symbol FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "module_files": "SELECT 'supplier/' || s_suppkey AS file, n_name AS module FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'customer/' || c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    "nodes": """SELECT n_name AS id, n_name AS title, 'module' AS kind, ['domain-service', 'api-boundary', 'data-access', 'test-surface', 'external-integration', 'shared-utility'][n_nationkey % 6 + 1] AS category,
-        ['service', 'api', 'data', 'test', 'external', 'utility'][n_nationkey % 6 + 1] AS node_type, ['domain', 'api', 'data', 'test', 'integration', 'infrastructure'][n_nationkey % 6 + 1] AS layer,
-        [CASE WHEN n_nationkey % 2 = 0 THEN 'backend' ELSE 'frontend' END, CASE WHEN n_nationkey % 3 = 0 THEN 'data' ELSE 'shared' END] AS stacks, lower(r_name) AS domain, ['src/' || lower(n_name) || ['.ts', 'Controller.ts', '.test.ts'][n_nationkey % 3 + 1]] AS files,
-        CASE WHEN n_nationkey % 8 = 7 THEN 'event' END AS resource_kind, CASE WHEN n_nationkey % 9 = 8 THEN 'manual' END AS origin, [r_name, r_name || '/' || n_nationkey % 2] AS group_path FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "edges": """SELECT source, target, relation, min(confidence) AS confidence, max(event_id) AS event_id, max(origin) AS origin, count(*) AS n_relations, source || ':' || target || ':' || relation AS id FROM (
-        SELECT a.n_name AS source, b.n_name AS target, ['calls', 'depends_on', 'publishes_event', 'subscribes_event', 'tests', 'reads'][l_partkey % 6 + 1] AS relation, CASE WHEN l_linestatus = 'F' THEN 'confirmed' ELSE 'inferred' END AS confidence,
-        CASE WHEN l_partkey % 12 = 2 THEN 'topic' || l_partkey % 3 END AS event_id, CASE WHEN l_partkey % 23 = 0 THEN 'manual' END AS origin
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey
-        WHERE l_quantity >= 49 AND l_discount >= 0.09 AND o_orderpriority LIKE '1%' AND s_nationkey % 7 <> c_nationkey % 5) GROUP BY source, target, relation""",
     "endpoints": """SELECT 'q' || page_id AS id, 'request' AS kind, 'page' || page_id AS file, CASE WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, path, CASE WHEN page_id % 3 <> 0 THEN host END AS service, host AS origin, 'confirmed' AS confidence
         FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages)
         UNION ALL SELECT 'r:' || host || '/' || lang, 'route', host || '.go', 'GET', '/' || lang || '/:id', host, host, CASE WHEN length(host) % 2 = 0 THEN 'confirmed' ELSE 'inferred' END
@@ -173,13 +135,13 @@ SQL = {
     "messages": "SELECT conv_id AS diagram, turn, role AS sender, CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END AS receiver, CASE WHEN turn % 2 = 0 THEN 'call' ELSE 'return' END AS kind, text, CASE WHEN turn % 4 <> 3 THEN length(text) END AS evidence FROM conversations",
 }
 
-SQL["file_nodes"] = """SELECT id, id AS title, 'module' AS kind, ['domain-service', 'api-boundary', 'data-access', 'test-surface', 'external-integration', 'shared-utility'][k % 6 + 1] AS category,
+SQL["nodes"] = """SELECT id, id AS title, 'module' AS kind, ['domain-service', 'api-boundary', 'data-access', 'test-surface', 'external-integration', 'shared-utility'][k % 6 + 1] AS category,
     ['service', 'api', 'data', 'test', 'external', 'utility'][k % 6 + 1] AS node_type, ['domain', 'api', 'data', 'test', 'integration', 'infrastructure'][k % 6 + 1] AS layer,
     [CASE WHEN k % 2 = 0 THEN 'backend' ELSE 'frontend' END, CASE WHEN k % 3 = 0 THEN 'data' ELSE 'shared' END] AS stacks, lower(region) AS domain, ['src/' || id || ['.ts', 'Controller.ts', '.test.ts'][k % 3 + 1]] AS files,
     resource_kind, CASE WHEN k % 9 = 8 THEN 'manual' END AS origin, [region, region || '/' || k % 2] AS group_path
     FROM (SELECT 'supplier/' || s_suppkey AS id, s_suppkey AS k, r_name AS region, NULL AS resource_kind FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 'customer/' || c_custkey, c_custkey, r_name, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'resource/' || range, range, 'SHARED', 'event' FROM range(5))"""
-SQL["file_edges"] = f"""SELECT source, target, relation, min(confidence) AS confidence, max(event_id) AS event_id, max(origin) AS origin, count(*) AS n_relations, source || ':' || target || ':' || relation AS id FROM (
+SQL["edges"] = f"""SELECT source, target, relation, min(confidence) AS confidence, max(event_id) AS event_id, max(origin) AS origin, count(*) AS n_relations, source || ':' || target || ':' || relation AS id FROM (
     SELECT CASE WHEN operation = 'subscribe' THEN coalesce(target_file, resource_id) ELSE source_file END AS source, CASE WHEN operation = 'subscribe' THEN source_file ELSE coalesce(target_file, resource_id) END AS target,
         CASE kind WHEN 'import' THEN 'depends_on' WHEN 'call' THEN 'calls' WHEN 'http' THEN CASE WHEN target_file IS NOT NULL THEN 'http_contract' ELSE 'external_api' END WHEN 'database' THEN operation || 's'
             ELSE CASE operation WHEN 'publish' THEN 'publishes_event' WHEN 'subscribe' THEN 'subscribes_event' ELSE kind END END AS relation,
@@ -190,12 +152,3 @@ SQL["file_edges"] = f"""SELECT source, target, relation, min(confidence) AS conf
 def with_views(query: str, *names: str, recursive: bool = False) -> str:
     """query with the named views in front."""
     return f"WITH {'RECURSIVE ' * recursive}" + ", ".join(f"b_{n} AS ({SQL[n]})" for n in names) + (", " if query.lstrip()[:1] == "," else " ") + query.lstrip().removeprefix(",")
-
-
-def over_files(sql: str, *constants: tuple[str, str]) -> str:
-    """The SQL of a query over the graph between nations, for the graph between files; constants that name nodes are changed with it."""
-    for old, new in constants:
-        sql = sql.replace(old, new)
-    for view in ("nodes", "edges"):
-        sql = sql.replace(f"b_{view} AS ({SQL[view]})", f"b_{view} AS ({SQL['file_' + view]})")
-    return sql

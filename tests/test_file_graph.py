@@ -7,8 +7,8 @@ ROOT = "customer/7"
 
 
 def graph_of(spark, small):
-    edges = {(r["source"], r["target"]) for r in B.file_edges(spark, small).select("source", "target").collect()}
-    ids = {r["id"] for r in B.file_nodes(spark, small).select("id").collect()}
+    edges = {(r["source"], r["target"]) for r in B.edges(spark, small).select("source", "target").collect()}
+    ids = {r["id"] for r in B.nodes(spark, small).select("id").collect()}
     after = {i: set() for i in ids}
     for a, b in edges:
         after[a].add(b)
@@ -34,7 +34,7 @@ def run(spark, small, name):
 
 def test_every_located_relation_is_in_an_edge(spark, small):
     located = B.relations(spark, small).where("target_file is not null or resource_id is not null").count()
-    edges = B.file_edges(spark, small)
+    edges = B.edges(spark, small)
     assert edges.groupBy().sum("n_relations").first()[0] == located > 5000
     assert edges.count() == edges.select("id").distinct().count()
     ids, pairs, _ = graph_of(spark, small)
@@ -44,7 +44,7 @@ def test_every_located_relation_is_in_an_edge(spark, small):
 def test_reachable(spark, small):
     _, _, after = graph_of(spark, small)
     want = steps_from(ROOT, after)
-    assert {r["id"]: r["steps"] for r in run(spark, small, "g1_reachable_files")} == want and max(want.values()) > 1
+    assert {r["id"]: r["steps"] for r in run(spark, small, "g1_reachable")} == want and max(want.values()) > 1
 
 
 def test_components(spark, small):
@@ -52,31 +52,31 @@ def test_components(spark, small):
     both = {i: set(after[i]) for i in ids}
     for a, b in edges:
         both[b].add(a)
-    assert {r["id"]: r["component"] for r in run(spark, small, "g2_components_files")} == {i: min(steps_from(i, both)) for i in ids}
+    assert {r["id"]: r["component"] for r in run(spark, small, "g2_components")} == {i: min(steps_from(i, both)) for i in ids}
 
 
 def test_strong_components_condensed_and_layers(spark, small):
     ids, edges, after = graph_of(spark, small)
     parts = parts_of(ids, after)
     size = {c: sum(p == c for p in parts.values()) for c in set(parts.values())}
-    assert {r["id"]: (r["component"], r["cyclic"]) for r in run(spark, small, "g3_strong_components_files")} == {i: (c, size[c] > 1 or (i, i) in edges) for i, c in parts.items()}
+    assert {r["id"]: (r["component"], r["cyclic"]) for r in run(spark, small, "g3_strong_components")} == {i: (c, size[c] > 1 or (i, i) in edges) for i, c in parts.items()}
     flat = {(parts[a], parts[b]) for a, b in edges if parts[a] != parts[b]}
-    assert {(r["source"], r["target"]) for r in run(spark, small, "g4_condensed_files")} == flat
+    assert {(r["source"], r["target"]) for r in run(spark, small, "g4_condensed")} == flat
     depth = dict.fromkeys(size, 0)
     for _ in size:
         for a, b in flat:
             depth[b] = max(depth[b], depth[a] + 1)
-    assert {r["id"]: r["depth"] for r in run(spark, small, "g6_layers_files")} == depth and max(depth.values()) > 0
+    assert {r["id"]: r["depth"] for r in run(spark, small, "g6_layers")} == depth and max(depth.values()) > 0
 
 
 def test_areas_place_every_file_once(spark, small):
     ids, _, _ = graph_of(spark, small)
-    n = {r["id"]: r for r in B.file_nodes(spark, small).collect()}
-    got = {r["module"]: r["area"] for r in run(spark, small, "g9_areas_files")}
+    n = {r["id"]: r for r in B.nodes(spark, small).collect()}
+    got = {r["module"]: r["area"] for r in run(spark, small, "g9_areas")}
     assert set(got) == ids
     label = {i: n[i]["domain"] if len(i) % 4 and n[i]["category"] not in ("shared-utility", "test-surface", "external-integration") else None for i in ids}
     near = {i: set() for i in ids}
-    for r in B.file_edges(spark, small).where("confidence = 'confirmed'").collect():
+    for r in B.edges(spark, small).where("confidence = 'confirmed'").collect():
         if label[r["source"]] and label[r["source"]] == label[r["target"]]:
             near[r["source"]].add(r["target"])
             near[r["target"]].add(r["source"])
@@ -93,8 +93,8 @@ def test_areas_place_every_file_once(spark, small):
 def test_fingerprint_sees_every_edge(spark, small):
     from lodestrata.operators import graph
 
-    n, e = B.file_nodes(spark, small), B.file_edges(spark, small)
+    n, e = B.nodes(spark, small), B.edges(spark, small)
     one = e.orderBy("id").first()
     less = e.where((e["source"] != one["source"]) | (e["target"] != one["target"]))
-    got = run(spark, small, "g13_fingerprint_files")
+    got = run(spark, small, "g13_fingerprint")
     assert got == graph.fingerprint(n.repartition(3), e.repartition(5)).collect() != graph.fingerprint(n, less).collect()
