@@ -152,7 +152,7 @@ def clusters(files: DataFrame, relations: DataFrame) -> DataFrame:
 
 def categories(clustered: DataFrame) -> DataFrame:
     """Category of each cluster: by kind, else by what most of its files are."""
-    signals = settled(clustered.withColumn("signals", X.role_signals(F.col("file"), F.col("kind") == "external")))
+    signals = settled(clustered.withColumn("signals", X.role_signals(F.col("file"), F.col("kind"))))
     files = signals.withColumn("category", X.category_of_signals(F.col("signals")))
     by_files = majority(files, "cluster", "category", X.mapped(F.col("category"), {k: str(v) for k, v in RANKS.items()}).cast("int")).select("cluster", F.col("category").alias("most"))
     heads = clustered.groupBy("cluster").agg(F.min_by("kind", F.struct(F.col("key") != F.col("cluster"), F.col("file"))).alias("kind"), F.bool_or(F.col("anchor").isNotNull() | (F.col("name") == "shared-contracts")).alias("anchored"), F.count("*").alias("files"))
@@ -166,7 +166,7 @@ def diagnostics(clustered: DataFrame, categorised: DataFrame, previous: DataFram
     """What a reader should look at, one row a finding: (code, subject, n)."""
     lineage = clustered.select("file", "cluster").join(previous.select("file", F.col("module").alias("previous")), "file").select("cluster", "previous").distinct()
     several = lambda by, of: lineage.groupBy(by).agg(F.countDistinct(of).alias("n")).where("n > 1")
-    signals = clustered.select("file", F.size(X.role_signals(F.col("file"), F.col("kind") == "external")).alias("n")).where("n > 1")
+    signals = clustered.select("file", F.size(X.role_signals(F.col("file"), F.col("kind"))).alias("n")).where("n > 1")
     parts = [
         categorised.where("category = 'unknown'").select(F.lit("unknown-files").alias("code"), F.col("cluster").alias("subject"), F.col("files").alias("n")),
         categorised.where(F.col("files") > MOST_FILES).select(F.lit("oversized-module").alias("code"), F.col("cluster").alias("subject"), F.col("files").alias("n")),

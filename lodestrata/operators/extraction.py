@@ -14,7 +14,26 @@ from pyspark.sql import types as T
 from ..functions import scalars as X
 
 MOST_BYTES = 220_000
+# HTTP in source text: kind, what stands before the verb, the verbs (None: it is a GET without one), what stands behind, the quotes of the path.
 VERBS = "get|post|put|patch|delete|options|head"
+SPOKEN = [
+    ("request", r"\bfetch", None, "", "`\"'"),
+    ("request", r"(?i)\b(?:axios|http|client)\.", VERBS, "", "`\"'"),
+    ("route", r"(?i)\b(?:app|router)\.", VERBS, "", "\"'"),
+    ("route", r"(?i)@\w+\.", VERBS, "", "\"'"),
+    ("route", "@", "Get|Post|Put|Patch|Delete", "Mapping", "\"'"),
+    ("route", r"\.", "GET|POST|PUT|PATCH|DELETE", "", "\""),
+]
+# What an external call does: by what its name begins with, holds or is (the second column says whether case counts), first match first;
+# a call whose first literal is an address is an http call too.
+ADDRESS = r"^https?://"
+EXTERNAL = [
+    ("http", True, r"^(fetch|axios(\.|$)|request|got\.|http\.|https\.)"),
+    ("database", False, r"(prisma|sequelize|mongoose|knex|repository|db|database)\."),
+    ("filesystem", True, r"^(fs\.|readFile|writeFile)"),
+    ("process", True, r"^(spawn|exec|execFile|fork)$"),
+    ("queue", False, r"(publish|subscribe|enqueue|queue|emit)\b"),
+]
 
 
 def analyzer(path: Column) -> Column:
@@ -44,24 +63,17 @@ def text_facts(files: DataFrame) -> DataFrame:
     return files.select("path", imports.alias("imports"), symbols.alias("symbols"), calls.alias("calls"))
 
 
-def _pairs(pattern: str, kind: str) -> Column:
-    """Method and path of all matches of a pattern with these two groups."""
-    zipped = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("method"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("path"))
-    return F.transform(zipped, lambda x: F.struct(F.lit(kind).alias("kind"), X.http_method(x["method"]).alias("method"), x["path"].alias("path")))
+def _spoken(kind: str, before: str, verbs: str | None, behind: str, quotes: str) -> Column:
+    """What a rule of SPOKEN finds in content: kind, method, path of each match."""
+    opened = r"\s*\(\s*" + (r"(?:value\s*=\s*)?" if behind else "")
+    pattern = F.lit(f"{before}({verbs or ''}){behind}{opened}[{quotes}]([^{quotes}]+)[{quotes}]")
+    method, path = (F.regexp_extract_all("content", pattern, F.lit(group)) for group in (1, 2))
+    return F.zip_with(method, path, lambda m, p: F.struct(F.lit(kind).alias("kind"), (F.lit("GET") if verbs is None else X.http_method(m)).alias("method"), p.alias("path")))
 
 
 def endpoints(files: DataFrame) -> DataFrame:
     """files(path, content): HTTP requests and routes, the first of each kind, method and normal path."""
-    quoted = "([^`\"']+)[`\"']"
-    get = F.transform(F.regexp_extract_all("content", F.lit(rf"\bfetch\s*\(\s*[`\"']{quoted}"), F.lit(1)), lambda p: F.struct(F.lit("request").alias("kind"), F.lit("GET").alias("method"), p.alias("path")))
-    found = F.concat(
-        get,
-        _pairs(rf"(?i)\b(?:axios|http|client)\.({VERBS})\s*\(\s*[`\"']{quoted}", "request"),
-        _pairs(rf"(?i)\b(?:app|router)\.({VERBS})\s*\(\s*[\"']([^\"']+)[\"']", "route"),
-        _pairs(rf"(?i)@\w+\.({VERBS})\s*\(\s*[\"']([^\"']+)[\"']", "route"),
-        _pairs(r"@(Get|Post|Put|Patch|Delete)Mapping\s*\(\s*(?:value\s*=\s*)?[\"']([^\"']+)[\"']", "route"),
-        _pairs(r"\.(GET|POST|PUT|PATCH|DELETE)\s*\(\s*\"([^\"]+)\"", "route"),
-    )
+    found = F.concat(*[_spoken(*rule) for rule in SPOKEN])
     rows = files.select(F.col("path").alias("file"), F.posexplode(found).alias("pos", "e")).select("file", "pos", "e.*").withColumn("normal", X.http_path(F.col("path")))
     return rows.groupBy("file", "kind", "method", "normal").agg(F.min("pos").alias("pos"), F.min_by("path", "pos").alias("path"))
 
@@ -71,10 +83,11 @@ def rendered(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"<([A-Z][A-Za-z0-9]*(?:\.[A-Z][A-Za-z0-9]*)*)[\s/>]"), F.lit(1)))).alias("component"))
 
 
-def external_kind(name: Column) -> Column:
-    """What an external call does, by its name."""
-    low = F.lower(name)
-    return F.when(low.rlike("fetch|axios|http|request"), F.lit("http")).when(low.rlike("query|sql|prisma|database|db\\."), F.lit("database")).when(low.rlike("readfile|writefile|(^|\\.)fs\\.|open$"), F.lit("filesystem")).when(low.rlike("exec|spawn|fork|subprocess"), F.lit("process")).when(low.rlike("emit|publish|subscribe|dispatch"), F.lit("event"))
+def external_kind(name: Column, literal: Column | None = None) -> Column:
+    """What an external call does, by its name and, if known, its first literal argument; null for what is none."""
+    addressed = F.lit(False) if literal is None else F.coalesce(literal.rlike(ADDRESS), F.lit(False))
+    fits = [(kind, name.rlike(pattern if cased else f"(?i){pattern}")) for kind, cased, pattern in EXTERNAL]
+    return F.coalesce(*[F.when(here | addressed if kind == "http" else here, F.lit(kind)) for kind, here in fits])
 
 
 PYTHON_FACTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("fact", T.StringType()), T.StructField("name", T.StringType()), T.StructField("scope", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("arity", T.IntegerType())])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import dedupe, extraction, graph, sequences, views
+from ..operators import dedupe, extraction, graph, measures, sequences, views
 from ..sources import bridge as B
+from ..sources import configs
 from ..sources import files as S
 from ..sources import sinks
 from .registry import query
@@ -84,15 +85,111 @@ def _(spark, d):
     return B.files(spark, d).groupBy(extraction.analyzer(F.col("path")).alias("analyzer")).agg(F.count("*").alias("n"))
 
 
-@query("e5_links", "SELECT page_id, count(*) AS n, min(link) AS first FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages) GROUP BY page_id")
+_CALLS = ["fetch", "axios.get", "db.users.find", "prisma.user.create", "fs.readFileSync", "readFile", "spawn", "execFile", "events.publish", "taskQueue", "prefetchX", "queryBuilder", "https.get", "render", "job.enqueue"]
+_DOES = ["http", "http", "database", "database", "filesystem", "filesystem", "process", "process", "queue", "queue", None, None, "http", None, "queue"]
+
+
+def _code_of_pages(spark, d):
+    """A source file a page, which requests the page and serves its host."""
+    p = B.table(spark, d, "pages").select("page_id", X.url_path(F.col("url")).alias("at"))
+    spoken = F.element_at(F.array(*map(F.lit, ["fetch(`{}?x=1`)", "Axios.post('{}')", "router.PUT(\"{}\", f)", "@bp.delete('{}')", "@PatchMapping(value = \"{}\")", "g.POST(\"{}\", h)", "other.get({})"])), (F.col("page_id") % 7 + 1).cast("int"))
+    return p.select(F.concat(F.lit("f"), "page_id", F.lit(".ts")).alias("path"), F.concat(F.replace(spoken, F.lit("{}"), F.col("at")), F.lit("\napp.get('/all/:id')\napp.get('/all/{key}')")).alias("content"))
+
+
+@query("e5_endpoints", "SELECT 'f' || page_id || '.ts' AS file, kind, method, normal FROM (SELECT page_id, ['request', 'request', 'route', 'route', 'route', 'route'][page_id % 7 + 1] AS kind, ['GET', 'POST', 'PUT', 'DELETE', 'PATCH', 'POST'][page_id % 7 + 1] AS method, '/' || array_to_string(list_filter(string_split(regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> ''), '/') AS normal FROM pages WHERE page_id % 7 < 6) UNION ALL SELECT 'f' || page_id || '.ts', 'route', 'GET', '/all/:param' FROM pages")
+def _(spark, d):
+    return extraction.endpoints(_code_of_pages(spark, d)).select("file", "kind", "method", "normal")
+
+
+@query("e7_external_kind", f"SELECT event_id, CASE WHEN event_id % 29 = 0 THEN 'http' ELSE [{', '.join('NULL' if x is None else repr(x) for x in _DOES)}][event_id % 15 + 1] END AS external FROM events")
+def _(spark, d):
+    name = F.element_at(F.array(*map(F.lit, _CALLS)), (F.col("event_id") % 15 + 1).cast("int"))
+    literal = F.when(F.col("event_id") % 29 == 0, F.lit("https://x.example/y"))
+    return B.table(spark, d, "events").select("event_id", extraction.external_kind(name, literal).alias("external"))
+
+
+def _python_of_parts(spark, d):
+    """A Python file a part: a class with a base, a method that calls, an import; every tenth has an error."""
+    k = F.col("p_partkey").cast("string")
+    broken = F.when(F.col("p_partkey") % 10 == 0, F.lit("def (:\n")).otherwise(F.lit(""))
+    code = F.concat(broken, F.lit("from pkg.m"), k, F.lit(" import a\nclass C"), k, F.lit("(Base):\n    def run(self, x, y):\n        return a.go(x, y)\n"))
+    return B.table(spark, d, "part").select(F.concat(F.lit("p"), k, F.lit(".py")).alias("path"), code.alias("content"))
+
+
+@query("e10_python_facts", "SELECT 'p' || p_partkey || '.py' AS path, f.fact, f.name, f.scope, f.line, f.arity FROM part, LATERAL (VALUES ('import', 'pkg.m' || p_partkey || '.a', '', 1, NULL), ('class', 'C' || p_partkey, '', 2, NULL), ('inherit', 'Base', 'C' || p_partkey, 2, NULL), ('function', 'run', 'C' || p_partkey, 3, 3), ('call', 'a.go', 'C' || p_partkey || '.run', 4, 2)) f(fact, name, scope, line, arity) WHERE p_partkey % 10 <> 0 UNION ALL SELECT 'p' || p_partkey || '.py', 'error', 'SyntaxError', '', 1, NULL FROM part WHERE p_partkey % 10 = 0")
+def _(spark, d):
+    return extraction.python_facts(_python_of_parts(spark, d))
+
+
+@query("e3_text_facts", "SELECT 'p' || p_partkey || '.py' AS path, 'pkg.m' || p_partkey AS imports, 'C' || p_partkey || ',run' AS symbols, 'C' || p_partkey || ',run,a.go' AS calls FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT 'p' || p_partkey || '.py', 'pkg.m' || p_partkey, 'C' || p_partkey || ',run', 'def,C' || p_partkey || ',run,a.go' FROM part WHERE p_partkey % 10 = 0")
+def _(spark, d):
+    f = extraction.text_facts(_python_of_parts(spark, d))
+    return f.select("path", *[F.array_join(c, ",").alias(c) for c in ("imports", "symbols", "calls")])
+
+
+@query("e6_rendered", "SELECT 's' || s_suppkey AS path, unnest(['App', 'Ui.Row' || s_suppkey]) AS component FROM supplier")
+def _(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    code = F.concat(F.lit("<App a={1}><div><Ui.Row"), k, F.lit(" /><App></App></div></App>"))
+    return extraction.rendered(B.table(spark, d, "supplier").select(F.concat(F.lit("s"), k).alias("path"), code.alias("content")))
+
+
+@query("e12_structured", "SELECT event_id AS id, CASE WHEN event_id % 4 <> 3 THEN '{\"id\":' || event_id || '}' END AS json FROM events")
+def _(spark, d):
+    k = F.col("event_id").cast("string")
+    own = F.concat(F.lit('{"id": '), k, F.lit("}"))
+    text = F.element_at(F.array(F.concat(F.lit("so: "), own, F.lit(" ok")), F.concat(F.lit('{"no": 1}\n```json\n'), own, F.lit("\n```")), F.concat(F.lit('{"result": "'), F.replace(own, F.lit('"'), F.lit('\\"')), F.lit('"}')), F.lit("{broken")), (F.col("event_id") % 4 + 1).cast("int"))
+    return extraction.structured(B.table(spark, d, "events").select(F.col("event_id").alias("id"), text.alias("text")), "id")
+
+
+@query("e13_checked", "SELECT l_orderkey AS id, CAST(l_partkey AS VARCHAR) AS item, 'unknown' AS problem FROM lineitem WHERE l_partkey % 9 = 0 GROUP BY ALL UNION ALL SELECT l_orderkey, CAST(l_partkey AS VARCHAR), 'duplicate' FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def _(spark, d):
+    item = F.col("p_partkey").cast("string").alias("item")
+    answers = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").cast("string").alias("item"))
+    return extraction.checked(answers, B.table(spark, d, "part").where("p_partkey % 9 <> 0").select(item))
+
+
+@query("s15_numstat", "SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END AS additions, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_chars END AS deletions FROM documents")
+def _(spark, d):
+    count = lambda c: F.when(F.col("doc_id") % 5 == 0, F.lit("-")).otherwise(F.col(c).cast("string"))
+    return S.numstat(B.table(spark, d, "documents").select(F.concat_ws("\t", count("doc_id"), count("n_chars"), F.concat(F.lit("f"), "doc_id")).alias("line")))
+
+
+@query("s10_packages", "SELECT path, format, name, version, members, dependencies FROM (SELECT c_custkey AS k, 'c' || k || '/' || ['package.json', 'pyproject.toml', 'go.mod', 'pnpm-workspace.yaml', 'pom.xml', 'tsconfig.json', 'x.ini'][k % 7 + 1] AS path, ['npm', 'python', 'go', 'pnpm', 'maven', 'tsconfig', 'other'][k % 7 + 1] AS format, ['n' || k, 'n' || k, 'example.org/n' || k, NULL, 'n' || k, NULL, NULL][k % 7 + 1] AS name, ['1.' || k, '1.' || k, NULL, NULL, '1.' || k, NULL, NULL][k % 7 + 1] AS version, ['libs/*', '', './a', 'apps/' || k || ',libs', 'core', 'src', ''][k % 7 + 1] AS members, ['left,right', 'left', 'example.com/m' || k, '', 'left', '../lib', ''][k % 7 + 1] AS dependencies FROM customer)")
+def _(spark, d):
+    texts = [
+        ("package.json", '{"name": "n#", "version": "1.#", "workspaces": ["libs/*"], "dependencies": {"right": "1"}, "devDependencies": {"left": "2"}}'),
+        ("pyproject.toml", '[project]\nname = "n#"\nversion = "1.#"\ndependencies = ["left>=1"]'),
+        ("go.mod", "module example.org/n#\n\nrequire example.com/m# v1.2.3\n\nuse ./a\n"),
+        ("pnpm-workspace.yaml", "packages:\n  - 'apps/#'\n  - libs\nother: 1\n"),
+        ("pom.xml", "<project><artifactId>n#</artifactId><version>1.#</version><modules><module>core</module></modules><dependencies><dependency><artifactId>left</artifactId></dependency></dependencies></project>"),
+        ("tsconfig.json", '// all\n{"include": ["src",], "references": [{"path": "../lib"}]}'),
+        ("x.ini", "a=#"),
+    ]
+    pick = lambda i: F.element_at(F.array(*[F.lit(t[i]) for t in texts]), (F.col("c_custkey") % 7 + 1).cast("int"))
+    k = F.col("c_custkey").cast("string")
+    files = B.table(spark, d, "customer").select(F.concat(F.lit("c"), k, F.lit("/"), pick(0)).alias("path"), F.replace(pick(1), F.lit("#"), k).alias("content"))
+    found = configs.packages(files)
+    return found.select("path", "format", "name", "version", F.array_join("members", ",").alias("members"), F.array_join("dependencies", ",").alias("dependencies"))
+
+
+@query("j25_scopes", B.with_views("SELECT DISTINCT 'typescript:' || regexp_replace(path, '/[^/]*$', '') AS scope, 'typescript' AS language, regexp_replace(path, '/[^/]*$', '') AS root FROM b_files WHERE doc_id % 3 = 0 UNION SELECT 'go:' || regexp_replace(path, '/[^/]*$', ''), 'go', regexp_replace(path, '/[^/]*$', '') FROM b_files WHERE doc_id % 3 = 1", "files"))
+def _(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ["/package.json", "/go.mod", "/readme"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    return configs.scopes(B.files(spark, d).select(F.concat(X.parent(F.col("path")), name).alias("path")))
+
+
+@query("a28_timings", "SELECT o_orderkey AS id, epoch_ms(max(l_shipdate)) - epoch_ms(min(l_shipdate)) AS span FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def _(spark, d):
-    links = B.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link"))
-    return links.groupBy("page_id").agg(F.count("*").alias("n"), F.min("link").alias("first"))
+    s = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_shipdate").cast("timestamp").alias("a"), F.max("l_shipdate").cast("timestamp").alias("b"))
+    events = s.select("id", F.explode(F.array(F.struct(F.lit("begin").alias("stage"), F.col("a").alias("at")), F.struct(F.lit("end").alias("stage"), F.col("b").alias("at")))).alias("e")).select("id", "e.*")
+    return measures.timings(events, ["begin", "end"]).select("id", F.col("begin_end").cast("long").alias("span"))
 
 
-@query("e7_external_kind", B.with_views("SELECT external, count(*) AS n FROM (SELECT CASE WHEN kind = 'http' THEN 'http' WHEN kind = 'database' THEN 'database' END AS external FROM b_relations) GROUP BY external", "relations"))
+@query("a29_execution_summary", B.with_views(", d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM b_edges UNION ALL SELECT target FROM b_edges) GROUP BY id), n AS (SELECT id, length(id) % 7 AS risk, length(id) % 5 AS certainty, stacks[1] AS stack FROM b_nodes) SELECT arg_max(id, (risk, id)) AS riskiest, arg_min(id, (certainty, id)) AS least_certain, (SELECT count(*) FROM d WHERE degree >= 4) AS central, (SELECT count(*) FROM b_edges JOIN n a ON source = a.id JOIN n b ON target = b.id WHERE a.stack <> b.stack) AS cross_stack FROM n", "nodes", "edges"))
 def _(spark, d):
-    return B.relations(spark, d).groupBy(extraction.external_kind(F.col("kind")).alias("external")).agg(F.count("*").alias("n"))
+    n = B.nodes(spark, d).select("id", (F.length("id") % 7).alias("risk"), (F.length("id") % 5).alias("certainty"), F.element_at("stacks", 1).alias("stack"))
+    return measures.execution_summary(n, B.edges(spark, d))
 
 
 @query("x1_language", B.with_views(f"SELECT path, {_case(_ALL)} AS language FROM b_files", "files"))
@@ -173,9 +270,9 @@ _SIGNALS = f"""CASE WHEN {_TEST} THEN ['test-surface'] ELSE list_filter([CASE WH
     CASE WHEN regexp_matches({_CTX}, 'worker|queue|consumer|cron|scheduler') THEN 'job-worker' END], lambda x: x IS NOT NULL) END"""
 
 
-@query("x18_role_signals", B.with_views(f", s AS (SELECT path, {_SIGNALS} AS s FROM b_files) SELECT path, array_to_string(CASE WHEN len(s) = 0 THEN ['domain-service'] ELSE s END, ',') AS signals FROM s", "files"))
+@query("x18_role_signals", B.with_views(f", s AS (SELECT path, {_SIGNALS} AS s FROM b_files) SELECT path, array_to_string(CASE WHEN s = ['test-surface'] THEN s WHEN length(path) % 5 = 0 THEN ['external-integration'] WHEN len(s) = 0 THEN [CASE WHEN length(path) % 5 = 1 THEN 'unknown' ELSE 'domain-service' END] ELSE s END, ',') AS signals FROM s", "files"))
 def _(spark, d):
-    return B.files(spark, d).select("path", F.array_join(X.role_signals(F.col("path")), ",").alias("signals"))
+    return B.files(spark, d).select("path", F.array_join(X.role_signals(F.col("path"), F.element_at(F.array(*map(F.lit, ["external", "unknown", "feature", "support", "test"])), (F.length("path") % 5 + 1).cast("int"))), ",").alias("signals"))
 
 
 @query("x19_boundaries", B.with_views("SELECT path, CASE " + " ".join(f"WHEN regexp_matches(lower(path), '{p}') THEN {i}" for i, p in enumerate(X.BOUNDARIES)) + " ELSE -1 END AS priority FROM b_files", "files"))
