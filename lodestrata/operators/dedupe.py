@@ -45,8 +45,10 @@ def dictionary(df: DataFrame, column: str, ordinal: str) -> DataFrame:
 
 
 def with_number(df: DataFrame, order: list[str], name: str, buckets: int = 64) -> DataFrame:
-    """Adds a gapless number from 0 in a total order: a range partitioning, counts a partition, and places within partitions."""
-    spread = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
+    """Adds a gapless number from 0 in a total order: a range partitioning, kept in a table as it fell, counts a partition, and places within partitions."""
+    from .graph import settled
+
+    spread = settled(df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
     counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # `buckets` rows
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from lodestrata.plans import graph_queries, registry, scalar_queries  # noqa: F401
+from lodestrata.plans import assembly_queries, graph_queries, registry, scalar_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
