@@ -49,6 +49,8 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: What may begin at a "<"; and a run within a tag, up to its end, a value or the end of the page.
 OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: A slash that ends a tag, not one of an unquoted value.
+CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 INSIDE = re.compile(r"""[^>=]*(?:(>)|=\s*(["']?)|\Z)""")
 
 
@@ -188,7 +190,7 @@ def parse(page: str) -> Element:
                 if up.named:
                     up.skip = False
                 up = up.parent if not up.inside else None
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or CLOSED.search(attributes) and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             low = page.lower() if low is None else low
