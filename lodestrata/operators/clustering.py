@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from .graph import settled
+from .graph import settled, set_hash
 from .relations import majority
 
 # Folder and file names that name no feature.
@@ -189,7 +189,7 @@ def areas(modules: DataFrame, links: DataFrame, components) -> DataFrame:
     inside = links.join(a, "source").join(b, "target").where("s1 = s2 and l1 = l2").select("source", "target").distinct()
     parts = components(open_.select(F.col("module").alias("id")), inside).withColumnRenamed("id", "module")
     placed = open_.join(parts, "module")
-    sums = placed.groupBy("component").agg(F.bool_or("strong").alias("any_strong"), F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("module")), "\0"), 256).alias("h")).where("any_strong or n >= 2")
+    sums = placed.groupBy("component").agg(F.bool_or("strong").alias("any_strong"), F.count("*").alias("n"), set_hash(F.col("module")).alias("h")).where("any_strong or n >= 2")
     grouped = placed.join(sums, "component").select("module", F.concat(F.lit("group:function:"), "scope", F.lit(":"), "label", F.when(F.col("any_strong"), F.lit("")).otherwise(F.concat(F.lit(":"), F.substring("h", 1, 12)))).alias("area"))
     users = links.join(grouped.select(F.col("module").alias("source"), F.col("area").alias("user_area")), "source").groupBy(F.col("target").alias("module")).agg(F.countDistinct("user_area").alias("users"))
     rest = modules.join(grouped.select("module"), "module", "left_anti").join(users, "module", "left")

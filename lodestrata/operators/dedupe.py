@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row a key: the first in order, which must end in something unique."""
+    """One row a key: the first in order, which must end in something unique.  By plain columns it is an aggregate, combined before the shuffle."""
+    if all(isinstance(c, str) for c in order):
+        rest = [c for c in df.columns if c not in keys]
+        best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+        return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 

@@ -9,14 +9,26 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir.  Where that is unset, a folder of our own if Spark runs on this machine alone; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-rounds")).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-rounds")
+    return found.rstrip("/")
+
+
+def set_hash(values: Column) -> Column:
+    """An aggregate: one hash of a set of texts (each there once), whatever their order.  Four sums of parts of their SHA-256, which combine before
+    the shuffle; no list is gathered."""
+    digest = F.sha2(values, 256)
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[p.cast("string") for p in parts]), 256)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -118,10 +130,9 @@ def layers(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Dat
 
 
 def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One hash of a graph's topology.  Hashes of nodes and edges are combined by bucket first, so that no task holds the whole graph."""
+    """One hash of a graph's topology."""
     keys = nodes.select(F.concat(F.lit("n:"), "id").alias("k")).unionByName(edges.select(F.concat(F.lit("e:"), "source", F.lit(">"), "target").alias("k"))).distinct()
-    parts = keys.select(F.sha2("k", 256).alias("h")).groupBy(F.substring("h", 1, 2).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ","), 256).alias("fingerprint"))
+    return keys.agg(set_hash(F.col("k")).alias("fingerprint"))
 
 
 def tree(paths: DataFrame) -> DataFrame:

@@ -50,10 +50,11 @@ def module_edges(relations: DataFrame, module_files: DataFrame, categories: Data
 
 
 def relationships(relations: DataFrame, module_files: DataFrame, categories: DataFrame | None = None) -> DataFrame:
-    """Edges by (source, target, relation, confidence) with counts and the sorted sets of what they are made of."""
+    """Edges by (source, target, relation, confidence) with counts and the sorted sets of what they are made of.  Ids are unique (sorted_unique), so
+    rows are counted, and everything is combined before the one shuffle by edge."""
     edges = module_edges(relations, module_files, categories).withColumn("confidence", F.coalesce("confidence", F.lit("unrated")))
     grouped = edges.groupBy("source", "target", "relation", "confidence").agg(
-        F.countDistinct("id").alias("n_relations"),
+        F.count("*").alias("n_relations"),
         F.array_sort(F.collect_set("kind")).alias("kinds"),
         F.array_sort(F.collect_set("operation")).alias("operations"),
         F.min("detail").alias("description"),
@@ -64,9 +65,15 @@ def relationships(relations: DataFrame, module_files: DataFrame, categories: Dat
 
 
 def skip_reason(relations: DataFrame, module_files: DataFrame) -> DataFrame:
-    """Relations that make no edge, with the reason."""
-    edges = module_edges(relations, module_files).select("id").distinct()
-    rest = with_modules(relations, module_files).join(edges, "id", "left_anti")
+    """Relations that make no edge, with the reason: both are functions of the located row, so the ends are looked up once."""
+    return located(relations, module_files).where("not edge").drop("edge")
+
+
+def located(relations: DataFrame, module_files: DataFrame) -> DataFrame:
+    """relations with the modules at both ends, whether each makes an edge, and the reason if it makes none."""
+    placed = with_modules(relations, module_files)
+    apart = F.col("source_module") != F.col("target_module")
+    edge = F.coalesce(apart, F.lit(False)) & architecture_relation().isNotNull()
     reason = (
         F.when(F.col("target_file").isNotNull() & F.col("source_module").eqNullSafe(F.col("target_module")) & F.col("source_module").isNotNull(), F.lit("same-module"))
         .when((F.col("target_kind") == "unresolved") & (F.col("n_candidates") > 1), F.lit("ambiguous-target"))
@@ -74,7 +81,7 @@ def skip_reason(relations: DataFrame, module_files: DataFrame) -> DataFrame:
         .when(F.col("kind").isin("event", "process") & F.col("operation").isNull(), F.lit("direction-unknown"))
         .otherwise(F.lit("unlocated-target"))
     )
-    return rest.withColumn("reason", reason)
+    return placed.withColumn("edge", edge).withColumn("reason", F.when(~F.col("edge"), reason))
 
 
 def skipped(relations: DataFrame, module_files: DataFrame) -> DataFrame:
@@ -84,10 +91,9 @@ def skipped(relations: DataFrame, module_files: DataFrame) -> DataFrame:
 
 def outcomes(relations: DataFrame, module_files: DataFrame) -> DataFrame:
     """What becomes of the relations of each kind."""
-    reasons = skip_reason(relations, module_files).select("id", "reason").distinct()
     names = {"same-module": "module-internal", "external": "external", "ambiguous-target": "ambiguous", "direction-unknown": "unsupported", "unlocated-target": "unresolved"}
-    joined = relations.join(reasons, "id", "left").withColumn("outcome", F.when(F.col("reason").isNull(), F.lit("architecture-edge")).otherwise(X.mapped(F.col("reason"), names)))
-    return joined.groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+    outcome = F.when(F.col("edge"), F.lit("architecture-edge")).otherwise(X.mapped(F.col("reason"), names))
+    return located(relations, module_files).groupBy("kind", outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def module_summary(relations: DataFrame, module_files: DataFrame) -> DataFrame:

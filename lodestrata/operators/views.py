@@ -170,10 +170,10 @@ def frontier(paths: DataFrame, most: int) -> DataFrame:
 
     now, steps = shown(done), []
     while now > most:
-        best = max(((now - shown(done | {g}), g) for g in groups if g not in done), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0, ""))
-        if best[0] <= 0:
+        more, best = min(((shown(done | {g}) - now, g) for g in groups if g not in done), default=(0, ""))
+        if more >= 0:
             break
-        done.add(best[1])
-        now -= best[0]
-        steps.append((len(steps) + 1, best[1], now))
+        done.add(best)
+        now += more
+        steps.append((len(steps) + 1, best, now))
     return paths.sparkSession.createDataFrame(steps, "step int, group string, shown long")

@@ -36,8 +36,8 @@ def duck(small):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, small, duck, name):
     found = registry.QUERIES[name](spark, small).toPandas()
+    assert len(found) > 0  # an empty result would show nothing
     if name not in registry.ORACLES:
-        assert len(found) > 0
         return
     want = duck.sql(registry.ORACLES[name])
     assert sorted(want.columns) == sorted(found.columns)
