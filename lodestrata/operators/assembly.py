@@ -33,10 +33,14 @@ PARTICIPANT_WORDS = [
 # What is said of a folder, by words of its path, first match first.
 FOLDER_SENTENCES = [
     (["test", "spec", "__tests__"], "Groups regression coverage for the %s."),
-    (["component", "view", "page", "panel", "workspace", "node"], "Groups UI components and interaction surfaces for the %s."),
-    (["service", "domain", "core", "workflow", "analysis", "analyzer"], "Groups service logic and workflow orchestration for the %s."),
-    (["store", "storage", "schema", "database", "repo", "repository", "data"], "Groups storage and data handling code for the %s."),
-    (["agent", "cli", "ipc", "adapter", "bridge"], "Groups agent, command, or process-boundary integration code for the %s."),
+    (["component", "view", "page", "panel", "workspace", "node"], "Groups UI components and interaction surfaces for "
+        "the %s."),
+    (["service", "domain", "core", "workflow", "analysis", "analyzer"],
+        "Groups service logic and workflow orchestration for the %s."),
+    (["store", "storage", "schema", "database", "repo", "repository", "data"], "Groups storage and data handling code "
+        "for the %s."),
+    (["agent", "cli", "ipc", "adapter", "bridge"], "Groups agent, command, or process-boundary integration code for "
+        "the %s."),
     (["util", "helper", "shared", "common", "config"], "Groups shared support utilities for the %s."),
 ]
 # Which resources are drawn as what.
@@ -79,7 +83,8 @@ def _says(text: Column, words: list[str]) -> Column:
 
 def group_members(memberships: DataFrame) -> DataFrame:
     """memberships(group_id, module, title): the modules and titles of each group, sorted."""
-    found = memberships.groupBy("group_id").agg(F.collect_set("module").alias("modules"), F.collect_set("title").alias("titles"))
+    found = memberships.groupBy("group_id").agg(F.collect_set("module").alias("modules"), F.collect_set("title").alias(
+        "titles"))
     return found.select("group_id", F.array_sort("modules").alias("modules"), F.array_sort("titles").alias("titles"))
 
 
@@ -114,24 +119,31 @@ def rolled_up(files: DataFrame, roles: DataFrame, most: int = MOST_ROLES) -> Dat
     leaves = files.select("path").distinct().join(known, "path", "left")
     depth = F.size(F.filter(F.split("path", "/"), lambda p: p != ""))
     # path, its first file, and its roles in order: of a folder its own comes first, then those below it
-    below = leaves.select("path", F.col("path").alias("first"), depth.alias("depth"), F.array_compact(F.array("role")).alias("roles"))
+    below = leaves.select("path", F.col("path").alias("first"), depth.alias("depth"), F.array_compact(F.array("role"))
+        .alias("roles"))
     levels = below.agg(F.max("depth").alias("d")).first()["d"] or 0
     done = None
     for level in range(levels, 1, -1):
         here = below.where(F.col("depth") == level)
-        each = here.select(X.parent(F.col("path")).alias("path"), "first", F.posexplode_outer("roles").alias("pos", "role"))
+        each = here.select(X.parent(F.col("path")).alias("path"), "first", F.posexplode_outer("roles").alias("pos",
+            "role"))
         firsts = each.groupBy("path", "role").agg(F.min(F.struct("first", "pos")).alias("at"))
-        rows = F.sort_array(F.collect_list(F.when(F.col("role").isNotNull(), F.struct("at", "role"))))  # different roles
-        folder = firsts.groupBy("path").agg(F.min("at.first").alias("first"), rows.alias("rows")).join(known, "path", "left")
+        rows = F.sort_array(F.collect_list(F.when(F.col("role").isNotNull(), F.struct("at",
+            "role"))))  # different roles
+        folder = firsts.groupBy("path").agg(F.min("at.first").alias("first"), rows.alias("rows")).join(known, "path",
+            "left")
         found = F.slice(F.transform("rows", lambda x: x["role"]), 1, most)
         folder = folder.withColumn("found", found).drop("rows")
-        more = F.format_string("%s, plus %d related responsibilities.", F.regexp_replace(F.try_element_at("found", F.lit(1)), r"\.$", ""), F.size("found") - 1)
-        role = F.coalesce("role", F.when(F.size("found") == 1, F.try_element_at("found", F.lit(1))).when(F.size("found") > 1, more))
+        more = F.format_string("%s, plus %d related responsibilities.", F.regexp_replace(F.try_element_at("found",
+            F.lit(1)), r"\.$", ""), F.size("found") - 1)
+        role = F.coalesce("role", F.when(F.size("found") == 1, F.try_element_at("found", F.lit(1))).when(F.size(
+            "found") > 1, more))
         folder = folder.withColumn("role", role)
         result = folder.where("role is not null").select("path", "role")
         done = result if done is None else done.unionByName(result)
         together = F.slice(F.array_distinct(F.concat(F.array_compact(F.array("role")), "found")), 1, most + 1)
-        below = below.where(F.col("depth") < level).unionByName(folder.select("path", "first", F.lit(level - 1).alias("depth"), together.alias("roles")))
+        below = below.where(F.col("depth") < level).unionByName(folder.select("path", "first", F.lit(level - 1).alias(
+            "depth"), together.alias("roles")))
     return known.limit(0) if done is None else done
 
 
@@ -150,7 +162,8 @@ def signature(text: Column) -> Column:
 
 
 # What makes a version inexact: beginnings, signs, parts.
-INEXACT = [r"(?i)^(latest|unknown|unspecified|\*|x|\^|~|>=|<=|>|<)", r"[|*^~<>]", r"(?:^|[.\s])[xX](?:$|[.\s])", r"\s+-\s+"]
+INEXACT = [r"(?i)^(latest|unknown|unspecified|\*|x|\^|~|>=|<=|>|<)", r"[|*^~<>]", r"(?:^|[.\s])[xX](?:$|[.\s])",
+    r"\s+-\s+"]
 
 
 def exact_version(text: Column) -> Column:
@@ -180,14 +193,16 @@ def as_graph(modules: DataFrame, relationships: DataFrame, resources: DataFrame)
         F.coalesce(X.mapped(category, X.CATEGORY_LAYERS), F.lit("infrastructure")).alias("layer"),
     )
     kind = F.coalesce(X.mapped(F.col("kind"), RESOURCE_TYPES), F.lit("external"))
-    drawn = resources.select("id", "title", F.col("kind").alias("subtitle"), kind.alias("node_type"), F.lit("integration").alias("layer"))
+    drawn = resources.select("id", "title", F.col("kind").alias("subtitle"), kind.alias("node_type"), F.lit(
+        "integration").alias("layer"))
     return nodes.unionByName(drawn), relationships.select("id", "source", "target", "relation", "confidence")
 
 
 def overview(nodes: DataFrame, edges: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Generated nodes and edges with their light columns."""
     generated = F.coalesce(F.col("origin") != "manual", F.lit(True))
-    return nodes.where(generated).select(*columns), edges.where(generated).select("id", "source", "target", "relation", "confidence")
+    return nodes.where(generated).select(*columns), edges.where(generated).select("id", "source", "target", "relation",
+        "confidence")
 
 
 def same_view(left: DataFrame, right: DataFrame, key: str, identity: list[str]) -> DataFrame:
@@ -202,7 +217,8 @@ def same_view(left: DataFrame, right: DataFrame, key: str, identity: list[str])
 def graph_changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """Whether the lists of ids before and after differ in length or before has one that after has not: one row."""
     lost = before.select("id").join(after.select("id"), "id", "left_anti").agg(F.count("*").alias("lost"))
-    counts = before.agg(F.count("*").alias("n_before")).join(F.broadcast(after.agg(F.count("*").alias("n_after"))), F.lit(True))
+    counts = before.agg(F.count("*").alias("n_before")).join(F.broadcast(after.agg(F.count("*").alias("n_after"))),
+        F.lit(True))
     both = counts.join(F.broadcast(lost), F.lit(True))  # one row each
     return both.select(((F.col("n_before") != F.col("n_after")) | (F.col("lost") > 0)).alias("changed"))
 
@@ -222,7 +238,8 @@ def expanded_for_group(nodes: DataFrame, group: str, collapsed: list[str]) -> Da
 
 def restored(visible: DataFrame, generated: DataFrame) -> DataFrame:
     """visible(id, origin) and the generated rows that it has not; a row by hand with a generated id is a conflict."""
-    clash = visible.where("origin = 'manual'").join(generated.select("id"), "id", "left_semi").withColumn("state", F.lit("conflict"))
+    clash = visible.where("origin = 'manual'").join(generated.select("id"), "id", "left_semi").withColumn("state",
+        F.lit("conflict"))
     rest = visible.join(clash.select("id"), "id", "left_anti").withColumn("state", F.lit("kept"))
     back = generated.join(visible.select("id"), "id", "left_anti").withColumn("state", F.lit("restored"))
     return clash.unionByName(rest).unionByName(back, allowMissingColumns=True)
@@ -231,11 +248,15 @@ def restored(visible: DataFrame, generated: DataFrame) -> DataFrame:
 def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes without those in gone(id), their neighbours marked as stale, and the edges that lead to none of these."""
     out = gone.select("id").distinct()
-    from_gone = edges.join(out.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
-    to_gone = edges.join(out.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"))
+    from_gone = edges.join(out.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias(
+        "id"))
+    to_gone = edges.join(out.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias(
+        "id"))
     near = from_gone.unionByName(to_gone).distinct().withColumn("stale", F.lit(True))
-    left = nodes.join(out, "id", "left_anti").join(near, "id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
-    kept = edges.join(out.select(F.col("id").alias("source")), "source", "left_anti").join(out.select(F.col("id").alias("target")), "target", "left_anti")
+    left = nodes.join(out, "id", "left_anti").join(near, "id", "left").withColumn("stale", F.coalesce("stale",
+        F.lit(False)))
+    kept = edges.join(out.select(F.col("id").alias("source")), "source", "left_anti").join(out.select(F.col("id").alias(
+        "target")), "target", "left_anti")
     return left, kept
 
 
@@ -250,31 +271,36 @@ def matched_relations(previous: DataFrame, current: DataFrame, id_map: DataFrame
     old = previous.where("not pending").join(ends, "source")
     old = old.join(ends.select(F.col("source").alias("target"), F.col("to_source").alias("to_target")), "target")
     old = old.select(F.col("id").alias("old_id"), "to_source", "to_target", "relation")
-    new = current.where("not pending").select(F.col("id").alias("new_id"), F.col("source").alias("to_source"), F.col("target").alias("to_target"), "relation")
+    new = current.where("not pending").select(F.col("id").alias("new_id"), F.col("source").alias("to_source"), F.col(
+        "target").alias("to_target"), "relation")
     key = ["to_source", "to_target", "relation"]
     same = old.join(new, key).where("old_id = new_id").select("old_id", "new_id")
     rest_old, rest_new = old.join(same, "old_id", "left_anti"), new.join(same, "new_id", "left_anti")
     # counting before joining: a match is unique if its key has one row on either side
-    one = lambda df, c: df.groupBy(*key).agg(F.count("*").alias("n"), F.min(c).alias(c)).where("n = 1").drop("n")
+    one = lambda df, c: df.groupBy(*key).agg(F.count("*").alias("n"), F.min(c).alias(c)).where("n = 1").drop(
+        "n")
     return same.unionByName(one(rest_old, "old_id").join(one(rest_new, "new_id"), key).select("old_id", "new_id"))
 
 
 def enhanced(modules: DataFrame, review: DataFrame, words: list[str]) -> DataFrame:
     """modules(id, ...) with the words that a review of them has instead of their own; nothing else changes."""
     said = review.select("id", *[F.col(w).alias(f"review_{w}") for w in words])
-    return modules.join(said, "id", "left").withColumns({w: F.coalesce(f"review_{w}", w) for w in words}).drop(*[f"review_{w}" for w in words])
+    return modules.join(said, "id", "left").withColumns({w: F.coalesce(f"review_{w}", w) for w in words}).drop(*[
+        f"review_{w}" for w in words])
 
 
 def evidence_confidence(evidence: DataFrame, relations: DataFrame) -> DataFrame:
     """evidence(evidence_id, relation_id, file, symbol, detail) with the confidence of the first of relations(place, id, source_file, symbol, detail,
     confidence) that it is from: by the relation's id if it has one, else by its file; inferred if none fits."""
     first = lambda df: df.groupBy("evidence_id").agg(F.min_by("confidence", "place").alias("confidence"))
-    r = relations.select("place", "id", "source_file", F.col("symbol").alias("r_symbol"), F.col("detail").alias("r_detail"), "confidence")
+    r = relations.select("place", "id", "source_file", F.col("symbol").alias("r_symbol"), F.col("detail").alias(
+        "r_detail"), "confidence")
     alike = F.col("symbol").eqNullSafe(F.col("r_symbol")) & F.col("detail").eqNullSafe(F.col("r_detail"))
     by_id = evidence.where("relation_id is not null").join(r, (F.col("relation_id") == F.col("id")) & alike)
     by_file = evidence.where("relation_id is null").join(r, (F.col("file") == F.col("source_file")) & alike)
     found = first(by_id).unionByName(first(by_file))
-    return evidence.join(found, "evidence_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit("inferred")))
+    return evidence.join(found, "evidence_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(
+        "inferred")))
 
 
 def first_of_each(items: DataFrame, keys: list[str], place: str) -> DataFrame:
@@ -285,7 +311,8 @@ def first_of_each(items: DataFrame, keys: list[str], place: str) -> DataFrame:
 
 def once_by_hash(evidence: DataFrame, identity: list[str], place: str) -> DataFrame:
     """Evidence with an id made of its identity, the last of those that share one."""
-    named = evidence.withColumn("evidence_id", F.concat(F.lit("evidence-"), X.nul_joined_hash(*[F.col(c) for c in identity], size=64)))
+    named = evidence.withColumn("evidence_id", F.concat(F.lit("evidence-"), X.nul_joined_hash(*[F.col(c)
+        for c in identity], size=64)))
     whole = F.struct(*[F.col(c) for c in named.columns])
     return named.groupBy("evidence_id").agg(F.max_by(whole, F.col(place)).alias("row_")).select("row_.*")
 
@@ -299,9 +326,11 @@ def enriched(files: DataFrame, symbols: DataFrame, errors: DataFrame) -> DataFra
     """files(path, status) with their linked symbols (path, n_symbols); one with errors (path) and symbols has failed."""
     wrong = errors.groupBy("path").agg(F.count("*").alias("n_errors"))
     both = files.join(symbols, "path", "left").join(wrong, "path", "left")
-    status = F.when(F.col("n_symbols").isNotNull() & (F.col("n_errors") > 0), F.lit("failed")).otherwise(F.col("status"))
+    status = F.when(F.col("n_symbols").isNotNull() & (F.col("n_errors") > 0), F.lit("failed")).otherwise(F.col(
+        "status"))
     depth = F.when(F.col("n_symbols").isNotNull(), F.lit("semantic")).otherwise(F.lit("lightweight"))
-    return both.select("path", status.alias("status"), depth.alias("depth"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
+    return both.select("path", status.alias("status"), depth.alias("depth"), F.coalesce("n_symbols", F.lit(0)).alias(
+        "n_symbols"))
 
 
 # ---- binding
@@ -310,11 +339,14 @@ def enriched(files: DataFrame, symbols: DataFrame, errors: DataFrame) -> DataFra
 def declarations_in_sight(names: DataFrame, declarations: DataFrame, dependencies: DataFrame) -> DataFrame:
     """For each use of a name (id, scope, name) the one declaration (scope, name, declaration) in its scope or in one that its scope depends on
     (scope, on); candidates says how many there are."""
-    sight = dependencies.select("scope", F.col("on").alias("of")).unionByName(dependencies.select("scope", F.col("scope").alias("of")))
+    sight = dependencies.select("scope", F.col("on").alias("of")).unionByName(dependencies.select("scope", F.col(
+        "scope").alias("of")))
     sight = sight.unionByName(names.select("scope", F.col("scope").alias("of"))).distinct()
     # declarations are counted by scope and name before uses meet them
-    index = declarations.groupBy(F.col("scope").alias("of"), "name").agg(F.count("*").alias("n"), F.min("declaration").alias("declaration"))
-    seen = sight.join(index, "of").groupBy("scope", "name").agg(F.sum("n").alias("candidates"), F.min("declaration").alias("declaration"))
+    index = declarations.groupBy(F.col("scope").alias("of"), "name").agg(F.count("*").alias("n"), F.min("declaration")
+        .alias("declaration"))
+    seen = sight.join(index, "of").groupBy("scope", "name").agg(F.sum("n").alias("candidates"), F.min("declaration")
+        .alias("declaration"))
     found = names.join(seen, ["scope", "name"], "left")
     target = F.when(F.col("candidates") == 1, F.col("declaration"))
     return found.select("id", F.coalesce("candidates", F.lit(0)).alias("candidates"), target.alias("declaration"))
@@ -326,7 +358,8 @@ def through_exports(uses: DataFrame, exports: DataFrame, most_hops: int = 16) ->
     A hop a round for those still on their way; a cycle ends unresolved, as does a name that a module does not export once."""
     from .clustering import settled
 
-    one = exports.groupBy("module", "name").agg(F.count("*").alias("n"), F.min("to_module").alias("to_module"), F.min("to_name").alias("to_name")).where("n = 1")
+    one = exports.groupBy("module", "name").agg(F.count("*").alias("n"), F.min("to_module").alias("to_module"), F.min(
+        "to_name").alias("to_name")).where("n = 1")
     one = settled(one.select("module", "name", "to_module", "to_name"))
     on_way = uses.select("id", "module", "name")
     done = None
@@ -334,7 +367,8 @@ def through_exports(uses: DataFrame, exports: DataFrame, most_hops: int = 16) ->
         step = settled(on_way.join(one, ["module", "name"]))
         here = step.where("to_module is null").select("id", "module", "name")
         done = here if done is None else done.unionByName(here)
-        on_way = step.where("to_module is not null").select("id", F.col("to_module").alias("module"), F.col("to_name").alias("name"))
+        on_way = step.where("to_module is not null").select("id", F.col("to_module").alias("module"), F.col("to_name")
+            .alias("name"))
         if on_way.isEmpty():
             break
     found = done.select("id", F.col("module").alias("declared_in"), F.col("name").alias("declared_as"))
@@ -354,11 +388,15 @@ def branch_binding(assignments: DataFrame, calls: DataFrame) -> DataFrame:
     last = Window.partitionBy("id", "set_path").orderBy(F.desc("set_at"))
     met = met.withColumn("rank", F.row_number().over(last)).where("rank = 1")
     outer = F.slice("path", F.lit(1), F.size("set_path")) == F.col("set_path")
-    met = met.withColumn("outer", outer).withColumn("from", F.max(F.when(F.col("outer"), F.col("set_at"))).over(Window.partitionBy("id")))
-    met = met.where(F.when(F.col("outer"), F.col("set_at") == F.col("from")).otherwise(F.col("set_at") > F.coalesce("from", F.lit(-1))))
+    met = met.withColumn("outer", outer).withColumn("from", F.max(F.when(F.col("outer"), F.col("set_at")))
+        .over(Window.partitionBy("id")))
+    met = met.where(F.when(F.col("outer"), F.col("set_at") == F.col("from")).otherwise(F.col("set_at") > F.coalesce(
+        "from", F.lit(-1))))
     found = met.groupBy("id").agg(F.count_distinct("identity").alias("n"), F.min("identity").alias("identity"))
-    state = F.when(F.col("n") == 1, F.lit("bound")).when(F.col("n") > 1, F.lit("ambiguous")).otherwise(F.lit("unresolved"))
-    return calls.select("id").join(found, "id", "left").select("id", state.alias("state"), F.when(F.col("n") == 1, F.col("identity")).alias("identity"))
+    state = F.when(F.col("n") == 1, F.lit("bound")).when(F.col("n") > 1, F.lit("ambiguous")).otherwise(F.lit(
+        "unresolved"))
+    return calls.select("id").join(found, "id", "left").select("id", state.alias("state"), F.when(F.col("n") == 1,
+        F.col("identity")).alias("identity"))
 
 
 def package_targets(imports: DataFrame, packages: DataFrame, exports: DataFrame) -> DataFrame:
@@ -370,40 +408,49 @@ def package_targets(imports: DataFrame, packages: DataFrame, exports: DataFrame)
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     tried = imports.select("id", "scope", "spec", F.explode(prefixes).alias("package"))
     met = tried.join(packages, ["scope", "package"])
-    met = met.groupBy("id").agg(F.max_by(F.struct("package", "spec", "root"), F.struct(F.length("package"), -F.col("rank"))).alias("m")).select("id", "m.*")
+    met = met.groupBy("id").agg(F.max_by(F.struct("package", "spec", "root"), F.struct(F.length("package"), -F.col(
+        "rank"))).alias("m")).select("id", "m.*")
     met = met.withColumn("key", F.concat(F.lit("."), F.substr("spec", F.length("package") + 1)))
     keyed = met.join(exports.withColumnRenamed("key", "pattern"), ["package", "root"])
     head, tail = F.split_part("pattern", F.lit("*"), F.lit(1)), F.split_part("pattern", F.lit("*"), F.lit(2))
     star = F.contains("pattern", F.lit("*"))
-    fits = F.when(star, F.startswith("key", head) & F.endswith("key", tail) & (F.length("key") >= F.length(head) + F.length(tail))).otherwise(F.col("key") == F.col("pattern"))
+    fits = F.when(star, F.startswith("key", head) & F.endswith("key", tail) & (F.length("key") >= F.length(head)
+        + F.length(tail))).otherwise(F.col("key") == F.col("pattern"))
     middle = F.substring("key", F.length(head) + 1, F.length("key") - F.length(head) - F.length(tail))
     led = F.when(star, F.replace("target", F.lit("*"), middle)).otherwise(F.col("target"))
-    best = keyed.where(fits).groupBy("id").agg(F.max_by(led, F.struct(~star, F.length(head), F.col("pattern"))).alias("target"))
+    best = keyed.where(fits).groupBy("id").agg(F.max_by(led, F.struct(~star, F.length(head), F.col("pattern"))).alias(
+        "target"))
     return imports.select("id").join(best, "id", "left")
 
 
 def interface_operations(calls: DataFrame) -> DataFrame:
     """calls(id, module, member, target): what they do, where their module and member are a known interface's; confirmed if the target is known."""
-    rules = calls.sparkSession.createDataFrame(INTERFACES, "module string, member string, kind string, operation string")
+    rules = calls.sparkSession.createDataFrame(INTERFACES, "module string, member string, kind string, operation "
+        "string")
     found = calls.join(F.broadcast(rules), ["module", "member"])  # a small fixed table
-    return found.select("id", "kind", "operation", F.when(F.col("target").isNotNull(), F.lit("confirmed")).otherwise(F.lit("inferred")).alias("confidence"))
+    return found.select("id", "kind", "operation", F.when(F.col("target").isNotNull(), F.lit("confirmed"))
+        .otherwise(F.lit("inferred")).alias("confidence"))
 
 
 def typed_targets(relations: DataFrame, scanned: DataFrame) -> DataFrame:
     """relations(id, spec, resolved, reason) with a target of a kind: a scanned file (path), unresolved if relative or for a reason, else external."""
     files = scanned.select(F.col("path").alias("resolved"), F.lit(True).alias("known"))
-    kind = F.when(F.col("known"), F.lit("file")).when(F.col("reason").isNotNull() | F.startswith("spec", F.lit(".")), F.lit("unresolved")).otherwise(F.lit("external"))
+    kind = F.when(F.col("known"), F.lit("file")).when(F.col("reason").isNotNull() | F.startswith("spec", F.lit(".")),
+        F.lit("unresolved")).otherwise(F.lit("external"))
     both = relations.join(files, "resolved", "left").withColumn("target_kind", kind)
-    return both.select("id", "target_kind", F.when(F.col("target_kind") == "file", F.col("resolved")).otherwise(F.col("spec")).alias("target"))
+    return both.select("id", "target_kind", F.when(F.col("target_kind") == "file", F.col("resolved")).otherwise(F.col(
+        "spec")).alias("target"))
 
 
 def snapshot_changes(pinned: DataFrame, found: DataFrame) -> DataFrame:
     """Which files of a pinned snapshot (path, hash) have changed, gone or come by the time a result is published: a result may stand if there are none."""
     a, b = pinned.select("path", F.col("hash").alias("was")), found.select("path", F.col("hash").alias("now"))
-    state = F.when(F.col("was").isNull(), F.lit("added")).when(F.col("now").isNull(), F.lit("deleted")).when(F.col("was") != F.col("now"), F.lit("changed"))
+    state = F.when(F.col("was").isNull(), F.lit("added")).when(F.col("now").isNull(), F.lit("deleted")).when(F.col(
+        "was") != F.col("now"), F.lit("changed"))
     return a.join(b, "path", "full").select("path", state.alias("state")).where("state is not null")
 
 
 def guidance_context(delta: DataFrame, label: str) -> DataFrame:
     """A delta (id, status, fields) as one document of canonical JSON a row, for export."""
-    return delta.select("id", F.to_json(F.struct(F.lit(label).alias("label"), "id", "status", "fields")).alias("document"))
+    return delta.select("id", F.to_json(F.struct(F.lit(label).alias("label"), "id", "status", "fields")).alias(
+        "document"))

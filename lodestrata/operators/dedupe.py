@@ -12,7 +12,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
         rest = [c for c in df.columns if c not in keys]
         best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
         return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop(
+        "_rn")
 
 
 def keep_last(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -25,7 +26,8 @@ def keep_last(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 def capped(df: DataFrame, keys: list[str], group: list[str], order: list, most: int) -> DataFrame:
     """First row of each key, and of these the first `most` of each group."""
     kept = keep_first(df, keys, order)
-    return kept.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")
+    return kept.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(
+        "_rn") <= most).drop("_rn")
 
 
 def short_hashes(df: DataFrame, value: Column, size: int = 12, step: int = 4) -> DataFrame:
@@ -36,7 +38,8 @@ def short_hashes(df: DataFrame, value: Column, size: int = 12, step: int = 4) ->
     sizes = F.array(*[F.lit(n) for n in range(size, 65, step)])
     values = hashed.select("_h").distinct()
     prefixes = values.select("_h", F.explode(sizes).alias("_n")).withColumn("_p", F.substr("_h", F.lit(1), F.col("_n")))
-    unique = prefixes.groupBy("_p", "_n").agg(F.count("*").alias("_c"), F.min("_h").alias("_h")).where("_c = 1").groupBy("_h").agg(F.min("_n").alias("_n"))
+    unique = prefixes.groupBy("_p", "_n").agg(F.count("*").alias("_c"), F.min("_h").alias("_h")).where(
+        "_c = 1").groupBy("_h").agg(F.min("_n").alias("_n"))
     return hashed.join(unique, "_h").withColumn("short_id", F.substr("_h", F.lit(1), F.col("_n"))).drop("_h", "_n")
 
 
@@ -54,9 +57,11 @@ def with_number(df: DataFrame, order: list[str], name: str, buckets: int = 64) -
 
     spread = settled(df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
     counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # `buckets` rows
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part")
+        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # `buckets` rows
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return spread.withColumn("_in", inside).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_before")
+    return spread.withColumn("_in", inside).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before")
+        + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_before")
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -38,7 +38,9 @@ EXTERNAL = [
 
 def analyzer(path: Column) -> Column:
     """Which analyzer reads a file, first match first."""
-    return F.when(path.rlike(r"\.vue$"), F.lit("vue")).when(path.rlike(r"\.(ts|tsx|js|jsx)$"), F.lit("typescript")).when(path.rlike(r"\.py$"), F.lit("python")).when(path.rlike(r"\.java$"), F.lit("java")).when(path.rlike(r"\.go$"), F.lit("go")).otherwise(F.lit("fallback"))
+    return F.when(path.rlike(r"\.vue$"), F.lit("vue")).when(path.rlike(r"\.(ts|tsx|js|jsx)$"), F.lit(
+        "typescript")).when(path.rlike(r"\.py$"), F.lit("python")).when(path.rlike(r"\.java$"), F.lit(
+        "java")).when(path.rlike(r"\.go$"), F.lit("go")).otherwise(F.lit("fallback"))
 
 
 def readable(files: DataFrame) -> DataFrame:
@@ -50,16 +52,21 @@ def readable(files: DataFrame) -> DataFrame:
 def representative(files: DataFrame, most: int) -> DataFrame:
     """The files that say most about a project: by their names, then by how much they hold."""
     low = F.lower("path")
-    points = F.when(low.rlike("(^|/)(main|index|app|server)"), 30).otherwise(0) + F.when(low.rlike("service|controller|router?|store|repo"), 20).otherwise(0) - F.when(X.is_test_path(F.col("path")), 25).otherwise(0) + F.least(F.lit(20), F.floor(F.col("size") / 500))
+    points = F.when(low.rlike("(^|/)(main|index|app|server)"), 30).otherwise(0) + F.when(low.rlike(
+        "service|controller|router?|store|repo"), 20).otherwise(0) - F.when(X.is_test_path(F.col("path")),
+        25).otherwise(0) + F.least(F.lit(20), F.floor(F.col("size") / 500))
     return files.withColumn("points", points.cast("long")).orderBy(F.desc("points"), "path").limit(most)
 
 
 def text_facts(files: DataFrame) -> DataFrame:
     """files(path, content): imports, symbols and calls as regular expressions find them, whatever the language."""
     all_ = lambda p, g=1: F.regexp_extract_all("content", F.lit(p), F.lit(g))
-    imports = F.array_distinct(F.concat(all_(r"""\bimport\b[^'"\n;]*['"]([^'"]+)['"]"""), all_(r"(?m)^\s*from\s+([\w.]+)\s+import\b"), all_(r"(?m)^\s*import\s+([\w.]+)\s*;?\s*$"), all_(r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""")))
+    imports = F.array_distinct(F.concat(all_(r"""\bimport\b[^'"\n;]*['"]([^'"]+)['"]"""), all_(
+        r"(?m)^\s*from\s+([\w.]+)\s+import\b"), all_(r"(?m)^\s*import\s+([\w.]+)\s*;?\s*$"), all_(
+        r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""")))
     symbols = F.array_distinct(all_(r"\b(?:class|interface|function|def|func|struct|enum|trait)\s+([A-Za-z_]\w*)"))
-    calls = F.slice(F.array_distinct(F.filter(all_(r"\b([A-Za-z_][\w.]*)\s*\("), lambda c: ~c.isin("if", "for", "while", "switch", "return", "catch", "function"))), 1, 80)
+    calls = F.slice(F.array_distinct(F.filter(all_(r"\b([A-Za-z_][\w.]*)\s*\("), lambda c: ~c.isin("if", "for", "while",
+        "switch", "return", "catch", "function"))), 1, 80)
     return files.select("path", imports.alias("imports"), symbols.alias("symbols"), calls.alias("calls"))
 
 
@@ -68,19 +75,23 @@ def _spoken(kind: str, before: str, verbs: str | None, behind: str, quotes: str)
     opened = r"\s*\(\s*" + (r"(?:value\s*=\s*)?" if behind else "")
     pattern = F.lit(f"{before}({verbs or ''}){behind}{opened}[{quotes}]([^{quotes}]+)[{quotes}]")
     method, path = (F.regexp_extract_all("content", pattern, F.lit(group)) for group in (1, 2))
-    return F.zip_with(method, path, lambda m, p: F.struct(F.lit(kind).alias("kind"), (F.lit("GET") if verbs is None else X.http_method(m)).alias("method"), p.alias("path")))
+    return F.zip_with(method, path, lambda m, p: F.struct(F.lit(kind).alias("kind"), (F.lit("GET") if verbs is None
+        else X.http_method(m)).alias("method"), p.alias("path")))
 
 
 def endpoints(files: DataFrame) -> DataFrame:
     """files(path, content): HTTP requests and routes, the first of each kind, method and normal path."""
     found = F.concat(*[_spoken(*rule) for rule in SPOKEN])
-    rows = files.select(F.col("path").alias("file"), F.posexplode(found).alias("pos", "e")).select("file", "pos", "e.*").withColumn("normal", X.http_path(F.col("path")))
-    return rows.groupBy("file", "kind", "method", "normal").agg(F.min("pos").alias("pos"), F.min_by("path", "pos").alias("path"))
+    rows = files.select(F.col("path").alias("file"), F.posexplode(found).alias("pos", "e")).select("file", "pos",
+        "e.*").withColumn("normal", X.http_path(F.col("path")))
+    return rows.groupBy("file", "kind", "method", "normal").agg(F.min("pos").alias("pos"), F.min_by("path", "pos")
+        .alias("path"))
 
 
 def rendered(files: DataFrame) -> DataFrame:
     """Components that markup in files(path, content) renders."""
-    return files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"<([A-Z][A-Za-z0-9]*(?:\.[A-Z][A-Za-z0-9]*)*)[\s/>]"), F.lit(1)))).alias("component"))
+    return files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(
+        r"<([A-Z][A-Za-z0-9]*(?:\.[A-Z][A-Za-z0-9]*)*)[\s/>]"), F.lit(1)))).alias("component"))
 
 
 def external_kind(name: Column, literal: Column | None = None) -> Column:
@@ -90,7 +101,9 @@ def external_kind(name: Column, literal: Column | None = None) -> Column:
     return F.coalesce(*[F.when(here | addressed if kind == "http" else here, F.lit(kind)) for kind, here in fits])
 
 
-PYTHON_FACTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("fact", T.StringType()), T.StructField("name", T.StringType()), T.StructField("scope", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("arity", T.IntegerType())])
+PYTHON_FACTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("fact", T.StringType()),
+    T.StructField("name", T.StringType()), T.StructField("scope", T.StringType()), T.StructField("line",
+    T.IntegerType()), T.StructField("arity", T.IntegerType())])
 
 
 def _python_facts(path: str, content: str) -> list[tuple]:
@@ -113,7 +126,8 @@ def _python_facts(path: str, content: str) -> list[tuple]:
         elif isinstance(node, ast.Import):
             out += [(path, "import", a.name, scope, node.lineno, None) for a in node.names]
         elif isinstance(node, ast.ImportFrom):
-            out += [(path, "import", "." * node.level + (f"{node.module}." if node.module else "") + a.name, scope, node.lineno, None) for a in node.names]
+            out += [(path, "import", "." * node.level + (f"{node.module}." if node.module else "") + a.name, scope,
+                node.lineno, None) for a in node.names]
         elif isinstance(node, ast.Call) and isinstance(node.func, (ast.Name, ast.Attribute)):
             out.append((path, "call", ast.unparse(node.func), scope, node.lineno, len(node.args)))
         stack += [(c, inner) for c in reversed(list(ast.iter_child_nodes(node)))]
@@ -165,6 +179,8 @@ def structured(outputs: DataFrame, required: str | None = None) -> DataFrame:
 
 def checked(responses: DataFrame, known: DataFrame) -> DataFrame:
     """Problems of responses(id, item) against known(item): unknown and repeated items."""
-    unknown = responses.join(known.select("item").distinct(), "item", "left_anti").select("id", "item", F.lit("unknown").alias("problem"))
-    twice = responses.groupBy("id", "item").agg(F.count("*").alias("n")).where("n > 1").select("id", "item", F.lit("duplicate").alias("problem"))
+    unknown = responses.join(known.select("item").distinct(), "item", "left_anti").select("id", "item", F.lit("unknown")
+        .alias("problem"))
+    twice = responses.groupBy("id", "item").agg(F.count("*").alias("n")).where("n > 1").select("id", "item", F.lit(
+        "duplicate").alias("problem"))
     return unknown.distinct().unionByName(twice)

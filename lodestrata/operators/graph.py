@@ -42,7 +42,8 @@ def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) ->
     edges = settled(edges.select("source", "target").distinct())
     seen = frontier = settled(roots.select("id", F.lit(0).alias("steps")).distinct())
     for step in range(1, most_rounds + 1):
-        found = frontier.join(edges, frontier["id"] == edges["source"]).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti")
+        found = frontier.join(edges, frontier["id"] == edges["source"]).select(F.col("target").alias(
+            "id")).distinct().join(seen, "id", "left_anti")
         frontier = settled(found.select("id", F.lit(step).alias("steps")))
         if frontier.isEmpty():
             return seen
@@ -56,13 +57,17 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> D
     """Weak components: (id, component), the smallest id that can be reached without regard to direction.
 
     Each round takes the least label among neighbours, then jumps to the label's own label, which halves long chains."""
-    both = settled(edges.select("source", "target").union(edges.select("target", "source")).toDF("id", "other").where("id <> other").distinct())
+    both = settled(edges.select("source", "target").union(edges.select("target", "source")).toDF("id", "other").where(
+        "id <> other").distinct())
     labels = settled(nodes.select("id", F.col("id").alias("component")).distinct())
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("least"))
-        low = labels.join(near, "id", "left").select("id", F.col("component").alias("before"), F.least("component", F.coalesce("least", "component")).alias("component"))
+        near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min(
+            "component").alias("least"))
+        low = labels.join(near, "id", "left").select("id", F.col("component").alias("before"), F.least("component",
+            F.coalesce("least", "component")).alias("component"))
         jump = low.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = settled(low.join(jump, "component", "left").select("id", "before", F.least(F.coalesce("root", "component"), "component").alias("component")))
+        new = settled(low.join(jump, "component", "left").select("id", "before", F.least(F.coalesce("root",
+            "component"), "component").alias("component")))
         changed = not new.where("component <> before").isEmpty()
         labels = new.select("id", "component")
         if not changed:
@@ -83,17 +88,23 @@ def strong_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100
             break
         color = settled(left.select("id", F.col("id").alias("color")))
         while True:
-            near = rest.join(color.select(F.col("id").alias("source"), "color"), "source").groupBy(F.col("target").alias("id")).agg(F.min("color").alias("least"))
-            new = settled(color.join(near, "id", "left").select("id", F.col("color").alias("before"), F.least("color", F.coalesce("least", "color")).alias("color")))
+            near = rest.join(color.select(F.col("id").alias("source"), "color"), "source").groupBy(F.col("target")
+                .alias("id")).agg(F.min("color").alias("least"))
+            new = settled(color.join(near, "id", "left").select("id", F.col("color").alias("before"), F.least("color",
+                F.coalesce("least", "color")).alias("color")))
             done = new.where("color <> before").isEmpty()
             color = new.select("id", "color")
             if done:
                 break
-        same = rest.join(color.select(F.col("id").alias("source"), "color"), "source").join(color.select(F.col("id").alias("target"), F.col("color").alias("c2")), "target").where("color = c2").select("source", "target", "color")
+        same = rest.join(color.select(F.col("id").alias("source"), "color"), "source").join(color.select(F.col("id")
+            .alias("target"), F.col("color").alias("c2")), "target").where("color = c2").select("source", "target",
+            "color")
         same = settled(same)
         inside = frontier = settled(color.where("id = color").select("id", "color"))
         while True:
-            back = same.join(frontier.select(F.col("id").alias("target"), F.col("color").alias("c")), "target").where("c = color").select(F.col("source").alias("id"), "color").distinct().join(inside.select("id"), "id", "left_anti")
+            back = same.join(frontier.select(F.col("id").alias("target"), F.col("color").alias("c")), "target").where(
+                "c = color").select(F.col("source").alias("id"), "color").distinct().join(inside.select("id"), "id",
+                "left_anti")
             frontier = settled(back)
             if frontier.isEmpty():
                 break
@@ -101,18 +112,22 @@ def strong_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100
         part = inside.select("id", F.col("color").alias("component"))
         found = part if found is None else settled(found.unionByName(part))
         left = settled(left.join(inside.select("id"), "id", "left_anti"))
-        rest = settled(rest.join(left.withColumnRenamed("id", "source"), "source", "left_semi").join(left.withColumnRenamed("id", "target"), "target", "left_semi"))
+        rest = settled(rest.join(left.withColumnRenamed("id", "source"), "source", "left_semi")
+            .join(left.withColumnRenamed("id", "target"), "target", "left_semi"))
     if found is None:
         return nodes.select("id", F.col("id").alias("component"), F.lit(False).alias("cyclic"))
     loops = edges.where("source = target").select(F.col("source").alias("id"), F.lit(True).alias("loop"))
     least = found.join(found.groupBy("component").agg(F.min("id").alias("name"), F.count("*").alias("n")), "component")
-    return least.join(loops, "id", "left").select("id", F.col("name").alias("component"), ((F.col("n") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic"))
+    return least.join(loops, "id", "left").select("id", F.col("name").alias("component"), ((F.col("n") > 1)
+        | F.coalesce("loop", F.lit(False))).alias("cyclic"))
 
 
 def condensed(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """Edges between components, once each, without loops."""
-    a, b = parts.select(F.col("id").alias("source"), F.col("component").alias("a")), parts.select(F.col("id").alias("target"), F.col("component").alias("b"))
-    return edges.join(a, "source").join(b, "target").where("a <> b").select(F.col("a").alias("source"), F.col("b").alias("target")).distinct()
+    a, b = parts.select(F.col("id").alias("source"), F.col("component").alias("a")), parts.select(F.col("id").alias(
+        "target"), F.col("component").alias("b"))
+    return edges.join(a, "source").join(b, "target").where("a <> b").select(F.col("a").alias("source"), F.col("b")
+        .alias("target")).distinct()
 
 
 def layers(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -120,8 +135,10 @@ def layers(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Dat
     edges = settled(edges.select("source", "target").distinct())
     depth = settled(nodes.select("id", F.lit(0).alias("depth")).distinct())
     for _ in range(most_rounds):
-        below = edges.join(depth.select(F.col("id").alias("source"), "depth"), "source").groupBy(F.col("target").alias("id")).agg((F.max("depth") + 1).alias("new"))
-        now = settled(depth.join(below, "id", "left").select("id", F.col("depth").alias("before"), F.greatest("depth", F.coalesce("new", F.lit(0))).alias("depth")))
+        below = edges.join(depth.select(F.col("id").alias("source"), "depth"), "source").groupBy(F.col("target").alias(
+            "id")).agg((F.max("depth") + 1).alias("new"))
+        now = settled(depth.join(below, "id", "left").select("id", F.col("depth").alias("before"), F.greatest("depth",
+            F.coalesce("new", F.lit(0))).alias("depth")))
         changed = not now.where("depth <> before").isEmpty()
         depth = now.select("id", "depth")
         if not changed:
@@ -131,7 +148,8 @@ def layers(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Dat
 
 def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One hash of a graph's topology."""
-    keys = nodes.select(F.concat(F.lit("n:"), "id").alias("k")).unionByName(edges.select(F.concat(F.lit("e:"), "source", F.lit(">"), "target").alias("k"))).distinct()
+    keys = nodes.select(F.concat(F.lit("n:"), "id").alias("k")).unionByName(edges.select(F.concat(F.lit("e:"), "source",
+        F.lit(">"), "target").alias("k"))).distinct()
     return keys.agg(set_hash(F.col("k")).alias("fingerprint"))
 
 
@@ -141,14 +159,16 @@ def tree(paths: DataFrame) -> DataFrame:
 
     above = paths.select(F.explode(X.folders(F.col("path"))).alias("path"), F.lit("folder").alias("type")).distinct()
     rows = paths.select("path", F.lit("file").alias("type")).distinct().unionByName(above)
-    return rows.select("path", X.parent(F.col("path")).alias("parent"), X.file_name(F.col("path")).alias("name"), F.size(F.split("path", "/")).alias("depth"), "type")
+    return rows.select("path", X.parent(F.col("path")).alias("parent"), X.file_name(F.col("path")).alias("name"),
+        F.size(F.split("path", "/")).alias("depth"), "type")
 
 
 def descendants(files: DataFrame) -> DataFrame:
     """Files and bytes under each folder of files(path, size)."""
     from ..functions import scalars as X
 
-    return files.select(F.explode(X.folders(F.col("path"))).alias("folder"), "size").groupBy("folder").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return files.select(F.explode(X.folders(F.col("path"))).alias("folder"), "size").groupBy("folder").agg(F.count("*")
+        .alias("files"), F.sum("size").alias("bytes"))
 
 
 def common_directory(files: DataFrame) -> DataFrame:
@@ -156,14 +176,18 @@ def common_directory(files: DataFrame) -> DataFrame:
     from ..functions import scalars as X
 
     counts = files.groupBy("module").agg(F.count("*").alias("n"))
-    over = files.select("module", F.explode(X.folders(F.col("path"))).alias("folder")).groupBy("module", "folder").agg(F.count("*").alias("c"))
-    deepest = over.join(counts, "module").where("c = n").groupBy("module").agg(F.max_by("folder", F.length("folder")).alias("folder"))
+    over = files.select("module", F.explode(X.folders(F.col("path"))).alias("folder")).groupBy("module",
+        "folder").agg(F.count("*").alias("c"))
+    deepest = over.join(counts, "module").where("c = n").groupBy("module").agg(F.max_by("folder", F.length("folder"))
+        .alias("folder"))
     return counts.join(deepest, "module", "left").select("module", F.coalesce("folder", F.lit("")).alias("folder"))
 
 
 def ranked_ports(ports: DataFrame) -> DataFrame:
     """Places of ports(node, side, edge) on their side, reversed at the left and the bottom, with offsets in percent (one shared place beyond six)."""
     side = Window.partitionBy("node", "side")
-    place = F.when(F.col("side").isin("left", "bottom"), F.row_number().over(side.orderBy(F.desc("edge")))).otherwise(F.row_number().over(side.orderBy("edge")))
+    place = F.when(F.col("side").isin("left", "bottom"), F.row_number().over(side.orderBy(F.desc(
+        "edge")))).otherwise(F.row_number().over(side.orderBy("edge")))
     counted = ports.withColumn("n", F.count("*").over(side)).withColumn("place", place)
-    return counted.withColumn("offset", F.when(F.col("n") > 6, F.lit(50.0)).otherwise(F.col("place") * (100.0 / (F.col("n") + 1))))
+    return counted.withColumn("offset", F.when(F.col("n") > 6, F.lit(50.0)).otherwise(F.col("place") * (100.0 / (F.col(
+        "n") + 1))))

@@ -11,11 +11,13 @@ MOST_PARTICIPANTS, MOST_MESSAGES = 14, 40
 
 def numbered(messages: DataFrame, by: str, order: list[str], most: int = MOST_MESSAGES) -> DataFrame:
     """Messages of each diagram numbered from 1 in order, up to a cap."""
-    return messages.withColumn("sequence", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("sequence") <= most)
+    return messages.withColumn("sequence", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(
+        "sequence") <= most)
 
 
 def ranked(participants: DataFrame, by: str, rank: Column, most: int = MOST_PARTICIPANTS) -> DataFrame:
-    return participants.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(rank, "id"))).where(F.col("place") <= most)
+    return participants.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(rank,
+        "id"))).where(F.col("place") <= most)
 
 
 def filtered(messages: DataFrame, text: str, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -27,18 +29,24 @@ def filtered(messages: DataFrame, text: str, kinds: list[str]) -> tuple[DataFram
 
 def normalized(rows: DataFrame, most: int = 16) -> DataFrame:
     """Loose diagram rows (diagram, ord, id, title, kind) with defaults, the first of each id, up to a cap a diagram."""
-    d = rows.withColumns({"title": F.coalesce(F.nullif(F.trim("title"), F.lit("")), "id"), "kind": F.coalesce("kind", F.lit("module"))}).where("id is not null")
-    first = d.withColumn("_rn", F.row_number().over(Window.partitionBy("diagram", "id").orderBy("ord"))).where("_rn = 1").drop("_rn")
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("diagram").orderBy("ord", "id"))).where(F.col("place") <= most)
+    d = rows.withColumns({"title": F.coalesce(F.nullif(F.trim("title"), F.lit("")), "id"), "kind": F.coalesce("kind",
+        F.lit("module"))}).where("id is not null")
+    first = d.withColumn("_rn", F.row_number().over(Window.partitionBy("diagram", "id").orderBy("ord"))).where(
+        "_rn = 1").drop("_rn")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("diagram").orderBy("ord",
+        "id"))).where(F.col("place") <= most)
 
 
 def problems(messages: DataFrame, participants: DataFrame, least: float = 0.7) -> DataFrame:
     """What is wrong with diagrams: unknown ends, messages without evidence, too little of them proven."""
     known = participants.select("diagram", "participant")
     ends = messages.select("diagram", F.explode(F.array("sender", "receiver")).alias("participant"))
-    unknown = ends.join(known, ["diagram", "participant"], "left_anti").groupBy("diagram").agg(F.count("*").alias("n")).select("diagram", F.lit("unknown-end").alias("problem"), "n")
-    bare = messages.where("evidence is null").groupBy("diagram").agg(F.count("*").alias("n")).select("diagram", F.lit("no-evidence").alias("problem"), "n")
-    thin = messages.groupBy("diagram").agg(F.count("*").alias("n"), F.count("evidence").alias("e")).where(F.col("e") / F.col("n") < least).select("diagram", F.lit("low-coverage").alias("problem"), "n")
+    unknown = ends.join(known, ["diagram", "participant"], "left_anti").groupBy("diagram").agg(F.count("*").alias(
+        "n")).select("diagram", F.lit("unknown-end").alias("problem"), "n")
+    bare = messages.where("evidence is null").groupBy("diagram").agg(F.count("*").alias("n")).select("diagram", F.lit(
+        "no-evidence").alias("problem"), "n")
+    thin = messages.groupBy("diagram").agg(F.count("*").alias("n"), F.count("evidence").alias("e")).where(F.col(
+        "e") / F.col("n") < least).select("diagram", F.lit("low-coverage").alias("problem"), "n")
     return unknown.unionByName(bare).unionByName(thin)
 
 
@@ -55,12 +63,14 @@ def fill(items: DataFrame, budget: int, by: str = "owner", quota: int | None = N
                 out.append((getattr(r, by), r.id, len(out) + 1, left))
         return pd.DataFrame(out, columns=[by, "id", "place", "left"])
 
-    return items.groupBy(by).applyInPandas(choose, f"{by} {items.schema[by].dataType.simpleString()}, id {items.schema['id'].dataType.simpleString()}, place long, left long")
+    return items.groupBy(by).applyInPandas(choose,
+        f"{by} {items.schema[by].dataType.simpleString()}, id {items.schema['id'].dataType.simpleString()}, place long, left long")
 
 
 def contributions(parts: DataFrame) -> DataFrame:
     """parts(owner, part, size): the largest part of each, and the total."""
-    return parts.groupBy("owner").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), F.sum("size").alias("total"))
+    return parts.groupBy("owner").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), F.sum("size").alias(
+        "total"))
 
 
 def bounded_log(events: DataFrame, by: str, order: str, most_bytes: int, most_events: int) -> DataFrame:

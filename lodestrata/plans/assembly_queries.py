@@ -22,7 +22,8 @@ def _in(values) -> str:
 
 
 def _case(words: list[tuple[list[str], str]], text: str, otherwise: str) -> str:
-    whens = " ".join("WHEN " + " OR ".join(f"contains(lower({text}), '{w}')" for w in own) + f" THEN {then}" for own, then in words)
+    whens = " ".join("WHEN " + " OR ".join(f"contains(lower({text}), '{w}')" for w in own) + f" THEN {then}" for own,
+        then in words)
     return f"CASE {whens} ELSE {otherwise} END"
 
 
@@ -35,14 +36,17 @@ def _case(words: list[tuple[list[str], str]], text: str, otherwise: str) -> str:
     ),
 )
 def _(spark, d):
-    found = A.group_members(B.files(spark, d).select(F.col("scope").alias("group_id"), "module", F.col("status").alias("title")))
-    return found.select("group_id", F.array_join("modules", ",").alias("modules"), F.array_join("titles", ",").alias("titles"))
+    found = A.group_members(B.files(spark, d).select(F.col("scope").alias("group_id"), "module", F.col("status").alias(
+        "title")))
+    return found.select("group_id", F.array_join("modules", ",").alias("modules"), F.array_join("titles", ",").alias(
+        "titles"))
 
 
 @query(
     "j24_with_module",
     B.with_views(
-        "SELECT path, CASE WHEN doc_id % 3 <> 0 THEN module END AS module, CASE WHEN doc_id % 2 = 0 THEN 'own' WHEN doc_id % 3 <> 0 THEN 'of ' || scope"
+        "SELECT path, CASE WHEN doc_id % 3 <> 0 THEN module END AS module, CASE WHEN doc_id % 2 = 0 THEN 'own' WHEN "
+            "doc_id % 3 <> 0 THEN 'of ' || scope"
         " ELSE 'none' END AS role FROM b_files",
         "files",
     ),
@@ -55,13 +59,15 @@ def _(spark, d):
     return A.with_module(files, owned, role).select("path", "module", "role")
 
 
-_SENTENCES = _case([(w, f"replace('{s}', '%s', 'data access')") for w, s in A.FOLDER_SENTENCES], "folder", "'Groups ' || n || ' related files in ' || split_part(folder, '/', -1) || ' for the data access.'")
+_SENTENCES = _case([(w, f"replace('{s}', '%s', 'data access')") for w, s in A.FOLDER_SENTENCES], "folder",
+    "'Groups ' || n || ' related files in ' || split_part(folder, '/', -1) || ' for the data access.'")
 
 
 @query(
     "a30_folder_roles",
     B.with_views(
-        ", f AS (SELECT module, unnest(list_transform(range(1, len(p)), lambda i: array_to_string(p[1:i], '/'))) AS folder"
+        ", f AS (SELECT module, unnest(list_transform(range(1, len(p)), lambda i: array_to_string(p[1:i], '/'))) AS "
+            "folder"
         " FROM (SELECT module, string_split(path, '/') AS p FROM b_files)), g AS (SELECT module, folder, count(*) AS n,"
         " row_number() OVER (PARTITION BY module ORDER BY folder) AS place FROM f GROUP BY module, folder)"
         f" SELECT module, folder, {_SENTENCES} AS role FROM g WHERE place <= 30",
@@ -75,14 +81,16 @@ def _(spark, d):
 @query("a32_rolled_up")
 def _(spark, d):
     f = B.files(spark, d)
-    own = f.where("doc_id % 4 = 1").select("path", F.concat(F.lit("Role "), F.col("doc_id") % 7, F.lit(".")).alias("role"))
+    own = f.where("doc_id % 4 = 1").select("path", F.concat(F.lit("Role "), F.col("doc_id") % 7, F.lit(".")).alias(
+        "role"))
     return A.rolled_up(f.select("path"), own)
 
 
 @query(
     "x28_participants",
     B.with_views(
-        "SELECT path, ['gateway', 'service', 'database', 'external', 'worker', 'utility', 'component', 'component'][doc_id % 8 + 1] AS by_category, "
+        "SELECT path, ['gateway', 'service', 'database', 'external', 'worker', 'utility', 'component', "
+            "'component'][doc_id % 8 + 1] AS by_category, "
         + _case([(w, f"'{k}'") for k, w in A.PARTICIPANT_WORDS], "path", "'service'")
         + " AS by_path FROM b_files",
         "files",
@@ -90,15 +98,18 @@ def _(spark, d):
 )
 def _(spark, d):
     category = _pick(_CATEGORIES, F.col("doc_id") % 8)
-    return B.files(spark, d).select("path", A.participant_kind(category).alias("by_category"), A.participant_of_path(F.col("path")).alias("by_path"))
+    return B.files(spark, d).select("path", A.participant_kind(category).alias("by_category"),
+        A.participant_of_path(F.col("path")).alias("by_path"))
 
 
 _TEXTS = ["def f(a):\n  pass", "class C {\r\n}", "  func g() {  \n", "", "x: "]
 
 
-@query("x24_signatures", "SELECT p_partkey, ['def f(a)', 'class C', 'func g()', '', 'x'][p_partkey % 5 + 1] AS signature FROM part")
+@query("x24_signatures", "SELECT p_partkey, ['def f(a)', 'class C', 'func g()', '', 'x'][p_partkey % 5 + 1] AS "
+    "signature FROM part")
 def _(spark, d):
-    return B.table(spark, d, "part").select("p_partkey", A.signature(_pick(_TEXTS, F.col("p_partkey") % 5)).alias("signature"))
+    return B.table(spark, d, "part").select("p_partkey", A.signature(_pick(_TEXTS, F.col("p_partkey") % 5)).alias(
+        "signature"))
 
 
 _VERSIONS = ["1.2.3", " 2.0 ", "latest", "^1.0", "1.x", "1.0 - 2.0", "", ">=3", "3.0.0-rc.1", "1|2"]
@@ -108,24 +119,31 @@ _VERSIONS = ["1.2.3", " 2.0 ", "latest", "^1.0", "1.x", "1.0 - 2.0", "", ">=3",
 def _(spark, d):
     k = F.col("p_partkey")
     name = F.when(k % 3 == 0, F.lit("étage")).otherwise(F.lit("étage"))
-    return B.table(spark, d, "part").select(k, A.exact_version(_pick(_VERSIONS, k % 10)).alias("exact"), A.normal_text(name).alias("normal"))
+    return B.table(spark, d, "part").select(k, A.exact_version(_pick(_VERSIONS, k % 10)).alias("exact"),
+        A.normal_text(name).alias("normal"))
 
 
 @query(
     "f21_assembled",
-    "SELECT 'm' || s_suppkey AS id, ['api', 'service', 'data', 'external', 'worker', 'utility', 'test', 'module'][s_suppkey % 8 + 1] AS node_type,"
-    " ['api', 'domain', 'data', 'integration', 'infrastructure', 'infrastructure', 'test', 'unknown'][s_suppkey % 8 + 1] AS layer FROM supplier"
-    " UNION ALL SELECT 'r' || p_partkey, ['api', 'data', 'data', 'external'][p_partkey % 4 + 1], 'integration' FROM part",
+    "SELECT 'm' || s_suppkey AS id, ['api', 'service', 'data', 'external', 'worker', 'utility', 'test', "
+        "'module'][s_suppkey % 8 + 1] AS node_type,"
+    " ['api', 'domain', 'data', 'integration', 'infrastructure', 'infrastructure', 'test', 'unknown'][s_suppkey % 8 + "
+        "1] AS layer FROM supplier"
+    " UNION ALL SELECT 'r' || p_partkey, ['api', 'data', 'data', 'external'][p_partkey % 4 + 1], 'integration' FROM "
+        "part",
 )
 def _(spark, d):
     k = F.col("s_suppkey")
-    modules = B.table(spark, d, "supplier").select(F.concat(F.lit("m"), k).alias("id"), F.col("s_name").alias("title"), _pick(_CATEGORIES, k % 8).alias("category"))
+    modules = B.table(spark, d, "supplier").select(F.concat(F.lit("m"), k).alias("id"), F.col("s_name").alias("title"),
+        _pick(_CATEGORIES, k % 8).alias("category"))
     p = F.col("p_partkey")
-    resources = B.table(spark, d, "part").select(F.concat(F.lit("r"), p).alias("id"), F.col("p_name").alias("title"), _pick(["api", "database", "filesystem", "queue"], p % 4).alias("kind"))
+    resources = B.table(spark, d, "part").select(F.concat(F.lit("r"), p).alias("id"), F.col("p_name").alias("title"),
+        _pick(["api", "database", "filesystem", "queue"], p % 4).alias("kind"))
     return A.as_graph(modules, B.edges(spark, d), resources)[0].select("id", "node_type", "layer")
 
 
-@query("f14_overview", B.with_views("SELECT id, title, layer FROM b_nodes WHERE coalesce(origin, '') <> 'manual'", "nodes"))
+@query("f14_overview", B.with_views("SELECT id, title, layer FROM b_nodes WHERE coalesce(origin, '') <> 'manual'",
+    "nodes"))
 def _(spark, d):
     return A.overview(B.nodes(spark, d), B.edges(spark, d), ["id", "title", "layer"])[0]
 
@@ -136,8 +154,10 @@ def _(spark, d):
 )
 def _(spark, d):
     k = F.col("c_custkey")
-    left = B.table(spark, d, "customer").select(k.alias("id"), F.when(k % 3 == 0, F.lit("g")).alias("generation"), F.lit(1).alias("revision"))
-    right = B.table(spark, d, "customer").select(k.alias("id"), F.when(k % 3 == 0, F.lit("g")).alias("generation"), F.when(k % 3 == 1, 2).otherwise(1).alias("revision"))
+    left = B.table(spark, d, "customer").select(k.alias("id"), F.when(k % 3 == 0, F.lit("g")).alias("generation"),
+        F.lit(1).alias("revision"))
+    right = B.table(spark, d, "customer").select(k.alias("id"), F.when(k % 3 == 0, F.lit("g")).alias("generation"),
+        F.when(k % 3 == 1, 2).otherwise(1).alias("revision"))
     return A.same_view(left, right, "id", ["generation", "revision"])
 
 
@@ -145,34 +165,41 @@ def _(spark, d):
 def _(spark, d):
     n = B.nodes(spark, d).select("id")
     renamed = n.select(F.when(F.col("id") == "customer/1", F.lit("x")).otherwise(F.col("id")).alias("id"))
-    return A.graph_changed(n, renamed).unionAll(A.graph_changed(n, n)).unionAll(A.graph_changed(n, n.where("id <> 'customer/1'")))
+    return A.graph_changed(n, renamed).unionAll(A.graph_changed(n, n)).unionAll(A.graph_changed(n, n.where(
+        "id <> 'customer/1'")))
 
 
 @query(
     "g11_expanded",
-    B.with_views("SELECT DISTINCT group_path[2] AS \"group\" FROM b_nodes WHERE group_path[1] = 'ASIA' UNION SELECT 'EUROPE'", "nodes"),
+    B.with_views("SELECT DISTINCT group_path[2] AS \"group\" FROM b_nodes WHERE group_path[1] = 'ASIA' UNION SELECT "
+        "'EUROPE'", "nodes"),
 )
 def _(spark, d):
-    return A.expanded_for_group(B.nodes(spark, d).select(F.col("group_path").alias("groups")), "ASIA", ["ASIA", "EUROPE"])
+    return A.expanded_for_group(B.nodes(spark, d).select(F.col("group_path").alias("groups")), "ASIA", ["ASIA",
+        "EUROPE"])
 
 
 @query(
     "g11_node_groups",
-    B.with_views("SELECT id, array_to_string(list_filter(['ASIA', 'EUROPE/1', 'AFRICA'], lambda g: NOT list_contains(group_path, g)), ',') AS collapsed FROM b_nodes", "nodes"),
+    B.with_views("SELECT id, array_to_string(list_filter(['ASIA', 'EUROPE/1', 'AFRICA'], lambda g: NOT "
+        "list_contains(group_path, g)), ',') AS collapsed FROM b_nodes", "nodes"),
 )
 def _(spark, d):
     some = F.array(*map(F.lit, ["ASIA", "EUROPE/1", "AFRICA"]))
-    return B.nodes(spark, d).select("id", F.array_join(A.expanded_for_node(F.col("group_path"), some), ",").alias("collapsed"))
+    return B.nodes(spark, d).select("id", F.array_join(A.expanded_for_node(F.col("group_path"), some), ",").alias(
+        "collapsed"))
 
 
 @query(
     "u4_restored",
-    "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'restored' WHEN c_custkey % 7 = 0 THEN 'conflict' ELSE 'kept' END AS state FROM customer"
+    "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'restored' WHEN c_custkey % 7 = 0 THEN 'conflict' ELSE "
+        "'kept' END AS state FROM customer"
     " WHERE c_custkey % 2 = 0 OR (c_custkey % 5 <> 0 AND c_custkey % 7 <> 0)",
 )
 def _(spark, d):
     c = B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    visible = c.where("id % 5 <> 0 and (id % 2 = 0 or id % 7 <> 0)").withColumn("origin", F.when(F.col("id") % 7 == 0, F.lit("manual")))
+    visible = c.where("id % 5 <> 0 and (id % 2 = 0 or id % 7 <> 0)").withColumn("origin", F.when(F.col("id") % 7 == 0,
+        F.lit("manual")))
     return A.restored(visible, c.where("id % 2 = 0")).select("id", "state")
 
 
@@ -183,7 +210,8 @@ _GONE = "id LIKE 'customer/1%'"
     "u5_without_nodes",
     B.with_views(
         f", g AS (SELECT id FROM b_nodes WHERE {_GONE}), n AS (SELECT target AS id FROM b_edges WHERE source IN (SELECT id FROM g) UNION"
-        " SELECT source FROM b_edges WHERE target IN (SELECT id FROM g)) SELECT id, id IN (SELECT id FROM n) AS stale FROM b_nodes WHERE id NOT IN (SELECT id FROM g)",
+        " SELECT source FROM b_edges WHERE target IN (SELECT id FROM g)) SELECT id, id IN (SELECT id FROM n) AS stale "
+            "FROM b_nodes WHERE id NOT IN (SELECT id FROM g)",
         "nodes",
         "edges",
     ),
@@ -195,7 +223,8 @@ def _(spark, d):
 
 @query(
     "u5_without_edges",
-    B.with_views("SELECT id FROM b_edges WHERE source NOT LIKE 'customer/1%' AND target NOT LIKE 'customer/1%'", "edges"),
+    B.with_views("SELECT id FROM b_edges WHERE source NOT LIKE 'customer/1%' AND target NOT LIKE 'customer/1%'",
+        "edges"),
 )
 def _(spark, d):
     n = B.nodes(spark, d).select("id")
@@ -205,11 +234,16 @@ def _(spark, d):
 @query(
     "j16_matched_relations",
     B.with_views(
-        ", p AS (SELECT id, source, target, relation, length(id) % 9 = 0 AS pending FROM b_edges), c AS (SELECT CASE WHEN length(id) % 4 = 0 THEN 'new:' || id ELSE id END AS id, 'n' || source AS source,"
-        " 'n' || target AS target, relation, FALSE AS pending FROM b_edges), o AS (SELECT id AS old_id, 'n' || source AS s, 'n' || target AS t, relation FROM p WHERE NOT pending),"
-        " same AS (SELECT o.old_id, c.id AS new_id FROM o JOIN c ON o.old_id = c.id AND s = c.source AND t = c.target AND o.relation = c.relation),"
-        " ro AS (SELECT s, t, relation, min(old_id) AS old_id FROM o WHERE old_id NOT IN (SELECT old_id FROM same) GROUP BY ALL HAVING count(*) = 1),"
-        " rc AS (SELECT source AS s, target AS t, relation, min(id) AS new_id FROM c WHERE id NOT IN (SELECT new_id FROM same) GROUP BY ALL HAVING count(*) = 1)"
+        ", p AS (SELECT id, source, target, relation, length(id) % 9 = 0 AS pending FROM b_edges), c AS (SELECT CASE "
+            "WHEN length(id) % 4 = 0 THEN 'new:' || id ELSE id END AS id, 'n' || source AS source,"
+        " 'n' || target AS target, relation, FALSE AS pending FROM b_edges), o AS (SELECT id AS old_id, 'n' || source "
+            "AS s, 'n' || target AS t, relation FROM p WHERE NOT pending),"
+        " same AS (SELECT o.old_id, c.id AS new_id FROM o JOIN c ON o.old_id = c.id AND s = c.source AND t = c.target "
+            "AND o.relation = c.relation),"
+        " ro AS (SELECT s, t, relation, min(old_id) AS old_id FROM o WHERE old_id NOT IN (SELECT old_id FROM same) "
+            "GROUP BY ALL HAVING count(*) = 1),"
+        " rc AS (SELECT source AS s, target AS t, relation, min(id) AS new_id FROM c WHERE id NOT IN (SELECT new_id "
+            "FROM same) GROUP BY ALL HAVING count(*) = 1)"
         " SELECT * FROM same UNION ALL SELECT old_id, new_id FROM ro JOIN rc USING (s, t, relation)",
         "edges",
     ),
@@ -218,27 +252,34 @@ def _(spark, d):
     e = B.edges(spark, d)
     previous = e.select("id", "source", "target", "relation", (F.length("id") % 9 == 0).alias("pending"))
     named = F.when(F.length("id") % 4 == 0, F.concat(F.lit("new:"), "id")).otherwise(F.col("id")).alias("id")
-    current = e.select(named, F.concat(F.lit("n"), "source").alias("source"), F.concat(F.lit("n"), "target").alias("target"), "relation", F.lit(False).alias("pending"))
+    current = e.select(named, F.concat(F.lit("n"), "source").alias("source"), F.concat(F.lit("n"), "target").alias(
+        "target"), "relation", F.lit(False).alias("pending"))
     ids = B.nodes(spark, d).select(F.col("id").alias("old_id"), F.concat(F.lit("n"), "id").alias("new_id"))
     return A.matched_relations(previous, current, ids)
 
 
 @query(
     "j20_enhanced",
-    "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'better ' || c_name ELSE c_name END AS title, c_mktsegment AS role FROM customer",
+    "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'better ' || c_name ELSE c_name END AS title, "
+        "c_mktsegment AS role FROM customer",
 )
 def _(spark, d):
-    m = B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("role"))
-    review = m.where("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("better "), "title")).alias("title"), F.lit(None).cast("string").alias("role"))
+    m = B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col(
+        "c_mktsegment").alias("role"))
+    review = m.where("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("better "), "title")).alias(
+        "title"), F.lit(None).cast("string").alias("role"))
     return A.enhanced(m, review, ["title", "role"])
 
 
 @query(
     "j21_evidence",
     B.with_views(
-        ", r AS (SELECT *, cast(substr(symbol, 5) AS bigint) AS k FROM b_relations), e AS (SELECT id AS evidence_id, CASE WHEN k % 2 = 0 THEN id END AS relation_id, source_file AS file, symbol,"
-        " CASE WHEN k % 5 = 0 THEN 'other' ELSE detail END AS detail FROM r), f AS (SELECT e.evidence_id, arg_min(r.confidence, r.id) AS confidence FROM e JOIN r ON"
-        " (CASE WHEN e.relation_id IS NOT NULL THEN e.relation_id = r.id ELSE e.file = r.source_file END) AND e.symbol = r.symbol AND e.detail = r.detail GROUP BY 1)"
+        ", r AS (SELECT *, cast(substr(symbol, 5) AS bigint) AS k FROM b_relations), e AS (SELECT id AS evidence_id, "
+            "CASE WHEN k % 2 = 0 THEN id END AS relation_id, source_file AS file, symbol,"
+        " CASE WHEN k % 5 = 0 THEN 'other' ELSE detail END AS detail FROM r), f AS (SELECT e.evidence_id, "
+            "arg_min(r.confidence, r.id) AS confidence FROM e JOIN r ON"
+        " (CASE WHEN e.relation_id IS NOT NULL THEN e.relation_id = r.id ELSE e.file = r.source_file END) AND e.symbol "
+            "= r.symbol AND e.detail = r.detail GROUP BY 1)"
         " SELECT evidence_id, coalesce(confidence, 'inferred') AS confidence FROM e LEFT JOIN f USING (evidence_id)",
         "relations",
     ),
@@ -246,54 +287,65 @@ def _(spark, d):
 def _(spark, d):
     r, k = B.relations(spark, d), F.substr("symbol", F.lit(5)).cast("long")
     detail = F.when(k % 5 == 0, F.lit("other")).otherwise(F.col("detail")).alias("detail")
-    e = r.select(F.col("id").alias("evidence_id"), F.when(k % 2 == 0, F.col("id")).alias("relation_id"), F.col("source_file").alias("file"), "symbol", detail)
+    e = r.select(F.col("id").alias("evidence_id"), F.when(k % 2 == 0, F.col("id")).alias("relation_id"), F.col(
+        "source_file").alias("file"), "symbol", detail)
     relations = r.select(F.col("id").alias("place"), "id", "source_file", "symbol", "detail", "confidence")
     return A.evidence_confidence(e, relations).select("evidence_id", "confidence")
 
 
 @query(
     "d4_first_items",
-    "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END"
+    "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, "
+        "l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END"
     " ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1",
 )
 def _(spark, d):
     x = B.table(spark, d, "lineitem").withColumn("source", F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey")))
     x = x.withColumn("place", F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))
-    return A.first_of_each(x, ["l_returnflag", "l_linestatus", "l_partkey", "source"], "place").select("l_orderkey", "l_linenumber")
+    return A.first_of_each(x, ["l_returnflag", "l_linestatus", "l_partkey", "source"], "place").select("l_orderkey",
+        "l_linenumber")
 
 
 @query(
     "d5_evidence_once",
-    "SELECT 'evidence-' || sha256(l_partkey || chr(0) || l_suppkey) AS evidence_id, arg_max(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey FROM lineitem GROUP BY l_partkey, l_suppkey",
+    "SELECT 'evidence-' || sha256(l_partkey || chr(0) || l_suppkey) AS evidence_id, arg_max(l_orderkey, (l_orderkey, "
+        "l_linenumber)) AS l_orderkey FROM lineitem GROUP BY l_partkey, l_suppkey",
 )
 def _(spark, d):
-    x = B.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", F.struct("l_orderkey", "l_linenumber").alias("place"))
+    x = B.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", F.struct("l_orderkey",
+        "l_linenumber").alias("place"))
     return A.once_by_hash(x, ["l_partkey", "l_suppkey"], "place").select("evidence_id", "l_orderkey")
 
 
 @query(
     "w6_representatives",
-    "SELECT o_custkey AS module, min(o_orderkey) AS evidence_id FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey",
+    "SELECT o_custkey AS module, min(o_orderkey) AS evidence_id FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY "
+        "o_custkey",
 )
 def _(spark, d):
     k = F.col("o_orderkey")
-    e = B.table(spark, d, "orders").select(F.col("o_custkey").alias("module"), k.alias("evidence_id"), F.when(k % 3 == 0, k).alias("relationship_id"))
+    e = B.table(spark, d, "orders").select(F.col("o_custkey").alias("module"), k.alias("evidence_id"),
+        F.when(k % 3 == 0, k).alias("relationship_id"))
     return A.representatives(e, "evidence_id").select("module", "evidence_id")
 
 
 @query(
     "t6_relation_order",
-    B.with_views("SELECT id, row_number() OVER (ORDER BY source_file, coalesce(target_file, ''), kind, id) - 1 AS place FROM b_relations", "relations"),
+    B.with_views("SELECT id, row_number() OVER (ORDER BY source_file, coalesce(target_file, ''), kind, id) - 1 AS "
+        "place FROM b_relations", "relations"),
 )
 def _(spark, d):
-    r = B.relations(spark, d).select("id", "source_file", F.coalesce("target_file", F.lit("")).alias("target_file"), "kind")
-    return dedupe.with_number(r, ["source_file", "target_file", "kind", "id"], "place", 8).select("id", F.col("place").cast("long").alias("place"))
+    r = B.relations(spark, d).select("id", "source_file", F.coalesce("target_file", F.lit("")).alias("target_file"),
+        "kind")
+    return dedupe.with_number(r, ["source_file", "target_file", "kind", "id"], "place", 8).select("id", F.col("place")
+        .cast("long").alias("place"))
 
 
 @query(
     "j8_enriched",
     B.with_views(
-        "SELECT path, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN doc_id % 3 <> 0 THEN 'semantic' ELSE 'lightweight' END AS depth,"
+        "SELECT path, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN "
+            "doc_id % 3 <> 0 THEN 'semantic' ELSE 'lightweight' END AS depth,"
         " CASE WHEN doc_id % 3 <> 0 THEN doc_id % 11 ELSE 0 END AS n_symbols FROM b_files",
         "files",
     ),
@@ -312,77 +364,98 @@ def _(spark, d):
 
 @query(
     "j11_in_sight",
-    "SELECT o_orderkey AS id, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN t END AS declaration FROM (SELECT o_orderkey, o_custkey % 7 AS scope, o_orderkey % 400 AS name FROM orders)"
-    " LEFT JOIN (SELECT s.scope, p_partkey % 500 AS name, count(*) AS n, min(p_partkey) AS t FROM (SELECT range AS scope, range AS of FROM range(7) UNION SELECT range, range // 2 FROM range(7)) s"
+    "SELECT o_orderkey AS id, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN t END AS declaration FROM (SELECT "
+        "o_orderkey, o_custkey % 7 AS scope, o_orderkey % 400 AS name FROM orders)"
+    " LEFT JOIN (SELECT s.scope, p_partkey % 500 AS name, count(*) AS n, min(p_partkey) AS t FROM (SELECT range AS "
+        "scope, range AS of FROM range(7) UNION SELECT range, range // 2 FROM range(7)) s"
     " JOIN part ON s.of = p_size % 7 GROUP BY ALL) USING (scope, name)",
 )
 def _(spark, d):
-    names = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("scope"), (F.col("o_orderkey") % 400).alias("name"))
-    declared = B.table(spark, d, "part").select((F.col("p_size") % 7).cast("long").alias("scope"), (F.col("p_partkey") % 500).alias("name"), F.col("p_partkey").alias("declaration"))
+    names = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("scope"),
+        (F.col("o_orderkey") % 400).alias("name"))
+    declared = B.table(spark, d, "part").select((F.col("p_size") % 7).cast("long").alias("scope"), (F.col(
+        "p_partkey") % 500).alias("name"), F.col("p_partkey").alias("declaration"))
     on = spark.range(7).select(F.col("id").alias("scope"), F.floor(F.col("id") / 2).alias("on"))
     return A.declarations_in_sight(names, declared, on)
 
 
 @query(
     "j10_through_exports",
-    "WITH RECURSIVE e AS (SELECT p_partkey AS m, CASE WHEN p_partkey % 6 <> 0 THEN p_partkey - 1 END AS t FROM part WHERE p_partkey % 25 <> 7),"
-    " w AS (SELECT o_orderkey AS id, o_orderkey % (SELECT count(*) FROM part) + 1 AS m FROM orders UNION ALL SELECT id, e.t FROM w JOIN e USING (m) WHERE e.t IS NOT NULL)"
-    " SELECT o_orderkey AS id, d.m AS declared_in FROM orders LEFT JOIN (SELECT id, m FROM w JOIN e USING (m) WHERE t IS NULL) d ON o_orderkey = d.id",
+    "WITH RECURSIVE e AS (SELECT p_partkey AS m, CASE WHEN p_partkey % 6 <> 0 THEN p_partkey - 1 END AS t FROM part "
+        "WHERE p_partkey % 25 <> 7),"
+    " w AS (SELECT o_orderkey AS id, o_orderkey % (SELECT count(*) FROM part) + 1 AS m FROM orders UNION ALL SELECT "
+        "id, e.t FROM w JOIN e USING (m) WHERE e.t IS NOT NULL)"
+    " SELECT o_orderkey AS id, d.m AS declared_in FROM orders LEFT JOIN (SELECT id, m FROM w JOIN e USING (m) WHERE t "
+        "IS NULL) d ON o_orderkey = d.id",
 )
 def _(spark, d):
     part = B.table(spark, d, "part")
     k = F.col("p_partkey")
-    exports = part.where(k % 25 != 7).select(k.alias("module"), F.lit("f").alias("name"), F.when(k % 6 != 0, k - 1).alias("to_module"), F.when(k % 6 != 0, F.lit("f")).alias("to_name"))
+    exports = part.where(k % 25 != 7).select(k.alias("module"), F.lit("f").alias("name"), F.when(k % 6 != 0, k - 1)
+        .alias("to_module"), F.when(k % 6 != 0, F.lit("f")).alias("to_name"))
     size = F.broadcast(part.agg(F.count("*").alias("n")))  # one row
-    uses = B.table(spark, d, "orders").crossJoin(size).select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % F.col("n") + 1).alias("module"), F.lit("f").alias("name"))
+    uses = B.table(spark, d, "orders").crossJoin(size).select(F.col("o_orderkey").alias("id"), (F.col(
+        "o_orderkey") % F.col("n") + 1).alias("module"), F.lit("f").alias("name"))
     return A.through_exports(uses, exports).select("id", "declared_in")
 
 
 @query("j12_branches")
 def _(spark, d):
     c = B.table(spark, d, "conversations").select("conv_id", "turn", "role")
-    path = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("if:"), F.col("turn") % 2)))
+    path = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("if:"),
+        F.col("turn") % 2)))
     name = F.col("conv_id").cast("string")
-    assigned = c.where("role = 'user'").select(name.alias("name"), F.col("turn").alias("at"), path.alias("path"), (F.col("turn") % 4).cast("string").alias("identity"))
-    calls = c.where("role <> 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), name.alias("name"), F.col("turn").alias("at"), path.alias("path"))
+    assigned = c.where("role = 'user'").select(name.alias("name"), F.col("turn").alias("at"), path.alias("path"),
+        (F.col("turn") % 4).cast("string").alias("identity"))
+    calls = c.where("role <> 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), name.alias("name"), F.col(
+        "turn").alias("at"), path.alias("path"))
     return A.branch_binding(assigned, calls)
 
 
 @query(
     "j9_package_targets",
-    "SELECT c_custkey AS id, [ 'near/src/index.ts', 'near/src/x' || c_custkey || '.ts', NULL, 'near/own.ts', NULL, 'far/y' || c_custkey || '.ts'][c_custkey % 6 + 1] AS target FROM customer",
+    "SELECT c_custkey AS id, [ 'near/src/index.ts', 'near/src/x' || c_custkey || '.ts', NULL, 'near/own.ts', NULL, "
+        "'far/y' || c_custkey || '.ts'][c_custkey % 6 + 1] AS target FROM customer",
 )
 def _(spark, d):
     k = F.col("c_custkey")
-    spec = F.concat(_pick(["@a/lib", "@a/lib/x/", "@a/lib/none/", "@a/lib/own", "@b/none", "@a/lib/deep/y/"], k % 6), F.when((k % 6).isin(1, 2, 5), k.cast("string")).otherwise(F.lit("")))
+    spec = F.concat(_pick(["@a/lib", "@a/lib/x/", "@a/lib/none/", "@a/lib/own", "@b/none", "@a/lib/deep/y/"], k % 6),
+        F.when((k % 6).isin(1, 2, 5), k.cast("string")).otherwise(F.lit("")))
     imports = B.table(spark, d, "customer").select(k.alias("id"), F.lit("app").alias("scope"), spec.alias("spec"))
-    packages = spark.createDataFrame([("app", "@a/lib", 0, "near"), ("app", "@a/lib", 1, "far"), ("app", "@a/lib/deep", 0, "far")], "scope string, package string, rank int, root string")
+    packages = spark.createDataFrame([("app", "@a/lib", 0, "near"), ("app", "@a/lib", 1, "far"), ("app", "@a/lib/deep",
+        0, "far")], "scope string, package string, rank int, root string")
     exports = spark.createDataFrame(
-        [("@a/lib", "near", ".", "near/src/index.ts"), ("@a/lib", "near", "./x/*", "near/src/x*.ts"), ("@a/lib", "near", "./own", "near/own.ts"), ("@a/lib", "far", ".", "far/index.ts"), ("@a/lib/deep", "far", "./y/*", "far/y*.ts")],
+        [("@a/lib", "near", ".", "near/src/index.ts"), ("@a/lib", "near", "./x/*", "near/src/x*.ts"), ("@a/lib", "near",
+            "./own", "near/own.ts"), ("@a/lib", "far", ".", "far/index.ts"), ("@a/lib/deep", "far", "./y/*",
+            "far/y*.ts")],
         "package string, root string, key string, target string",
     )
     return A.package_targets(imports, packages, exports)
 
 
-_KNOWN = [("requests", "get"), ("pathlib", "write_text"), ("subprocess", "run"), ("database/sql", "Query"), ("mine", "get"), ("os", "environ")]
+_KNOWN = [("requests", "get"), ("pathlib", "write_text"), ("subprocess", "run"), ("database/sql", "Query"), ("mine",
+    "get"), ("os", "environ")]
 
 
 @query(
     "e9_operations",
-    "SELECT event_id AS id, ['http', 'filesystem', 'process', 'database'][event_id % 6 + 1] AS kind, ['invoke', 'write', 'invoke', 'read'][event_id % 6 + 1] AS operation,"
+    "SELECT event_id AS id, ['http', 'filesystem', 'process', 'database'][event_id % 6 + 1] AS kind, ['invoke', "
+        "'write', 'invoke', 'read'][event_id % 6 + 1] AS operation,"
     " CASE WHEN event_id % 5 = 0 THEN 'inferred' ELSE 'confirmed' END AS confidence FROM events WHERE event_id % 6 < 4",
 )
 def _(spark, d):
     k = F.col("event_id")
     pick = lambda i: _pick([x[i] for x in _KNOWN], k % 6)
-    calls = B.table(spark, d, "events").select(k.alias("id"), pick(0).alias("module"), pick(1).alias("member"), F.when(k % 5 != 0, F.lit("t")).alias("target"))
+    calls = B.table(spark, d, "events").select(k.alias("id"), pick(0).alias("module"), pick(1).alias("member"),
+        F.when(k % 5 != 0, F.lit("t")).alias("target"))
     return A.interface_operations(calls)
 
 
 @query(
     "e14_typed_targets",
     B.with_views(
-        "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'file' WHEN doc_id % 4 = 1 OR doc_id % 4 = 2 THEN 'unresolved' ELSE 'external' END AS target_kind,"
+        "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'file' WHEN doc_id % 4 = 1 OR doc_id % 4 = 2 THEN "
+            "'unresolved' ELSE 'external' END AS target_kind,"
         " CASE doc_id % 4 WHEN 0 THEN path WHEN 1 THEN './x' ELSE 'lib' END AS target FROM b_files",
         "files",
     ),
@@ -390,23 +463,29 @@ def _(spark, d):
 def _(spark, d):
     f = B.files(spark, d)
     k = F.col("doc_id") % 4
-    r = f.select(F.col("doc_id").alias("id"), F.when(k == 1, F.lit("./x")).otherwise(F.lit("lib")).alias("spec"), F.when(k == 0, F.col("path")).when(k == 3, F.lit("gone.ts")).alias("resolved"), F.when(k == 2, F.lit("cycle")).alias("reason"))
+    r = f.select(F.col("doc_id").alias("id"), F.when(k == 1, F.lit("./x")).otherwise(F.lit("lib")).alias("spec"),
+        F.when(k == 0, F.col("path")).when(k == 3, F.lit("gone.ts")).alias("resolved"), F.when(k == 2, F.lit("cycle"))
+        .alias("reason"))
     return A.typed_targets(r, f.select("path"))
 
 
 @query(
     "s17_snapshot",
-    B.with_views("SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'deleted' ELSE 'changed' END AS state FROM b_files WHERE doc_id % 10 < 3", "files"),
+    B.with_views("SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'deleted' ELSE "
+        "'changed' END AS state FROM b_files WHERE doc_id % 10 < 3", "files"),
 )
 def _(spark, d):
     f, m = B.files(spark, d), F.col("doc_id") % 10
-    return A.snapshot_changes(f.where(m != 0), f.where(m != 1).withColumn("hash", F.when(m == 2, F.lit("x")).otherwise(F.col("hash"))))
+    return A.snapshot_changes(f.where(m != 0), f.where(m != 1).withColumn("hash", F.when(m == 2, F.lit("x"))
+        .otherwise(F.col("hash"))))
 
 
 @query(
     "c16_guidance",
-    "SELECT o_orderkey AS id, '{\"label\":\"next\",\"id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\",\"fields\":[\"a\"]}' AS document FROM orders",
+    "SELECT o_orderkey AS id, '{\"label\":\"next\",\"id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || "
+        "'\",\"fields\":[\"a\"]}' AS document FROM orders",
 )
 def _(spark, d):
-    delta = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.array(F.lit("a")).alias("fields"))
+    delta = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"),
+        F.array(F.lit("a")).alias("fields"))
     return A.guidance_context(delta, "next")

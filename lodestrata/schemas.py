@@ -14,5 +14,8 @@ SAMPLES = "scenario string, band string, project string, metric string, value do
 
 def broken_relations(relations: DataFrame) -> DataFrame:
     """Relations that break an invariant: a call without a target, an unresolved one that claims to be confirmed, a file target without a file."""
-    problem = F.when((F.col("kind") == "call") & F.col("target_kind").isNull(), F.lit("call-without-target")).when((F.col("target_kind") == "unresolved") & (F.col("confidence") != "inferred"), F.lit("unresolved-but-confirmed")).when((F.col("target_kind") == "file") & F.col("target_file").isNull(), F.lit("file-target-without-file"))
+    problem = F.when((F.col("kind") == "call") & F.col("target_kind").isNull(), F.lit(
+        "call-without-target")).when((F.col("target_kind") == "unresolved") & (F.col("confidence") != "inferred"),
+        F.lit("unresolved-but-confirmed")).when((F.col("target_kind") == "file") & F.col("target_file").isNull(), F.lit(
+        "file-target-without-file"))
     return relations.select("id", problem.alias("problem")).where("problem is not null")

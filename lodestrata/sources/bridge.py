@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators.relations import architecture_relation
 
-FOLDERS = ["features/billing", "src/services", "shared/utils", "tests", "integrations/stripe", "src/data", "api/routes", "src/workers"]
+FOLDERS = ["features/billing", "src/services", "shared/utils", "tests", "integrations/stripe", "src/data", "api/routes",
+    "src/workers"]
 STEMS = ["order-service", "userController", "date.util", "invoice_repo", "SyncWorker", "index", "paymentGateway"]
 EXTENSIONS = [".ts", ".py", ".go", ".java", ".tsx", ".md", ".sql", ".json", ".rs"]
 KINDS = ["call", "import", "database", "event", "http"]
@@ -28,26 +29,36 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file a document: file, path, module (its source), scope (its language), size, hash, status."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    path = F.concat("source", F.lit("/"), _pick(FOLDERS, i % 8), F.lit("/"), _pick(STEMS, i % 7), i.cast("string"), _pick(EXTENSIONS, i % 9))
-    return d.select(i, path.alias("path"), path.alias("file"), F.col("source").alias("module"), F.col("lang").alias("scope"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("hash"), F.when(i % 11 == 0, F.lit("failed")).when(i % 13 == 0, F.lit("unsupported")).otherwise(F.lit("parsed")).alias("status"))
+    path = F.concat("source", F.lit("/"), _pick(FOLDERS, i % 8), F.lit("/"), _pick(STEMS, i % 7), i.cast("string"),
+        _pick(EXTENSIONS, i % 9))
+    return d.select(i, path.alias("path"), path.alias("file"), F.col("source").alias("module"), F.col("lang").alias(
+        "scope"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("hash"),
+        F.when(i % 11 == 0, F.lit("failed")).when(i % 13 == 0, F.lit("unsupported")).otherwise(F.lit("parsed")).alias(
+        "status"))
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One relation an order line: from the supplier's file to the customer's."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+        "l_linestatus")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     kind = _pick(KINDS, F.substring("o_orderpriority", 1, 1).cast("int") - 1)
     lost = F.col("l_partkey") % 10 == 0
     j = j.select(
-        F.substring(F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), 256), 1, 24).alias("id"),
+        F.substring(F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), 256), 1, 24).alias(
+            "id"),
         kind.alias("kind"),
         F.concat(F.lit("supplier/"), "l_suppkey").alias("source_file"),
         F.when(~lost & (F.col("l_partkey") % 17 != 0), F.concat(F.lit("customer/"), "o_custkey")).alias("target_file"),
-        F.when(lost, F.lit("unresolved")).when(F.col("l_partkey") % 17 == 0, F.lit("resource")).otherwise(F.lit("file")).alias("target_kind"),
-        F.when(~lost & (F.col("l_partkey") % 17 == 0), F.concat(F.lit("resource/"), F.col("l_partkey") % 5)).alias("resource_id"),
+        F.when(lost, F.lit("unresolved")).when(F.col("l_partkey") % 17 == 0, F.lit("resource")).otherwise(F.lit("file"))
+            .alias("target_kind"),
+        F.when(~lost & (F.col("l_partkey") % 17 == 0), F.concat(F.lit("resource/"), F.col("l_partkey") % 5)).alias(
+            "resource_id"),
         F.when(lost, (F.col("l_partkey") % 3).cast("int")).alias("n_candidates"),
-        F.when(kind == "database", F.when(F.col("l_linenumber") % 2 == 0, F.lit("read")).otherwise(F.lit("write"))).when(kind == "event", F.when(F.col("l_linenumber") % 3 == 0, F.lit("subscribe")).when(F.col("l_linenumber") % 3 == 1, F.lit("publish"))).alias("operation"),
+        F.when(kind == "database", F.when(F.col("l_linenumber") % 2 == 0, F.lit("read")).otherwise(F.lit("write")))
+            .when(kind == "event", F.when(F.col("l_linenumber") % 3 == 0, F.lit("subscribe")).when(F.col(
+            "l_linenumber") % 3 == 1, F.lit("publish"))).alias("operation"),
         F.when(F.col("l_linestatus") == "F", F.lit("confirmed")).otherwise(F.lit("inferred")).alias("confidence"),
         F.concat_ws(" ", kind, "l_partkey", "l_returnflag").alias("detail"),
         F.concat(F.lit("part"), "l_partkey").alias("symbol"),
@@ -58,25 +69,38 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of suppliers and customers in a module a nation."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("module"))
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("file"), F.col("s_nationkey").alias("k"))
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("file"), F.col("c_nationkey").alias("k"))
-    return s.unionByName(c).join(F.broadcast(n), F.col("k") == F.col("n_nationkey")).select("file", "module")  # 25 nations
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("file"), F.col(
+        "s_nationkey").alias("k"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("file"), F.col(
+        "c_nationkey").alias("k"))
+    return s.unionByName(c).join(F.broadcast(n), F.col("k") == F.col("n_nationkey")).select("file",
+        "module")  # 25 nations
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node a file of a supplier or customer, in the group of its region, and a node a resource."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     places = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("id"), F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("id"), F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
-    owned = s.unionByName(c).join(F.broadcast(places), F.col("n") == F.col("n_nationkey")).select("id", "k", F.col("r_name").alias("region"), F.lit(None).cast("string").alias("resource_kind"))  # 25 nations
-    j = owned.unionByName(spark.range(5).select(F.concat(F.lit("resource/"), "id").alias("id"), F.col("id").alias("k"), F.lit("SHARED").alias("region"), F.lit("event").alias("resource_kind")))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("id"), F.col(
+        "s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("id"), F.col(
+        "c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    owned = s.unionByName(c).join(F.broadcast(places), F.col("n") == F.col("n_nationkey")).select("id", "k", F.col(
+        "r_name").alias("region"), F.lit(None).cast("string").alias("resource_kind"))  # 25 nations
+    j = owned.unionByName(spark.range(5).select(F.concat(F.lit("resource/"), "id").alias("id"), F.col("id").alias("k"),
+        F.lit("SHARED").alias("region"), F.lit("event").alias("resource_kind")))
     k = F.col("k")
-    category = _pick(["domain-service", "api-boundary", "data-access", "test-surface", "external-integration", "shared-utility"], k % 6)
+    category = _pick(["domain-service", "api-boundary", "data-access", "test-surface", "external-integration",
+        "shared-utility"], k % 6)
     return j.select(
-        "id", F.col("id").alias("title"), F.lit("module").alias("kind"), category.alias("category"), X.mapped(category, X.NODE_TYPES).alias("node_type"),
-        F.coalesce(X.mapped(category, X.CATEGORY_LAYERS), F.lit("infrastructure")).alias("layer"), F.array(F.when(k % 2 == 0, F.lit("backend")).otherwise(F.lit("frontend")), F.when(k % 3 == 0, F.lit("data")).otherwise(F.lit("shared"))).alias("stacks"),
-        F.lower("region").alias("domain"), F.array(F.concat(F.lit("src/"), "id", _pick([".ts", "Controller.ts", ".test.ts"], k % 3))).alias("files"), "resource_kind", F.when(k % 9 == 8, F.lit("manual")).alias("origin"), F.array(F.col("region"), F.concat("region", F.lit("/"), (k % 2).cast("string"))).alias("group_path"),
+        "id", F.col("id").alias("title"), F.lit("module").alias("kind"), category.alias("category"), X.mapped(category,
+            X.NODE_TYPES).alias("node_type"),
+        F.coalesce(X.mapped(category, X.CATEGORY_LAYERS), F.lit("infrastructure")).alias("layer"),
+            F.array(F.when(k % 2 == 0, F.lit("backend")).otherwise(F.lit("frontend")), F.when(k % 3 == 0, F.lit("data"))
+            .otherwise(F.lit("shared"))).alias("stacks"),
+        F.lower("region").alias("domain"), F.array(F.concat(F.lit("src/"), "id", _pick([".ts", "Controller.ts",
+            ".test.ts"], k % 3))).alias("files"), "resource_kind", F.when(k % 9 == 8, F.lit("manual")).alias("origin"),
+            F.array(F.col("region"), F.concat("region", F.lit("/"), (k % 2).cast("string"))).alias("group_path"),
     )
 
 
@@ -85,34 +109,49 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = relations(spark, sf_dir).withColumn("end", F.coalesce("target_file", "resource_id")).where("end is not null")
     flip = F.coalesce(F.col("operation") == "subscribe", F.lit(False))
     d = r.select(
-        F.when(flip, F.col("end")).otherwise(F.col("source_file")).alias("source"), F.when(flip, F.col("source_file")).otherwise(F.col("end")).alias("target"), F.coalesce(architecture_relation(), "kind").alias("relation"), "confidence",
-        F.when((F.col("kind") == "event") & (F.col("confidence") == "confirmed"), F.col("symbol")).alias("event_id"), F.when(F.endswith("symbol", F.lit("77")), F.lit("manual")).alias("origin"),
+        F.when(flip, F.col("end")).otherwise(F.col("source_file")).alias("source"), F.when(flip, F.col("source_file"))
+            .otherwise(F.col("end")).alias("target"), F.coalesce(architecture_relation(), "kind").alias("relation"),
+            "confidence",
+        F.when((F.col("kind") == "event") & (F.col("confidence") == "confirmed"), F.col("symbol")).alias("event_id"),
+            F.when(F.endswith("symbol", F.lit("77")), F.lit("manual")).alias("origin"),
     )
-    g = d.groupBy("source", "target", "relation").agg(F.min("confidence").alias("confidence"), F.max("event_id").alias("event_id"), F.max("origin").alias("origin"), F.count("*").alias("n_relations"))
+    g = d.groupBy("source", "target", "relation").agg(F.min("confidence").alias("confidence"), F.max("event_id").alias(
+        "event_id"), F.max("origin").alias("origin"), F.count("*").alias("n_relations"))
     return g.withColumn("id", F.concat_ws(":", "source", "target", "relation"))
 
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as requests, and a route per host and language with a parameter."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"),
+        F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path"))
     method = F.when(F.col("page_id") % 5 == 0, F.lit("POST")).otherwise(F.lit("GET"))
     service = F.when(F.col("page_id") % 3 != 0, F.col("host"))
-    requests = p.select(F.concat(F.lit("q"), "page_id").alias("id"), F.lit("request").alias("kind"), F.concat(F.lit("page"), "page_id").alias("file"), method.alias("method"), "path", service.alias("service"), F.col("host").alias("origin"), F.lit("confirmed").alias("confidence"))
+    requests = p.select(F.concat(F.lit("q"), "page_id").alias("id"), F.lit("request").alias("kind"), F.concat(F.lit(
+        "page"), "page_id").alias("file"), method.alias("method"), "path", service.alias("service"), F.col("host")
+        .alias("origin"), F.lit("confirmed").alias("confidence"))
     lang = F.split_part("path", F.lit("/"), F.lit(2))
     routes = p.select("host", lang.alias("lang")).where("lang <> ''").distinct()
-    routes = routes.select(F.concat(F.lit("r:"), "host", F.lit("/"), "lang").alias("id"), F.lit("route").alias("kind"), F.concat("host", F.lit(".go")).alias("file"), F.lit("GET").alias("method"), F.concat(F.lit("/"), "lang", F.lit("/:id")).alias("path"), F.col("host").alias("service"), F.col("host").alias("origin"), F.when(F.length("host") % 2 == 0, F.lit("confirmed")).otherwise(F.lit("inferred")).alias("confidence"))
+    routes = routes.select(F.concat(F.lit("r:"), "host", F.lit("/"), "lang").alias("id"), F.lit("route").alias("kind"),
+        F.concat("host", F.lit(".go")).alias("file"), F.lit("GET").alias("method"), F.concat(F.lit("/"), "lang", F.lit(
+        "/:id")).alias("path"), F.col("host").alias("service"), F.col("host").alias("origin"), F.when(F.length(
+        "host") % 2 == 0, F.lit("confirmed")).otherwise(F.lit("inferred")).alias("confidence"))
     return requests.unionByName(routes)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as measurements."""
     e = table(spark, sf_dir, "events")
-    return e.select(_pick(["cold", "warm"], F.col("user_id") % 2).alias("scenario"), _pick(["small", "medium", "large"], F.col("user_id") % 3).alias("band"), F.concat(F.lit("p"), F.col("user_id") % 7).alias("project"), F.col("event_type").alias("metric"), "value", "ts", "event_id", "user_id")
+    return e.select(_pick(["cold", "warm"], F.col("user_id") % 2).alias("scenario"), _pick(["small", "medium", "large"],
+        F.col("user_id") % 3).alias("band"), F.concat(F.lit("p"), F.col("user_id") % 7).alias("project"), F.col(
+        "event_type").alias("metric"), "value", "ts", "event_id", "user_id")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("diagram"), "turn", F.col("role").alias("sender"), F.when(F.col("role") == "user", F.lit("assistant")).otherwise(F.lit("user")).alias("receiver"), F.when(F.col("turn") % 2 == 0, F.lit("call")).otherwise(F.lit("return")).alias("kind"), "text", F.when(F.col("turn") % 4 != 3, F.length("text")).alias("evidence"))
+    return c.select(F.col("conv_id").alias("diagram"), "turn", F.col("role").alias("sender"), F.when(F.col("role") ==
+        "user", F.lit("assistant")).otherwise(F.lit("user")).alias("receiver"), F.when(F.col("turn") % 2 == 0, F.lit(
+        "call")).otherwise(F.lit("return")).alias("kind"), "text", F.when(F.col("turn") % 4 != 3, F.length("text"))
+        .alias("evidence"))
 
 
 def _list(values: list[str]) -> str:
@@ -120,19 +159,26 @@ def _list(values: list[str]) -> str:
 
 
 SQL = {
-    "files": f"SELECT doc_id, source || '/' || {_list(FOLDERS)}[doc_id % 8 + 1] || '/' || {_list(STEMS)}[doc_id % 7 + 1] || doc_id || {_list(EXTENSIONS)}[doc_id % 9 + 1] AS path, path AS file, source AS module, lang AS scope, strlen(text) AS size, sha256(text) AS hash, CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 13 = 0 THEN 'unsupported' ELSE 'parsed' END AS status FROM documents",
-    "relations": f"""SELECT substr(sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 24) AS id, {_list(KINDS)}[cast(substr(o_orderpriority, 1, 1) AS int)] AS kind, 'supplier/' || l_suppkey AS source_file,
+    "files":
+        f"SELECT doc_id, source || '/' || {_list(FOLDERS)}[doc_id % 8 + 1] || '/' || {_list(STEMS)}[doc_id % 7 + 1] || doc_id || {_list(EXTENSIONS)}[doc_id % 9 + 1] AS path, path AS file, source AS module, lang AS scope, strlen(text) AS size, sha256(text) AS hash, CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 13 = 0 THEN 'unsupported' ELSE 'parsed' END AS status FROM documents",
+    "relations":
+        f"""SELECT substr(sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 24) AS id, {_list(KINDS)}[cast(substr(o_orderpriority, 1, 1) AS int)] AS kind, 'supplier/' || l_suppkey AS source_file,
         CASE WHEN l_partkey % 10 <> 0 AND l_partkey % 17 <> 0 THEN 'customer/' || o_custkey END AS target_file, CASE WHEN l_partkey % 10 = 0 THEN 'unresolved' WHEN l_partkey % 17 = 0 THEN 'resource' ELSE 'file' END AS target_kind,
         CASE WHEN l_partkey % 10 <> 0 AND l_partkey % 17 = 0 THEN 'resource/' || l_partkey % 5 END AS resource_id, CASE WHEN l_partkey % 10 = 0 THEN l_partkey % 3 END AS n_candidates,
         CASE WHEN kind = 'database' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'read' ELSE 'write' END WHEN kind = 'event' THEN CASE l_linenumber % 3 WHEN 0 THEN 'subscribe' WHEN 1 THEN 'publish' END END AS operation,
         CASE WHEN l_linestatus = 'F' THEN 'confirmed' ELSE 'inferred' END AS confidence, kind || ' ' || l_partkey || ' ' || l_returnflag AS detail, 'part' || l_partkey AS symbol FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-    "module_files": "SELECT 'supplier/' || s_suppkey AS file, n_name AS module FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'customer/' || c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "module_files": "SELECT 'supplier/' || s_suppkey AS file, n_name AS module FROM supplier JOIN nation ON "
+        "s_nationkey = n_nationkey UNION ALL SELECT 'customer/' || c_custkey, n_name FROM customer JOIN nation ON "
+        "c_nationkey = n_nationkey",
     "endpoints": """SELECT 'q' || page_id AS id, 'request' AS kind, 'page' || page_id AS file, CASE WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, path, CASE WHEN page_id % 3 <> 0 THEN host END AS service, host AS origin, 'confirmed' AS confidence
         FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages)
         UNION ALL SELECT 'r:' || host || '/' || lang, 'route', host || '.go', 'GET', '/' || lang || '/:id', host, host, CASE WHEN length(host) % 2 = 0 THEN 'confirmed' ELSE 'inferred' END
         FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS host, split_part(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '/', 2) AS lang FROM pages) WHERE lang <> ''""",
-    "samples": "SELECT ['cold', 'warm'][user_id % 2 + 1] AS scenario, ['small', 'medium', 'large'][user_id % 3 + 1] AS band, 'p' || user_id % 7 AS project, event_type AS metric, value, ts, event_id, user_id FROM events",
-    "messages": "SELECT conv_id AS diagram, turn, role AS sender, CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END AS receiver, CASE WHEN turn % 2 = 0 THEN 'call' ELSE 'return' END AS kind, text, CASE WHEN turn % 4 <> 3 THEN length(text) END AS evidence FROM conversations",
+    "samples": "SELECT ['cold', 'warm'][user_id % 2 + 1] AS scenario, ['small', 'medium', 'large'][user_id % 3 + 1] AS "
+        "band, 'p' || user_id % 7 AS project, event_type AS metric, value, ts, event_id, user_id FROM events",
+    "messages": "SELECT conv_id AS diagram, turn, role AS sender, CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' "
+        "END AS receiver, CASE WHEN turn % 2 = 0 THEN 'call' ELSE 'return' END AS kind, text, CASE WHEN turn % 4 <> 3 "
+        "THEN length(text) END AS evidence FROM conversations",
 }
 
 SQL["nodes"] = """SELECT id, id AS title, 'module' AS kind, ['domain-service', 'api-boundary', 'data-access', 'test-surface', 'external-integration', 'shared-utility'][k % 6 + 1] AS category,
@@ -151,4 +197,5 @@ SQL["edges"] = f"""SELECT source, target, relation, min(confidence) AS confidenc
 
 def with_views(query: str, *names: str, recursive: bool = False) -> str:
     """query with the named views in front."""
-    return f"WITH {'RECURSIVE ' * recursive}" + ", ".join(f"b_{n} AS ({SQL[n]})" for n in names) + (", " if query.lstrip()[:1] == "," else " ") + query.lstrip().removeprefix(",")
+    return f"WITH {'RECURSIVE ' * recursive}" + ", ".join(f"b_{n} AS ({SQL[n]})" for n in names) + (", "
+        if query.lstrip()[:1] == "," else " ") + query.lstrip().removeprefix(",")

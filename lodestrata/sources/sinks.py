@@ -18,7 +18,8 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], expect
     generation = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/gen={generation}/{name}")
-    spark.createDataFrame([(generation, time.time_ns(), sorted(tables))], "generation string, at long, tables array<string>").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    spark.createDataFrame([(generation, time.time_ns(), sorted(tables))], "generation string, at long, tables "
+        "array<string>").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return generation
 
 
@@ -37,7 +38,8 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def latest(history: DataFrame, by: list[str], at: str, unique: str, most: int = 100) -> DataFrame:
     """The newest entries of a history."""
-    w = Window.partitionBy(*by).orderBy(F.desc(at), F.desc(unique)) if by else Window.orderBy(F.desc(at), F.desc(unique))
+    w = Window.partitionBy(*by).orderBy(F.desc(at), F.desc(unique)) if by else Window.orderBy(F.desc(at),
+        F.desc(unique))
     if not by:
         return history.orderBy(F.desc(at), F.desc(unique)).limit(most)
     return history.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
@@ -45,16 +47,21 @@ def latest(history: DataFrame, by: list[str], at: str, unique: str, most: int =
 
 def canvas_problems(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     """What forbids saving a graph: repeated ids, edges into nowhere, files owned twice.  (problem, subject)."""
-    twice = lambda df, c, p: df.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(p).alias("problem"), F.col(c).cast("string").alias("subject"))
+    twice = lambda df, c, p: df.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(p).alias("problem"),
+        F.col(c).cast("string").alias("subject"))
     ids = nodes.select(F.col("id").alias("end"))
-    ends = edges.select("id", F.explode(F.array("source", "target")).alias("end")).join(ids, "end", "left_anti").select(F.lit("unknown-end").alias("problem"), F.col("id").cast("string").alias("subject")).distinct()
-    return twice(nodes, "id", "repeated-node").unionByName(twice(edges, "id", "repeated-edge")).unionByName(twice(files.select("file", "module").distinct(), "file", "file-owned-twice")).unionByName(ends)
+    ends = edges.select("id", F.explode(F.array("source", "target")).alias("end")).join(ids, "end",
+        "left_anti").select(F.lit("unknown-end").alias("problem"), F.col("id").cast("string").alias(
+        "subject")).distinct()
+    return twice(nodes, "id", "repeated-node").unionByName(twice(edges, "id", "repeated-edge")).unionByName(twice(
+        files.select("file", "module").distinct(), "file", "file-owned-twice")).unionByName(ends)
 
 
 def as_markdown(rows: DataFrame, title: str, fields: list[str]) -> DataFrame:
     """A section per row."""
     lines = [F.concat(F.lit(f"- {f}: "), F.coalesce(F.col(f).cast("string"), F.lit("none"))) for f in fields]
-    return rows.select(F.col(title).alias("title"), F.concat_ws("\n", F.concat(F.lit("## "), F.col(title).cast("string")), *lines).alias("markdown"))
+    return rows.select(F.col(title).alias("title"), F.concat_ws("\n", F.concat(F.lit("## "), F.col(title).cast(
+        "string")), *lines).alias("markdown"))
 
 
 def as_json(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

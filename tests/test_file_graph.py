@@ -52,14 +52,16 @@ def test_components(spark, small):
     both = {i: set(after[i]) for i in ids}
     for a, b in edges:
         both[b].add(a)
-    assert {r["id"]: r["component"] for r in run(spark, small, "g2_components")} == {i: min(steps_from(i, both)) for i in ids}
+    assert {r["id"]: r["component"] for r in run(spark, small, "g2_components")} == {i: min(steps_from(i, both))
+        for i in ids}
 
 
 def test_strong_components_condensed_and_layers(spark, small):
     ids, edges, after = graph_of(spark, small)
     parts = parts_of(ids, after)
     size = {c: sum(p == c for p in parts.values()) for c in set(parts.values())}
-    assert {r["id"]: (r["component"], r["cyclic"]) for r in run(spark, small, "g3_strong_components")} == {i: (c, size[c] > 1 or (i, i) in edges) for i, c in parts.items()}
+    assert {r["id"]: (r["component"], r["cyclic"]) for r in run(spark, small, "g3_strong_components")} == {i: (c,
+        size[c] > 1 or (i, i) in edges) for i, c in parts.items()}
     flat = {(parts[a], parts[b]) for a, b in edges if parts[a] != parts[b]}
     assert {(r["source"], r["target"]) for r in run(spark, small, "g4_condensed")} == flat
     depth = dict.fromkeys(size, 0)
@@ -74,7 +76,8 @@ def test_areas_place_every_file_once(spark, small):
     n = {r["id"]: r for r in B.nodes(spark, small).collect()}
     got = {r["module"]: r["area"] for r in run(spark, small, "g9_areas")}
     assert set(got) == ids
-    label = {i: n[i]["domain"] if len(i) % 4 and n[i]["category"] not in ("shared-utility", "test-surface", "external-integration") else None for i in ids}
+    label = {i: n[i]["domain"] if len(i) % 4 and n[i]["category"] not in ("shared-utility", "test-surface",
+        "external-integration") else None for i in ids}
     near = {i: set() for i in ids}
     for r in B.edges(spark, small).where("confidence = 'confirmed'").collect():
         if label[r["source"]] and label[r["source"]] == label[r["target"]]:
@@ -97,4 +100,5 @@ def test_fingerprint_sees_every_edge(spark, small):
     one = e.orderBy("id").first()
     less = e.where((e["source"] != one["source"]) | (e["target"] != one["target"]))
     got = run(spark, small, "g13_fingerprint")
-    assert got == graph.fingerprint(n.repartition(3), e.repartition(5)).collect() != graph.fingerprint(n, less).collect()
+    assert got == graph.fingerprint(n.repartition(3), e.repartition(5)).collect() != graph.fingerprint(n,
+        less).collect()

@@ -21,5 +21,7 @@ def test_calls_resolve_over_all_declarations(spark, small):
 
 
 def test_lines_behind_the_first_500_characters_count(spark, tmp_path):
-    spark.createDataFrame([(1, "x" * 600 + "\n\ny"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r["doc_id"]: r["line"] for r in registry.QUERIES["x23_lines"](spark, str(tmp_path)).collect()} == {1: 3, 2: 1}
+    spark.createDataFrame([(1, "x" * 600 + "\n\ny"), (2, "")], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["line"] for r in registry.QUERIES["x23_lines"](spark, str(tmp_path)).collect()} == {1: 3,
+        2: 1}
