@@ -1,24 +1,27 @@
 """Substring dedup: passages of `window` words that start anywhere else too, by FM-indexes.
 
 A shard's index is an FM-index over words: the Burrows-Wheeler transform of its passages, in a wavelet tree shaped by
-a Shannon code (so that it takes about the entropy of the words), with bit ranks from packed words and counts.  Documents stream through it backward:
-the interval of the words read so far shrinks as another word is put in front; as long as it holds two positions, what has been read
-occurs twice.  These matching statistics, cut at the threshold, are the repeated windows.
+a Shannon code (so that it takes about the entropy of the words), with bit ranks from packed words and counts.  Passages of documents stream
+through it backward: the interval of the words read so far shrinks as another word is put in front; as long as it holds two positions, what
+has been read occurs twice.  These matching statistics, cut at the threshold, give the intervals in which every window is repeated, and nothing
+else decides what is removed.
 
 What meets in a shard.  All windows with the same words must, and no document can visit every shard of a large corpus.  So a window is
 dealt by its minimizer, the smallest hash of its GRAM-word runs, a value of its words alone; neighbouring windows with the same
 minimizer travel as one segment.  Most minimizers occur once in the corpus, and so do their windows: counting them first leaves out
-everything but candidates.  Equal segments are counted before they move, and a segment found twice is repeated as a whole.  A minimizer with
-more than HOT different segments (the edge of a very common passage) would fill a shard: its windows are dealt one by one, by the hash of all their words,
-and pre-aggregated, which leaves nothing to search.  A shard holds about SHARD_WORDS words, whatever the corpus's size; runs of RUN words that it
-holds once cut its segments to the pieces in which something can recur.
+everything but candidates.  Equal segments travel once, with their number: two of them are two passages of the index, and more than two tell
+nothing more.  A minimizer with more than HOT different segments (the edge of a very common passage) would fill a shard: its windows are dealt
+one by one, by the hash of all their words, those that occur once left out.  A shard holds about SHARD_WORDS words, whatever the
+corpus's size; runs of RUN words that it holds once cut its segments to the pieces in which something can recur, before these are indexed
+and searched.
 
-Two filters of 2**FILTER_BITS bits come to the driver and go to the tasks; they only spare work, as everything they let through by chance is decided later.
-Words are compared by 64-bit hashes, segments and windows by 128-bit ones.
+A filter of FILTER_BITS bits for each repeated minimizer, 2**MOST_FILTER_BITS at most, comes to the driver and goes to the tasks; it only spares
+work: where it is full, more segments travel, and are found to occur once.  Words are compared by 64-bit hashes of all their letters, segments and
+crowded windows on their way by 128-bit ones.
 
 Defined cases: a null text counts as empty; a text with fewer words than a window loses nothing; of equal texts, and of rows that occur twice, each loses
-all windows; a window that recurs within its own text is repeated; an empty table gives an empty result; further
-columns are not looked at by passages() and kept by strip(..., keep=True), except those named like a result.
+all windows; a window that recurs within its own text is repeated; an empty table gives an empty result; further columns, whatever their names, are not
+looked at by passages() and come through stripped_rows() unharmed; strip(..., keep=True) keeps them except those named like a result.
 """
 
 from __future__ import annotations
@@ -30,9 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import _mix as mixed
-from .common import mapped, materialize, utf8, word_hashes
+from .common import mapped, materialize, release, utf8, word_hashes
 
-WINDOW, GRAM, HOT, SHARD_WORDS, FILTER_BITS = 35, 12, 2000, 1_000_000, 24
+WINDOW, GRAM, HOT, SHARD_WORDS, FILTER_BITS, MOST_FILTER_BITS = 35, 12, 2000, 1_000_000, 16, 28
 #: After a miss, whether so many words behind it are unique is tried first.
 PROBE = 8
 #: Windows that one lane of the search looks for.
@@ -256,10 +259,12 @@ class Segments:
         return out[0], out[1]
 
 
-def _bits(values: DataFrame, bits: int) -> np.ndarray:
-    """A filter with a bit for each long in column v: 2**bits bits, whatever the number of values."""
+def _bits(values: DataFrame, most: int) -> np.ndarray:
+    """A filter with a bit for each long in column v: FILTER_BITS bits a value or more, 2**most at most."""
+    bits = max(10, min((FILTER_BITS * values.count()).bit_length(), most))
     at = F.col("v").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = values.select(at.alias("h")).select(F.shiftright("h", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits")).toArrow()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    rows = values.select(at.alias("h")).select(F.shiftright("h", 6).alias("word"), bit.alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint64)
@@ -274,9 +279,9 @@ def _take(part: pa.RecordBatch, name: str, doc: np.ndarray) -> pa.Array:
     return part.column(name).take(pa.array(doc, pa.int64()))
 
 
-def recurring(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts passages where RUN words in a row stand nowhere a second time, as no window over such a run can recur: what is left with a window's length, again and
-    again until nothing falls away.  text holds numbers; returns begins and ends of the pieces, and the passage that each is from."""
+def recurring(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, copies: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts passages, each there so many times, where RUN words in a row stand nowhere a second time, as no window over such a run can recur: what is left with
+    a window's length, again and again until nothing falls away.  text holds numbers; returns begins and ends of the pieces, and the passage that each is from."""
     owner, run = np.arange(len(begins)), min(RUN, window)
     h = text.astype(np.uint64)
     for i in range(1, min(run, len(text))):
@@ -284,8 +289,8 @@ def recurring(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: in
     while len(begins):
         size = ends - begins - run + 1  # runs that start in a piece
         at = np.repeat(begins - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        _, which, times = np.unique(h[at], return_inverse=True, return_counts=True)
-        good = times[which] > 1
+        _, which = np.unique(h[at], return_inverse=True)
+        good = np.bincount(which, weights=np.repeat(copies[owner], size))[which] > 1
         if good.all():
             break
         piece = np.repeat(np.arange(len(size)), size)
@@ -299,15 +304,16 @@ def recurring(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: in
 
 
 def search_shard(parts: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
-    """Repeated windows (spans of offsets, flat) of the different segments (v, s1, s2, words) in a shard.
+    """Repeated windows (spans of offsets, flat) of the different segments (v, s1, s2, n, words; n of each) in a shard.
 
-    Pieces that several segments have alike are repeated as they are and stand in the index once; the others are searched."""
+    Pieces that segments have alike stand in the index twice and are searched once."""
     rows = pa.Table.from_batches(parts).combine_chunks()
     words = rows.column("words").to_pylist()
+    copies = np.minimum(rows.column("n").to_numpy(), 2)
     sizes = np.array([len(x) // 8 for x in words], np.int64)
     _, dense = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    begins, ends, owner = recurring(dense, starts, starts + sizes, window)
+    begins, ends, owner = recurring(dense, starts, starts + sizes, copies, window)
     found = np.zeros(len(dense) + 1, bool)
     if len(begins):
         known, short = np.unique(np.concatenate([dense[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]), return_inverse=True)
@@ -316,20 +322,18 @@ def search_shard(parts: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
         same: dict[bytes, list[int]] = {}
         for i, (a, b) in enumerate(zip(at.tolist(), (at + size).tolist(), strict=True)):
             same.setdefault(short[a:b].tobytes(), []).append(i)
-        for group in same.values():
-            if len(group) > 1:
-                for i in group:
-                    found[begins[i] : ends[i] - window + 1] = True
         heads = np.array([g[0] for g in same.values()])
-        lone = np.array([len(g) == 1 for g in same.values()])
-        stops = np.cumsum(size[heads] + 1) - 1
+        twice = np.array([copies[owner[g]].sum() > 1 for g in same.values()])
+        indexed = np.concatenate([heads, heads[twice]])
+        stops = np.cumsum(size[indexed] + 1) - 1
         text, inside = np.zeros(int(stops[-1]) + 1, np.int64), np.ones(int(stops[-1]) + 1, bool)
         inside[stops] = False
-        text[inside] = np.concatenate([short[at[i] : at[i] + size[i]] for i in heads.tolist()]) + 1
-        if lone.any():
-            here = (stops - size[heads])[lone]
-            hit = repeated_windows(FMIndex(text, stops, len(known) + 1), text, here, stops[lone], window)
-            for a, b, i in zip(here.tolist(), stops[lone].tolist(), heads[lone].tolist(), strict=True):
+        text[inside] = np.concatenate([short[at[i] : at[i] + size[i]] for i in indexed.tolist()]) + 1
+        stops = stops[: len(heads)]
+        here = stops - size[heads]
+        hit = repeated_windows(FMIndex(text, np.flatnonzero(~inside), len(known) + 1), text, here, stops, window)
+        for a, b, group in zip(here.tolist(), stops.tolist(), same.values(), strict=True):
+            for i in group:
                 found[begins[i] : ends[i]] |= hit[a:b]
     # a window that starts in one segment and ends in the next is none
     edge = np.diff(np.concatenate([[0], found.astype(np.int8)]))
@@ -343,7 +347,7 @@ def search_shard(parts: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
 
 
 def windows_of(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
-    """The windows of segments (v, s1, s2, words), one by one: two hashes and the offset."""
+    """The windows of segments (v, s1, s2, n, words), one by one: two hashes and the offset."""
     words = part.column("words").to_pylist()
     sizes = np.array([len(x) // 8 for x in words], np.int64)
     s = object.__new__(Segments)
@@ -352,18 +356,19 @@ def windows_of(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
     first, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
     offset = np.arange(int(n.sum())) - first[row]
     w1, w2 = s.hashes((np.cumsum(sizes) - sizes)[row] + offset, np.full(len(offset), window, np.int64))
-    return pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row, pa.int64())) for c in ("v", "s1", "s2")), pa.array(w1), pa.array(w2), pa.array(offset, pa.int32())], names=["v", "s1", "s2", "w1", "w2", "a"])
+    return pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row, pa.int64())) for c in ("v", "s1", "s2", "n")), pa.array(w1), pa.array(w2), pa.array(offset, pa.int32())], names=["v", "s1", "s2", "n", "w1", "w2", "a"])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
 
 
-def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words: int = SHARD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words: int = SHARD_WORDS, filter_bits: int = MOST_FILTER_BITS) -> DataFrame:
     """Repeated windows: (doc_id, th, a, b) says that in the text with this doc_id and hash (xxhash64) the windows that start at words a to b - 1 start elsewhere too.
 
     Spans of a text may touch or be given twice."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     texts = _identified(docs)
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
@@ -371,17 +376,21 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
         s = Segments(utf8(part.column("text")), window)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s.value, s.value[s.own]]).view(np.int64))], names=["v"])
 
-    often = sc.broadcast(_bits(mapped(texts.select("text"), values, "v long").groupBy("v").agg(F.count("*").alias("n")).where("n >= 2"), filter_bits))
+    counted = mapped(texts.select("text"), values, "v long").groupBy("v").agg(F.count("*").alias("n")).where("n >= 2").select("v")
+    often = sc.broadcast(_bits(materialize(counted, "repeated-minimizers"), filter_bits))
 
     def candidates(part: pa.RecordBatch):
         s = Segments(utf8(part.column("text")), window)
         on = np.flatnonzero(_in(often.value, s.value))
         s1, s2 = s.hashes(s.at[on], s.windows[on] + window - 1)
-        yield pa.RecordBatch.from_arrays([_take(part, "doc_id", s.doc[on]), _take(part, "th", s.doc[on]), pa.array(s.value[on].view(np.int64)), pa.array(s1), pa.array(s2), pa.array(s.start[on], pa.int32()), pa.array(s.windows[on], pa.int32()), pa.array(s.own[on])], names=["doc_id", "th", "v", "s1", "s2", "start", "windows", "own"])
-
-    places = materialize(mapped(texts, candidates, f"doc_id {id_type}, th long, v long, s1 long, s2 long, start int, windows int, own boolean"), "segments")
-    distinct = materialize(places.groupBy("v", "s1", "s2").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.bool_or("own").alias("own")), "distinct-segments")
-    kinds = materialize(distinct.groupBy("v").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + window).alias("words"), F.bool_or("own").alias("own")).where("kinds >= 2 or own"), "shared-minimizers")
+        own = [pa.array(s.value[on].view(np.int64)), pa.array(s1), pa.array(s2), pa.array(s.start[on], pa.int32()), pa.array(s.windows[on], pa.int32()), pa.array(s.own[on])]
+        yield pa.RecordBatch.from_arrays([_take(part, "doc_id", s.doc[on]), _take(part, "th", s.doc[on]), *own], names=["doc_id", "th", "v", "s1", "s2", "start", "windows", "own"])
+
+    places = mapped(texts, candidates, f"doc_id {id_type}, th long, v long, s1 long, s2 long, start int, windows int, own boolean")
+    places = materialize(places, "segments")
+    distinct = places.groupBy("v", "s1", "s2").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.bool_or("own").alias("own"))
+    kinds = distinct.groupBy("v").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("windows") + window).alias("words"), F.bool_or("own").alias("own"))
+    kinds = materialize(kinds.where("n >= 2 or own"), "shared-minimizers")
     size = kinds.where(F.col("kinds") <= hot).agg(F.sum("words").alias("words")).first()["words"] or 0
     shards = max(1, -(-size // shard_words))
     shared = sc.broadcast(_bits(kinds.where(F.col("kinds") <= hot), filter_bits))
@@ -393,10 +402,10 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
         on = np.flatnonzero(_in(shared.value, s.value) | _in(crowded.value, s.value))
         size = s.windows[on] + window - 1
         s1, s2 = s.hashes(s.at[on], size)
-        _, once = np.unique(s1, return_index=True)  # equal segments of a batch go on once
+        _, once, n = np.unique(s1, return_index=True, return_counts=True)  # equal segments of a batch go on once
         data = memoryview(s.words.tobytes())
         own = [bytes(data[8 * a : 8 * (a + n)]) for a, n in zip(s.at[on][once].tolist(), size[once].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(s.value[on][once].view(np.int64)), pa.array(s1[once]), pa.array(s2[once]), pa.array(own, pa.binary())], names=["v", "s1", "s2", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(s.value[on][once].view(np.int64)), pa.array(s1[once]), pa.array(s2[once]), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=["v", "s1", "s2", "n", "words"])
 
     def split(keep_crowded: bool):
         def run(batches):
@@ -409,38 +418,46 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
         parts = [b for b in batches if b.num_rows]
         if parts:
             yield search_shard(parts, window)
+        release()
 
     def single(batches):
         for b in batches:
             if b.num_rows:
                 yield windows_of(b, window)
 
-    text_schema = "v long, s1 long, s2 long, words binary"
-    segments = mapped(texts.select("text"), words, text_schema).groupBy("v", "s1", "s2").agg(F.first("words").alias("words"))
-    plain = segments.mapInArrow(split(False), text_schema) if any_crowded else segments
-    spread = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    searched = plain.repartition(spread, "v").mapInArrow(shard, "v long, s1 long, s2 long, spans array<int>")
-    spans = F.expr("transform(sequence(0, size(spans) - 2, 2), i -> named_struct('a', spans[i], 'b', spans[i + 1]))")
-    whole = distinct.where("n >= 2").select("v", "s1", "s2", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("spans"))
-    parts = searched.select("v", "s1", "s2", spans.alias("spans"))
-    if any_crowded:  # of a minimizer with too many segments each window is counted by itself
-        lone = materialize(segments.mapInArrow(split(True), text_schema).mapInArrow(single, "v long, s1 long, s2 long, w1 long, w2 long, a int"), "crowded-windows")
-        again = lone.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n >= 2").select("w1", "w2")
-        parts = parts.unionByName(lone.join(again, ["w1", "w2"]).groupBy("v", "s1", "s2").agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"))).alias("spans")))  # at most one for each window of a segment
-    repeated = whole.unionByName(parts.join(whole.select("v", "s1", "s2"), ["v", "s1", "s2"], "left_anti"))
-    return places.join(repeated, ["v", "s1", "s2"]).select("doc_id", "th", "start", F.explode("spans").alias("s")).select("doc_id", "th", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
-
-
-def strip(docs: DataFrame, window: int = WINDOW, keep: bool = False, **options) -> DataFrame:
-    """Per row: doc_id (with keep: all columns), n_words, n_removed, kept (the words that no repeated window covers, joined by one space)."""
-    spans = passages(docs, window, **options).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most one for each word of a text
+    text_schema = "v long, s1 long, s2 long, n long, words binary"
+    segments = mapped(texts.select("text"), words, text_schema).groupBy("v", "s1", "s2").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    found = segments
+    if any_crowded:  # the windows of a minimizer with too many segments become segments of their own
+        segments = materialize(segments, "segment-words")
+        found = segments.mapInArrow(split(False), text_schema)
+        many = materialize(segments.mapInArrow(split(True), text_schema), "crowded-segments")
+        lone = materialize(many.mapInArrow(single, "v long, s1 long, s2 long, n long, w1 long, w2 long, a int"), "crowded-windows")
+        again = lone.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("v", "s1", "s2", "a")).alias("at")).where("n >= 2")
+        again = again.select("w1", "w2", F.col("n").alias("times"), "at.*").join(many.drop("n"), ["v", "s1", "s2"])
+        cut = F.expr(f"substring(words, 8 * a + 1, {8 * window})")
+        found = found.unionByName(again.select(F.col("w1").alias("v"), F.col("w1").alias("s1"), F.col("w2").alias("s2"), F.col("times").alias("n"), cut.alias("words")))
+    spread = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    searched = found.repartition(spread, "v").mapInArrow(shard, "v long, s1 long, s2 long, spans array<int>")
+    if any_crowded:  # back from windows to the segments that they are from
+        searched = materialize(searched, "searched-segments")
+        ones = searched.where("v = s1").select(F.col("s1").alias("w1"), F.col("s2").alias("w2"))
+        of_windows = lone.join(ones, ["w1", "w2"]).select("v", "s1", "s2", F.array("a", F.col("a") + 1).alias("spans"))
+        searched = searched.unionByName(of_windows)
+    each = F.explode(F.expr("transform(sequence(0, size(spans) - 2, 2), i -> named_struct('a', spans[i], 'b', spans[i + 1]))"))
+    return places.join(searched, ["v", "s1", "s2"]).select("doc_id", "th", "start", each.alias("s")).select("doc_id", "th", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+
+
+def stripped_rows(docs: DataFrame, window: int = WINDOW, with_text: bool = True, **options) -> DataFrame:
+    """Per row: row (a struct of all columns of docs but text), text (as it was; if wanted), n_words, n_removed, kept (the words that no repeated window covers,
+    joined by one space)."""
+    spans = passages(docs, window, **options).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # at most two for each word of a text
     spans = spans.select(F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "spans")
-    names = ("n_words", "n_removed", "kept", "th", "spans", "of", "of_th")
-    others = [c for c in docs.columns if c not in names] if keep else ["doc_id"]
-    rows = docs.select(*[c for c in others if c != "text"], F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["of"]) & (rows["th"] == spans["of_th"]), "left").drop("of", "of_th", "th")
-    others = [c for c in rows.columns if c in others]
-    schema = T.StructType([f for f in rows.schema if f.name in others] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    rows = rows.join(spans, F.col("row.doc_id").eqNullSafe(spans["of"]) & (rows["th"] == spans["of_th"]), "left").select("row", "text", "spans")
+    kept_as_is = ["row", "text"] if with_text else ["row"]
+    schema = T.StructType([*(rows.schema[c] for c in kept_as_is), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def work(part: pa.RecordBatch):
         n_words, n_removed, kept = [], [], []
@@ -459,6 +476,15 @@ def strip(docs: DataFrame, window: int = WINDOW, keep: bool = False, **options)
             left = [w for w, f in zip(words, free.tolist(), strict=True) if f]
             n_removed.append(len(words) - len(left))
             kept.append(b" ".join(left).decode())
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*others, "n_words", "n_removed", "kept"])
+        results = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays([*map(part.column, kept_as_is), *results], names=[*kept_as_is, "n_words", "n_removed", "kept"])
 
     return mapped(rows, work, schema)
+
+
+def strip(docs: DataFrame, window: int = WINDOW, keep: bool = False, **options) -> DataFrame:
+    """Per row: doc_id (with keep: all columns but text), n_words, n_removed, kept.  A column of docs that is named like a result gives way to it."""
+    names = ("n_words", "n_removed", "kept")
+    others = [c for c in docs.columns if c not in names and c != "text"] if keep else ["doc_id"]
+    used = docs if keep else docs.select("doc_id", "text")
+    return stripped_rows(used, window, False, **options).select(*[F.col(f"row.`{c}`") for c in others], *names)
