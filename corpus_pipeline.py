@@ -24,32 +24,53 @@ PASSAGE, SHARE, PASSES, POWER = 50, 0.95, 2, 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the rules keep, as they are.
+
+    A null or empty text has no words and goes; equal rows stay or go together; an empty table stays empty; columns of any name pass."""
     ready(spark)
     return quality_rules.keep(docs)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, as it is.
+
+    Null and empty texts are in no group and stay, however many; of equal rows one stays; a null doc_id comes after any other; an empty
+    table stays empty; columns of any name pass."""
     ready(spark)
     return jaccard_join.keep_one(docs, k=5, percent=80)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with what is left of their texts, and n_chars, if there, of that.
+
+    A text that loses nothing, among them null, empty and short ones, stays as it is; one that loses all its words goes; of equal rows of a
+    window's length or more each loses all; an empty table stays empty; columns of any other name pass as they are."""
     ready(spark)
-    found = fm_dedup.strip(docs, PASSAGE, keep=True).where("n_removed = 0 or n_removed < n_words")
+    found = fm_dedup.stripped_rows(docs, PASSAGE).where("n_removed = 0 or n_removed < n_words")
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix takes, each as often as it takes them.
+
+    A null language or source is a leaf `none`; texts without tokens cost nothing and come with their leaf's passes; equal rows have one
+    place in the order and are taken together; an empty table stays empty; columns of any name pass as they are."""
     ready(spark)
-    taken = mixing.select(docs, [mixing.domain_of(), F.col("lang"), F.col("source")], mixing.smoothed(POWER), SHARE, PASSES)
-    return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
+    rows = docs.select("doc_id", "text", "lang", "source", *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("mix_row")] if others else []))
+    taken = mixing.select(rows, [mixing.domain_of(), F.col("lang"), F.col("source")], mixing.smoothed(POWER), SHARE, PASSES)
+    taken = taken.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col(f"mix_row.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with their token ids and scores, which take the place of columns of the same names.
+
+    A null text has null ids; an empty one is one space's; equal texts have equal ids; an empty table stays empty; other columns pass."""
     ready(spark)
     return sentence_pieces.encode(docs, keep=True)
 
@@ -67,6 +88,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after the other, over all rows of documents; what each stage says of odd rows holds."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
