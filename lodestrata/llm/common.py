@@ -76,7 +76,8 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType | str, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
+def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType | str,
+    column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """df.mapInArrow over slices of bounded size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

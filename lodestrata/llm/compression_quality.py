@@ -83,9 +83,11 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -
     return (beta / scale).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 1000, train_bytes: int = 2 << 20, train_chars: int = 1 << 15) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 1000, train_bytes: int = 2 << 20,
+    train_chars: int = 1 << 15) -> dict:
     """The model: two dictionaries and the curve's weights.  At most 2 * rows texts of train_chars characters come to the driver."""
-    labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1)
+        & F.col("doc_id").isNotNull() & ~held_out())
     share = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
     model = {"good": b"", "bad": b"", "curve": [0.0, 0.0, 0.0]}
@@ -94,9 +96,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 1000, train_bytes: int =
         return model | {"curve": [0.0, 0.0, math.log(p / (1 - p))]}
     picked = None
     for q in (0, 1):  # bounded: a top-k of ids per class
-        top = labels.where(F.col("quality") == q).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        top = labels.where(F.col("quality") == q).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"),
+            "doc_id").limit(rows)
         picked = top if picked is None else picked.unionByName(top)
-    texts = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, train_chars).alias("text")).where(F.length("text") > 0)
+    texts = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, train_chars).alias(
+        "text")).where(F.length("text") > 0)
     found = texts.join(F.broadcast(picked), "doc_id").groupBy("quality", "doc_id").agg(F.min("text").alias("text"))
     found = found.select("quality", F.xxhash64(F.lit(1), "doc_id").alias("h"), "text").collect()
     seen: dict[int, list[bytes]] = {0: [], 1: []}
@@ -133,7 +137,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     scored = mapped(docs, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias(
+        "predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -98,7 +98,8 @@ class WaveletTree:
         n = len(symbols)
         freq = np.bincount(symbols, minlength=sigma)
         length = np.ceil(np.log2(n / np.maximum(freq, 1))).astype(np.int64)
-        length = np.maximum(np.where((1 << length) * freq < n, length + 1, length), 1)  # 2**length >= n / freq, in whole numbers
+        length = np.maximum(np.where((1 << length) * freq < n, length + 1, length),
+            1)  # 2**length >= n / freq, in whole numbers
         self.depth = depth = int(length[freq > 0].max()) if n else 1
         length = np.minimum(length, depth)
         order = np.lexsort((np.arange(sigma), length))
@@ -116,9 +117,11 @@ class WaveletTree:
             bits = Bits(bit)
             self.levels.append(bits)
             node = code[here] >> (depth - level) if level else np.zeros(len(here), np.int64)
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(here) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(here) else np.zeros(0,
+                np.int64)
             inside = np.flatnonzero((freq > 0) & (length > level))
-            at = np.searchsorted(node[first], code[inside] >> (depth - level)) if level else np.zeros(len(inside), np.int64)
+            at = np.searchsorted(node[first], code[inside] >> (depth - level)) if level else np.zeros(len(inside),
+                np.int64)
             begin = first[at]
             self.start[level, inside], self.ones[level, inside] = begin, bits.rank(begin)
             # zeros before ones within each node, and on without the symbols that end here
@@ -188,7 +191,8 @@ def repeated_windows(index: FMIndex, text: np.ndarray, begins: np.ndarray, ends:
         # the end of a probe
         unique = probing & ~twice
         common = probing & twice & (i == miss)
-        new_j = np.where(long, i + window, np.where(plain, j - 1, np.where(unique, miss + PROBE - 1, np.where(common, resume - 1, j))))
+        new_j = np.where(long, i + window, np.where(plain, j - 1, np.where(unique, miss + PROBE - 1, np.where(common,
+            resume - 1, j))))
         resume, miss = np.where(probe, j, resume), np.where(probe, i, miss)
         restart = long | plain | unique | common
         j = np.where(restart, new_j, j)
@@ -197,7 +201,8 @@ def repeated_windows(index: FMIndex, text: np.ndarray, begins: np.ndarray, ends:
         probing = (probing & ~unique & ~common) | probe
         going = np.where(probing, True, (j - first >= window) & (i > first))
         if not going.all():
-            first, j, i, lo, hi, probing, miss, resume = (x[going] for x in (first, j, i, lo, hi, probing, miss, resume))
+            first, j, i, lo, hi, probing, miss, resume = (x[going] for x in (first, j, i, lo, hi, probing, miss,
+                resume))
     return found
 
 
@@ -232,7 +237,8 @@ class Segments:
             h = w.copy()
             for i in range(1, gram):
                 h[: len(w) - i] = h[: len(w) - i] * np.uint64(P1) + w[i:]
-            h, span, low = mixed(h) & ~np.uint64(255), window - gram + 1, np.arange(len(w), dtype=np.uint64) & np.uint64(255)
+            h, span, low = mixed(h) & ~np.uint64(255), window - gram + 1, np.arange(len(w),
+                dtype=np.uint64) & np.uint64(255)
             first, last = _least(h | low, span)[at], _least(h | (np.uint64(255) - low), span)[at]
             value, place = mixed(first >> np.uint64(8)), (first & np.uint64(255)).astype(np.int64)
             twice = (first & np.uint64(255)) + (last & np.uint64(255)) != 255  # the least value stands in two places
@@ -242,7 +248,8 @@ class Segments:
         self.doc, self.value, self.at = doc[head], value[head], at[head]
         self.windows = np.diff(np.concatenate([head, [total]])).astype(np.int64)
         #: Whether a segment may hold a window twice: its minimizer stands in more than one place.
-        self.own = (np.logical_or.reduceat(twice, head) | (np.minimum.reduceat(place, head) != np.maximum.reduceat(place, head))) if total else twice
+        self.own = (np.logical_or.reduceat(twice, head) | (np.minimum.reduceat(place,
+            head) != np.maximum.reduceat(place, head))) if total else twice
         self.start = self.at - starts[self.doc]
         self.window = window
 
@@ -251,11 +258,13 @@ class Segments:
         out = []
         for p, salt in ((P1, 0), (P2, 0xA0761D6478BD642F)):
             n = len(self.words)
-            power, inverse, sums = np.full(n + 1, p, np.uint64), np.full(n + 1, pow(p, -1, 1 << 64), np.uint64), np.zeros(n + 1, np.uint64)
+            power, inverse, sums = np.full(n + 1, p, np.uint64), np.full(n + 1, pow(p, -1, 1 << 64),
+                np.uint64), np.zeros(n + 1, np.uint64)
             power[0] = inverse[0] = 1
             power, inverse = np.cumprod(power), np.cumprod(inverse)
             sums[1:] = np.cumsum(mixed(self.words ^ np.uint64(salt)) * power[:n])
-            out.append(mixed((sums[at + size] - sums[at]) * inverse[at] + size.astype(np.uint64) * np.uint64(P2)).view(np.int64))
+            out.append(mixed((sums[at + size] - sums[at]) * inverse[at] + size.astype(np.uint64) * np.uint64(P2))
+                .view(np.int64))
         return out[0], out[1]
 
 
@@ -264,7 +273,8 @@ def _bits(values: DataFrame, most: int) -> np.ndarray:
     bits = max(10, min((FILTER_BITS * values.count()).bit_length(), most))
     at = F.col("v").bitwiseAND(F.lit((1 << bits) - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    rows = values.select(at.alias("h")).select(F.shiftright("h", 6).alias("word"), bit.alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits")).toArrow()
+    rows = values.select(at.alias("h")).select(F.shiftright("h", 6).alias("word"), bit.alias("b")).groupBy(
+        "word").agg(F.bit_or("b").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint64)
@@ -279,7 +289,8 @@ def _take(part: pa.RecordBatch, name: str, doc: np.ndarray) -> pa.Array:
     return part.column(name).take(pa.array(doc, pa.int64()))
 
 
-def recurring(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, copies: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def recurring(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, copies: np.ndarray,
+    window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cuts passages, each there so many times, where RUN words in a row stand nowhere a second time, as no window over such a run can recur: what is left with
     a window's length, again and again until nothing falls away.  text holds numbers; returns begins and ends of the pieces, and the passage that each is from."""
     owner, run = np.arange(len(begins)), min(RUN, window)
@@ -316,7 +327,8 @@ def search_shard(parts: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
     begins, ends, owner = recurring(dense, starts, starts + sizes, copies, window)
     found = np.zeros(len(dense) + 1, bool)
     if len(begins):
-        known, short = np.unique(np.concatenate([dense[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]), return_inverse=True)
+        known, short = np.unique(np.concatenate([dense[a:b] for a, b in zip(begins.tolist(), ends.tolist(),
+            strict=True)]), return_inverse=True)
         size = ends - begins
         at = np.cumsum(size) - size
         same: dict[bytes, list[int]] = {}
@@ -342,7 +354,8 @@ def search_shard(parts: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
     flat = np.stack([a - starts[seg], b - starts[seg]], 1).astype(np.int32).ravel()
     offsets = np.concatenate([[0], 2 * np.cumsum(np.bincount(seg, minlength=len(sizes)))])
     spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-    out = pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in ("v", "s1", "s2")), spans], names=["v", "s1", "s2", "spans"])
+    out = pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in ("v", "s1", "s2")), spans], names=["v",
+        "s1", "s2", "spans"])
     return out.filter(pa.array(np.diff(offsets) > 0))
 
 
@@ -356,14 +369,17 @@ def windows_of(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
     first, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
     offset = np.arange(int(n.sum())) - first[row]
     w1, w2 = s.hashes((np.cumsum(sizes) - sizes)[row] + offset, np.full(len(offset), window, np.int64))
-    return pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row, pa.int64())) for c in ("v", "s1", "s2", "n")), pa.array(w1), pa.array(w2), pa.array(offset, pa.int32())], names=["v", "s1", "s2", "n", "w1", "w2", "a"])
+    return pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row, pa.int64())) for c in ("v", "s1", "s2",
+        "n")), pa.array(w1), pa.array(w2), pa.array(offset, pa.int32())], names=["v", "s1", "s2", "n", "w1", "w2", "a"])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string")
+        .alias("text"))
 
 
-def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words: int = SHARD_WORDS, filter_bits: int = MOST_FILTER_BITS) -> DataFrame:
+def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words: int = SHARD_WORDS,
+    filter_bits: int = MOST_FILTER_BITS) -> DataFrame:
     """Repeated windows: (doc_id, th, a, b) says that in the text with this doc_id and hash (xxhash64) the windows that start at words a to b - 1 start elsewhere too.
 
     Spans of a text may touch or be given twice."""
@@ -374,22 +390,29 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
 
     def values(part: pa.RecordBatch):
         s = Segments(utf8(part.column("text")), window)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s.value, s.value[s.own]]).view(np.int64))], names=["v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s.value, s.value[s.own]]).view(np.int64))], names=[
+            "v"])
 
-    counted = mapped(texts.select("text"), values, "v long").groupBy("v").agg(F.count("*").alias("n")).where("n >= 2").select("v")
+    counted = mapped(texts.select("text"), values, "v long").groupBy("v").agg(F.count("*").alias("n")).where(
+        "n >= 2").select("v")
     often = sc.broadcast(_bits(materialize(counted, "repeated-minimizers"), filter_bits))
 
     def candidates(part: pa.RecordBatch):
         s = Segments(utf8(part.column("text")), window)
         on = np.flatnonzero(_in(often.value, s.value))
         s1, s2 = s.hashes(s.at[on], s.windows[on] + window - 1)
-        own = [pa.array(s.value[on].view(np.int64)), pa.array(s1), pa.array(s2), pa.array(s.start[on], pa.int32()), pa.array(s.windows[on], pa.int32()), pa.array(s.own[on])]
-        yield pa.RecordBatch.from_arrays([_take(part, "doc_id", s.doc[on]), _take(part, "th", s.doc[on]), *own], names=["doc_id", "th", "v", "s1", "s2", "start", "windows", "own"])
+        own = [pa.array(s.value[on].view(np.int64)), pa.array(s1), pa.array(s2), pa.array(s.start[on], pa.int32()),
+            pa.array(s.windows[on], pa.int32()), pa.array(s.own[on])]
+        yield pa.RecordBatch.from_arrays([_take(part, "doc_id", s.doc[on]), _take(part, "th", s.doc[on]), *own], names=[
+            "doc_id", "th", "v", "s1", "s2", "start", "windows", "own"])
 
-    places = mapped(texts, candidates, f"doc_id {id_type}, th long, v long, s1 long, s2 long, start int, windows int, own boolean")
+    places = mapped(texts, candidates,
+        f"doc_id {id_type}, th long, v long, s1 long, s2 long, start int, windows int, own boolean")
     places = materialize(places, "segments")
-    distinct = places.groupBy("v", "s1", "s2").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.bool_or("own").alias("own"))
-    kinds = distinct.groupBy("v").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("windows") + window).alias("words"), F.bool_or("own").alias("own"))
+    distinct = places.groupBy("v", "s1", "s2").agg(F.count("*").alias("n"), F.max("windows").alias("windows"),
+        F.bool_or("own").alias("own"))
+    kinds = distinct.groupBy("v").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("windows")
+        + window).alias("words"), F.bool_or("own").alias("own"))
     kinds = materialize(kinds.where("n >= 2 or own"), "shared-minimizers")
     size = kinds.where(F.col("kinds") <= hot).agg(F.sum("words").alias("words")).first()["words"] or 0
     shards = max(1, -(-size // shard_words))
@@ -404,8 +427,11 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
         s1, s2 = s.hashes(s.at[on], size)
         _, once, n = np.unique(s1, return_index=True, return_counts=True)  # equal segments of a batch go on once
         data = memoryview(s.words.tobytes())
-        own = [bytes(data[8 * a : 8 * (a + n)]) for a, n in zip(s.at[on][once].tolist(), size[once].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(s.value[on][once].view(np.int64)), pa.array(s1[once]), pa.array(s2[once]), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=["v", "s1", "s2", "n", "words"])
+        own = [bytes(data[8 * a : 8 * (a + n)]) for a, n in zip(s.at[on][once].tolist(), size[once].tolist(),
+            strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(s.value[on][once].view(np.int64)), pa.array(s1[once]),
+            pa.array(s2[once]), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=["v", "s1", "s2", "n",
+            "words"])
 
     def split(keep_crowded: bool):
         def run(batches):
@@ -426,17 +452,21 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
                 yield windows_of(b, window)
 
     text_schema = "v long, s1 long, s2 long, n long, words binary"
-    segments = mapped(texts.select("text"), words, text_schema).groupBy("v", "s1", "s2").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    segments = mapped(texts.select("text"), words, text_schema).groupBy("v", "s1", "s2").agg(F.sum("n").alias("n"),
+        F.first("words").alias("words"))
     found = segments
     if any_crowded:  # the windows of a minimizer with too many segments become segments of their own
         segments = materialize(segments, "segment-words")
         found = segments.mapInArrow(split(False), text_schema)
         many = materialize(segments.mapInArrow(split(True), text_schema), "crowded-segments")
-        lone = materialize(many.mapInArrow(single, "v long, s1 long, s2 long, n long, w1 long, w2 long, a int"), "crowded-windows")
-        again = lone.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("v", "s1", "s2", "a")).alias("at")).where("n >= 2")
+        lone = materialize(many.mapInArrow(single, "v long, s1 long, s2 long, n long, w1 long, w2 long, a int"),
+            "crowded-windows")
+        again = lone.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("v", "s1", "s2", "a")).alias(
+            "at")).where("n >= 2")
         again = again.select("w1", "w2", F.col("n").alias("times"), "at.*").join(many.drop("n"), ["v", "s1", "s2"])
         cut = F.expr(f"substring(words, 8 * a + 1, {8 * window})")
-        found = found.unionByName(again.select(F.col("w1").alias("v"), F.col("w1").alias("s1"), F.col("w2").alias("s2"), F.col("times").alias("n"), cut.alias("words")))
+        found = found.unionByName(again.select(F.col("w1").alias("v"), F.col("w1").alias("s1"), F.col("w2").alias("s2"),
+            F.col("times").alias("n"), cut.alias("words")))
     spread = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     searched = found.repartition(spread, "v").mapInArrow(shard, "v long, s1 long, s2 long, spans array<int>")
     if any_crowded:  # back from windows to the segments that they are from
@@ -444,20 +474,26 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
         ones = searched.where("v = s1").select(F.col("s1").alias("w1"), F.col("s2").alias("w2"))
         of_windows = lone.join(ones, ["w1", "w2"]).select("v", "s1", "s2", F.array("a", F.col("a") + 1).alias("spans"))
         searched = searched.unionByName(of_windows)
-    each = F.explode(F.expr("transform(sequence(0, size(spans) - 2, 2), i -> named_struct('a', spans[i], 'b', spans[i + 1]))"))
-    return places.join(searched, ["v", "s1", "s2"]).select("doc_id", "th", "start", each.alias("s")).select("doc_id", "th", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    each = F.explode(F.expr("transform(sequence(0, size(spans) - 2, 2), i -> named_struct('a', spans[i], 'b', spans[i "
+        "+ 1]))"))
+    return places.join(searched, ["v", "s1", "s2"]).select("doc_id", "th", "start", each.alias("s")).select("doc_id",
+        "th", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
 
 
 def stripped_rows(docs: DataFrame, window: int = WINDOW, with_text: bool = True, **options) -> DataFrame:
     """Per row: row (a struct of all columns of docs but text), text (as it was; if wanted), n_words, n_removed, kept (the words that no repeated window covers,
     joined by one space)."""
-    spans = passages(docs, window, **options).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # at most two for each word of a text
+    spans = passages(docs, window, **options).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias(
+        "spans"))  # at most two for each word of a text
     spans = spans.select(F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "spans")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text")
+        .cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    rows = rows.join(spans, F.col("row.doc_id").eqNullSafe(spans["of"]) & (rows["th"] == spans["of_th"]), "left").select("row", "text", "spans")
+    rows = rows.join(spans, F.col("row.doc_id").eqNullSafe(spans["of"]) & (rows["th"] == spans["of_th"]),
+        "left").select("row", "text", "spans")
     kept_as_is = ["row", "text"] if with_text else ["row"]
-    schema = T.StructType([*(rows.schema[c] for c in kept_as_is), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    schema = T.StructType([*(rows.schema[c] for c in kept_as_is), T.StructField("n_words", T.LongType()), T.StructField(
+        "n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def work(part: pa.RecordBatch):
         n_words, n_removed, kept = [], [], []
@@ -477,7 +513,8 @@ def stripped_rows(docs: DataFrame, window: int = WINDOW, with_text: bool = True,
             n_removed.append(len(words) - len(left))
             kept.append(b" ".join(left).decode())
         results = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-        yield pa.RecordBatch.from_arrays([*map(part.column, kept_as_is), *results], names=[*kept_as_is, "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([*map(part.column, kept_as_is), *results], names=[*kept_as_is, "n_words",
+            "n_removed", "kept"])
 
     return mapped(rows, work, schema)
 

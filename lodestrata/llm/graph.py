@@ -19,7 +19,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     Each round hangs every node's larger neighbours under its smallest one, then likewise the smaller ones; after O(log n) rounds (log squared at worst) every
     node hangs under its component's smallest.  Minima are combined before the shuffle, and joins may split a hot
     node.  Links from an id to itself and repeated links do no harm; no links give an empty result."""
-    edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        .distinct(), "links")
     before = _state(edges)
     for _ in range(most_rounds):
         if not before[0]:
@@ -28,7 +29,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias(
+            "u"), F.col("m").alias("v")).distinct()
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "stars")
         now = _state(edges)

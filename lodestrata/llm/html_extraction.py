@@ -31,21 +31,29 @@ from .common import mapped
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 #: Elements whose content is never main text.
-DROPPED = frozenset("script style noscript iframe template svg math canvas object embed audio video form button select option input textarea label fieldset nav footer aside head title menu dialog map applet noembed noframes".split())
-BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+DROPPED = frozenset("script style noscript iframe template svg math canvas object embed audio video form button select "
+    "option input textarea label fieldset nav footer aside head title menu dialog map applet noembed noframes".split())
+BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure "
+    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td "
+    "tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 #: A start tag on the left ends an open element on the right.
 CLOSES_P = BLOCK - frozenset("body html tbody td tfoot th thead tr caption li dd dt".split())
-ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead"), "thead": ("tr", "td", "th")}
+ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": (
+    "td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th",
+    "tbody", "thead"), "thead": ("tr", "td", "th")}
 #: Where looking for an open element to end stops.
-SCOPE = {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",), "thead": ("table",), "option": ("select",)}
+SCOPE = {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",),
+    "tbody": ("table",), "tfoot": ("table",), "thead": ("table",), "option": ("select",)}
 #: Parts of class, id and role names of what is not main text.
-UNWANTED = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menus|breadcrumb\w*|sidebar|side|rail|aside|widget\w*|footer|foot|topbar|comment|comments|commentlist|disqus|respond|replies|reply|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|toolbar|pagination|pager|search|hidden|skip|legal|copyright|disclaimer|tags?|toc|contentinfo|complementary|alert)(?=$|[-_\s])", re.I)
+UNWANTED = re.compile(
+    r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menus|breadcrumb\w*|sidebar|side|rail|aside|widget\w*|footer|foot|topbar|comment|comments|commentlist|disqus|respond|replies|reply|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|toolbar|pagination|pager|search|hidden|skip|legal|copyright|disclaimer|tags?|toc|contentinfo|complementary|alert)(?=$|[-_\s])", re.I)
 WANTED = re.compile(r"(?:^|[-_\s])(?:article|body|content|entry|main|post|story|text|hentry)(?=$|[-_\s])", re.I)
 #: Names that say what an element has beside its content, not what it is.
 ABOUT = re.compile(r"(?:^|\s)(?:has|with|without|no|is|show|hide)[-_]\S*", re.I)
 HEADER = re.compile(r"(?:^|[-_\s])(?:header|masthead)(?=$|[-_\s])", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true",
+    re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: What may begin at a "<"; and a run within a tag, up to its end, a value or the end of the page.
 OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
@@ -323,7 +331,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def work(part: pa.RecordBatch):
         texts = [main_text(x) for x in part.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
+            pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
     return mapped(pages, work, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long", "html")

@@ -102,7 +102,8 @@ class Alphabet:
         keep = np.ones(len(raw), bool)
         keep[1:] = (raw[1:] != 0) | (raw[:-1] != 0)
         ends = np.cumsum(lengths)
-        starts = np.concatenate([[0], np.cumsum(keep)[ends - 1]]).astype(np.int64) if len(ends) else np.zeros(1, np.int64)
+        starts = np.concatenate([[0], np.cumsum(keep)[ends - 1]]).astype(np.int64) if len(ends) else np.zeros(1,
+            np.int64)
         return raw[keep], starts
 
 
@@ -126,7 +127,8 @@ def sample(docs: DataFrame, rows: int = 400) -> dict[str, list[str]]:
     span = 1 << 30
     limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * rows / n) * span))])
     h = F.pmod(F.xxhash64("doc_id"), F.lit(span))
-    near = known.where(h < limits[F.col("lang")]).select("lang", h.alias("h"), F.substring("text", 1, 2 * TRAIN_LETTERS).alias("text"))
+    near = known.where(h < limits[F.col("lang")]).select("lang", h.alias("h"), F.substring("text", 1, 2 * TRAIN_LETTERS)
+        .alias("text"))
     first = Window.partitionBy("lang").orderBy("h", "text")
     found = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows).collect()
     out: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
@@ -165,7 +167,8 @@ def phrases(codes: np.ndarray, starts: np.ndarray, table: np.ndarray, width: int
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
     at = starts[doc] + nth * lane
     size = np.minimum(starts[doc + 1] - at, lane)
-    after, begins = np.empty(len(codes), np.int32), np.empty(len(codes), np.uint8)  # the state after each letter; whether a phrase begins with it
+    after, begins = np.empty(len(codes), np.int32), np.empty(len(codes),
+        np.uint8)  # the state after each letter; whether a phrase begins with it
 
     def walk(which: np.ndarray, state: np.ndarray, again: bool) -> np.ndarray:
         """Walks lanes from a state each; again: until it is in the recorded state.  Returns the lanes that ended in another state than recorded."""
@@ -222,11 +225,14 @@ def predict(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
 def identify(docs: DataFrame, rows: int = 400) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (the winner's share of the evidence, 0 to 1)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, rows)))  # some MB: bounded by languages and TRAIN_LETTERS
+    shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs,
+        rows)))  # some MB: bounded by languages and TRAIN_LETTERS
 
     def work(part: pa.RecordBatch):
         lang, score = predict([x or "" for x in part.column("text").to_pylist()], shared.value)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score,
+            pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    out = mapped(docs.select("doc_id", "text"), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    out = mapped(docs.select("doc_id", "text"), work,
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -56,13 +56,17 @@ def _table_packet(pid: int, section: bytes) -> bytes:
     return (bytes([SYNC]) + (0x4000 | pid).to_bytes(2, "big") + b"\x10\x00" + section).ljust(PACKET, b"\xff")
 
 
-TABLES = _table_packet(0, _section(0, 1, b"\x00\x01" + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(PMT_PID, _section(2, 1, (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00"))
+TABLES = _table_packet(0, _section(0, 1, b"\x00\x01" + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(PMT_PID,
+    _section(2, 1, (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE]) + (0xE000 | ES_PID).to_bytes(2,
+    "big") + b"\xf0\x00"))
 #: Packet headers of the elementary stream by counter: a unit's first packet and others, with payload alone or an adaptation field too.
-HEADS = {(first, field): [bytes([SYNC]) + (first << 14 | ES_PID).to_bytes(2, "big") + bytes([0x10 | field << 5 | cc]) for cc in range(16)] for first in (0, 1) for field in (0, 1)}
+HEADS = {(first, field): [bytes([SYNC]) + (first << 14 | ES_PID).to_bytes(2, "big") + bytes([0x10 | field << 5 | cc])
+    for cc in range(16)] for first in (0, 1) for field in (0, 1)}
 
 
 def _time(pts: int) -> bytes:
-    return bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 0xFF, 0x01 | pts >> 14 & 0xFE, pts >> 7 & 0xFF, 0x01 | pts << 1 & 0xFE])
+    return bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 0xFF, 0x01 | pts >> 14 & 0xFE, pts >> 7 & 0xFF, 0x01 | pts << 1
+        & 0xFE])
 
 
 def _reference(ticks: int) -> bytes:
@@ -223,7 +227,8 @@ def describe(text: bytes, with_stream: bool = False) -> tuple:
     payload = b"".join(u[3] for u in got["units"])
     raps = [u[1] for u in got["units"] if u[2]]
     feature = f"programs={len(got['programs'])};streams={sum(map(len, got['programs'].values()))};packets={got['packets']};faults={sum(got['faults'].values())};units={len(got['units'])};pts={got['units'][0][1]}-{got['units'][-1][1]};raps={len(raps)};last_rap={raps[-1]}"
-    row = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+    row = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media),
+        hashlib.sha256(media).hexdigest(), feature)
     row = (*row, [{"pts": u[1], "random_access": u[2], "bytes": len(u[3])} for u in got["units"]])
     return (*row, media) if with_stream else row
 
@@ -233,7 +238,8 @@ def media_columns(docs: DataFrame, streams: bool = False) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     unit = pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("bytes", pa.int64())])
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}, units array<struct<pts:long,random_access:boolean,bytes:long>>"
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(unit), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(unit),
+        pa.binary()]
     names = [*(x.split()[0] for x in SCHEMA.split(", ")), "units", "media"]
 
     def work(part: pa.RecordBatch):

@@ -56,7 +56,8 @@ def share(budget: int, weights: Mapping[str, float], limits: Mapping[str, int])
     return out
 
 
-def budgets(supply: Mapping[tuple[str, ...], int], weight: Weight, total: int, epochs: int) -> dict[tuple[str, ...], int]:
+def budgets(supply: Mapping[tuple[str, ...], int], weight: Weight, total: int, epochs: int) -> dict[tuple[str, ...],
+    int]:
     """The token budget of each leaf (a path), from each leaf's tokens and the weight of every node among its siblings."""
     limit: dict[tuple[str, ...], int] = {}
     children: dict[tuple[str, ...], set[str]] = {}
@@ -73,7 +74,8 @@ def budgets(supply: Mapping[tuple[str, ...], int], weight: Weight, total: int, e
             out[path] = budget
             continue
         names = children[path]
-        for name, part in share(budget, {c: weight((*path, c)) for c in names}, {c: limit[*path, c] for c in names}).items():
+        for name, part in share(budget, {c: weight((*path, c)) for c in names}, {c: limit[*path, c]
+            for c in names}).items():
             stack.append(((*path, name), part))
     return {p: b for p, b in out.items() if p}
 
@@ -83,7 +85,8 @@ def tokens_of(column: str = "text") -> Column:
 
 
 def _labelled(docs: DataFrame, levels: Iterable[Column]) -> DataFrame:
-    return docs.withColumns({f"mix_level_{i}": F.coalesce(c.cast("string"), F.lit("none")) for i, c in enumerate(levels)})
+    return docs.withColumns({f"mix_level_{i}": F.coalesce(c.cast("string"), F.lit("none")) for i,
+        c in enumerate(levels)})
 
 
 def _rank(epoch: Column, seed: int) -> Column:
@@ -91,40 +94,52 @@ def _rank(epoch: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, F.col("doc_id"), F.col("text")), 1)
 
 
-def decide(docs: DataFrame, levels: list[Column], weight: Callable[[dict], Weight], total: float, epochs: int, seed: int = SEED) -> DataFrame:
+def decide(docs: DataFrame, levels: list[Column], weight: Callable[[dict], Weight], total: float, epochs: int,
+    seed: int = SEED) -> DataFrame:
     """A row a leaf: its labels (mix_level_*), tokens, budget, whole passes (passes) and the last hash of one more pass (last, -1 for none).
 
     weight makes the nodes' weights from the leaves' tokens; total is the budget as a share of all tokens."""
     spark, names = docs.sparkSession, [f"mix_level_{i}" for i in range(len(levels))]
     rows = _labelled(docs, levels).select(*names, "doc_id", "text", tokens_of().alias("tokens"))
-    supply = {tuple(r[n] for n in names): r["tokens"] for r in rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")).collect()}  # the tree's leaves
+    supply = {tuple(r[n] for n in names): r["tokens"] for r in rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
+        .collect()}  # the tree's leaves
     wanted = budgets(supply, weight(supply), round(total * sum(supply.values())), epochs)
-    plan = [(*p, supply[p], wanted.get(p, 0), *(divmod(wanted.get(p, 0), supply[p]) if supply[p] else (0, 0))) for p in sorted(supply)]
+    plan = [(*p, supply[p], wanted.get(p, 0), *(divmod(wanted.get(p, 0), supply[p]) if supply[p] else (0, 0)))
+        for p in sorted(supply)]
     schema = ", ".join(f"{n} string" for n in names) + ", tokens long, budget long, passes long, rest long"
     leaves = spark.createDataFrame(plan, schema)
     few = (lambda df: F.broadcast(df)) if len(plan) <= BROADCAST_LEAVES else (lambda df: df)
-    placed = rows.join(few(leaves.where("rest > 0").select(*names, "passes", "rest")), names).withColumn("h", _rank(F.col("passes"), seed))
+    placed = rows.join(few(leaves.where("rest > 0").select(*names, "passes", "rest")), names).withColumn("h",
+        _rank(F.col("passes"), seed))
     placed = materialize(placed.select(*names, "rest", "tokens", "h"), "mix-places")
     bucket = F.shiftrightunsigned("h", 63 - BUCKET_BITS)
-    sums = placed.groupBy(*names, "rest", bucket.alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.max("h").alias("h"))  # leaves times 2**BUCKET_BITS rows at most
+    sums = placed.groupBy(*names, "rest", bucket.alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.max("h").alias(
+        "h"))  # leaves times 2**BUCKET_BITS rows at most
     upto = sums.withColumn("upto", F.sum("tokens").over(Window.partitionBy(*names).orderBy("bucket")))
     whole = upto.where("upto <= rest").groupBy(*names).agg(F.max("h").alias("whole"), F.max("upto").alias("before"))
-    cut = upto.where("upto > rest").groupBy(*names, "rest").agg(F.min("bucket").alias("bucket"))  # a prefix ends in the first bucket that does not fit whole
-    cut = cut.join(whole, names, "left").select(*names, "rest", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    edge = placed.drop("rest").withColumn("bucket", bucket).join(few(cut), [*names, "bucket"]).groupBy(*names, "rest", "before", "h").agg(F.sum("tokens").alias("tokens"))
-    edge = edge.withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy(*names).orderBy("h"))).where("upto <= rest").groupBy(*names).agg(F.max("h").alias("inside"))
+    cut = upto.where("upto > rest").groupBy(*names, "rest").agg(F.min("bucket").alias(
+        "bucket"))  # a prefix ends in the first bucket that does not fit whole
+    cut = cut.join(whole, names, "left").select(*names, "rest", "bucket", F.coalesce("before", F.lit(0)).alias(
+        "before"))
+    edge = placed.drop("rest").withColumn("bucket", bucket).join(few(cut), [*names, "bucket"]).groupBy(*names, "rest",
+        "before", "h").agg(F.sum("tokens").alias("tokens"))
+    edge = edge.withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy(*names).orderBy(
+        "h"))).where("upto <= rest").groupBy(*names).agg(F.max("h").alias("inside"))
     last = F.coalesce(F.col("inside"), F.col("whole"), F.lit(-1)).alias("last")
-    return materialize(leaves.join(whole, names, "left").join(edge, names, "left").select(*names, "tokens", "budget", "passes", last), "mix-decisions")
+    return materialize(leaves.join(whole, names, "left").join(edge, names, "left").select(*names, "tokens", "budget",
+        "passes", last), "mix-decisions")
 
 
-def select(docs: DataFrame, levels: list[Column], weight: Callable[[dict], Weight], total: float, epochs: int, seed: int = SEED) -> DataFrame:
+def select(docs: DataFrame, levels: list[Column], weight: Callable[[dict], Weight], total: float, epochs: int,
+    seed: int = SEED) -> DataFrame:
     """The rows of docs that the mix takes, with copies: how many times."""
     decisions = decide(docs, levels, weight, total, epochs, seed)
     names = [f"mix_level_{i}" for i in range(len(levels))]
     rows = _labelled(docs.drop("copies"), levels)
     plan = decisions.select(*names, "passes", "last")
     plan = F.broadcast(plan) if decisions.count() <= BROADCAST_LEAVES else plan
-    taken = rows.join(plan, names).withColumn("copies", (F.col("passes") + F.when(_rank(F.col("passes"), seed) <= F.col("last"), 1).otherwise(0)).cast("int"))
+    taken = rows.join(plan, names).withColumn("copies", (F.col("passes") + F.when(_rank(F.col("passes"), seed) <= F.col(
+        "last"), 1).otherwise(0)).cast("int"))
     return taken.where("copies > 0").drop("passes", "last")
 
 

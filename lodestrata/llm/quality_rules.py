@@ -25,10 +25,13 @@ UPPER = bytes(range(65, 91))
 #: Bytes of letters: ASCII ones and every byte of a character beyond ASCII.
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 #: Frequent function words of English, German, French and Spanish.
-FUNCTION_WORDS = frozenset(w.encode() for w in "the and of to in is that for it on with as are be this by der die das und zu den von mit für im ist des le la les de et des un une que pour dans est el los las que en y por con una para".split())
+FUNCTION_WORDS = frozenset(w.encode() for w in "the and of to in is that for it on with as are be this by der die das "
+    "und zu den von mit für im ist des le la les de et des un une que pour dans est el los las que en y por con una "
+    "para".split())
 
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "shouting", "word_length", "function_words", "endings")
-FEATURES = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("pattern", pa.int32())])
+FEATURES = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines",
+    pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("pattern", pa.int32())])
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, pattern int"
 
 
@@ -94,7 +97,8 @@ def features(texts: list[bytes]) -> pa.RecordBatch:
     for v in votes:
         pattern = pattern * 3 + (v + 1).astype(np.int32)
     failed = (n_words < 50) | (100 * repeats > 50 * n_words)
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((n_words, chars, symbols, dup, repeats, failed, pattern), FEATURES, strict=True)], schema=FEATURES)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((n_words, chars, symbols, dup, repeats,
+        failed, pattern), FEATURES, strict=True)], schema=FEATURES)
 
 
 def with_features(docs: DataFrame) -> DataFrame:
@@ -141,7 +145,8 @@ def fit(counts: dict[int, int], rounds: int = 200) -> dict:
         done, belief = np.abs(new - belief).max() < 1e-9, new
         if done:
             break
-    return {"good": float(good), "tables": tables, "posterior": dict(zip(patterns.tolist(), belief.tolist(), strict=True))}
+    return {"good": float(good), "tables": tables, "posterior": dict(zip(patterns.tolist(), belief.tolist(),
+        strict=True))}
 
 
 def pattern_counts(scored: DataFrame) -> dict[int, int]:
@@ -154,7 +159,9 @@ def score(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     scored = materialize(with_features(docs), "quality-rules")
     model = fit(pattern_counts(scored))
     posterior = docs.sparkSession.createDataFrame(list(model["posterior"].items()), "pattern int, posterior double")
-    return scored.join(F.broadcast(posterior), "pattern", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
+    return scored.join(F.broadcast(posterior), "pattern", "left").select("doc_id", "n_words", "word_chars", "n_symbols",
+        "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= threshold))
+        .alias("kept"), "posterior")
 
 
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

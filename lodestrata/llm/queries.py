@@ -23,14 +23,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fm_dedup.strip(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return fm_dedup.strip(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept",
+        256).alias("kept_sha256"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, in three passes at most, with domains, languages and sources brought nearer to each other."""
     docs = table(spark, sf_dir, "documents")
     taken = mixing.select(docs, [mixing.domain_of(), F.col("lang"), F.col("source")], mixing.smoothed(0.5), 0.5, 3)
-    return taken.select("doc_id", F.col("mix_level_0").alias("domain"), F.col("mix_level_1").alias("language"), F.col("mix_level_2").alias("leaf"), mixing.tokens_of().alias("tokens"), "copies")
+    return taken.select("doc_id", F.col("mix_level_0").alias("domain"), F.col("mix_level_1").alias("language"), F.col(
+        "mix_level_2").alias("leaf"), mixing.tokens_of().alias("tokens"), "copies")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,8 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 p = p.replace("▁", " ")
                 self.pieces[p], self.bytes[i] = (i, model.get_score(i)), p.encode()
-        self.scores = log_probabilities(np.array([model.get_score(i) for i in range(n)]), np.array([i for i, _ in self.pieces.values()], np.int64))
+        self.scores = log_probabilities(np.array([model.get_score(i) for i in range(n)]), np.array([i for i,
+            _ in self.pieces.values()], np.int64))
         self.pieces = {p: (i, float(self.scores[i])) for p, (i, _) in self.pieces.items()}
         self.unknown = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - 10
         self.longest = max(map(len, self.pieces), default=1)
@@ -116,7 +117,8 @@ class Vocabulary:
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Ids of hashed substrings, -1 for none."""
         a, b = (h * MIX[0]) >> self.shift, (h * MIX[1]) >> self.shift
-        return np.where(self.keys[0][a] == h, self.ids[0][a], np.where(self.keys[1][b] == h, self.ids[1][b], np.int32(-1)))
+        return np.where(self.keys[0][a] == h, self.ids[0][a], np.where(self.keys[1][b] == h, self.ids[1][b],
+            np.int32(-1)))
 
     def spelt(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode()]
@@ -149,7 +151,8 @@ class Vocabulary:
                     ids += [piece] if piece >= 0 else self.spelt(s[start])
                 out.append((total, ids))
                 continue
-            for start, piece, x in reversed(edges[at]):  # among equals the longest goes first, and straight on to the start
+            for start, piece, x in reversed(edges[
+                at]):  # among equals the longest goes first, and straight on to the start
                 turn -= 1
                 heapq.heappush(agenda, (-(best[start] + x + behind), turn, start, x + behind, ((start, piece), path)))
         return out
@@ -174,7 +177,8 @@ class Vocabulary:
 
     def _forward(self, segments, own, n, ids, score, gap) -> list[int]:
         k = len(own)
-        codes = np.frombuffer("".join([segments[i] for i in own.tolist()]).encode("utf-32-le"), np.uint32).reshape(k, n).T.astype(np.uint64) + np.uint64(1)
+        codes = np.frombuffer("".join([segments[i] for i in own.tolist()]).encode("utf-32-le"), np.uint32).reshape(k,
+            n).T.astype(np.uint64) + np.uint64(1)
         best = np.full((n + 1, k), FAR)
         second = np.full((n + 1, k), FAR)
         back, piece = np.zeros((n + 1, k), np.int8), np.zeros((n + 1, k), np.int32)
@@ -233,7 +237,8 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def runners_up(v: Vocabulary, segments: list[str], gaps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int, nbest) -> list[tuple[float, list]]:
+def runners_up(v: Vocabulary, segments: list[str], gaps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int,
+    nbest) -> list[tuple[float, list]]:
     """What the second to nth best segmentation of a text cost more than the best, and their edits (at, drop, ids), in text order."""
     k = min(n - 1, len(gaps))
     if k <= 0:
@@ -241,13 +246,15 @@ def runners_up(v: Vocabulary, segments: list[str], gaps: np.ndarray, starts: np.
     pick = np.argpartition(gaps, k - 1)[:k] if k < len(gaps) else np.arange(len(gaps))
     edge = gaps[pick].max()
     below = np.flatnonzero(gaps < edge)
-    pick = np.concatenate([below, np.flatnonzero(gaps == edge)[: k - len(below)]])  # the first of those that cost the same
+    pick = np.concatenate([below, np.flatnonzero(gaps == edge)[: k - len(
+        below)]])  # the first of those that cost the same
     combos: list[tuple[float, list]] = [(0.0, [])]
     for j in sorted(pick[np.isfinite(gaps[pick])].tolist()):
         found = nbest(segments[j], n)
         top = found[0][0]
         edit = (int(starts[j]), int(sizes[j]))
-        combos = sorted(((c + top - x, edits + [(*edit, ids)] * bool(r)) for c, edits in combos for r, (x, ids) in enumerate(found)), key=lambda x: x[0])[:n]
+        combos = sorted(((c + top - x, edits + [(*edit, ids)] * bool(r)) for c, edits in combos for r, (x,
+            ids) in enumerate(found)), key=lambda x: x[0])[:n]
     return combos[1:]
 
 
@@ -286,8 +293,10 @@ def encode_texts(v: Vocabulary, texts: list[str | None], n: int) -> tuple[pa.Arr
         ends.append(ends[-1] + total)
         best = float(score[own].sum())
         scores.append(best)
-        more.append([{"score": best - c, "edits": [{"at": a, "drop": d, "ids": x} for a, d, x in edits]} for c, edits in runners_up(v, _Lazy(segments, own), gap[own], starts, sizes, n, nbest)])
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
+        more.append([{"score": best - c, "edits": [{"at": a, "drop": d, "ids": x} for a, d, x in edits]} for c,
+            edits in runners_up(v, _Lazy(segments, own), gap[own], starts, sizes, n, nbest)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values
+        else np.zeros(0, np.int32), pa.int32()))
     return lists, scores, more
 
 
@@ -301,7 +310,8 @@ class _Lazy:
         return self.segments[self.own[j]]
 
 
-ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("drop",
+    pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 RESULT = "n_tokens long, token_ids array<int>, score double, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, decoded boolean"
 NAMES = ["n_tokens", "token_ids", "score", "alternatives", "decoded"]
 
@@ -310,7 +320,8 @@ def encode(docs: DataFrame, n_best: int = 3, model: str = MODEL, keep: bool = Fa
     """Per row: doc_id (with keep: all columns of docs), the best ids, their score, the other n_best - 1 segmentations as edits of the best (replace
     `drop` ids from `at` on), and whether decoding the ids gave the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))  # a vocabulary file: some MB at most
-    docs = docs.select(*[c for c in docs.columns if c not in NAMES]) if keep else docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select(*[c for c in docs.columns if c not in NAMES]) if keep else docs.select("doc_id", F.col("text")
+        .cast("string").alias("text"))
     kept = docs.columns if keep else ["doc_id"]
     schema = T.StructType([f for f in docs.schema if f.name in kept] + T._parse_datatype_string(RESULT).fields)
 
@@ -320,11 +331,13 @@ def encode(docs: DataFrame, n_best: int = 3, model: str = MODEL, keep: bool = Fa
         ids, scores, more = encode_texts(v, texts, n_best)
         missing = pa.array([t is None for t in texts])
         ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-        right = [t is None or v.decode(values[a:b].tolist()) == t for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        right = [t is None or v.decode(values[a:b].tolist()) == t for t, a, b in zip(texts, ends[:-1].tolist(),
+            ends[1:].tolist(), strict=True)]
         counts = pa.array(np.diff(ends), pa.int64(), mask=missing.to_numpy(zero_copy_only=False))
         if missing.true_count:
             ids = pa.array([None if t is None else x for t, x in zip(texts, ids.to_pylist(), strict=True)], ids.type)
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), counts, ids, pa.array(scores, pa.float64()), pa.array(more, ALTERNATIVES), pa.array(right)], names=[*kept, *NAMES])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), counts, ids, pa.array(scores, pa.float64()),
+            pa.array(more, ALTERNATIVES), pa.array(right)], names=[*kept, *NAMES])
 
     return mapped(docs, work, schema, limit=4 << 20)
 
@@ -338,6 +351,7 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
         for part in batches:
             v = vocabulary(shared.value)
             texts = [None if x is None else v.decode(x) for x in part.column("token_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id",
+                "text"])
 
     return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")

@@ -39,9 +39,11 @@ def _ranked(rows: DataFrame, keys: list[str], buckets: Column, name: str) -> Dat
     by = [*keys, "bucket"]
     counts = rows.groupBy(*by).agg(F.count("*").alias("in_bucket"))
     over = Window.partitionBy(*keys).orderBy("bucket") if keys else Window.orderBy("bucket")
-    offsets = counts.withColumn("offset", F.sum("in_bucket").over(over.rowsBetween(Window.unboundedPreceding, -1))).drop("in_bucket")
+    offsets = counts.withColumn("offset", F.sum("in_bucket").over(over.rowsBetween(Window.unboundedPreceding,
+        -1))).drop("in_bucket")
     inside = F.row_number().over(Window.partitionBy(*by).orderBy("h", "row"))
-    return rows.withColumn("inside", inside).join(offsets, by).withColumn(name, (F.coalesce("offset", F.lit(0)) + F.col("inside") - 1).cast("long")).drop("bucket", "inside", "offset")
+    return rows.withColumn("inside", inside).join(offsets, by).withColumn(name, (F.coalesce("offset", F.lit(0)) + F.col(
+        "inside") - 1).cast("long")).drop("bucket", "inside", "offset")
 
 
 def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -53,30 +55,41 @@ def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
         open_ = _pick([f > 0 for f in free], F.col("shard"))
         tied = F.xxhash64("g1", "g2", "shard")  # which of a group's equal shards counts as the larger one
         ranked = state.withColumn("tie", tied)
-        best = ranked.where(open_).groupBy("g1", "g2").agg(F.max(F.struct("n", "tie", "shard")).alias("best")).select("g1", "g2", F.col("best.n").alias("best_n"), F.col("best.tie").alias("best_tie"), F.col("best.shard").alias("to"))
-        smaller = (F.col("n") < F.col("best_n")) | ((F.col("n") == F.col("best_n")) & (F.col("tie") < F.col("best_tie")))
-        wants = (F.col("to") != F.col("shard")) & (smaller | (~open_ & (F.col("n") <= 16)))  # a full shard lets a few members go to where there is room for all
-        moves = ranked.join(best, ["g1", "g2"], "left").withColumn("wants", F.when(F.coalesce(wants, F.lit(False)), F.col("n")).otherwise(0))
-        asked = {r["to"]: r["n"] for r in moves.where("wants > 0").groupBy("to").agg(F.sum("wants").alias("n")).collect()}
+        best = ranked.where(open_).groupBy("g1", "g2").agg(F.max(F.struct("n", "tie", "shard")).alias("best")).select(
+            "g1", "g2", F.col("best.n").alias("best_n"), F.col("best.tie").alias("best_tie"), F.col("best.shard").alias(
+            "to"))
+        smaller = (F.col("n") < F.col("best_n")) | ((F.col("n") == F.col("best_n")) & (F.col("tie") < F.col(
+            "best_tie")))
+        wants = (F.col("to") != F.col("shard")) & (smaller | (~open_ & (F.col(
+            "n") <= 16)))  # a full shard lets a few members go to where there is room for all
+        moves = ranked.join(best, ["g1", "g2"], "left").withColumn("wants", F.when(F.coalesce(wants, F.lit(False)),
+            F.col("n")).otherwise(0))
+        asked = {r["to"]: r["n"] for r in moves.where("wants > 0").groupBy("to").agg(F.sum("wants").alias("n"))
+            .collect()}
         if not asked:
             break
         share = [min(1.0, free[s] / asked[s]) if asked.get(s) else 0.0 for s in range(len(quota))]
         # a few members move together or not at all, many by their share
         lot = F.pmod(F.xxhash64(F.lit(turn), "g1", "g2"), F.lit(1 << 20)) / F.lit(1 << 20)
         ratio = _pick(share, F.coalesce("to", F.lit(0)))
-        moved = F.when(F.col("n") <= 16, F.when((ratio >= 1) | (lot < ratio * 0.9), F.col("wants")).otherwise(0)).otherwise(F.floor(F.col("wants") * ratio)).cast("long")
+        moved = F.when(F.col("n") <= 16, F.when((ratio >= 1) | (lot < ratio * 0.9), F.col("wants"))
+            .otherwise(0)).otherwise(F.floor(F.col("wants") * ratio)).cast("long")
         moves = moves.withColumn("moved", moved)
         stay = moves.select("g1", "g2", "shard", (F.col("n") - F.col("moved")).alias("n"))
-        go = moves.where("moved > 0").select("g1", "g2", F.col("to").cast("int").alias("shard"), F.col("moved").alias("n"))
-        state = materialize(stay.unionByName(go).groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "label-state")
+        go = moves.where("moved > 0").select("g1", "g2", F.col("to").cast("int").alias("shard"), F.col("moved").alias(
+            "n"))
+        state = materialize(stay.unionByName(go).groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")).where("n > 0"),
+            "label-state")
     return state
 
 
 def shards(docs: DataFrame, n: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(seed), text).alias("g2"))
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64(F.lit(seed), "row")), "shard-rows")
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary"))
+        .alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(seed), text).alias("g2"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64(F.lit(seed),
+        "row")), "shard-rows")
     total = rows.count()
     buckets = F.lit(max(1, min(MOST_BUCKETS, total // (n * BUCKET_ROWS))))
     target = [total // n + (s < total % n) for s in range(n)]
@@ -91,18 +104,25 @@ def shards(docs: DataFrame, n: int = SHARDS, rounds: int = ROUNDS, seed: int = S
     kept = state.withColumn("n", F.col("n") - F.ceil(F.col("n") * _pick([float(x) for x in over], F.col("shard"))))
     up_to = F.sum("n").over(Window.partitionBy("g1", "g2").orderBy("shard"))
     size = state.groupBy("g1", "g2").agg(F.sum("n").alias("members"))
-    plan = kept.withColumn("up_to", up_to).groupBy("g1", "g2").agg(F.array_sort(F.collect_list(F.struct("up_to", "shard"))).alias("plan")).join(size, ["g1", "g2"])  # n entries a group at most
+    plan = kept.withColumn("up_to", up_to).groupBy("g1", "g2").agg(F.array_sort(F.collect_list(F.struct("up_to",
+        "shard"))).alias("plan")).join(size, ["g1", "g2"])  # n entries a group at most
 
     planned = materialize(rows.join(plan, ["g1", "g2"], "left"), "planned-rows")
-    linked = _ranked(planned.where("plan is not null"), ["g1", "g2"], F.ceil(F.col("members") / BUCKET_ROWS).cast("long"), "place")
+    linked = _ranked(planned.where("plan is not null"), ["g1", "g2"], F.ceil(F.col("members") / BUCKET_ROWS).cast(
+        "long"), "place")
     linked = linked.withColumn("shard", F.expr("try_element_at(filter(plan, x -> x.up_to > place), 1).shard"))
     columns = ["row", "h", "doc_id", "size", "text_crc32"]
-    placed = materialize(linked.select(*columns, "shard").unionByName(planned.where("plan is null").select(*columns, F.lit(None).cast("int").alias("shard"))), "placed-rows")
+    placed = materialize(linked.select(*columns, "shard").unionByName(planned.where("plan is null").select(*columns,
+        F.lit(None).cast("int").alias("shard"))), "placed-rows")
 
-    used = {r["shard"]: r["n"] for r in placed.where("shard is not null").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    used = {r["shard"]: r["n"] for r in placed.where("shard is not null").groupBy("shard").agg(F.count("*").alias("n"))
+        .collect()}
     ends = [sum(target[i] - used.get(i, 0) for i in range(s + 1)) for s in range(n)]
     pool = _ranked(placed.where("shard is null").drop("shard"), [], buckets * n, "place")
-    fill = reduce(lambda rest, s: F.when(F.col("place") < ends[s], F.lit(s)).otherwise(rest), range(n - 2, -1, -1), F.lit(n - 1))
-    done = placed.where("shard is not null").select(*columns, "shard").unionByName(pool.select(*columns, fill.cast("int").alias("shard")))
+    fill = reduce(lambda rest, s: F.when(F.col("place") < ends[s], F.lit(s)).otherwise(rest), range(n - 2, -1, -1),
+        F.lit(n - 1))
+    done = placed.where("shard is not null").select(*columns, "shard").unionByName(pool.select(*columns, fill.cast(
+        "int").alias("shard")))
     done = _ranked(materialize(done, "sharded-rows"), ["shard"], buckets, "slot")
-    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast(
+        "int").alias("grown_shard"))

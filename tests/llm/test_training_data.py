@@ -64,7 +64,8 @@ def test_nbest_is_exact(vocabulary, text):
 
 def test_batched_segments_equal_the_search_over_the_whole_text(vocabulary):
     rng = random.Random(5)
-    texts = [" ".join(rng.choice(["the", "andüber", "x", "qqqq", "", "e%%%", "tion\nen"]) for _ in range(rng.randint(0, 14))) for _ in range(30)]
+    texts = [" ".join(rng.choice(["the", "andüber", "x", "qqqq", "", "e%%%", "tion\nen"]) for _ in range(rng.randint(0,
+        14))) for _ in range(30)]
     lists, scores, more = sentence_pieces.encode_texts(vocabulary, texts, 3)
     for t, ids, score, others in zip(texts, lists.to_pylist(), scores, more, strict=True):
         whole = vocabulary.nbest(" " + t, 3)
@@ -94,17 +95,20 @@ def test_html_keeps_the_article_only():
     <div class="cookie-notice">We use cookies, a lot of them, all over the site</div><article><h1>Head</h1><p>First   paragraph,
     with a good&nbsp;deal of text, &lt;and&gt; commas.<p>Second <b>one</b>, without an end tag, but long enough.<script>var p = "<p>no</p>";</script><ul><li>item</ul></article>
     <aside>Related, things, to read, and more</aside><div id=comments><p>Nice post, really, thanks a lot for it</p></div><form><label>Name</label></form><footer>&copy; me</footer></body>"""
-    assert html_extraction.main_text(page) == "Head\nFirst paragraph, with a good deal of text, <and> commas.\nSecond one, without an end tag, but long enough.\nitem"
+    assert html_extraction.main_text(
+        page) == "Head\nFirst paragraph, with a good deal of text, <and> commas.\nSecond one, without an end tag, but long enough.\nitem"
 
 
-@pytest.mark.parametrize("page", ["", None, "plain", "<", "<p>", "</p></div>", "<!-- open", "<script>never closed", "<div>" * 3000 + "deep" + "</div>" * 3000, "<a href='x>y", "\x00<p>z</p>"])
+@pytest.mark.parametrize("page", ["", None, "plain", "<", "<p>", "</p></div>", "<!-- open", "<script>never closed",
+    "<div>" * 3000 + "deep" + "</div>" * 3000, "<a href='x>y", "\x00<p>z</p>"])
 def test_html_survives_anything(page):
     assert isinstance(html_extraction.main_text(page), str)
 
 
 def test_pages(spark, small):
     pages = table(spark, small, "pages")
-    got = html_extraction.extract(pages.unionByName(pages.limit(1).select(F.lit(None).cast("long").alias("page_id"), "url", F.lit(None).cast("string").alias("html")))).collect()
+    got = html_extraction.extract(pages.unionByName(pages.limit(1).select(F.lit(None).cast("long").alias("page_id"),
+        "url", F.lit(None).cast("string").alias("html")))).collect()
     assert len(got) == pages.count() + 1
     assert all(r["n_chars"] == len(r["text"]) and "track(" not in r["text"] and "&copy;" not in r["text"] for r in got)
 
@@ -128,7 +132,8 @@ def test_cross_parsing_counts_phrases():
 
     rng = random.Random(1)
     texts = [[rng.randint(1, 4) for _ in range(rng.randint(0, 30))] for _ in range(50)]
-    codes, starts = np.array(list(itertools.chain(*texts)), np.int64), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    codes, starts = np.array(list(itertools.chain(*texts)), np.int64), np.concatenate([[0], np.cumsum([len(x)
+        for x in texts])])
     assert language_id.phrases(codes, starts, t, width).tolist() == [plain(x) for x in texts]
 
 
@@ -136,14 +141,16 @@ def test_language_held_out_accuracy(spark, small):
     docs = table(spark, small, "documents")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
-    assert {r["held_out"] for r in got} == {True, False} and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert {r["held_out"] for r in got} == {True, False} and all(r["held_out"] == (zlib.crc32(str(r["doc_id"])
+        .encode()) % 4 == 2) for r in got)
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held)
 
 
 def test_language_of_odd_documents(odd, spark):
     got = {r["doc_id"]: r for r in language_id.identify(odd).collect()}
     assert all(got[i]["lang_pred"] == "und" for i in (0, 1, 2)) and all(0 <= r["score"] <= 1 for r in got.values())
-    assert language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
+    assert language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where(
+        "lang_pred <> 'und'").count() == 0
     assert language_id.identify(odd.limit(0)).count() == 0
 
 
@@ -165,7 +172,8 @@ def plain_strip(texts, window):
 def test_wavelet_tree_and_backward_search():
     rng = random.Random(2)
     for _ in range(20):
-        segments = [[rng.randint(1, rng.choice([2, 5, 40])) for _ in range(rng.randint(1, 50))] for _ in range(rng.randint(1, 8))]
+        segments = [[rng.randint(1, rng.choice([2, 5, 40])) for _ in range(rng.randint(1, 50))]
+            for _ in range(rng.randint(1, 8))]
         segments.append(segments[0][len(segments[0]) // 4 :])
         ends = np.cumsum([len(s) + 1 for s in segments])
         text, inside = np.zeros(ends[-1], np.int64), np.ones(ends[-1], bool)
@@ -181,10 +189,12 @@ def test_wavelet_tree_and_backward_search():
         count = Counter(tuple(s[i : i + window]) for s in segments for i in range(len(s) - window + 1))
         for s, e in zip(segments, ends, strict=True):
             b = e - 1 - len(s)
-            assert [bool(found[b + i]) for i in range(len(s) - window + 1)] == [count[tuple(s[i : i + window])] > 1 for i in range(len(s) - window + 1)]
+            assert [bool(found[b + i]) for i in range(len(s) - window + 1)] == [count[tuple(s[i : i + window])] > 1
+                for i in range(len(s) - window + 1)]
 
 
-@pytest.mark.parametrize(("window", "options"), [(35, {}), (8, {"hot": 1}), (8, {"hot": 2, "shard_words": 50, "filter_bits": 8})])
+@pytest.mark.parametrize(("window", "options"), [(35, {}), (8, {"hot": 1}), (8, {"hot": 2, "shard_words": 50,
+    "filter_bits": 8})])
 def test_strip_equals_brute_force(spark, window, options):
     rng = random.Random(window)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -207,7 +217,8 @@ def test_strip_equals_brute_force(spark, window, options):
 def test_strip_odd_documents(odd):
     rows = odd.collect()
     want = Counter((r["doc_id"], *x) for r, x in zip(rows, plain_strip([r["text"] for r in rows], 35), strict=True))
-    assert Counter(tuple(r) for r in fm_dedup.strip(odd).select("doc_id", "n_words", "n_removed", "kept").collect()) == want
+    assert Counter(tuple(r) for r in fm_dedup.strip(odd).select("doc_id", "n_words", "n_removed", "kept")
+        .collect()) == want
     kept = fm_dedup.strip(odd, keep=True)
     assert kept.count() == len(rows) and "lang" in kept.columns
     assert fm_dedup.strip(odd.limit(0)).count() == 0
@@ -229,17 +240,22 @@ def test_shortages_go_to_siblings_first():
 def test_mix_takes_prefixes_within_budget(spark, small):
     docs = table(spark, small, "documents")
     levels = [mixing.domain_of(), F.col("lang"), F.col("source")]
-    plan = {tuple(r[f"mix_level_{i}"] for i in range(3)): r for r in mixing.decide(docs, levels, mixing.smoothed(0.5), 0.5, 3).collect()}
+    plan = {tuple(r[f"mix_level_{i}"] for i in range(3)): r for r in mixing.decide(docs, levels, mixing.smoothed(0.5),
+        0.5, 3).collect()}
     taken: dict = {}
-    for r in mixing.select(docs, levels, mixing.smoothed(0.5), 0.5, 3).withColumn("tokens", mixing.tokens_of()).collect():
+    for r in mixing.select(docs, levels, mixing.smoothed(0.5), 0.5, 3).withColumn("tokens",
+        mixing.tokens_of()).collect():
         key = tuple(r[f"mix_level_{i}"] for i in range(3))
         taken[key] = taken.get(key, 0) + r["tokens"] * r["copies"]
     total = docs.select(F.sum(mixing.tokens_of())).first()[0]
     assert sum(r["budget"] for r in plan.values()) == round(total * 0.5)
-    ranked = docs.withColumns({f"mix_level_{i}": F.coalesce(c, F.lit("none")) for i, c in enumerate(levels)}).withColumn("tokens", mixing.tokens_of())
+    ranked = docs.withColumns({f"mix_level_{i}": F.coalesce(c, F.lit("none")) for i,
+        c in enumerate(levels)}).withColumn("tokens", mixing.tokens_of())
     for key, leaf in plan.items():
         passes, rest = divmod(leaf["budget"], leaf["tokens"])
-        own = ranked.where((F.col("mix_level_0") == key[0]) & (F.col("lang") == key[1]) & (F.col("source") == key[2])).select("tokens", mixing._rank(F.lit(passes).cast("long"), mixing.SEED).alias("h")).orderBy("h").collect() if key in list(plan)[:6] else None
+        own = ranked.where((F.col("mix_level_0") == key[0]) & (F.col("lang") == key[1]) & (F.col(
+            "source") == key[2])).select("tokens", mixing._rank(F.lit(passes).cast("long"), mixing.SEED).alias(
+            "h")).orderBy("h").collect() if key in list(plan)[:6] else None
         if own is not None:
             run = list(itertools.takewhile(lambda x: x <= rest, itertools.accumulate(r["tokens"] for r in own)))
             assert taken.get(key, 0) == passes * leaf["tokens"] + (run[-1] if run else 0)
@@ -248,7 +264,8 @@ def test_mix_takes_prefixes_within_budget(spark, small):
 
 def test_mixing_odd_documents(odd):
     levels = [mixing.domain_of(), F.col("lang"), F.col("source")]
-    assert mixing.select(odd, levels, mixing.smoothed(1.0), 1.0, 1).where(mixing.tokens_of() > 0).count() == odd.where(mixing.tokens_of() > 0).count()
+    assert mixing.select(odd, levels, mixing.smoothed(1.0), 1.0, 1).where(mixing.tokens_of() > 0).count() == odd.where(
+        mixing.tokens_of() > 0).count()
     assert mixing.select(odd.limit(0), levels, mixing.smoothed(1.0), 1.0, 1).count() == 0
 
 
@@ -328,7 +345,8 @@ def test_least_overlap_is_exact():
 def test_near_copies_of_odd_documents(odd):
     got = jaccard_join.grouped(odd, 4, 85).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == odd.count() and by[4]["component_id"] == 3 and by[15]["component_id"] == 7 and by[0]["component_id"] == 0
+    assert len(got) == odd.count() and by[4]["component_id"] == 3 and by[15]["component_id"] == 7 and by[0][
+        "component_id"] == 0
     assert by[1]["n_shingles"] == 0 and by[None]["component_id"] is None
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {0, 1, 2, 3, 6, 7}
@@ -339,7 +357,8 @@ def test_near_copies_of_odd_documents(odd):
 
 
 def test_compression_held_out_accuracy(spark, small):
-    docs, labels = table(spark, small.replace("0.001", "0.01"), "documents"), table(spark, small.replace("0.001", "0.01"), "labels")
+    docs, labels = table(spark, small.replace("0.001", "0.01"), "documents"), table(spark, small.replace("0.001",
+        "0.01"), "labels")
     got = compression_quality.classify(docs, labels).join(labels, "doc_id").collect()
     held = [r for r in got if r["held_out"]]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
@@ -361,13 +380,15 @@ def plain_counts(text):
     windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     covered = {i + d for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for d in range(3)}
     lines = [x for x in (text or "").encode().split(b"\n") if x.split()]
-    return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+    return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text or
+        ""), len(lines) - len(set(lines)), len(covered)
 
 
 def test_counts_equal_brute_force(odd, spark, small):
     for docs in (odd, table(spark, small, "documents").limit(60)):
         texts = [r["text"] for r in docs.collect()]
-        got = Counter((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules.score(docs).collect())
+        got = Counter((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+            for r in quality_rules.score(docs).collect())
         assert got == Counter(map(plain_counts, texts))
 
 
@@ -376,7 +397,8 @@ def test_rules_find_the_bad_documents(spark, small):
     docs, labels = table(spark, more, "documents"), table(spark, more, "labels")
     got = quality_rules.score(docs).join(labels, "doc_id").where("not base_failed").collect()
     assert sum(r["kept"] == (r["quality"] == 1) for r in got) >= 0.95 * len(got)
-    assert {r["doc_id"] for r in quality_rules.keep(docs).collect()} == {r["doc_id"] for r in quality_rules.score(docs).where("kept").collect()}
+    assert {r["doc_id"] for r in quality_rules.keep(docs).collect()} == {r["doc_id"] for r in quality_rules.score(docs)
+        .where("kept").collect()}
 
 
 def test_expectation_maximisation_finds_known_accuracies():
@@ -389,7 +411,8 @@ def test_expectation_maximisation_finds_known_accuracies():
         votes[:, j] = np.where(rng.random(len(good)) < 0.3, 0, np.where(rng.random(len(good)) < r, right, -right))
     code = ((votes + 1) * 3 ** np.arange(len(rates) - 1, -1, -1)).sum(1)
     model = quality_rules.fit(Counter(code.tolist()))
-    found = [model["tables"][1, j, 2] / (model["tables"][1, j, 2] + model["tables"][1, j, 0]) for j in range(len(rates))]
+    found = [model["tables"][1, j, 2] / (model["tables"][1, j, 2] + model["tables"][1, j, 0])
+        for j in range(len(rates))]
     assert abs(model["good"] - 0.8) < 0.03 and np.allclose(found, rates, atol=0.05)
 
 
@@ -401,7 +424,8 @@ def test_streams_give_payloads_back(size):
     text = bytes(random.Random(size).randrange(256) for _ in range(size))
     stream = media.write(media.padded(text))
     got = media.read(stream)
-    assert len(stream) % 188 == 0 and b"".join(u[3] for u in got["units"]) == media.padded(text) and not any(got["faults"].values())
+    assert len(stream) % 188 == 0 and b"".join(u[3] for u in got["units"]) == media.padded(text) and not any(got[
+        "faults"].values())
     assert [u[1] for u in got["units"]] == [3600 * i for i in range(len(got["units"]))] and got["units"][0][2]
     assert got["programs"] == {1: {0x100: 6}}
 
@@ -422,7 +446,8 @@ def test_media_of_odd_documents(odd):
     assert len(got) == odd.count()
     for r in got:
         payload = media.padded((texts[r["doc_id"]] or "").encode())
-        assert r["payload_bytes"] == len(payload) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["payload_bytes"] == len(payload) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r[
+            "tail_crc32"] == zlib.crc32(payload[-64:])
         assert r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest() and "faults=0" in r["feature"]
 
 
@@ -434,10 +459,13 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
 
     text = lambda name: " ".join(f"{name}{i}" for i in range(70))
     near = text("c").rsplit(" ", 1)[0] + " other"
-    rows = [(1, text("a"), "x"), (1, text("a"), "x"), (None, text("b"), "x"), (None, text("b"), "y"), (2, text("c"), "x"), (3, near, "x"), (3, text("d"), "x"), (4, text("e"), "x"), (None, text("e"), "x"), (None, "", "x"), (None, None, "x"), (5, text("f"), "x")]
+    rows = [(1, text("a"), "x"), (1, text("a"), "x"), (None, text("b"), "x"), (None, text("b"), "y"), (2, text("c"),
+        "x"), (3, near, "x"), (3, text("d"), "x"), (4, text("e"), "x"), (None, text("e"), "x"), (None, "", "x"), (None,
+        None, "x"), (5, text("f"), "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     near_copies = P.near_copies_stage(spark, docs, "")
-    want = Counter([(1, text("a"), "x"), (None, text("b"), "x"), (2, text("c"), "x"), (3, text("d"), "x"), (4, text("e"), "x"), (None, "", "x"), (None, None, "x"), (5, text("f"), "x")])
+    want = Counter([(1, text("a"), "x"), (None, text("b"), "x"), (2, text("c"), "x"), (3, text("d"), "x"), (4, text(
+        "e"), "x"), (None, "", "x"), (None, None, "x"), (5, text("f"), "x")])
     assert near_copies.columns == docs.columns and Counter(map(tuple, near_copies.collect())) == want
     assert Counter(tuple(r) for r in P.passages_stage(spark, near_copies, "").collect()) == want
 
@@ -458,15 +486,18 @@ def test_pipeline_stages(spark, small):
             assert after.columns == columns, name
         texts = {r["doc_id"]: r["text"] for r in before.collect()}
         if i == 0:
-            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in quality_rules.score(before).where("kept").collect()}
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in quality_rules.score(before).where("kept")
+                .collect()}
         if i == 1:
             order = sorted(texts)
             groups = plain_groups([texts[d] for d in order], 5, 80)
             assert {r["doc_id"] for r in rows} == {d for j, d in enumerate(order) if groups[j][1] == j}
         if i == 2:
             order = sorted(texts)
-            want = {d: x for d, x in zip(order, plain_strip([texts[d] for d in order], P.PASSAGE), strict=True) if x[1] < x[0] or not x[0]}
-            assert {r["doc_id"]: r["text"] for r in rows} == {d: texts[d] if not x[1] else x[2] for d, x in want.items()}
+            want = {d: x for d, x in zip(order, plain_strip([texts[d] for d in order], P.PASSAGE), strict=True)
+                if x[1] < x[0] or not x[0]}
+            assert {r["doc_id"]: r["text"] for r in rows} == {d: texts[d] if not x[1] else x[2] for d,
+                x in want.items()}
         if i == 4:
             v = sentence_pieces.vocabulary(sentence_pieces.read_model())
             assert all(v.decode(r["token_ids"]) == r["text"] for r in rows)

@@ -48,8 +48,11 @@ PROSE = "This is a paragraph of running text, which goes on for a while, so that
         (f"<div id=top><ul><li><a href=/>Home</a><li><a href=/b>More, and more</a></ul></div><div id=x><h2>T</h2><p>{PROSE}</p><p>{PROSE}</p></div><div><a href=/c>{PROSE}</a></div>", f"T\n{PROSE}\n{PROSE}"),
         (f"<div><div class=col><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div><div class=col2><p><a href=/>{PROSE}</a></p></div></div>", "\n".join([PROSE] * 3)),
         # unwanted names go, whatever else the name says
-        *[(f"<article><h1>T</h1><p>{PROSE}</p><div class={c}><p>{PROSE} No.</p></div></article>", f"T\n{PROSE}") for c in ("sidebar-content", "comment-body", "footer-content", "ad-text", "cookie-text", "related-content")],
-        *[(f"<div class=wrap><p>{PROSE}</p><p>{PROSE}</p></div><div class={c}><p>{PROSE} No.</p></div>", f"{PROSE}\n{PROSE}") for c in ("sidebar-content", "comment-body")],
+        *[(f"<article><h1>T</h1><p>{PROSE}</p><div class={c}><p>{PROSE} No.</p></div></article>", f"T\n{PROSE}")
+            for c in ("sidebar-content", "comment-body", "footer-content", "ad-text", "cookie-text",
+            "related-content")],
+        *[(f"<div class=wrap><p>{PROSE}</p><p>{PROSE}</p></div><div class={c}><p>{PROSE} No.</p></div>",
+            f"{PROSE}\n{PROSE}") for c in ("sidebar-content", "comment-body")],
         # unless the article stands in them
         (f"<div class='content with-sidebar'><article><p>{PROSE}</p></article></div>", PROSE),
         (f"<div class=sidebar-layout><main><p>{PROSE}</p></main></div>", PROSE),
@@ -57,7 +60,8 @@ PROSE = "This is a paragraph of running text, which goes on for a while, so that
         (f"<main><div class=header><h1>Head</h1></div><p>{PROSE}</p></main>", f"Head\n{PROSE}"),
         (f"<article><header><h1>Head</h1></header><p>{PROSE}</p></article>", f"Head\n{PROSE}"),
         # short paragraphs and deep ones count
-        (f"<div><div><div><div><div><div><div><p>Yes.</p><p>{PROSE}</p></div></div></div></div></div></div></div>", f"Yes.\n{PROSE}"),
+        (f"<div><div><div><div><div><div><div><p>Yes.</p><p>{PROSE}</p></div></div></div></div></div></div></div>",
+            f"Yes.\n{PROSE}"),
     ],
 )
 def test_html_planted_pages(body, want):
@@ -65,7 +69,8 @@ def test_html_planted_pages(body, want):
     assert html_extraction.main_text(page) == want
 
 
-@pytest.mark.parametrize("part", ["<a ", "<div>", "<li>", "<ul><li>", '<p class="x', "<a href='x>", "<article>", "<!--", "<table><tr><td>", "<div class=sidebar>", "</div>", "<b>"])
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<li>", "<ul><li>", '<p class="x', "<a href='x>", "<article>", "<!--",
+    "<table><tr><td>", "<div class=sidebar>", "</div>", "<b>"])
 def test_html_takes_time_in_proportion(part):
     began = time.perf_counter()
     assert isinstance(html_extraction.main_text(part * 20_000 + "x"), str)
@@ -98,7 +103,8 @@ def test_phrases_cross_lanes(lane):
             n, i = n + 1, j
         return n
 
-    texts = [[rng.randint(1, 4) for _ in range(rng.choice([0, 1, 9, 90]))] for _ in range(30)] + [train[5:250], train * 3]
+    texts = [[rng.randint(1, 4) for _ in range(rng.choice([0, 1, 9, 90]))] for _ in range(30)] + [train[5:250],
+        train * 3]
     codes, starts = np.array(sum(texts, []), np.int64), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     assert language_id.phrases(codes, starts, table, 6, lane).tolist() == [plain(t) for t in texts]
 
@@ -110,7 +116,8 @@ def shard_of(texts, n, window):
     """Segments as a shard gets them: one a text, n of each."""
     words = [word_hashes([t.encode()])[0].tobytes() for t in texts]
     ids = pa.array(range(len(texts)), pa.int64())
-    return pa.RecordBatch.from_arrays([ids, ids, ids, pa.array([n] * len(texts), pa.int64()), pa.array(words, pa.binary())], names=["v", "s1", "s2", "n", "words"])
+    return pa.RecordBatch.from_arrays([ids, ids, ids, pa.array([n] * len(texts), pa.int64()), pa.array(words,
+        pa.binary())], names=["v", "s1", "s2", "n", "words"])
 
 
 def test_only_backward_search_finds_repeats(monkeypatch):
@@ -121,7 +128,8 @@ def test_only_backward_search_finds_repeats(monkeypatch):
     again = fm_dedup.search_shard([shard_of([passage], 2, 35)], 35).to_pydict()
     assert again["spans"] == [[0, 6]]
     assert fm_dedup.search_shard([shard_of([passage], 1, 35)], 35).num_rows == 0
-    monkeypatch.setattr(fm_dedup, "repeated_windows", lambda index, text, begins, ends, window: np.zeros(len(text), bool))
+    monkeypatch.setattr(fm_dedup, "repeated_windows", lambda index, text, begins, ends, window: np.zeros(len(text),
+        bool))
     assert fm_dedup.search_shard(parts, 35).num_rows == 0
     assert fm_dedup.search_shard([shard_of([passage], 2, 35)], 35).num_rows == 0
 
@@ -156,13 +164,15 @@ def test_tables_over_several_packets():
     first = b"\x47" + (0x4000 | media.PMT_PID).to_bytes(2, "big") + b"\x10\x00" + section[:183]
     rest = (b"\x47" + media.PMT_PID.to_bytes(2, "big") + b"\x11" + section[183:]).ljust(188, b"\xff")
     assert len(media.read(media.TABLES[:188] + first + rest)["programs"][1]) == 60
-    assert media.read(media.TABLES[:188] + first + first + rest)["programs"] in ({}, {1: {0x100 + i: 6 for i in range(60)}})
+    assert media.read(media.TABLES[:188] + first + first + rest)["programs"] in ({}, {1: {0x100 + i: 6
+        for i in range(60)}})
 
 
 def test_units_are_stored(spark):
     docs = spark.createDataFrame([(1, "x" * 100_000)], "doc_id long, text string")
     units = media.media_columns(docs).first()["units"]
-    assert [u["pts"] for u in units] == [media.TICKS * i for i in range(len(units))] and sum(u["bytes"] for u in units) == 100_032
+    assert [u["pts"] for u in units] == [media.TICKS * i for i in range(len(units))] and sum(u["bytes"]
+        for u in units) == 100_032
     assert [u["random_access"] for u in units] == [i % media.RAP_EVERY == 0 for i in range(len(units))]
 
 
@@ -171,14 +181,17 @@ def test_units_are_stored(spark):
 
 def test_empty_tables(odd):
     none = odd.limit(0)
-    assert sentence_pieces.encode(none).count() == quality_rules.score(none).count() == media.media_columns(none).count() == quality_rules.keep(none).count() == 0
+    assert sentence_pieces.encode(none).count() == quality_rules.score(none).count() == media.media_columns(
+        none).count() == quality_rules.keep(none).count() == 0
 
 
 def test_pipeline_on_odd_and_clashing_input(spark, odd):
     import corpus_pipeline as P
 
-    names = ("n_removed", "kept", "copies", "turn", "row", "th", "of", "of_th", "mix_row", "mix_level_0", "tokens", "n_chars")
-    docs = odd.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names if c != "n_chars"})
+    names = ("n_removed", "kept", "copies", "turn", "row", "th", "of", "of_th", "mix_row", "mix_level_0", "tokens",
+        "n_chars")
+    docs = odd.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+        for c in names if c != "n_chars"})
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))
     own = {r["doc_id"]: tuple(r[c] for c in names[:-1]) for r in docs.collect()}
     left = docs
