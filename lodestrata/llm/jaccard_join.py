@@ -3,11 +3,13 @@
 Rare-first prefix filtering.  Shingles are ordered from rare to frequent by how often their words would meet by chance: the sum of the
 levels (a logarithm) of their words' exact counts over all texts, then their hash: one total order.  The most frequent MOST_WORDS
 words have a level, all others the least, so that the table keeps its size and its sharpness however many texts there are.  Two sets
-that are alike enough must share a shingle among the first few of either, so texts meet only over these prefix shingles: a larger set
-probes with a longer prefix, a smaller one is found by a shorter one.  Prefix shingles are counted exactly (combined before the
-shuffle); one that a single text has meets nothing and goes.  A pair must pass the length filter, the positional filter (what can
-still be shared behind the common shingle) and the suffix filter (shingles counted in BINS ranges of their hash cannot agree more than
-bin by bin); then its whole sets are compared, once.
+that are alike enough must share a shingle among the first few of either, and several among a few more.  So each set's prefix is a
+quarter longer than one shared shingle needs; prefix shingles are counted exactly (combined before the shuffle), those that a single
+text has go, and so does a set that is left with fewer than it must share with any other.  What is left is ordered anew, by exact
+counts: as several must be shared, a set can do without its most frequent ones but for one, and texts meet over the others.  A pair must
+pass the length filter, the positional filter (what can still be shared before and behind the common shingle) and the suffix filter
+(shingles counted in BINS ranges of their hash cannot agree more than bin by bin, and where the parities of 64 * PARITIES ranges differ, the sets do); then its
+whole sets are compared, once.
 
 Equal sets are one class from the start.  Pairs are not spelt out within a group that hangs together: in a few rounds every member
 of a prefix shingle's group is compared with one pivot (first the member that shares most, then others), and the links found are joined
@@ -28,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _mix as mixed
@@ -36,7 +38,9 @@ from .common import chunks, materialize, release, utf8, word_hashes
 from .graph import components
 
 #: Words that have a level; ranges (as bits) of the table of levels; steps of a level for a doubling; bins of a set; bits of the candidates' filter.
-MOST_WORDS, LEVEL_BITS, STEPS, BINS, MOST_FILTER_BITS = 1 << 20, 24, 4, 16, 26
+MOST_WORDS, LEVEL_BITS, STEPS, BINS, MOST_FILTER_BITS = 1 << 20, 24, 4, 64, 26
+#: Longs that hold the parities of a set's counts in as many times 64 ranges of the hash.
+PARITIES = 8
 #: Different words that a task adds up before it hands them on.
 HELD_WORDS = 400_000
 #: Rounds in which members are compared with one pivot a group, before the pairs that are left.
@@ -130,6 +134,13 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def must_share(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of its prefix a set of n has in common with the prefix of any other that is alike enough and no smaller.  The prefix has as many more
+    shingles than another may lack; the number never falls as n grows, so for any partner that of the smallest possible one holds."""
+    shared = -(-percent * n // 100)
+    return np.maximum(np.minimum(shared, (n - shared + 3) // 4 + 1), 1)
+
+
 def least_overlap(na, nb, percent: int):
     """Shared shingles that sets of na and nb need: the smallest x with 100 x >= percent * (na + nb - x)."""
     return -((-percent * (na + nb)) // (100 + percent))
@@ -141,7 +152,7 @@ def _text_hash(docs: DataFrame):
 
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per text: row (a number), doc_id, th (a hash of the text), n (set size), key (of equal sets), prefix (its rarest shingles, in order of rarity; empty
-    where an earlier text of the same task has the same set), bins.  Kept in a table."""
+    where an earlier text of the same task has the same set), bins, parity.  Kept in a table."""
     levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))  # a byte for each range
 
     def run(batches):
@@ -159,6 +170,9 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
         h, n = s.h[places], np.diff(starts)
         doc = np.repeat(np.arange(len(n)), n)
         bins = np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=len(n) * BINS).astype(np.int32)
+        parity = np.zeros((len(n), PARITIES), np.uint64)
+        at = (h >> np.uint64(8)) % np.uint64(64 * PARITIES)
+        np.bitwise_xor.at(parity, (doc, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
         data = memoryview(h.tobytes())
         keys = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         first = np.zeros(len(n), bool)
@@ -169,7 +183,7 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
         token = token[places]
         order = np.argsort(token)
         order = order[np.argsort(doc[order].astype(np.uint16 if len(n) < 65536 else np.int64), kind="stable")]
-        size = np.where(first, n - -(-percent * n // 100) + (n > 0), 0)
+        size = np.where(first & (n > 0), np.minimum(n, n - -(-percent * n // 100) + must_share(n, percent)), 0)
         ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
         prefix = token[order][np.repeat(starts[:-1], size) + place].view(np.int64)
@@ -181,25 +195,37 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 pa.array(keys, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BINS, pa.int32()), pa.array(bins)),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITIES, pa.int32()), pa.array(parity.ravel().view(np.int64))),
             ],
-            names=["doc_id", "th", "n", "key", "prefix", "bins"],
+            names=["doc_id", "th", "n", "key", "prefix", "bins", "parity"],
         )
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), _text_hash(docs).alias("th"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(run, f"doc_id {id_type}, th long, n long, key binary, prefix array<long>, bins array<int>")
+    out = docs.mapInArrow(run, f"doc_id {id_type}, th long, n long, key binary, prefix array<long>, bins array<int>, parity array<long>")
     return materialize(out.select(F.monotonically_increasing_id().alias("row"), "*"), "profiles")
 
 
 def _oriented(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of rows (x, nx, ix) and (y, ny, iy) at a common prefix shingle, those pairs that the length and positional filters and the prefix of the smaller one leave."""
+    """Of rows (x, nx, ix) and (y, ny, iy) at a common shingle, those pairs that the length and positional filters leave."""
     larger = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))
-    big, small = F.when(larger, F.col("nx")).otherwise(F.col("ny")), F.when(larger, F.col("ny")).otherwise(F.col("nx"))
-    at = F.when(larger, F.col("iy")).otherwise(F.col("ix"))  # of the smaller one
     need = F.ceil(F.expr(f"{percent} * (nx + ny) / {100 + percent}"))
-    indexed = small - F.expr(f"cast(ceil({2 * percent} * least(nx, ny) / {100 + percent}) as bigint)") + 1
     can = F.expr("least(ix, iy) + 1 + least(nx - 1 - ix, ny - 1 - iy)")
-    return pairs.where((100 * small >= percent * big) & (at < indexed) & (can >= need)).select(F.when(larger, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(larger, F.col("y")).otherwise(F.col("x")).alias("b"), "nx", "ny")
+    alike = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & (can >= need)
+    return pairs.where(alike).select(F.when(larger, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(larger, F.col("y")).otherwise(F.col("x")).alias("b"), "nx", "ny")
+
+
+def _with_parity(rows: DataFrame, classes: DataFrame, of: str) -> DataFrame:
+    """rows with the parities of the class in column `of`, a column each, named after it."""
+    longs = [F.col("parity")[i].alias(f"{of}{i}") for i in range(PARITIES)]
+    return rows.join(classes.select(F.col("id").alias(of), *longs), of)
+
+
+def _few_apart(a: str, b: str, percent: int):
+    """Whether the parities of both leave room for what two sets of na and nb may lack of each other: each that differs is a shingle that one of them lacks."""
+    apart = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(PARITIES)), F.lit(0))
+    both = F.expr(f"(n{a} + n{b})")
+    return apart <= both - 2 * F.ceil(percent * both / (100 + percent))
 
 
 def _near(df: DataFrame, column: str, keys: DataFrame, count: int) -> DataFrame:
@@ -253,7 +279,7 @@ class _Verifier:
         if self.sets is None or count:
             new = materialize(_members(self.docs, wanted, count, self.k), "sets")
             self.sets = new if self.sets is None else self.sets.unionByName(new)
-        return _verified(pairs, self.sets, self.percent)
+        return _verified(pairs, _near(self.sets, "id", ids, 2 * pairs.count()), self.percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,10 +291,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The suffix filter: what the bins of both can share at most must be enough."""
-    left, right = classes.select(F.col("id").alias("a"), F.col("bins").alias("ba"), F.col("n").alias("na")), classes.select(F.col("id").alias("b"), F.col("bins").alias("bb"), F.col("n").alias("nb"))
-    most = F.expr("aggregate(zip_with(ba, bb, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(most * 100 >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
+    """The suffix filter: what the bins of both can share at most must be enough, and their parities must not be too far apart."""
+    of = lambda c: classes.select(F.col("id").alias(c), F.col("bins").alias(f"bins_{c}"), F.col("n").alias(f"n{c}"), *[F.col("parity")[i].alias(f"{c}{i}") for i in range(PARITIES)])
+    most = F.expr("aggregate(zip_with(bins_a, bins_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)")
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(_few_apart("a", "b", percent))
+    return both.where(most * 100 >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
+
+
+def _met(texts: DataFrame, of_key: DataFrame, percent: int) -> DataFrame:
+    """The shingles (id, n, i, token) over which classes meet; i is the shingle's place in its set."""
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("token").agg(F.count("*").alias("c")).where("c >= 2")
+
+    smallest, own = (f"(({percent} * {x} + 99) div 100)" for x in ("n", "m"))  # of a set that is alike enough to one of n; then of m shingles
+    prefixes = texts.select(F.col("row").alias("id"), F.posexplode("prefix").alias("i", "token"))
+    rows = materialize(prefixes.join(shared(prefixes).select("token"), "token"), "met-prefixes")
+    rows = rows.join(of_key.select("id", "n"), "id").withColumn("m", F.expr(smallest))
+    rows = rows.withColumn("must", F.expr(f"greatest(least({own}, (m - {own} + 3) div 4 + 1), 1)")).drop("m")  # must_share(m)
+    rows = materialize(rows, "class-prefixes")
+    rows = rows.join(shared(rows).select("token"), "token")
+    enough = rows.groupBy("id").agg(F.count("*").alias("own"), F.first("must").alias("must")).where("own >= must").select("id")
+    rows = materialize(rows.join(enough, "id"), "rich-prefixes")
+    common = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "token"))  # of a set's shingles: a part of its own number at most
+    rows = rows.join(shared(rows), "token").withColumn("common", common).where("common >= must")
+    return rows.select("id", F.col("n").cast("long").alias("n"), "i", "token")
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -279,14 +326,10 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """grouped, and the row, th (a hash of the text) and component (null without shingles) of each text."""
     texts = profiles(docs, k, percent)
-    of_key = materialize(texts.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("least")), "classes")
-    prefixes = texts.select(F.col("row").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token"))
-    short = F.expr(f"i < n - cast(ceil({2 * percent}L * n / {100 + percent}) as int) + 1")
-    met = prefixes.groupBy("token").agg(F.count("*").alias("c"), F.bool_or(short).alias("s")).where("c >= 2 and s").select("token")
-    rows = materialize(prefixes.join(met, "token").join(of_key.select("id"), "id", "left_semi"), "met-prefixes")
-    met = rows.groupBy("token").agg(F.count("*").alias("c"), F.bool_or(short).alias("s")).where("c >= 2 and s").select("token")
-    rows = materialize(rows.join(met, "token").select("id", F.col("n").cast("long").alias("n"), "i", "token"), "prefixes")
-    classes = texts.select(F.col("row").alias("id"), "doc_id", "key", "n", "bins").join(rows.select("id").distinct(), "id", "left_semi")
+    of_key = texts.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    of_key = materialize(of_key, "classes")
+    rows = materialize(_met(texts, of_key, percent), "prefixes")
+    classes = texts.select(F.col("row").alias("id"), "doc_id", "key", "n", "bins", "parity").join(rows.select("id").distinct(), "id", "left_semi")
     classes = materialize(classes, "candidates")
     verify = _Verifier(docs, classes, k, percent)
 
@@ -297,7 +340,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = tried = None
     for turn in range(PIVOT_ROUNDS):
         prefer = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "cx")
-        heads = placed.where(f"ix < nx - cast(ceil({2 * percent} * nx / {100 + percent}) as bigint) + 1").groupBy("token").agg(F.max(F.struct(prefer.alias("prefer"), (-F.col("x")).alias("minus"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy"))).alias("p"))
+        heads = placed.groupBy("token").agg(F.max(F.struct(prefer.alias("prefer"), (-F.col("x")).alias("minus"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy"))).alias("p"))
         pivots = heads.select("token", (-F.col("p.minus")).alias("y"), "p.ny", "p.iy", "p.cy")
         star = _oriented(placed.join(pivots, "token").where("cx <> cy"), percent).select("a", "b").distinct()
         star = materialize(_alike(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), classes, percent), "pivot-pairs")
@@ -315,11 +358,11 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     # then every pair from two components: a smaller set meets larger ones of its own band of sizes and of the next, as others are too large
     y = placed.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy"))
-    y = y.where(F.expr(f"iy < ny - cast(ceil({2 * percent} * ny / {100 + percent}) as bigint) + 1"))
     band = lambda n: F.floor(F.log(F.col(n).cast("double")) / np.log(100 / min(percent, 99)) * (1 - 1e-9)).cast("int")
     y = y.withColumn("band", F.explode(F.array(band("ny"), band("ny") + 1)))
-    both = placed.withColumn("band", band("nx")).join(y, ["token", "band"])
-    cross = _oriented(both.where("cx <> cy and (nx > ny or (nx = ny and x > y))"), percent).select("a", "b").distinct()
+    both = _with_parity(placed, classes, "x").withColumn("band", band("nx")).join(_with_parity(y, classes, "y"), ["token", "band"])
+    both = both.where("cx <> cy and (nx > ny or (nx = ny and x > y))").where(_few_apart("x", "y", percent))
+    cross = _oriented(both, percent).select("a", "b").distinct()
     cross = materialize(_alike(cross if tried is None else cross.join(tried, ["a", "b"], "left_anti"), classes, percent), "other-pairs")
     new = verify(cross)
     parts = components(new if links is None else links.unionByName(new))
