@@ -274,7 +274,8 @@ def _(spark, d):
 @query(
     "j21_evidence",
     B.with_views(
-        ", r AS (SELECT *, cast(substr(symbol, 5) AS bigint) AS k FROM b_relations), e AS (SELECT id AS evidence_id, "
+        ", r AS (SELECT *, cast(substr(symbol, 5) AS bigint) AS k FROM b_relations QUALIFY count(*) OVER (PARTITION BY "
+            "id) = 1), e AS (SELECT id AS evidence_id, "
             "CASE WHEN k % 2 = 0 THEN id END AS relation_id, source_file AS file, symbol,"
         " CASE WHEN k % 5 = 0 THEN 'other' ELSE detail END AS detail FROM r), f AS (SELECT e.evidence_id, "
             "arg_min(r.confidence, r.id) AS confidence FROM e JOIN r ON"
@@ -285,7 +286,9 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    r, k = B.relations(spark, d), F.substr("symbol", F.lit(5)).cast("long")
+    r = B.relations(spark, d)
+    once = r.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
+    r, k = r.join(once, "id"), F.substr("symbol", F.lit(5)).cast("long")
     detail = F.when(k % 5 == 0, F.lit("other")).otherwise(F.col("detail")).alias("detail")
     e = r.select(F.col("id").alias("evidence_id"), F.when(k % 2 == 0, F.col("id")).alias("relation_id"), F.col(
         "source_file").alias("file"), "symbol", detail)
