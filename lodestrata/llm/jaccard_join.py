@@ -102,14 +102,17 @@ def word_levels(docs: DataFrame) -> np.ndarray:
         held = None
 
         def flush(words, counts):
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], names=[
+                "word", "n"])
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                words, counts = np.unique(word_hashes([t.lower() for t in utf8(part.column("text"))])[0], return_counts=True)
+                words, counts = np.unique(word_hashes([t.lower() for t in utf8(part.column("text"))])[0],
+                    return_counts=True)
                 if held is not None:
                     both, which = np.unique(np.concatenate([held[0], words]), return_inverse=True)
-                    words, counts = both, np.bincount(which, weights=np.concatenate([held[1], counts]), minlength=len(both)).astype(np.int64)
+                    words, counts = both, np.bincount(which, weights=np.concatenate([held[1], counts]),
+                        minlength=len(both)).astype(np.int64)
                 held = words, counts
                 if len(words) > HELD_WORDS:
                     yield flush(*held)
@@ -122,7 +125,8 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word long, n long")
     counted = materialize(counted.groupBy("word").agg(level.alias("level")), "word-levels")
     room, least = MOST_WORDS, 256
-    for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # some hundred levels at most
+    for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r[
+        "level"]):  # some hundred levels at most
         room -= r["count"]
         if room < 0:
             break
@@ -169,12 +173,14 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
         places, starts = s.distinct()
         h, n = s.h[places], np.diff(starts)
         doc = np.repeat(np.arange(len(n)), n)
-        bins = np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=len(n) * BINS).astype(np.int32)
+        bins = np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64),
+            minlength=len(n) * BINS).astype(np.int32)
         parity = np.zeros((len(n), PARITIES), np.uint64)
         at = (h >> np.uint64(8)) % np.uint64(64 * PARITIES)
         np.bitwise_xor.at(parity, (doc, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
         data = memoryview(h.tobytes())
-        keys = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        keys = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(),
+            strict=True)]
         first = np.zeros(len(n), bool)
         for i, key in enumerate(keys):
             if key not in seen:
@@ -195,14 +201,16 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 pa.array(keys, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BINS, pa.int32()), pa.array(bins)),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITIES, pa.int32()), pa.array(parity.ravel().view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITIES, pa.int32()), pa.array(parity.ravel()
+                    .view(np.int64))),
             ],
             names=["doc_id", "th", "n", "key", "prefix", "bins", "parity"],
         )
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), _text_hash(docs).alias("th"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(run, f"doc_id {id_type}, th long, n long, key binary, prefix array<long>, bins array<int>, parity array<long>")
+    out = docs.mapInArrow(run,
+        f"doc_id {id_type}, th long, n long, key binary, prefix array<long>, bins array<int>, parity array<long>")
     return materialize(out.select(F.monotonically_increasing_id().alias("row"), "*"), "profiles")
 
 
@@ -212,7 +220,8 @@ def _oriented(pairs: DataFrame, percent: int) -> DataFrame:
     need = F.ceil(F.expr(f"{percent} * (nx + ny) / {100 + percent}"))
     can = F.expr("least(ix, iy) + 1 + least(nx - 1 - ix, ny - 1 - iy)")
     alike = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & (can >= need)
-    return pairs.where(alike).select(F.when(larger, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(larger, F.col("y")).otherwise(F.col("x")).alias("b"), "nx", "ny")
+    return pairs.where(alike).select(F.when(larger, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(larger, F.col(
+        "y")).otherwise(F.col("x")).alias("b"), "nx", "ny")
 
 
 def _with_parity(rows: DataFrame, classes: DataFrame, of: str) -> DataFrame:
@@ -253,12 +262,14 @@ def _members(docs: DataFrame, wanted: DataFrame, count: int, k: int) -> DataFram
                 h, starts = shingle_sets(utf8(part.column("text")), k)
                 data = memoryview(h.tobytes())
                 right, ids = [], part.column("id").to_pylist()
-                for i, a, b, key in zip(ids, starts[:-1].tolist(), starts[1:].tolist(), part.column("key").to_pylist(), strict=True):
+                for i, a, b, key in zip(ids, starts[:-1].tolist(), starts[1:].tolist(), part.column("key").to_pylist(),
+                    strict=True):
                     right.append(i not in seen and xxhash.xxh3_128_digest(data[8 * a : 8 * b]) == key)
                     if right[-1]:
                         seen.add(i)
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "shingles"]).filter(pa.array(right, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id",
+                    "shingles"]).filter(pa.array(right, pa.bool_()))
 
     return joined.mapInArrow(run, "id long, shingles array<long>")
 
@@ -284,15 +295,19 @@ class _Verifier:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike enough."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias(
+        "b"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.select("a", "b", shared.alias("i"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb")).where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct()
+    return both.select("a", "b", shared.alias("i"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long")
+        .alias("nb")).where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a",
+        "b").distinct()
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The suffix filter: what the bins of both can share at most must be enough, and their parities must not be too far apart."""
-    of = lambda c: classes.select(F.col("id").alias(c), F.col("bins").alias(f"bins_{c}"), F.col("n").alias(f"n{c}"), *[F.col("parity")[i].alias(f"{c}{i}") for i in range(PARITIES)])
+    of = lambda c: classes.select(F.col("id").alias(c), F.col("bins").alias(f"bins_{c}"), F.col("n").alias(f"n{c}"),
+        *[F.col("parity")[i].alias(f"{c}{i}") for i in range(PARITIES)])
     most = F.expr("aggregate(zip_with(bins_a, bins_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)")
     both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(_few_apart("a", "b", percent))
     return both.where(most * 100 >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
@@ -304,16 +319,20 @@ def _met(texts: DataFrame, of_key: DataFrame, percent: int) -> DataFrame:
     def shared(rows: DataFrame) -> DataFrame:
         return rows.groupBy("token").agg(F.count("*").alias("c")).where("c >= 2")
 
-    smallest, own = (f"(({percent} * {x} + 99) div 100)" for x in ("n", "m"))  # of a set that is alike enough to one of n; then of m shingles
+    smallest, own = (f"(({percent} * {x} + 99) div 100)" for x in ("n",
+        "m"))  # of a set that is alike enough to one of n; then of m shingles
     prefixes = texts.select(F.col("row").alias("id"), F.posexplode("prefix").alias("i", "token"))
     rows = materialize(prefixes.join(shared(prefixes).select("token"), "token"), "met-prefixes")
     rows = rows.join(of_key.select("id", "n"), "id").withColumn("m", F.expr(smallest))
-    rows = rows.withColumn("must", F.expr(f"greatest(least({own}, (m - {own} + 3) div 4 + 1), 1)")).drop("m")  # must_share(m)
+    rows = rows.withColumn("must", F.expr(f"greatest(least({own}, (m - {own} + 3) div 4 + 1), 1)")).drop(
+        "m")  # must_share(m)
     rows = materialize(rows, "class-prefixes")
     rows = rows.join(shared(rows).select("token"), "token")
-    enough = rows.groupBy("id").agg(F.count("*").alias("own"), F.first("must").alias("must")).where("own >= must").select("id")
+    enough = rows.groupBy("id").agg(F.count("*").alias("own"), F.first("must").alias("must")).where(
+        "own >= must").select("id")
     rows = materialize(rows.join(enough, "id"), "rich-prefixes")
-    common = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "token"))  # of a set's shingles: a part of its own number at most
+    common = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"),
+        "token"))  # of a set's shingles: a part of its own number at most
     rows = rows.join(shared(rows), "token").withColumn("common", common).where("common >= must")
     return rows.select("id", F.col("n").cast("long").alias("n"), "i", "token")
 
@@ -326,10 +345,12 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """grouped, and the row, th (a hash of the text) and component (null without shingles) of each text."""
     texts = profiles(docs, k, percent)
-    of_key = texts.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    of_key = texts.where("n > 0").groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.first(
+        "n").alias("n"))
     of_key = materialize(of_key, "classes")
     rows = materialize(_met(texts, of_key, percent), "prefixes")
-    classes = texts.select(F.col("row").alias("id"), "doc_id", "key", "n", "bins", "parity").join(rows.select("id").distinct(), "id", "left_semi")
+    classes = texts.select(F.col("row").alias("id"), "doc_id", "key", "n", "bins", "parity").join(rows.select("id")
+        .distinct(), "id", "left_semi")
     classes = materialize(classes, "candidates")
     verify = _Verifier(docs, classes, k, percent)
 
@@ -340,10 +361,12 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = tried = None
     for turn in range(PIVOT_ROUNDS):
         prefer = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "cx")
-        heads = placed.groupBy("token").agg(F.max(F.struct(prefer.alias("prefer"), (-F.col("x")).alias("minus"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy"))).alias("p"))
+        heads = placed.groupBy("token").agg(F.max(F.struct(prefer.alias("prefer"), (-F.col("x")).alias("minus"), F.col(
+            "nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy"))).alias("p"))
         pivots = heads.select("token", (-F.col("p.minus")).alias("y"), "p.ny", "p.iy", "p.cy")
         star = _oriented(placed.join(pivots, "token").where("cx <> cy"), percent).select("a", "b").distinct()
-        star = materialize(_alike(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), classes, percent), "pivot-pairs")
+        star = materialize(_alike(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), classes,
+            percent), "pivot-pairs")
         if star.isEmpty():
             break
         tried = star if tried is None else tried.unionByName(star)
@@ -352,18 +375,24 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
             break
         links = new if links is None else links.unionByName(new)
         parts = components(links)
-        placed = placed.drop("cx").join(parts.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("cx", F.coalesce("component", "x")).drop("component")
-        several = placed.groupBy("token").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo <> hi").select("token")
+        placed = placed.drop("cx").join(parts.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("cx",
+            F.coalesce("component", "x")).drop("component")
+        several = placed.groupBy("token").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).where(
+            "lo <> hi").select("token")
         placed = materialize(placed.join(several, "token"), "open-prefixes")
 
     # then every pair from two components: a smaller set meets larger ones of its own band of sizes and of the next, as others are too large
-    y = placed.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx").alias("cy"))
-    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / np.log(100 / min(percent, 99)) * (1 - 1e-9)).cast("int")
+    y = placed.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ix").alias("iy"), F.col("cx")
+        .alias("cy"))
+    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / np.log(100 / min(percent, 99)) * (1 - 1e-9)).cast(
+        "int")
     y = y.withColumn("band", F.explode(F.array(band("ny"), band("ny") + 1)))
-    both = _with_parity(placed, classes, "x").withColumn("band", band("nx")).join(_with_parity(y, classes, "y"), ["token", "band"])
+    both = _with_parity(placed, classes, "x").withColumn("band", band("nx")).join(_with_parity(y, classes, "y"), [
+        "token", "band"])
     both = both.where("cx <> cy and (nx > ny or (nx = ny and x > y))").where(_few_apart("x", "y", percent))
     cross = _oriented(both, percent).select("a", "b").distinct()
-    cross = materialize(_alike(cross if tried is None else cross.join(tried, ["a", "b"], "left_anti"), classes, percent), "other-pairs")
+    cross = materialize(_alike(cross if tried is None else cross.join(tried, ["a", "b"], "left_anti"), classes,
+        percent), "other-pairs")
     new = verify(cross)
     parts = components(new if links is None else links.unionByName(new))
 
@@ -371,7 +400,8 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(names, "component").select("key", "component", "component_id")
     named = texts.join(named, "key", "left")
-    return named.select("row", "th", "component", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.select("row", "th", "component", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0,
+        F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -379,12 +409,15 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows are told apart by doc_id and text; of rows that agree in both the one with the smallest other columns (as JSON) stays."""
     texts = _grouped(docs, k, percent).where("n_shingles > 0").select("component", "doc_id", "th", "row")
-    first = texts.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).where("n > 1")
-    same = texts.join(first, "component").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.bool_or(F.col("row") == F.col("first.row")).alias("_stays"), F.count("*").alias("_n"))
+    first = texts.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias(
+        "none"), "doc_id", "row")).alias("first")).where("n > 1")
+    same = texts.join(first, "component").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias(
+        "_th")).agg(F.bool_or(F.col("row") == F.col("first.row")).alias("_stays"), F.count("*").alias("_n"))
     looked_at = materialize(same.where("not _stays or _n > 1"), "near-copies")
     at = docs["doc_id"].eqNullSafe(looked_at["_id"]) & (_text_hash(docs) == looked_at["_th"])
     rest = docs.join(looked_at, at, "left_anti")
     repeated = docs.join(looked_at.where("_stays"), at, "left_semi")
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    one = repeated.groupBy(F.col("doc_id").alias("_id"), _text_hash(repeated).alias("_th")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    one = repeated.groupBy(F.col("doc_id").alias("_id"), _text_hash(repeated).alias("_th")).agg(F.min_by(whole,
+        F.to_json(whole)).alias("_row"))
     return rest.unionByName(one.select("_row.*"))
