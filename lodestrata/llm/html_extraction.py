@@ -1,15 +1,20 @@
 """Main-text extraction from HTML by tree scoring.
 
 A tolerant reader turns a page into a tree of elements (void elements, optional end tags, raw-text elements, stray end tags).
-Elements that are navigation, notices, adverts, forms, comments and the like, by their tag, role, class or id, are left out.
+Elements that are navigation, scripts, forms and the like by their tag, or hidden, are left out.
 Every paragraph then gives points for its length and its commas to its parent and, halved from one to the next, to all higher
 ancestors; an element's points are discounted by the share of its text that stands in links.  The element with the most points
 is the container, or the article or main element that it is a part of; its siblings that score like it, or are paragraphs of running
 text, are kept with it.  What stands there is written out block by block.
 
-Names decide before points: an element whose class, id or role names an unwanted part (sidebar-content, comment-body, footer-text) goes,
-unless an article or main element stands in it; names like with-sidebar say what is beside and decide nothing.  A header goes outside of
-articles and stays, with their headline, inside.  Reading takes time in proportion to the page, whatever it holds.
+Names are weighed against text.  A class, id or role that names an unwanted part (sidebar-content, footer-text) takes nine tenths of an
+element's points, and what of it does not hold the container is left out.  The name of an element says nothing where the element holds most of
+the page's text outside of links (class="legal-opinion" around the article), where another of its names is one of wanted parts alone
+("content sidebar-right"), or where it says what stands beside ("with-sidebar").  On a page whose article or main element has a tenth of the text
+or more, names decide for what is in it and beside it.  Readers' comments may hold most of a page: they go
+all the same, with the article elements in them, unless the page has hardly any other text.  A form or header that holds most of the text is the
+page's frame.  A header goes outside of articles and stays, with their headline, inside.  Reading takes time in proportion to the page, whatever it
+holds.
 
 Defined cases: a null or empty page gives an empty text; a page without any paragraph gives the text of its body; equal pages get
 equal texts; an empty table gives an empty result; further columns are not looked at.  A page's memory is a
@@ -48,7 +53,15 @@ SCOPE = {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td
 #: Parts of class, id and role names of what is not main text.
 UNWANTED = re.compile(
     r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menus|breadcrumb\w*|sidebar|side|rail|aside|widget\w*|footer|foot|topbar|comment|comments|commentlist|disqus|respond|replies|reply|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|toolbar|pagination|pager|search|hidden|skip|legal|copyright|disclaimer|tags?|toc|contentinfo|complementary|alert)(?=$|[-_\s])", re.I)
+#: Of these, those of readers' comments.
+REMARK = re.compile(r"(?:^|[-_\s])(?:comment|comments|commentlist|disqus|respond|replies|reply|discussion)(?=$|[-_\s])", re.I)
 WANTED = re.compile(r"(?:^|[-_\s])(?:article|body|content|entry|main|post|story|text|hentry)(?=$|[-_\s])", re.I)
+#: A name of wanted parts alone.
+ONLY_WANTED = re.compile(r"(?:^|\s)(?:article|body|content|entry|main|post|story|text|hentry)(?:[-_](?:article|body|content|entry|main|post|story|text|hentry|area|wrapper|inner|page|single))*(?=$|\s)", re.I)
+#: Tags that are left out unless they are the frame of a page.
+FRAME = frozenset("form header fieldset".split())
+#: What is left of the points of an element with an unwanted name.
+DOUBT = 0.1
 #: Names that say what an element has beside its content, not what it is.
 ABOUT = re.compile(r"(?:^|\s)(?:has|with|without|no|is|show|hide)[-_]\S*", re.I)
 HEADER = re.compile(r"(?:^|[-_\s])(?:header|masthead)(?=$|[-_\s])", re.I)
@@ -63,31 +76,32 @@ INSIDE = re.compile(r"""[^>=]*(?:(>)|=\s*(["']?)|\Z)""")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "skip", "named", "inside", "names", "points", "rank")
+    __slots__ = ("tag", "parent", "children", "skip", "named", "remark", "frame", "inside", "names", "points", "rank")
 
     def __init__(self, tag: str, parent: Element | None, skip: bool = False, named: bool = False, names: str = ""):
         self.tag, self.parent, self.names = tag, parent, names
-        #: Left out; left out for its names only, which an article or main element within it overrules.
-        self.skip, self.named = skip, named
-        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        #: Left out; named like an unwanted part, or like readers' comments; left out unless it is the page's frame.
+        self.skip, self.named, self.remark, self.frame = skip, named, named and bool(REMARK.search(names)), False
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main") and not parent.named)
         self.children: list[Element | str] = []
-        self.points = 0.0
+        self.points = self.rank = 0.0
 
 
 def unwanted(tag: str, attributes: str, within_article: bool) -> tuple[bool, bool, str]:
-    """Whether an element is left out, whether that is for its names alone, and its class, id and role."""
-    if tag in DROPPED:
+    """Whether an element is left out, whether its names are those of an unwanted part, and its class, id and role."""
+    if tag in DROPPED and tag not in FRAME:
         return True, False, ""
-    header = tag == "header" and not within_article
+    out = tag in FRAME and not (tag == "header" and within_article)
     if not attributes or tag in ("html", "body"):
-        return header, False, ""
+        return out, False, ""
     names = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes))
     if HIDDEN.search(attributes):
         return True, False, names
-    what = ABOUT.sub(" ", names) if names and tag not in ("article", "main") else ""
-    if what and (UNWANTED.search(what) or not within_article and HEADER.search(what)):
-        return True, True, names
-    return header, False, names
+    what = ABOUT.sub(" ", names) if names else ""
+    if what and REMARK.search(what):
+        return out, True, names
+    named = tag not in ("article", "main") and (UNWANTED.search(what) or not within_article and HEADER.search(what)) and not ONLY_WANTED.search(what)
+    return out, bool(what and named), names
 
 
 class Tags:
@@ -189,15 +203,10 @@ def parse(page: str) -> Element:
         if tag in CLOSES_P and tag not in ENDS:
             leave(first_above("p", walls[-1] if walls else 0))
         here = path[-1]
-        skip, named, names = unwanted(tag, attributes, here.inside or here.tag in ("article", "main"))
+        skip, named, names = unwanted(tag, attributes, here.inside or here.tag in ("article", "main") and not here.named)
         new = Element(tag, here, skip, named, names)
+        new.frame = skip and tag in FRAME and not HIDDEN.search(attributes)
         here.children.append(new)
-        if tag in ("article", "main"):
-            up = here
-            while up is not None and not (up.named and not up.skip):  # those above it are overruled already
-                if up.named:
-                    up.skip = False
-                up = up.parent if not up.inside else None
         if tag in VOID or CLOSED.search(attributes) and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
@@ -212,26 +221,89 @@ def parse(page: str) -> Element:
     return root
 
 
-def measure(root: Element) -> list[Element]:
-    """Gives every paragraph's points to its ancestors, half as many to the next and half of that on; returns the elements with points, best first."""
-    texts: dict[int, tuple[int, int, int]] = {}  # characters, of these in links, and commas, by element
-    order: list[Element] = []
-    stack = [root]
+def elements(root: Element, frames: bool = False) -> list[Element]:
+    """Those that are not left out, parents first; with frames: what may turn out to be a frame too."""
+    order, stack = [], [root]
     while stack:
         e = stack.pop()
-        if e.skip:
+        if e.skip and not (frames and e.frame):
             continue
         order.append(e)
         stack += [c for c in reversed(e.children) if isinstance(c, Element)]
+    return order
+
+
+def texts_of(order: list[Element]) -> dict[int, tuple[int, int, int]]:
+    """Of each element, by id: characters, of these in links, and commas.  The order has parents first."""
+    texts: dict[int, tuple[int, int, int]] = {}
     for e in reversed(order):
         chars = linked = commas = 0
         for c in e.children:
             if isinstance(c, str):
-                chars, commas = chars + len(c), commas + c.count(",")
-            elif not c.skip:
+                n = len(c) if not c.isspace() else 0
+                chars, commas = chars + n, commas + c.count(",")
+            elif id(c) in texts:
                 a, b, n = texts[id(c)]
                 chars, linked, commas = chars + a, linked + b, commas + n
         texts[id(e)] = (chars, chars if e.tag == "a" else linked, commas)
+    return texts
+
+
+def settle(root: Element) -> None:
+    """Weighs names and frames against the text that elements hold."""
+    order = elements(root, frames=True)
+    texts = texts_of(order)
+    free = {k: chars - linked for k, (chars, linked, _) in texts.items()}
+    whole = free[id(root)]
+    within: set[int] = set()  # comments and what is in them
+    remarks, main = 0, 0
+    for e in order:
+        if e.parent is not None and id(e.parent) in within:
+            within.add(id(e))
+        elif e.remark:
+            within.add(id(e))
+            remarks += free[id(e)]
+    if remarks > 50 * (whole - remarks):  # a page of comments alone
+        for e in order:
+            e.named = e.named and not e.remark
+            e.remark = False
+        within, remarks = set(), 0
+    for e in order:
+        if e.tag in ("article", "main") and id(e) not in within and not e.inside:
+            main = max(main, free[id(e)])
+    for e in order:
+        if id(e) in within:
+            e.skip = e.skip or e.remark
+            continue
+        most = 2 * free[id(e)] > whole - remarks
+        if e.frame and most:
+            e.skip = e.frame = False
+        # a part of an article, or beside one, is what its name says
+        semantic = 10 * main >= whole - remarks
+        if e.named and (most and not e.inside and not semantic or any_main(e, free, whole - remarks)):
+            e.named = False
+        e.skip = e.skip or e.named and semantic
+
+
+def any_main(e: Element, free: dict[int, int], total: int) -> bool:
+    """Whether an article or main element with most of the text stands in e."""
+    if 2 * free[id(e)] <= total:
+        return False
+    stack = [e]
+    while stack:
+        x = stack.pop()
+        for c in x.children:
+            if isinstance(c, Element) and 2 * free.get(id(c), 0) > total:
+                if c.tag in ("article", "main") and not c.named:
+                    return True
+                stack.append(c)
+    return False
+
+
+def measure(root: Element) -> list[Element]:
+    """Gives every paragraph's points to its ancestors, half as many to the next and half of that on; returns the elements with points, best first."""
+    order = elements(root)
+    texts = texts_of(order)
     given: dict[int, float] = {}  # points that an element gets, by element; its parent gets half of them
     for e in order:
         inner = any(isinstance(c, Element) and not c.skip and c.tag in BLOCK for c in e.children)
@@ -240,11 +312,12 @@ def measure(root: Element) -> list[Element]:
             chars, linked, commas = texts[id(e)]
             if chars:
                 up = e.parent if paragraph and e.parent is not None else e
-                given[id(up)] = given.get(id(up), 0.0) + (commas + chars / 100) * (1 - linked / chars)
+                doubt = DOUBT if e.named and up is not e else 1.0
+                given[id(up)] = given.get(id(up), 0.0) + doubt * (commas + chars / 100) * (1 - linked / chars)
     scored = []
     for e in reversed(order):  # children before parents
         if (n := given.get(id(e), 0.0)) > 0:
-            e.points = n
+            e.points = n = n * (DOUBT if e.named else 1.0)
             chars, linked, _ = texts[id(e)]
             e.rank = n * (1 - linked / chars) if chars else 0.0
             if e.names and WANTED.search(e.names):
@@ -298,12 +371,17 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    settle(root)
     ranked = measure(root)
-    if not ranked:
-        return written(root)
-    top = ranked[0]
+    top = ranked[0] if ranked else root
     while top.inside:  # the parts of an article belong to it, the best of them as the others
         top = top.parent
+    up = top
+    while up is not None:  # what holds the container is not unwanted
+        up.named = False
+        up = up.parent
+    for e in elements(root):
+        e.skip = e.named
     if top.parent is None:
         return written(top)
     least, ranks = 0.2 * top.points, {id(e): e.rank for e in ranked}

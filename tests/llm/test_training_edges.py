@@ -209,3 +209,64 @@ def test_pipeline_on_odd_and_clashing_input(spark, odd):
     texts = {r["doc_id"]: r["text"] for r in left.collect()}
     assert texts[6].startswith("The quick brown fox") and len(texts) > 5
     assert left.where("text is not null and n_chars <> length(text)").count() == 0
+
+
+# ---- 2 HTML: names against text
+
+
+@pytest.mark.parametrize("names", ["class='content sidebar-right'", "class='post-body share-enabled'", "class='entry-content tags-on'", "class='story legal'",
+    "class='text-toc'", "class='post notice'", "id=main class=sidebar-left", "class=header-content", "class=legal-opinion", "class=search-results-article",
+    "class='post side-by-side'", "class='page has-sidebar'", "class='content with-toc'", "class=story-tags"])
+def test_html_names_do_not_lose_the_article(names):
+    body = f"<div {names}><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div>"
+    want = f"T\n{PROSE}\n{PROSE}"
+    assert html_extraction.main_text(f"<body><nav><a href=/>Menu</a></nav>{body}<footer>Foot</footer></body>") == want
+    assert html_extraction.main_text(f"<body>{body}<div class=sidebar-content><p>{PROSE} No.</p></div><div class=comment-body><p>{PROSE} No.</p></div></body>") == want
+
+
+def test_html_comments_go_even_where_they_are_most_of_a_page():
+    comments = "<div id=comments><ol class=comment-list>" + "".join(f"<li class=comment><article class=comment-body><p>{PROSE} {i}</p></article>" for i in range(9))
+    comments += "</ol></div>"
+    for frame in ("<div class=post>{}</div>", "<article>{}</article>", "<form id=f><div class=post>{}</div><input></form>"):
+        page = "<body>" + frame.format(f"<h1>T</h1><p>{PROSE}</p>") + comments + "</body>"
+        assert html_extraction.main_text(page) == f"T\n{PROSE}"
+    assert html_extraction.main_text(f"<body>{comments}</body>").count(PROSE) == 9
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_html_points_equal_the_plain_definition(seed):
+    """Points by recursion over all pairs of paragraph and ancestor, against the one pass from the leaves."""
+    rng = random.Random(seed)
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.25:
+            text = ", ".join("word" * rng.randint(1, 9) for _ in range(rng.randint(1, 6)))
+            return f"<p>{text}<a href=/>{'link' * rng.randint(0, 5)}</a></p>"
+        return f"<div class={rng.choice(['a', 'content', 'legal'])}>" + "".join(page(depth - 1) for _ in range(rng.randint(1, 3))) + "</div>"
+
+    root = html_extraction.parse("<body>" + page(4) + page(4) + "</body>")
+    html_extraction.settle(root)
+    found = {id(e): e.points for e in html_extraction.measure(root)}
+
+    def text(e):
+        return "".join(c if isinstance(c, str) else text(c) for c in e.children)
+
+    def links(e):
+        return sum(len(text(c)) if c.tag == "a" else links(c) for c in e.children if not isinstance(c, str))
+
+    want = Counter()
+
+    def visit(e, above):
+        if e.tag == "p" and text(e):
+            own = (text(e).count(",") + len(text(e)) / 100) * (1 - links(e) / len(text(e)))
+            for a in reversed(above):
+                own *= 0.1 if a.named else 1
+                want[id(a)] += own
+                own /= 2
+        for c in e.children:
+            if not isinstance(c, str):
+                visit(c, [*above, e])
+
+    visit(root, [])
+    assert found.keys() == {k for k, v in want.items() if v > 0}
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in found)
