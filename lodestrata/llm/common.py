@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The name under which columns that an operator does not look at travel through it, as one struct.
+CARRIED = "carried_columns"
+
+
+def quoted(column: str) -> Column:
+    """The column of this name, whatever the name."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+#: The columns of documents that operators look at.
+OWN = ("doc_id", "text", "lang", "source")
+
+
+def packed(docs: DataFrame, own: tuple[str, ...] = OWN) -> DataFrame:
+    """docs with its columns named in own as they are and all others as one struct."""
+    others = [quoted(c) for c in docs.columns if c not in own]
+    return docs.select(*[c for c in docs.columns if c in own], *([F.struct(*others).alias(CARRIED)] if others else []))
+
+
+def unpacked(df: DataFrame, columns: list[str], own: tuple[str, ...] = OWN) -> DataFrame:
+    """These columns of df, whose others than own packed() has put away."""
+    return df.select(*[(F.col(c) if c in own else F.col(CARRIED).getField(c)).alias(c) for c in columns])
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2.  A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

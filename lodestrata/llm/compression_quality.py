@@ -6,9 +6,9 @@ fitted to labelled texts that the dictionaries have not seen turns it, with the
 neither dictionary knows), into the probability of label 1.  Nothing but these two sizes goes into a score.
 
 Pieces of PIECE bytes keep the dictionary in play along the whole of a long text, which would otherwise soon be
-compressed by its own past.  The model is fitted on a bounded sample: at most `rows` labelled texts a class, those of
-lowest hash, one text an id and its first `train_chars` characters, of which at most `train_bytes` bytes go into a dictionary and as many into
-the calibration.  Scores are of whole texts.
+compressed by its own past.  The model is fitted on a bounded sample: at most `rows` labelled texts a class, those of lowest hash among the ones of
+`longest` bytes or less (where a class has none: its shortest ones), one text an id; half of them go into the dictionary and half into the calibration.  No
+text is cut.
 
 Defined cases: a null or empty text has difference 0 and gets the curve's value there; without labels of both classes
 every score is the share of label 1 (0.5 without labels); equal texts get equal scores; an empty table gives an
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import held_out, mapped, utf8
 
 PIECE, LEVEL, DICTIONARY = 2048, 3, 1 << 16
+#: Labelled texts a class to learn from, bytes of the longest of these, and how many longer ones where a class has no others.
+ROWS, LONGEST, FEW = 1000, 1 << 14, 4
 #: Scores from here on predict label 1.
 GOOD = 0.7
 
@@ -83,9 +85,8 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -
     return (beta / scale).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 1000, train_bytes: int = 2 << 20,
-    train_chars: int = 1 << 15) -> dict:
-    """The model: two dictionaries and the curve's weights.  At most 2 * rows texts of train_chars characters come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> dict:
+    """The model: two dictionaries and the curve's weights.  At most 2 * rows texts of longest bytes come to the driver."""
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1)
         & F.col("doc_id").isNotNull() & ~held_out())
     share = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -99,25 +100,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 1000, train_bytes: int =
         top = labels.where(F.col("quality") == q).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"),
             "doc_id").limit(rows)
         picked = top if picked is None else picked.unionByName(top)
-    texts = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, train_chars).alias(
-        "text")).where(F.length("text") > 0)
-    found = texts.join(F.broadcast(picked), "doc_id").groupBy("quality", "doc_id").agg(F.min("text").alias("text"))
-    found = found.select("quality", F.xxhash64(F.lit(1), "doc_id").alias("h"), "text").collect()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0)
+    labelled = texts.join(F.broadcast(picked), "doc_id")
+    one = lambda rows: rows.groupBy("quality", "doc_id").agg(F.min("text").alias("text"))
+    order = F.xxhash64(F.lit(1), "doc_id").alias("h")
+    found = one(labelled.where(F.octet_length("text") <= longest)).select("quality", order, "text").collect()
+    for q in {0, 1} - {r["quality"] for r in found}:
+        found += one(labelled.where(F.col("quality") == q)).orderBy(F.octet_length("text"), "doc_id").limit(FEW).select("quality", order, "text").collect()
     seen: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(found, key=lambda r: (r["h"], r["text"])):
         seen[r["quality"]].append(r["text"].encode())
-
-    def bounded(texts: list[bytes]) -> list[bytes]:
-        out, left = [], train_bytes
-        for t in texts:
-            if left <= 0:
-                break
-            out.append(t[:left])
-            left -= len(t)
-        return out
-
-    held = {q: bounded(t[1::2]) for q, t in seen.items()}
-    model |= {name: dictionary(bounded(seen[q][0::2])) for name, q in (("bad", 0), ("good", 1))}
+    held = {q: t[1::2] for q, t in seen.items()}
+    model |= {name: dictionary(seen[q][0::2]) for name, q in (("bad", 0), ("good", 1))}
     if not held[0] or not held[1]:
         return model
     x = np.array([measures(t, model["good"], model["bad"]) for q in (0, 1) for t in held[q]])

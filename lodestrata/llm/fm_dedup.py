@@ -3,15 +3,14 @@
 A shard's index is an FM-index over words: the Burrows-Wheeler transform of its passages, in a wavelet tree shaped by
 a Shannon code (so that it takes about the entropy of the words), with bit ranks from packed words and counts.  Passages of documents stream
 through it backward: the interval of the words read so far shrinks as another word is put in front; as long as it holds two positions, what
-has been read occurs twice.  These matching statistics, cut at the threshold, give the intervals in which every window is repeated, and nothing
-else decides what is removed.
+has been read occurs twice.  These matching statistics, cut at the threshold, give the intervals in which every window is repeated.
 
 What meets in a shard.  All windows with the same words must, and no document can visit every shard of a large corpus.  So a window is
 dealt by its minimizer, the smallest hash of its GRAM-word runs, a value of its words alone; neighbouring windows with the same
 minimizer travel as one segment.  Most minimizers occur once in the corpus, and so do their windows: counting them first leaves out
 everything but candidates.  Equal segments travel once, with their number: two of them are two passages of the index, and more than two tell
 nothing more.  A minimizer with more than HOT different segments (the edge of a very common passage) would fill a shard: its windows are dealt
-one by one, by the hash of all their words, those that occur once left out.  A shard holds about SHARD_WORDS words, whatever the
+one by one, by the hash of all their words, those that occur once left out by a count (there the count decides, and the search confirms).  A shard holds about SHARD_WORDS words, whatever the
 corpus's size; runs of RUN words that it holds once cut its segments to the pieces in which something can recur, before these are indexed
 and searched.
 
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import _mix as mixed
-from .common import mapped, materialize, release, utf8, word_hashes
+from .common import mapped, materialize, quoted, release, utf8, word_hashes
 
 WINDOW, GRAM, HOT, SHARD_WORDS, FILTER_BITS, MOST_FILTER_BITS = 35, 12, 2000, 1_000_000, 16, 28
 #: After a miss, whether so many words behind it are unique is tried first.
@@ -373,6 +372,15 @@ def windows_of(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
         "n")), pa.array(w1), pa.array(w2), pa.array(offset, pa.int32())], names=["v", "s1", "s2", "n", "w1", "w2", "a"])
 
 
+def _alike(s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different pair stands first, and how often it does."""
+    _, once, which, n = np.unique(s1, return_index=True, return_inverse=True, return_counts=True)
+    if (s2 == s2[once][which]).all():
+        return once, n
+    pairs = np.stack([s1, s2], 1)
+    return np.unique(pairs, axis=0, return_index=True, return_counts=True)[1:]
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string")
         .alias("text"))
@@ -425,7 +433,7 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
         on = np.flatnonzero(_in(shared.value, s.value) | _in(crowded.value, s.value))
         size = s.windows[on] + window - 1
         s1, s2 = s.hashes(s.at[on], size)
-        _, once, n = np.unique(s1, return_index=True, return_counts=True)  # equal segments of a batch go on once
+        once, n = _alike(s1, s2)  # equal segments of a batch go on once
         data = memoryview(s.words.tobytes())
         own = [bytes(data[8 * a : 8 * (a + n)]) for a, n in zip(s.at[on][once].tolist(), size[once].tolist(),
             strict=True)]
@@ -486,7 +494,7 @@ def stripped_rows(docs: DataFrame, window: int = WINDOW, with_text: bool = True,
     spans = passages(docs, window, **options).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias(
         "spans"))  # at most two for each word of a text
     spans = spans.select(F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "spans")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text")
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns if c != "text"]).alias("row"), F.col("text")
         .cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     rows = rows.join(spans, F.col("row.doc_id").eqNullSafe(spans["of"]) & (rows["th"] == spans["of_th"]),

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _mix as mixed
-from .common import chunks, materialize, release, utf8, word_hashes
+from .common import chunks, materialize, packed, release, unpacked, utf8, word_hashes
 from .graph import components
 
 #: Words that have a level; ranges (as bits) of the table of levels; steps of a level for a doubling; bins of a set; bits of the candidates' filter.
@@ -407,7 +407,8 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group: that of the smallest doc_id (null last), of the first text where several share it.  Texts without shingles stay.
 
-    Rows are told apart by doc_id and text; of rows that agree in both the one with the smallest other columns (as JSON) stays."""
+    Rows are told apart by doc_id and text; of rows that agree in both the one whose other columns come first, as text, stays."""
+    columns, docs = docs.columns, packed(docs, ("doc_id", "text"))
     texts = _grouped(docs, k, percent).where("n_shingles > 0").select("component", "doc_id", "th", "row")
     first = texts.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias(
         "none"), "doc_id", "row")).alias("first")).where("n > 1")
@@ -417,7 +418,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     at = docs["doc_id"].eqNullSafe(looked_at["_id"]) & (_text_hash(docs) == looked_at["_th"])
     rest = docs.join(looked_at, at, "left_anti")
     repeated = docs.join(looked_at.where("_stays"), at, "left_semi")
-    whole = F.struct(*[F.col(c) for c in docs.columns])
+    whole = F.struct(*docs.columns)
     one = repeated.groupBy(F.col("doc_id").alias("_id"), _text_hash(repeated).alias("_th")).agg(F.min_by(whole,
-        F.to_json(whole)).alias("_row"))
-    return rest.unionByName(one.select("_row.*"))
+        whole.cast("string")).alias("_row"))
+    return unpacked(rest.unionByName(one.select("_row.*")), columns, ("doc_id", "text"))

@@ -9,7 +9,8 @@ that letter.  So all texts of a batch walk through the tables in step, a few num
 Long texts walk in lanes of LANE letters: each lane first as if a phrase began with it, then again from the state in which the lane before
 it really ended, until both walks are in the same state, after which they stay together.  So the parse is that of the whole text.
 
-Training is bounded: TRAIN_LETTERS letters a language, from the `rows` texts of lowest hash.  Letters are
+Training is bounded by rows: of each language the `rows` whole texts of lowest hash among those of `longest` characters or less (its shortest text,
+if it has none).  These two parameters are set by held-out accuracy; no text is cut.  Letters are
 lower-cased, runs of anything else become one space, and letters beyond the ALPHABET most frequent share a class.
 
 Defined cases: a null text or one without letters is `und` with score 0; without any labelled text every text is `und`; on
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, mapped
 
-TRAIN_LETTERS, ALPHABET, LANE = 20_000, 60, 512
+ALPHABET, LANE = 60, 512
+#: Labelled texts a language to learn from, and characters of the longest of these.
+ROWS, LONGEST = 32, 1500
 #: Letters of text from which the score's evidence is counted.
 EVIDENCE = 50
 
@@ -117,43 +120,39 @@ def alphabet(letters: str) -> Alphabet:
     return _alphabets[letters]
 
 
-def sample(docs: DataFrame, rows: int = 400) -> dict[str, list[str]]:
-    """rows labelled texts a language at most, those of lowest hash, none of them held out, each cut to what training can use.  Bounded by rows,
-    TRAIN_LETTERS and languages."""
+def sample(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> dict[str, list[str]]:
+    """rows labelled texts a language at most, those of lowest hash among the ones of up to longest characters, none of them held out.  Bounded by rows,
+    longest and languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    short = F.length("text") <= longest
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_if(short).alias("n")).collect()}
     if not counts:
         return {}
     span = 1 << 30
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * rows / n) * span))])
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * rows / n) * span) if n else 0)])
     h = F.pmod(F.xxhash64("doc_id"), F.lit(span))
-    near = known.where(h < limits[F.col("lang")]).select("lang", h.alias("h"), F.substring("text", 1, 2 * TRAIN_LETTERS)
-        .alias("text"))
+    near = known.where(short & (h < limits[F.col("lang")])).select("lang", h.alias("h"), "text")
     first = Window.partitionBy("lang").orderBy("h", "text")
-    found = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows).collect()
+    found = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows).select("lang", "text", "nth").collect()
+    without = [lang for lang, n in counts.items() if not n]
+    if without:  # one text each
+        found += known.where(F.col("lang").isin(without)).groupBy("lang").agg(F.min_by("text", F.struct(F.length("text"), h, "text")).alias("text"), F.lit(
+            1).alias("nth")).collect()
     out: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
     for r in sorted(found, key=lambda r: (r["lang"], r["nth"])):
         out[r["lang"]].append(r["text"])
     return {k: v for k, v in out.items() if v}
 
 
-def fit(texts: dict[str, list[str]], train_letters: int = TRAIN_LETTERS) -> dict:
+def fit(texts: dict[str, list[str]]) -> dict:
     """Tables per language from labelled texts."""
-    joined = {}
-    for lang, own in texts.items():
-        parts, left = [], 2 * train_letters
-        for t in own:
-            if left <= 0:
-                break
-            parts.append(t[:left])
-            left -= len(t) + 1
-        joined[lang] = " ".join(parts).lower()
+    joined = {lang: " ".join(own).lower() for lang, own in texts.items()}
     seen = Counter(c for t in joined.values() for c in t if c.isalpha())
     letters = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
     a = alphabet(letters)
     tables, sizes = [], []
     for lang in sorted(joined):
-        codes = a.encode([joined[lang]])[0][:train_letters]
+        codes = a.encode([joined[lang]])[0]
         sizes.append(max(2, len(codes)))
         tables.append(parse_table(codes.tolist(), a.width))
     return {"langs": sorted(joined), "letters": letters, "tables": tables, "sizes": sizes}
@@ -222,11 +221,10 @@ def predict(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
     return [langs[b] if k else "und" for b, k in zip(best, letters, strict=True)], np.where(letters > 0, share, 0.0)
 
 
-def identify(docs: DataFrame, rows: int = 400) -> DataFrame:
+def identify(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (the winner's share of the evidence, 0 to 1)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs,
-        rows)))  # some MB: bounded by languages and TRAIN_LETTERS
+    shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, rows, longest)))  # some MB: bounded by languages, rows and longest
 
     def work(part: pa.RecordBatch):
         lang, score = predict([x or "" for x in part.column("text").to_pylist()], shared.value)

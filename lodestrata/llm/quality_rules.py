@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, materialize, numbered_words, utf8
+from .common import mapped, materialize, numbered_words, packed, unpacked, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -173,4 +173,5 @@ def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         failed, pattern = got.column("base_failed").to_pylist(), got.column("pattern").to_pylist()
         yield part.filter(pa.array([not f and p in good for f, p in zip(failed, pattern, strict=True)], pa.bool_()))
 
-    return mapped(docs, work, docs.schema)
+    rows = packed(docs)
+    return unpacked(mapped(rows, work, rows.schema), docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbers, mapped
+from .common import Numbers, mapped, packed, quoted, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The shift in Zipf's law for the pieces of a BPE model.
@@ -320,8 +320,8 @@ def encode(docs: DataFrame, n_best: int = 3, model: str = MODEL, keep: bool = Fa
     """Per row: doc_id (with keep: all columns of docs), the best ids, their score, the other n_best - 1 segmentations as edits of the best (replace
     `drop` ids from `at` on), and whether decoding the ids gave the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))  # a vocabulary file: some MB at most
-    docs = docs.select(*[c for c in docs.columns if c not in NAMES]) if keep else docs.select("doc_id", F.col("text")
-        .cast("string").alias("text"))
+    columns = [c for c in docs.columns if c not in NAMES]
+    docs = packed(docs.select(*map(quoted, columns)), ("doc_id", "text")) if keep else docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kept = docs.columns if keep else ["doc_id"]
     schema = T.StructType([f for f in docs.schema if f.name in kept] + T._parse_datatype_string(RESULT).fields)
 
@@ -339,7 +339,8 @@ def encode(docs: DataFrame, n_best: int = 3, model: str = MODEL, keep: bool = Fa
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), counts, ids, pa.array(scores, pa.float64()),
             pa.array(more, ALTERNATIVES), pa.array(right)], names=[*kept, *NAMES])
 
-    return mapped(docs, work, schema, limit=4 << 20)
+    found = mapped(docs, work, schema, limit=4 << 20)
+    return unpacked(found, [*columns, *NAMES], ("doc_id", "text", *NAMES)) if keep else found
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:

@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation, with DataFrame operations only.
 
-Documents that share a link key (here: equal texts) are neighbours.  All start in the shard that a hash of the row names.  In each round every
-group of neighbours looks where most of its members are, among shards with room, and the others move there; a shard admits
-no more than its quota leaves, and where more want in, each group's movers are thinned out alike.  Members of a group in
+Documents that share a link key (here: equal texts) are neighbours.  All start in the shard that a hash of their id, text and number among equal
+rows names, so that the table's rows alone decide, however its files are split.  In each round every group of neighbours looks where most of its members
+are, among shards with room, and the others move there.  A shard admits no more than its quota leaves: where more want in, groups come in the order of
+a lot, whole as long as they fit, and those whose lots stand where room ends by their share.  Members of a group in
 one shard are alike, so the rounds run over counts (group, shard, members), not over rows, and only the loads of the shards
 come to the driver.  Then rows are dealt out by these counts, and rows without neighbours, who cut no edge anywhere, fill what is
 left, so that the law `rows` holds: the shards' row counts are at most one apart.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARDS, ROUNDS, SEED = 8, 8, 17
-#: Rows that a bucket should hold, and how many buckets there are at most.
-BUCKET_ROWS, MOST_BUCKETS = 200, 1 << 20
+#: Rows that a bucket should hold, and how many buckets there are at most; buckets of lots; equal rows that are numbered together.
+BUCKET_ROWS, MOST_BUCKETS, LOTS, SPAN = 200, 1 << 20, 1024, 4096
 
 
 def _pick(values: list, by: Column) -> Column:
@@ -60,20 +61,25 @@ def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
             "to"))
         smaller = (F.col("n") < F.col("best_n")) | ((F.col("n") == F.col("best_n")) & (F.col("tie") < F.col(
             "best_tie")))
-        wants = (F.col("to") != F.col("shard")) & (smaller | (~open_ & (F.col(
-            "n") <= 16)))  # a full shard lets a few members go to where there is room for all
+        wants = (F.col("to") != F.col("shard")) & (smaller | ~open_)  # a full shard lets its members go to where there is room
         moves = ranked.join(best, ["g1", "g2"], "left").withColumn("wants", F.when(F.coalesce(wants, F.lit(False)),
-            F.col("n")).otherwise(0))
-        asked = {r["to"]: r["n"] for r in moves.where("wants > 0").groupBy("to").agg(F.sum("wants").alias("n"))
-            .collect()}
+            F.col("n")).otherwise(0)).withColumn("lot", F.pmod(F.xxhash64(F.lit(turn), "g1", "g2"), F.lit(LOTS)))
+        asked: dict[int, dict[int, int]] = {}
+        for r in moves.where("wants > 0").groupBy("to", "lot").agg(F.sum("wants").alias("n")).collect():  # LOTS a shard at most
+            asked.setdefault(r["to"], {})[r["lot"]] = r["n"]
         if not asked:
             break
-        share = [min(1.0, free[s] / asked[s]) if asked.get(s) else 0.0 for s in range(len(quota))]
-        # a few members move together or not at all, many by their share
-        lot = F.pmod(F.xxhash64(F.lit(turn), "g1", "g2"), F.lit(1 << 20)) / F.lit(1 << 20)
-        ratio = _pick(share, F.coalesce("to", F.lit(0)))
-        moved = F.when(F.col("n") <= 16, F.when((ratio >= 1) | (lot < ratio * 0.9), F.col("wants"))
-            .otherwise(0)).otherwise(F.floor(F.col("wants") * ratio)).cast("long")
+        whole, part = [], []  # of each shard: lots below this come whole, those of this one by a share
+        for s in range(len(quota)):
+            room, lot, own = free[s], 0, asked.get(s, {})
+            while lot < LOTS and own.get(lot, 0) <= room:
+                room -= own.get(lot, 0)
+                lot += 1
+            whole.append(lot)
+            part.append(room / own[lot] if lot < LOTS else 0.0)
+        to = F.coalesce("to", F.lit(0))
+        moved = F.when(F.col("lot") < _pick(whole, to), F.col("wants")).when(F.col("lot") == _pick(whole, to), F.floor(F.col(
+            "wants") * _pick(part, to))).otherwise(0).cast("long")
         moves = moves.withColumn("moved", moved)
         stay = moves.select("g1", "g2", "shard", (F.col("n") - F.col("moved")).alias("n"))
         go = moves.where("moved > 0").select("g1", "g2", F.col("to").cast("int").alias("shard"), F.col("moved").alias(
@@ -86,10 +92,16 @@ def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
 def shards(docs: DataFrame, n: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    columns = ["doc_id", "size", "text_crc32", "g1", "g2"]
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary"))
         .alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(seed), text).alias("g2"))
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64(F.lit(seed),
-        "row")), "shard-rows")
+    alike = materialize(rows.groupBy(*columns).agg(F.count("*").alias("times")), "shard-alike")
+    few = alike.where(F.col("times") <= SPAN).withColumn("from", F.lit(1).cast("long"))
+    many = alike.where(F.col("times") > SPAN).withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), "times", F.lit(SPAN).cast("long"))))
+    spans = few.unionByName(many.repartition("g1", "from"))
+    rows = spans.withColumn("nth", F.explode(F.sequence("from", F.least("times", F.col("from") + (SPAN - 1))))).select(*columns, F.struct("doc_id", "g1",
+        "g2", "nth").alias("row"), F.xxhash64(F.lit(seed), "doc_id", "g1", "g2", "nth").alias("h"))
+    rows = materialize(rows, "shard-rows")
     total = rows.count()
     buckets = F.lit(max(1, min(MOST_BUCKETS, total // (n * BUCKET_ROWS))))
     target = [total // n + (s < total % n) for s in range(n)]
