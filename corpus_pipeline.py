@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import fm_dedup, jaccard_join, mixing, quality_rules, sentence_pieces
-from lodestrata.llm.common import materialize, ready, table
+from lodestrata.llm.common import materialize, packed, ready, table, unpacked
 
 #: Words of a passage that must not repeat; share of all tokens in the mix, passes at most, and the power that evens out the weights.
 PASSAGE, SHARE, PASSES, POWER = 50, 0.95, 2, 0.8
@@ -51,7 +51,7 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
-    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +60,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null language or source is a leaf `none`; texts without tokens cost nothing and come with their leaf's passes; equal rows have one
     place in the order and are taken together; an empty table stays empty; columns of any name pass as they are."""
     ready(spark)
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
-    rows = docs.select("doc_id", "text", "lang", "source", *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("mix_row")] if others else []))
-    taken = mixing.select(rows, [mixing.domain_of(), F.col("lang"), F.col("source")], mixing.smoothed(POWER), SHARE, PASSES)
-    taken = taken.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(f"mix_row.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])
+    taken = mixing.select(packed(docs), [mixing.domain_of(), F.col("lang"), F.col("source")], mixing.smoothed(POWER), SHARE, PASSES)
+    return unpacked(taken.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
