@@ -352,34 +352,34 @@ def declarations_in_sight(names: DataFrame, declarations: DataFrame, dependencie
     return found.select("id", F.coalesce("candidates", F.lit(0)).alias("candidates"), target.alias("declaration"))
 
 
-def through_exports(uses: DataFrame, exports: DataFrame, most_hops: int = 16) -> DataFrame:
+def through_exports(uses: DataFrame, exports: DataFrame) -> DataFrame:
     """Follows uses (id, module, name) through re-exports (module, name, to_module, to_name; to_module null: declared here) to the declaring module.
 
-    A hop a round for those still on their way; a cycle ends unresolved, as does a name that a module does not export once."""
+    By pointer doubling over the exported names: each round every name points twice as far, so a chain of n takes log2 n rounds.  Names that still point at
+    one that goes on when every chain without a cycle must have ended are on a cycle; these stay unresolved, as does a name that a module does not export once."""
     from .clustering import settled
 
     one = exports.groupBy("module", "name").agg(F.count("*").alias("n"), F.min("to_module").alias("to_module"), F.min(
         "to_name").alias("to_name")).where("n = 1")
-    one = settled(one.select("module", "name", "to_module", "to_name"))
-    on_way = uses.select("id", "module", "name")
-    done = None
-    for _ in range(most_hops):
-        step = settled(on_way.join(one, ["module", "name"]))
-        here = step.where("to_module is null").select("id", "module", "name")
-        done = here if done is None else done.unionByName(here)
-        on_way = step.where("to_module is not null").select("id", F.col("to_module").alias("module"), F.col("to_name")
-            .alias("name"))
-        if on_way.isEmpty():
-            break
-    found = done.select("id", F.col("module").alias("declared_in"), F.col("name").alias("declared_as"))
+    at = settled(one.select("module", "name", F.coalesce("to_module", "module").alias("to_module"), F.when(F.col("to_module").isNull(), F.col("name")).otherwise(
+        F.col("to_name")).alias("to_name"), F.col("to_module").isNull().alias("here")))
+    total, reach = at.count(), 1
+    while reach < total and not at.where("not here").isEmpty():
+        far = at.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), F.col("to_module").alias("far_module"), F.col("to_name").alias(
+            "far_name"), F.col("here").alias("far_here"))
+        # a name that is not exported leads nowhere: its use is dropped here
+        step = at.where("not here").join(far, ["to_module", "to_name"]).select("module", "name", F.col("far_module").alias("to_module"), F.col("far_name").alias("to_name"),
+            F.col("far_here").alias("here"))
+        at, reach = settled(at.where("here").unionByName(step)), 2 * reach
+    found = uses.join(at.where("here"), ["module", "name"]).select("id", F.col("to_module").alias("declared_in"), F.col("to_name").alias("declared_as"))
     return uses.select("id").join(found, "id", "left")
 
 
-def branch_binding(assignments: DataFrame, calls: DataFrame) -> DataFrame:
-    """What a local name stands for at calls (id, name, at, path): the identity that all assignments (name, at, path, identity) which reach it agree on.
+def reaching(assignments: DataFrame, calls: DataFrame) -> DataFrame:
+    """Which assignments (name, at, path, identity) of a name reach calls (id, name, at, path): id, set_at, identity.
 
     path is the array of branches that hold a line, outermost first, each as control:arm.  Of the assignments before a call and not in another arm
-    than it, the last one whose branches all hold the call too rules out those before it; where the rest disagree the name is ambiguous."""
+    than it, the last one whose branches all hold the call too rules out those before it."""
     a = assignments.select("name", F.col("at").alias("set_at"), F.col("path").alias("set_path"), "identity")
     met = calls.join(a, "name").where("set_at <= at")
     control = lambda x: F.split_part(x, F.lit(":"), F.lit(1))
@@ -392,7 +392,13 @@ def branch_binding(assignments: DataFrame, calls: DataFrame) -> DataFrame:
         .over(Window.partitionBy("id")))
     met = met.where(F.when(F.col("outer"), F.col("set_at") == F.col("from")).otherwise(F.col("set_at") > F.coalesce(
         "from", F.lit(-1))))
-    found = met.groupBy("id").agg(F.count_distinct("identity").alias("n"), F.min("identity").alias("identity"))
+    return met.select("id", "set_at", "identity")
+
+
+def branch_binding(assignments: DataFrame, calls: DataFrame) -> DataFrame:
+    """What a local name stands for at calls (id, name, at, path): the identity that all assignments (name, at, path, identity) which reach it agree on;
+    where they disagree the name is ambiguous."""
+    found = reaching(assignments, calls).groupBy("id").agg(F.count_distinct("identity").alias("n"), F.min("identity").alias("identity"))
     state = F.when(F.col("n") == 1, F.lit("bound")).when(F.col("n") > 1, F.lit("ambiguous")).otherwise(F.lit(
         "unresolved"))
     return calls.select("id").join(found, "id", "left").select("id", state.alias("state"), F.when(F.col("n") == 1,
