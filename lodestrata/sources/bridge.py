@@ -4,6 +4,8 @@ Each is deterministic in its inputs; SQL holds the same views for DuckDB, for ch
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +156,70 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("evidence"))
 
 
+#: Of each language what a supplier's file says, the import of it, and what an order says, by its number modulo 5: a call of what is imported, one of a
+#: parameter that shadows it, one of an inherited member, one of nothing, and one of something external.  {s}, {c} and {o} are numbers.
+SHOPS = {
+    "python": {
+        "supplier": ("py/supplier_{s}.py", "class Base{s}:\n    def work(self):\n        pass\nclass Client{s}(Base{s}):\n    pass\ndef load():\n    pass  # load()\n"),
+        "customer": ("py/customer_{c}.py", "import requests\n", "from supplier_{s} import load as load_{s}, Client{s}\n", "", ""),
+        "orders": ["def order_{o}():\n    load_{s}()\n", "def order_{o}(load_{s}):\n    load_{s}()\n", "def order_{o}():\n    x = Client{s}()\n    x.work()\n",
+            "def order_{o}():\n    missing_{o}()\n", "def order_{o}():\n    requests.get('load()')\n"],
+    },
+    "typescript": {
+        "supplier": ("ts/supplier_{s}.ts", "class Base{s} { work(): void {} }\nexport class Client{s} extends Base{s} {}\nexport function load(): void { /* load() */ }\n"),
+        "customer": ("ts/customer_{c}.ts", "import ext from 'library';\n", "import { load as load_{s}, Client{s} } from './supplier_{s}';\n", "", ""),
+        "orders": ["function order_{o}() { load_{s}(); }\n", "function order_{o}(load_{s}: () => void) { load_{s}(); }\n", "function order_{o}() { const x = new Client{s}(); x.work(); }\n",
+            "function order_{o}() { missing_{o}(); }\n", "function order_{o}() { ext.get('load()'); }\n"],
+    },
+    "java": {
+        "supplier": ("java/shop/Supplier{s}.java", "package shop;\nclass Base{s} { void work() {} }\nclass Client{s} extends Base{s} {}\nclass Supplier{s} { static void load() {} }\n"),
+        "customer": ("java/shop/Customer{c}.java", "package shop;\nimport java.nio.file.Files;\n", "", "class Customer{c} {\n", "}\n"),
+        "orders": ["  void order{o}() { Supplier{s}.load(); }\n", "  void order{o}(Lost{s} Supplier{s}) { Supplier{s}.load(); }\n", "  void order{o}() { Client{s} x = new Client{s}(); x.work(); }\n",
+            "  void order{o}() { missing{o}(); }\n", "  void order{o}() { Files.readString(null); }\n"],
+    },
+    "go": {
+        "supplier": ("go/supplier{s}/s.go", "package supplier{s}\ntype Base{s} struct {}\nfunc (b Base{s}) Work() {}\ntype Client{s} struct { Base{s} }\nfunc Load() {}\n"),
+        "customer": ("go/customer{c}/c.go", "package customer{c}\nimport \"net/http\"\n", "import s{s} \"shop.test/supplier{s}\"\n", "", ""),
+        "orders": ["func order{o}() { s{s}.Load() }\n", "func order{o}(s{s} string) { s{s}.Load() }\n", "func order{o}() {\n  x := s{s}.Client{s}{}\n  x.Work()\n}\n",
+            "func order{o}() { missing{o}() }\n", "func order{o}() { http.Get(\"load()\") }\n"],
+    },
+}
+
+
+def _filled(text: str, **values) :
+    """text with columns for {s}, {c} and {o}."""
+    parts = [x for x in re.split(r"(\{[sco]\})", text) if x]
+    return F.concat(*[values[x[1]].cast("string") if x in ("{s}", "{c}", "{o}") else F.lit(x) for x in parts]) if parts else F.lit("")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files: one a supplier, and one a customer that calls suppliers of its language, once an order: path, content, language, scope."""
+    s, c, o = F.col("s"), F.col("c"), F.col("o")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"))
+    quarter = suppliers.agg(F.floor(F.count("*") / 4).alias("quarter"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")).join(F.broadcast(quarter))  # one row
+    orders = orders.withColumn("s", F.pmod(o, F.col("quarter")) * 4 + F.when(c % 4 == 0, 4).otherwise(c % 4))
+    out = None
+    for n, (language, shop) in enumerate(SHOPS.items()):
+        path, text = shop["supplier"]
+        made = suppliers.where(s % 4 == n).select(_filled(path, s=s).alias("path"), _filled(text, s=s).alias("content"))
+        path, head, imported, opened, closed = shop["customer"]
+        own = orders.where(c % 4 == n)
+        said = F.coalesce(*[F.when(F.pmod(o, F.lit(5)) == v, _filled(text, s=s, o=o)) for v, text in enumerate(shop["orders"])])
+        bought = own.groupBy("c").agg(F.array_sort(F.collect_set(_filled(imported, s=s))).alias("imports"), F.array_sort(F.collect_list(F.struct("o", said.alias("said")))).alias("said"))
+        bought = bought.select(_filled(path, c=c).alias("path"), F.concat(_filled(head, c=c), F.array_join("imports", ""), _filled(opened, c=c), F.array_join(F.transform("said",
+            lambda x: x["said"]), ""), F.lit(closed)).alias("content"))
+        both = made.unionByName(bought).withColumn("language", F.lit(language)).withColumn("scope", F.lit(f"{language}:shop"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def source_scopes(spark: SparkSession) -> DataFrame:
+    rows = [(f"{language}:shop", language, root, [root], package, []) for language, root, package in (("python", "py", "shop"), ("typescript", "ts", "@shop/ts"), ("java", "java", "shop"), ("go",
+        "go", "shop.test"))]
+    return spark.createDataFrame(rows, "scope string, language string, root string, source_roots array<string>, package string, dependencies array<string>")
+
+
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
