@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import _mix as mixed
-from .common import mapped, materialize, quoted, release, utf8, word_hashes
+from .common import chunks, mapped, materialize, quoted, release, utf8, word_hashes
 
 WINDOW, GRAM, HOT, SHARD_WORDS, FILTER_BITS, MOST_FILTER_BITS = 35, 12, 2000, 1_000_000, 16, 28
 #: After a miss, whether so many words behind it are unique is tried first.
@@ -428,18 +428,35 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
     crowded = sc.broadcast(_bits(kinds.where(F.col("kinds") > hot), filter_bits))
     any_crowded = bool(crowded.value.any())
 
-    def words(part: pa.RecordBatch):
-        s = Segments(utf8(part.column("text")), window)
-        on = np.flatnonzero(_in(shared.value, s.value) | _in(crowded.value, s.value))
-        size = s.windows[on] + window - 1
-        s1, s2 = s.hashes(s.at[on], size)
-        once, n = _alike(s1, s2)  # equal segments of a batch go on once
-        data = memoryview(s.words.tobytes())
-        own = [bytes(data[8 * a : 8 * (a + n)]) for a, n in zip(s.at[on][once].tolist(), size[once].tolist(),
-            strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(s.value[on][once].view(np.int64)), pa.array(s1[once]),
-            pa.array(s2[once]), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=["v", "s1", "s2", "n",
-            "words"])
+    def words(batches):
+        """The segments of a task's texts, each with its words once: how often one comes again is told at the end, without them."""
+        names = ["v", "s1", "s2", "n", "words"]
+        seen: dict[tuple[int, int], list[int]] = {}  # hashes only
+        try:
+            for part in (c for batch in batches for c in chunks(batch, "text")):
+                s = Segments(utf8(part.column("text")), window)
+                on = np.flatnonzero(_in(shared.value, s.value) | _in(crowded.value, s.value))
+                size = s.windows[on] + window - 1
+                s1, s2 = s.hashes(s.at[on], size)
+                once, n = _alike(s1, s2)
+                v = s.value[on][once].view(np.int64)
+                new = []
+                for j, (key, m, own) in enumerate(zip(zip(s1[once].tolist(), s2[once].tolist()), n.tolist(), v.tolist())):
+                    if key in seen:
+                        seen[key][1] += m
+                    else:
+                        seen[key] = [own, 0]
+                        new.append(j)
+                once, n, v = once[new], n[new], v[new]
+                data = memoryview(s.words.tobytes())
+                own = [bytes(data[8 * a : 8 * (a + n)]) for a, n in zip(s.at[on][once].tolist(), size[once].tolist(),
+                    strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(s1[once]), pa.array(s2[once]), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=names)
+            again = [(v, a, b, m) for (a, b), (v, m) in seen.items() if m]
+            columns = [pa.array([x[i] for x in again], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(again), pa.binary())], names=names)
+        finally:
+            release()
 
     def split(keep_crowded: bool):
         def run(batches):
@@ -460,8 +477,10 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
                 yield windows_of(b, window)
 
     text_schema = "v long, s1 long, s2 long, n long, words binary"
-    segments = mapped(texts.select("text"), words, text_schema).groupBy("v", "s1", "s2").agg(F.sum("n").alias("n"),
-        F.first("words").alias("words"))
+    spread = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # dealt by v at once: what is grouped by v and hashes stays where it is
+    segments = texts.select("text").mapInArrow(words, text_schema).repartition(spread, "v").groupBy("v", "s1", "s2").agg(F.sum("n").alias("n"), F.first(
+        "words", ignorenulls=True).alias("words"))
     found = segments
     if any_crowded:  # the windows of a minimizer with too many segments become segments of their own
         segments = materialize(segments, "segment-words")
@@ -475,8 +494,8 @@ def passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words:
         cut = F.expr(f"substring(words, 8 * a + 1, {8 * window})")
         found = found.unionByName(again.select(F.col("w1").alias("v"), F.col("w1").alias("s1"), F.col("w2").alias("s2"),
             F.col("times").alias("n"), cut.alias("words")))
-    spread = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    searched = found.repartition(spread, "v").mapInArrow(shard, "v long, s1 long, s2 long, spans array<int>")
+        found = found.repartition(spread, "v")
+    searched = found.mapInArrow(shard, "v long, s1 long, s2 long, spans array<int>")
     if any_crowded:  # back from windows to the segments that they are from
         searched = materialize(searched, "searched-segments")
         ones = searched.where("v = s1").select(F.col("s1").alias("w1"), F.col("s2").alias("w2"))
