@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ SPOKEN = [
     ("request", r"(?i)\b(?:axios|http|client)\.", VERBS, "", "`\"'"),
     ("route", r"(?i)\b(?:app|router)\.", VERBS, "", "\"'"),
     ("route", r"(?i)@\w+\.", VERBS, "", "\"'"),
-    ("route", "@", "Get|Post|Put|Patch|Delete", "Mapping", "\"'"),
+    ("route", "(?i)@", "Get|Post|Put|Patch|Delete|Request", "Mapping", "\"'"),
     ("route", r"\.", "GET|POST|PUT|PATCH|DELETE", "", "\""),
 ]
 # What an external call does: by what its name begins with, holds or is (the second column says whether case counts), first match first;
@@ -49,12 +50,17 @@ def readable(files: DataFrame) -> DataFrame:
     return code.withColumn("status", F.when(F.col("size") > MOST_BYTES, F.lit("failed")).otherwise(F.lit("parsed")))
 
 
+# What a file says for a project by the facts in it, and by its path (pattern, points).
+FACT_POINTS = {"n_symbols": 3, "n_calls": 2, "n_external": 5, "n_imports": 1}
+PATH_POINTS = [(r"(^|/)(main|index|app|server|bootstrap)\.[^.]+$", 40), (r"ipc|controller|service|worker|gateway|adapter|repository|store|dispatcher|scheduler", 25),
+    ("test|spec|fixture|example|generated", -20)]
+
+
 def representative(files: DataFrame, most: int) -> DataFrame:
-    """The files that say most about a project: by their names, then by how much they hold."""
+    """The files(path, n_symbols, n_calls, n_external, n_imports) that say most about a project: by the facts in them, and by their paths."""
     low = F.lower("path")
-    points = F.when(low.rlike("(^|/)(main|index|app|server)"), 30).otherwise(0) + F.when(low.rlike(
-        "service|controller|router?|store|repo"), 20).otherwise(0) - F.when(X.is_test_path(F.col("path")),
-        25).otherwise(0) + F.least(F.lit(20), F.floor(F.col("size") / 500))
+    facts = [F.coalesce(c, F.lit(0)) * n for c, n in FACT_POINTS.items()]
+    points = reduce(lambda a, b: a + b, [*facts, *[F.when(low.rlike(pattern), n).otherwise(0) for pattern, n in PATH_POINTS]])
     return files.withColumn("points", points.cast("long")).orderBy(F.desc("points"), "path").limit(most)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,17 +76,78 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> D
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths of edges(source, target) through nodes that one edge leads to and one leads on from, by pointer doubling.
+
+    Inner nodes: (id, first, last, offset), where the path comes from, where it leads to, and how many steps after first the node stands; a ring of inner nodes
+    alone has no ends: its nodes have first and last null, and ring, its smallest id.  And the edges with each path as one: (source, target, length)."""
+    edges = settled(edges.select("source", "target").where("source <> target").distinct())
+    into = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n_in"), F.min("source").alias("from"))
+    out = edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_out"), F.min("target").alias("to"))
+    inner = settled(into.where("n_in = 1").join(out.where("n_out = 1"), "id").select("id", "from", "to"))
+    # back and ahead say how far a node has looked either way, and where that ends: at the first node that is no inner one, or not yet
+    own = inner.select(F.col("id").alias("at"), F.lit(True).alias("goes_on"))
+    step = lambda df, at, flag: df.join(own.select(F.col("at").alias(at), F.col("goes_on").alias(flag)), at, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    state = step(step(inner.select("id", F.col("from").alias("back"), F.lit(1).cast("long").alias("offset"), F.col("to").alias("ahead"), F.col("id").alias("least")), "back", "more_back"), "ahead",
+        "more_ahead")
+    state, total, reach = settled(state), inner.count(), 1
+    while reach <= 2 * total and not state.where("more_back or more_ahead").isEmpty():
+        far = state.select(F.col("id").alias("at"), F.col("back").alias("far_back"), F.col("offset").alias("far_offset"), F.col("more_back").alias("far_more_back"), F.col("ahead").alias("far_ahead"),
+            F.col("more_ahead").alias("far_more_ahead"), F.col("least").alias("far_least"))
+        b, f = far.alias("b"), far.alias("f")
+        both = state.alias("s").join(b, F.when(F.col("s.more_back"), F.col("s.back")) == F.col("b.at"), "left").join(f, F.when(F.col("s.more_ahead"), F.col("s.ahead")) == F.col("f.at"), "left")
+        new = lambda side, c: F.when(F.col(f"s.more_{side}"), F.col(f"{'b' if side == 'back' else 'f'}.far_{c}")).otherwise(F.col(f"s.{c}"))
+        state = settled(both.select("s.id", new("back", "back").alias("back"), (F.col("s.offset") + F.when(F.col("s.more_back"), F.col("b.far_offset")).otherwise(0)).alias("offset"), new("ahead",
+            "ahead").alias("ahead"), F.least("s.least", F.coalesce("b.far_least", "s.least"), F.coalesce("f.far_least", "s.least")).alias("least"), new("back", "more_back").alias("more_back"), new(
+            "ahead", "more_ahead").alias("more_ahead")))
+        reach *= 2
+    ring = F.col("more_back") | F.col("more_ahead")
+    found = settled(state.select("id", F.when(~ring, F.col("back")).alias("first"), F.when(~ring, F.col("ahead")).alias("last"), F.when(~ring, F.col("offset")).alias("offset"), F.when(ring, F.col(
+        "least")).alias("ring")))
+    inside = found.select(F.col("id").alias("source"))
+    plain = edges.join(inside, "source", "left_anti").join(inside.select(F.col("source").alias("target")), "target", "left_anti").select("source", "target", F.lit(1).cast("long").alias("length"))
+    # the inner node that stands before a path's last node tells its length
+    ends = found.where("ring is null").join(edges.select(F.col("source").alias("id"), "target"), "id").where("target = last").select(F.col("first").alias("source"), F.col("last").alias("target"), (F.col(
+        "offset") + 1).alias("length"))
+    return found, plain.unionByName(ends)
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Strong components: (id, component, cyclic).  component is the smallest id in it.
 
-    Forward-backward colouring: every node takes the smallest id that reaches it; within a colour, whatever reaches that id back
-    is its component.  Nodes found leave, and the rest goes on."""
+    Long paths become one edge first (their inner nodes are with both ends or alone).  Then forward-backward colouring: every node takes the smallest id that
+    reaches it; within a colour, whatever reaches that id back is its component.  Nodes found leave, as do sources and sinks before each round, and the rest
+    goes on.  Nodes that are left after most_rounds raise an error."""
     edges = settled(edges.select("source", "target").distinct())
-    left, found = settled(nodes.select("id").distinct()), None
-    rest = edges.where("source <> target")
+    nodes = settled(nodes.select("id").distinct())
+    inner, short = chains(edges)
+    outer = settled(nodes.join(inner.select("id"), "id", "left_anti"))
+    parts = _coloured(outer, short.select("source", "target").distinct(), most_rounds)
+    # a path's inner nodes are in its ends' component if they have one in common (or one end)
+    a, b = parts.select(F.col("id").alias("first"), F.col("component").alias("a")), parts.select(F.col("id").alias("last"), F.col("component").alias("b"))
+    placed = inner.join(a, "first", "left").join(b, "last", "left").select("id", F.coalesce("ring", F.when(F.col("a") == F.col("b"), F.col("a")), "id").alias("component"))
+    found = settled(parts.unionByName(placed))
+    loops = edges.where("source = target").select(F.col("source").alias("id"), F.lit(True).alias("loop"))
+    least = found.join(found.groupBy("component").agg(F.min("id").alias("name"), F.count("*").alias("n")), "component")
+    return least.join(loops, "id", "left").select("id", F.col("name").alias("component"), ((F.col("n") > 1)
+        | F.coalesce("loop", F.lit(False))).alias("cyclic"))
+
+
+def _coloured(nodes: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
+    """(id, component) by forward-backward colouring."""
+    left, found = nodes, []
+    rest = settled(edges.where("source <> target"))
     for _ in range(most_rounds):
         if left.isEmpty():
             break
+        # sources and sinks are components by themselves
+        busy = settled(rest.select(F.col("source").alias("id")).distinct().join(rest.select(F.col("target").alias("id")).distinct(), "id", "left_semi"))
+        alone = settled(left.join(busy, "id", "left_anti"))
+        if not alone.isEmpty():
+            found.append(alone.select("id", F.col("id").alias("component")))
+            left = settled(left.join(busy, "id", "left_semi"))
+            rest = settled(rest.join(left.withColumnRenamed("id", "source"), "source", "left_semi").join(left.withColumnRenamed("id", "target"), "target", "left_semi"))
+            continue
         color = settled(left.select("id", F.col("id").alias("color")))
         while True:
             near = rest.join(color.select(F.col("id").alias("source"), "color"), "source").groupBy(F.col("target")
@@ -109,17 +171,15 @@ def strong_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100
             if frontier.isEmpty():
                 break
             inside = settled(inside.unionByName(frontier))
-        part = inside.select("id", F.col("color").alias("component"))
-        found = part if found is None else settled(found.unionByName(part))
+        found.append(inside.select("id", F.col("color").alias("component")))
         left = settled(left.join(inside.select("id"), "id", "left_anti"))
         rest = settled(rest.join(left.withColumnRenamed("id", "source"), "source", "left_semi")
             .join(left.withColumnRenamed("id", "target"), "target", "left_semi"))
-    if found is None:
-        return nodes.select("id", F.col("id").alias("component"), F.lit(False).alias("cyclic"))
-    loops = edges.where("source = target").select(F.col("source").alias("id"), F.lit(True).alias("loop"))
-    least = found.join(found.groupBy("component").agg(F.min("id").alias("name"), F.count("*").alias("n")), "component")
-    return least.join(loops, "id", "left").select("id", F.col("name").alias("component"), ((F.col("n") > 1)
-        | F.coalesce("loop", F.lit(False))).alias("cyclic"))
+    if not left.isEmpty():
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    if not found:
+        return nodes.select("id", F.col("id").alias("component"))
+    return settled(reduce(lambda a, b: a.unionByName(b), found))
 
 
 def condensed(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -131,18 +191,30 @@ def condensed(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def layers(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """Longest path to each node of an acyclic graph (id, depth), sources at 0.  A cycle raises."""
+    """Longest path to each node of an acyclic graph (id, depth), sources at 0.  A cycle raises.
+
+    Long paths become one edge with their length first, so rounds are as many as a path has branch points, not nodes; an inner node stands its offset below
+    where its path comes from."""
     edges = settled(edges.select("source", "target").distinct())
-    depth = settled(nodes.select("id", F.lit(0).alias("depth")).distinct())
-    for _ in range(most_rounds):
-        below = edges.join(depth.select(F.col("id").alias("source"), "depth"), "source").groupBy(F.col("target").alias(
-            "id")).agg((F.max("depth") + 1).alias("new"))
+    if not edges.where("source = target").isEmpty():
+        raise RuntimeError("the graph has a cycle")
+    nodes = settled(nodes.select("id").distinct())
+    inner, short = chains(edges)
+    if not inner.where("ring is not null").isEmpty():
+        raise RuntimeError("the graph has a cycle")
+    short = settled(short)
+    depth = settled(nodes.join(inner.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("depth")))
+    most = depth.count()
+    for _ in range(min(most_rounds, most + 1)):
+        below = short.join(depth.select(F.col("id").alias("source"), "depth"), "source").groupBy(F.col("target").alias(
+            "id")).agg(F.max(F.col("depth") + F.col("length")).alias("new"))
         now = settled(depth.join(below, "id", "left").select("id", F.col("depth").alias("before"), F.greatest("depth",
             F.coalesce("new", F.lit(0))).alias("depth")))
         changed = not now.where("depth <> before").isEmpty()
         depth = now.select("id", "depth")
         if not changed:
-            return depth
+            along = inner.join(depth.select(F.col("id").alias("first"), F.col("depth").alias("start")), "first").select("id", (F.col("start") + F.col("offset")).alias("depth"))
+            return depth.unionByName(along).select("id", F.col("depth").cast("int").alias("depth"))
     raise RuntimeError("the graph has a cycle, or a path longer than the rounds")
 
 

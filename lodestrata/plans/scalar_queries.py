@@ -46,9 +46,10 @@ def _(spark, d):
 
 
 @query("s8_representative", B.with_views(
-    f"SELECT path, points, size FROM (SELECT path, size, CAST(CASE WHEN regexp_matches(lower(path), '(^|/)(main|index|app|server)') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(lower(path), 'service|controller|router?|store|repo') THEN 20 ELSE 0 END - CASE WHEN {_TEST} THEN 25 ELSE 0 END + least(20, size // 500) AS BIGINT) AS points FROM b_files) ORDER BY points DESC, path LIMIT 40", "files"))
+    "SELECT path, points, size FROM (SELECT path, size, CAST(3 * (size % 11) + 2 * (size % 7) + 5 * (size % 3) + size % 5 + CASE WHEN regexp_matches(lower(path), '(^|/)(main|index|app|server|bootstrap)[.][^.]+$') THEN 40 ELSE 0 END + CASE WHEN regexp_matches(lower(path), 'ipc|controller|service|worker|gateway|adapter|repository|store|dispatcher|scheduler') THEN 25 ELSE 0 END - CASE WHEN regexp_matches(lower(path), 'test|spec|fixture|example|generated') THEN 20 ELSE 0 END AS BIGINT) AS points FROM b_files) ORDER BY points DESC, path LIMIT 40", "files"))
 def _(spark, d):
-    return extraction.representative(B.files(spark, d).select("path", "size"), 40).select("path", "points", "size")
+    counted = B.files(spark, d).select("path", "size", *[F.pmod("size", F.lit(m)).alias(c) for c, m in (("n_symbols", 11), ("n_calls", 7), ("n_external", 3), ("n_imports", 5))])
+    return extraction.representative(counted, 40).select("path", "points", "size")
 
 
 @query("s15_changes_parsed", "SELECT 'src/f' || doc_id || '.ts' AS path, ['modified', 'added', 'deleted', 'untracked', "
