@@ -198,7 +198,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"))
     quarter = suppliers.agg(F.floor(F.count("*") / 4).alias("quarter"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")).join(F.broadcast(quarter))  # one row
-    orders = orders.withColumn("s", F.pmod(o, F.col("quarter")) * 4 + F.when(c % 4 == 0, 4).otherwise(c % 4))
+    orders = orders.withColumn("s", F.pmod(o, F.col("quarter")) * 4 + c % 4)
     out = None
     for n, (language, shop) in enumerate(SHOPS.items()):
         path, text = shop["supplier"]
