@@ -143,7 +143,7 @@ def _python_of_parts(spark, d):
     broken = F.when(F.col("p_partkey") % 10 == 0, F.lit("def (:\n")).otherwise(F.lit(""))
     code = F.concat(broken, F.lit("from pkg.m"), k, F.lit(" import a\nclass C"), k, F.lit(
         "(Base):\n    def run(self, x, y):\n        return a.go(x, y)\n"))
-    return B.table(spark, d, "part").select(F.concat(F.lit("p"), k, F.lit(".py")).alias("path"), code.alias("content"))
+    return B.spread(B.table(spark, d, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("p"), k, F.lit(".py")).alias("path"), code.alias("content"))
 
 
 @query("e10_python_facts", "SELECT 'p' || p_partkey || '.py' AS path, f.fact, f.name, f.scope, f.line, f.arity FROM "
@@ -328,7 +328,7 @@ def _(spark, d):
     k = F.col("p_partkey")
     sql = F.replace(F.element_at(F.array(*map(F.lit, _STATEMENTS)), (k % 7 + 1).cast("int")), F.lit("{}"), (k % 13)
         .cast("string"))
-    return B.table(spark, d, "part").select(k, X.sql_table(sql).alias("tbl"), X.sql_operation(sql).alias("verb"))
+    return B.spread(B.table(spark, d, "part").select(k), "p_partkey").select(k, X.sql_table(sql).alias("tbl"), X.sql_operation(sql).alias("verb"))
 
 
 @query("x12_folders", B.with_views("SELECT folder, count(*) AS files, sum(size) AS bytes FROM (SELECT "
