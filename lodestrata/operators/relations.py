@@ -1,7 +1,7 @@
 """Resolution of relations between files, and their aggregation into relationships between modules.
 
 Tables: relations(id, kind, source_file, target_file, target_kind, resource_id, operation, confidence, detail, symbol),
-module_files(file, module), where a file belongs to one module."""
+module_files(file, module), where a file belongs to one module.  Relations alike may come as one row with n and last_id (counted)."""
 
 from __future__ import annotations
 
@@ -33,8 +33,10 @@ def architecture_relation() -> Column:
     )
 
 
-def with_modules(relations: DataFrame, module_files: DataFrame) -> DataFrame:
-    """Adds the modules at both ends (null where a file has none; a resource stands for itself)."""
+def with_modules(relations: DataFrame, module_files: DataFrame | None) -> DataFrame:
+    """Adds the modules at both ends (null where a file has none; a resource stands for itself); without module_files they are there already."""
+    if module_files is None:
+        return relations
     source = module_files.select(F.col("file").alias("source_file"), F.col("module").alias("source_module"))
     target = module_files.select(F.col("file").alias("target_file"), F.col("module").alias("target_module"))
     joined = relations.join(source, "source_file", "left").join(target, "target_file", "left")
@@ -42,7 +44,12 @@ def with_modules(relations: DataFrame, module_files: DataFrame) -> DataFrame:
         .otherwise(F.col("target_module")))
 
 
-def module_edges(relations: DataFrame, module_files: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+def counted(relations: DataFrame) -> DataFrame:
+    """relations with n and last_id: a row may stand for n relations alike, id being their least id and detail their least one."""
+    return relations if "n" in relations.columns else relations.withColumns({"n": F.lit(1), "last_id": F.col("id")})
+
+
+def module_edges(relations: DataFrame, module_files: DataFrame | None, categories: DataFrame | None = None) -> DataFrame:
     """Candidate edges: located at both ends, in two modules, with a relation; a subscription points from publisher to subscriber, a test module's calls are tests."""
     found = with_modules(relations, module_files).where("source_module is not null and target_module is not null and "
         "source_module <> target_module")
@@ -58,28 +65,28 @@ def module_edges(relations: DataFrame, module_files: DataFrame, categories: Data
         .otherwise(F.col("target_module"))})
 
 
-def relationships(relations: DataFrame, module_files: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+def relationships(relations: DataFrame, module_files: DataFrame | None, categories: DataFrame | None = None) -> DataFrame:
     """Edges by (source, target, relation, confidence) with counts and the sorted sets of what they are made of.  Ids are unique (sorted_unique), so
     rows are counted, and everything is combined before the one shuffle by edge."""
-    edges = module_edges(relations, module_files, categories).withColumn("confidence", F.coalesce("confidence", F.lit(
+    edges = module_edges(counted(relations), module_files, categories).withColumn("confidence", F.coalesce("confidence", F.lit(
         "unrated")))
     grouped = edges.groupBy("source", "target", "relation", "confidence").agg(
-        F.count("*").alias("n_relations"),
+        F.sum("n").cast("long").alias("n_relations"),
         F.array_sort(F.collect_set("kind")).alias("kinds"),
         F.array_sort(F.collect_set("operation")).alias("operations"),
         F.min("detail").alias("description"),
         F.min("id").alias("first_relation"),
-        F.max("id").alias("last_relation"),
+        F.max("last_id").alias("last_relation"),
     )
     return grouped.withColumn("id", F.concat_ws("-", "source", "target", "relation", "confidence"))
 
 
-def skip_reason(relations: DataFrame, module_files: DataFrame) -> DataFrame:
+def skip_reason(relations: DataFrame, module_files: DataFrame | None) -> DataFrame:
     """Relations that make no edge, with the reason: both are functions of the located row, so the ends are looked up once."""
     return located(relations, module_files).where("not edge").drop("edge")
 
 
-def located(relations: DataFrame, module_files: DataFrame) -> DataFrame:
+def located(relations: DataFrame, module_files: DataFrame | None) -> DataFrame:
     """relations with the modules at both ends, whether each makes an edge, and the reason if it makes none."""
     placed = with_modules(relations, module_files)
     apart = F.col("source_module") != F.col("target_module")
@@ -95,18 +102,18 @@ def located(relations: DataFrame, module_files: DataFrame) -> DataFrame:
     return placed.withColumn("edge", edge).withColumn("reason", F.when(~F.col("edge"), reason))
 
 
-def skipped(relations: DataFrame, module_files: DataFrame) -> DataFrame:
+def skipped(relations: DataFrame, module_files: DataFrame | None) -> DataFrame:
     """How many relations of each kind make no edge, by reason."""
-    return skip_reason(relations, module_files).groupBy("kind", "reason").agg(F.count("*").alias("n"), F.min("id")
+    return skip_reason(counted(relations), module_files).groupBy("kind", "reason").agg(F.sum("n").cast("long").alias("n"), F.min("id")
         .alias("first_id"))
 
 
-def outcomes(relations: DataFrame, module_files: DataFrame) -> DataFrame:
+def outcomes(relations: DataFrame, module_files: DataFrame | None) -> DataFrame:
     """What becomes of the relations of each kind."""
     names = {"same-module": "module-internal", "external": "external", "ambiguous-target": "ambiguous",
         "direction-unknown": "unsupported", "unlocated-target": "unresolved"}
     outcome = F.when(F.col("edge"), F.lit("architecture-edge")).otherwise(X.mapped(F.col("reason"), names))
-    return located(relations, module_files).groupBy("kind", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    return located(counted(relations), module_files).groupBy("kind", outcome.alias("outcome")).agg(F.sum("n").cast("long").alias("n"))
 
 
 def module_summary(relations: DataFrame, module_files: DataFrame) -> DataFrame:

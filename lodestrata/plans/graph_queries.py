@@ -22,6 +22,10 @@ def _facts(spark, d):
     return B.relations(spark, d), B.module_files(spark, d)
 
 
+def _classes(spark, d):
+    return B.relation_classes(spark, d), None  # the modules are there already
+
+
 @query("a1_relationships", B.with_views(_PLACED + " SELECT source, target, relation, confidence, count(DISTINCT id) AS "
     "n_relations, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, "
     "coalesce(array_to_string(list_sort(list(DISTINCT operation) FILTER (operation IS NOT NULL)), ','), '') AS "
@@ -29,14 +33,14 @@ def _facts(spark, d):
     "target || '-' || relation || '-' || confidence AS id FROM edge GROUP BY source, target, relation, confidence",
     "relations", "module_files"))
 def relationships(spark, d):
-    out = relations.relationships(*_facts(spark, d))
+    out = relations.relationships(*_classes(spark, d))
     return out.withColumns({"kinds": F.array_join("kinds", ","), "operations": F.array_join("operations", ",")})
 
 
 @query("a2_skipped", B.with_views(_PLACED + _REASON + " SELECT kind, reason, count(*) AS n, min(id) AS first_id FROM "
     "skip GROUP BY kind, reason", "relations", "module_files"))
 def _(spark, d):
-    return relations.skipped(*_facts(spark, d))
+    return relations.skipped(*_classes(spark, d))
 
 
 @query("a3_outcomes", B.with_views(_PLACED + _REASON + ", reasons AS (SELECT DISTINCT id, reason FROM skip) SELECT "
@@ -45,7 +49,7 @@ def _(spark, d):
     "'unresolved' ELSE 'architecture-edge' END AS outcome, count(*) AS n FROM b_relations LEFT JOIN reasons USING (id) "
     "GROUP BY ALL", "relations", "module_files"))
 def _(spark, d):
-    return relations.outcomes(*_facts(spark, d))
+    return relations.outcomes(*_classes(spark, d))
 
 
 @query("a4_module_summary", B.with_views(_PLACED + " SELECT source_module AS module, count(*) FILTER (kind IN "
