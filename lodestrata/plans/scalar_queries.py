@@ -431,7 +431,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.relations import sorted_unique
 
-    return sorted_unique(B.relations(spark, d)).select("id", "source_file", "target_file", "kind", "detail")
+    return B.relation_texts(sorted_unique(B.relation_numbers(spark, d).drop("symbol")).select("id", "source_file", "target_file", "kind", "detail"))
 
 
 @query("d2_capped", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
