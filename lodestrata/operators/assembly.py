@@ -294,16 +294,16 @@ def enhanced(modules: DataFrame, review: DataFrame, words: list[str]) -> DataFra
 
 def evidence_confidence(evidence: DataFrame, relations: DataFrame) -> DataFrame:
     """evidence(evidence_id, relation_id, file, symbol, detail) with the confidence of the first of relations(place, id, source_file, symbol, detail,
-    confidence) that it is from: by the relation's id if it has one, else by its file; inferred if none fits."""
-    first = lambda df: df.groupBy("evidence_id").agg(F.min_by("confidence", "place").alias("confidence"))
-    r = relations.select("place", "id", "source_file", F.col("symbol").alias("r_symbol"), F.col("detail").alias(
-        "r_detail"), "confidence")
-    alike = F.col("symbol").eqNullSafe(F.col("r_symbol")) & F.col("detail").eqNullSafe(F.col("r_detail"))
-    by_id = evidence.where("relation_id is not null").join(r, (F.col("relation_id") == F.col("id")) & alike)
-    by_file = evidence.where("relation_id is null").join(r, (F.col("file") == F.col("source_file")) & alike)
-    found = first(by_id).unionByName(first(by_file))
-    return evidence.join(found, "evidence_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(
-        "inferred")))
+    confidence) that it is from: by the relation's id if it has one, else by its file; inferred if none fits.  An evidence_id is there once."""
+    def joined(part: DataFrame, of: str, to: str) -> DataFrame:
+        # the first relation of each key is found before evidence meets it, so a row of evidence meets one at most
+        keyed = relations.where(F.col(to).isNotNull()).select(F.col(to).alias("r_of"), F.col("symbol").alias("r_symbol"), F.col("detail").alias("r_detail"), "place", "confidence")
+        first = keyed.repartition("r_of", "r_symbol", "r_detail").groupBy("r_of", "r_symbol", "r_detail").agg(F.min_by("confidence", "place").alias("confidence"))
+        alike = F.col("symbol").eqNullSafe(F.col("r_symbol")) & F.col("detail").eqNullSafe(F.col("r_detail"))
+        return part.join(first, (F.col(of) == F.col("r_of")) & alike, "left").drop("r_of", "r_symbol", "r_detail")
+
+    found = joined(evidence.where("relation_id is not null"), "relation_id", "id").unionByName(joined(evidence.where("relation_id is null"), "file", "source_file"))
+    return found.withColumn("confidence", F.coalesce("confidence", F.lit("inferred")))
 
 
 def first_of_each(items: DataFrame, keys: list[str], place: str) -> DataFrame:
