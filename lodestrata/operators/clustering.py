@@ -2,11 +2,14 @@
 
 A file's seed (key, kind, name, anchor) comes from its path alone.  Support files that three domains use become shared; named support files join the
 one responsibility they are named after and call; a lone file joins the one group that uses it if it is named after it; unknown files join
-the one group beside them.  All but the lone files' step are plain joins; that step depends on its own results in order, and runs per scope
-in a Python group over the lone files and the relations that end at them only."""
+the one group beside them.  All steps are plain joins; the lone files' step depends on its own results in order, and goes in rounds over those files
+that wait for others."""
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,29 +136,56 @@ def shared_support(seeded: DataFrame, between: DataFrame, least: int = 3) -> Dat
 def _merge_alone(pdf: pd.DataFrame) -> pd.DataFrame:
     """For the lone files of a scope in the order of their groups: the one group that uses each, if it is named after a file of that group.  Earlier moves count."""
     moved: dict[str, str] = {}
-    strength = {"call": 3, "render": 3, "event": 2}
     out = []
-    for key, rows in pdf.sort_values(["key", "source_file", "relation"]).groupby("key", sort=True):
-        scores: dict[str, int] = {}
+    ordered = pdf.sort_values(["key", "source_file"])
+    rows = zip(*(ordered[c] for c in ("key", "file", "name", "source_file", "s_key", "s_name")))
+    for key, users in groupby(rows, key=lambda r: r[0]):
         names: dict[str, tuple] = {}
-        lone = rows.iloc[0]
-        for r in rows.itertuples():
-            group = moved.get(r.source_file, r.s_key)
-            if group == key:
-                continue
-            scores[group] = scores.get(group, 0) + strength.get(r.relation, 1)
-            names[group] = min(names.get(group, (len(r.s_name), r.source_file, r.s_name)), (len(r.s_name),
-                r.source_file, r.s_name))
-        if len(scores) > 1:
-            out.append((lone["file"], None, True))
-        elif scores:
-            (group,) = scores
-            if lone["name"].startswith(f"{names[group][2]}-"):
-                moved[lone["file"]] = group
-                out.append((lone["file"], group, False))
+        for _, file, name, source, group, s_name in users:
+            group = moved.get(source, group)
+            if group != key:
+                names[group] = min(names.get(group, (len(s_name), source, s_name)), (len(s_name), source, s_name))
+        if len(names) > 1:
+            out.append((file, None, True))
+        elif names:
+            ((group, (_, _, s_name)),) = names.items()
+            if name.startswith(f"{s_name}-"):
+                moved[file] = group
+                out.append((file, group, False))
     return pd.DataFrame(out, columns=["file", "joined", "ambiguous"])
 
 
+def merge_alone(near: DataFrame, most_rounds: int = 20) -> DataFrame:
+    """What _merge_alone finds (file, joined, ambiguous), by joins: near(scope, key, file, name, source_file, s_key, s_name) are lone files and their users.
+
+    A lone file waits for those users alone that may move before it: lone ones of a smaller key that are named after one of their users.  Each round decides
+    what waits for nothing any more, or is used by two groups already.  Only what still waits after most_rounds, in long chains of such files, is left to Python groups."""
+    named = lambda s_name: F.startswith("name", F.concat(s_name, F.lit("-")))
+    near = settled(near.select("scope", "key", "file", "name", "source_file", "s_key", "s_name").distinct())
+    movable = near.where(named("s_name")).select("scope", F.col("file").alias("source_file"), F.col("key").alias("before")).distinct()
+    waits = F.coalesce(F.col("before") < F.col("key"), F.lit(False))
+    pending = settled(near.join(movable, ["scope", "source_file"], "left").withColumn("waits", waits).drop("before"))
+    other = F.when(~F.col("waits") & (F.col("s_key") != F.col("key")), F.col("s_key"))
+    user = F.when(other.isNotNull(), F.struct(F.length("s_name").alias("n"), "source_file", "s_name"))
+    out = []
+    for _ in range(most_rounds):
+        each = pending.groupBy("scope", "key", "file", "name").agg(F.min(other).alias("one"), F.max(other).alias("two"), F.min(user).alias("user"), F.bool_or("waits").alias("waits"))
+        several = F.coalesce(F.col("one") != F.col("two"), F.lit(False))
+        ready = each.where(several | ~F.col("waits")).select("scope", "key", "file", F.when(~several & named(F.col("user.s_name")), F.col("one")).alias("joined"), several.alias("ambiguous"))
+        ready = settled(ready)
+        out.append(ready.where("joined is not null or ambiguous").select("file", "joined", "ambiguous"))
+        left = pending.join(ready.select("scope", "key"), ["scope", "key"], "left_anti")
+        moved = ready.select("scope", F.col("file").alias("source_file"), F.col("joined").alias("moved"), F.lit(True).alias("decided"))
+        now = F.col("waits") & F.coalesce("decided", F.lit(False))
+        pending = settled(left.join(moved, ["scope", "source_file"], "left").withColumns({"s_key": F.when(now, F.coalesce("moved", "s_key")).otherwise(F.col("s_key")), "waits": F.col("waits") & ~now}).drop("moved",
+            "decided"))
+        if pending.isEmpty():
+            break
+    else:
+        out.append(pending.groupBy("scope").applyInPandas(_merge_alone, "file string, joined string, ambiguous boolean"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def clusters(files: DataFrame, relations: DataFrame) -> DataFrame:
     """files(file, scope) with kind, name, key, and the group that each file ends up in; ambiguous says that several groups were as near."""
     seeded = settled(seeds(files))
@@ -186,8 +216,8 @@ def clusters(files: DataFrame, relations: DataFrame) -> DataFrame:
     users = step.where("kind in ('feature', 'responsibility')").select(F.col("file").alias("source_file"), F.col("grp")
         .alias("s_key"), F.col("name").alias("s_name"), F.col("scope").alias("s_scope"))
     near = between.withColumnRenamed("target_file", "file").join(lone, "file").join(users, "source_file").where(
-        "scope = s_scope").select("scope", "file", "name", "key", "source_file", "relation", "s_key", "s_name")
-    joined = near.groupBy("scope").applyInPandas(_merge_alone, "file string, joined string, ambiguous boolean")
+        "scope = s_scope")
+    joined = merge_alone(near)
     step = settled(step.join(joined, "file", "left").withColumns({"grp": F.coalesce("joined", "grp"),
         "ambiguous": F.coalesce("ambiguous", F.lit(False))}).drop("joined"))
 
