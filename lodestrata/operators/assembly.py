@@ -292,17 +292,21 @@ def enhanced(modules: DataFrame, review: DataFrame, words: list[str]) -> DataFra
         f"review_{w}" for w in words])
 
 
-def evidence_confidence(evidence: DataFrame, relations: DataFrame) -> DataFrame:
+def evidence_confidence(evidence: DataFrame, relations: DataFrame, by_id: Column | None = None, by_file: Column | None = None) -> DataFrame:
     """evidence(evidence_id, relation_id, file, symbol, detail) with the confidence of the first of relations(place, id, source_file, symbol, detail,
-    confidence) that it is from: by the relation's id if it has one, else by its file; inferred if none fits.  An evidence_id is there once."""
-    def joined(part: DataFrame, of: str, to: str) -> DataFrame:
+    confidence) that it is from: by the relation's id if it has one, else by its file; inferred if none fits.  An evidence_id is there once.
+
+    by_id, by_file: conditions on symbol that hold for all evidence with and without a relation's id; as symbols must be equal, other relations are not dealt there."""
+    same = F.struct("symbol", "detail")  # nulls in it are equal, and it is one key, by which both sides are dealt once
+
+    def joined(part: DataFrame, of: str, to: str, asked: Column | None) -> DataFrame:
         # the first relation of each key is found before evidence meets it, so a row of evidence meets one at most
-        keyed = relations.where(F.col(to).isNotNull()).select(F.col(to).alias("r_of"), F.col("symbol").alias("r_symbol"), F.col("detail").alias("r_detail"), "place", "confidence")
-        first = keyed.repartition("r_of", "r_symbol", "r_detail").groupBy("r_of", "r_symbol", "r_detail").agg(F.min_by("confidence", "place").alias("confidence"))
-        alike = F.col("symbol").eqNullSafe(F.col("r_symbol")) & F.col("detail").eqNullSafe(F.col("r_detail"))
-        return part.join(first, (F.col(of) == F.col("r_of")) & alike, "left").drop("r_of", "r_symbol", "r_detail")
+        part = part.withColumn("same", same)
+        keyed = (relations if asked is None else relations.where(asked)).where(F.col(to).isNotNull()).select(F.col(to).alias("r_of"), same.cast(part.schema["same"].dataType).alias("r_same"), "place", "confidence")
+        first = keyed.repartition("r_of", "r_same").groupBy("r_of", "r_same").agg(F.min_by("confidence", "place").alias("confidence"))
+        return part.join(first, (F.col(of) == F.col("r_of")) & (F.col("same") == F.col("r_same")), "left").drop("same", "r_of", "r_same")
 
-    found = joined(evidence.where("relation_id is not null"), "relation_id", "id").unionByName(joined(evidence.where("relation_id is null"), "file", "source_file"))
+    found = joined(evidence.where("relation_id is not null"), "relation_id", "id", by_id).unionByName(joined(evidence.where("relation_id is null"), "file", "source_file", by_file))
     return found.withColumn("confidence", F.coalesce("confidence", F.lit("inferred")))
 
 
